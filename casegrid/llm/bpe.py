@@ -167,19 +167,21 @@ def _long(docs: DataFrame, ranks_path: str, pattern: str, digest: bool) -> DataF
             ends.append([k * CHUNK + e for e in (got if k * CHUNK + len(part) >= n else got[:-2])])
         return {c: batch.column(c) for c in ("doc_id", "uid", "k", "part")} | {"ends": ends}
 
-    def join(key, t: pa.Table) -> pa.Table:
+    def join(t):
         enc = encoder(ranks_path, pattern)
-        rows = sorted(t.select(["k", "part", "ends"]).to_pylist(), key=lambda r: r["k"])
+        every = t.select(["doc_id", "k", "part", "ends"]).to_pylist()
+        rows = [r for _, r in sorted({r["k"]: r for r in every}.items())]
+        times = len(every) // len(rows)  # a repeated row
         text = "".join(r["part"][:CHUNK] for r in rows)
         ends = stitched(enc, text, [r["ends"] for r in rows])
         n, ids, raw = encode_pieces(enc, [text[a:b] for a, b in zip([0, *ends], ends, strict=False)])
-        cols = {"doc_id": t.column("doc_id")[:1], "n_tokens": [n]}
-        cols |= {"ids_sha256": [hashlib.sha256(ids.encode()).hexdigest()], "decoded_sha256": [hashlib.sha256(raw).hexdigest()]} if digest else {"ids": [ids], "decoded": [raw]}
-        return pa.table(cols)
+        cols = {"n_tokens": [n] * times}
+        cols |= {"ids_sha256": [hashlib.sha256(ids.encode()).hexdigest()] * times, "decoded_sha256": [hashlib.sha256(raw).hexdigest()] * times} if digest else {"ids": [ids] * times, "decoded": [raw] * times}
+        return pa.table({"doc_id": pa.array([every[0]["doc_id"]] * times, pa.int64())} | cols)
 
-    uid = docs.withColumn("uid", F.uuid())
-    chunks = map_columns(map_columns(uid, cut, "doc_id bigint, uid string, n bigint, k int, part string").repartition("uid", "k"), scan, "doc_id bigint, uid string, k int, part string, ends array<bigint>")
-    return chunks.groupBy("uid").applyInArrow(join, SCHEMA[digest])
+    uid = docs.withColumn("uid", F.xxhash64("text"))
+    chunks = map_columns(map_columns(uid, cut, "doc_id bigint, uid bigint, n bigint, k int, part string").repartition("doc_id", "uid", "k"), scan, "doc_id bigint, uid bigint, k int, part string, ends array<bigint>")
+    return chunks.groupBy("doc_id", "uid").applyInArrow(join, SCHEMA[digest])
 
 
 SCHEMA = {False: "doc_id bigint, n_tokens bigint, ids string, decoded binary", True: "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"}

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from casegrid.llm import bpe, secrets
+from casegrid.llm import bpe, chat, secrets, toxicity
 
 QUERIES = {
+    "op4_toxicity": toxicity.op4_toxicity,
     "op6_secret_scan": secrets.op6_secret_scan,
+    "op8_chat_format": chat.op8_chat_format,
     "op10_byte_bpe": bpe.op10_byte_bpe,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op8_chat_format": chat.OP8_SQL}
