@@ -33,6 +33,8 @@ PER_CLASS = 30_000
 LEXICON = 20_000
 MIN_Z, PRIOR = 4.0, 0.1
 THRESHOLD = 0.3
+#: Evidence beyond this, either way, says no more.
+MOST = 30.0
 _STRIP = ".,;:!?\"'()[]{}<>|*#-_…«»„“”"
 
 
@@ -45,7 +47,7 @@ def features(word: str) -> list[str]:
 def _counts(batch: pa.RecordBatch) -> dict:
     seen = (Counter(), Counter())
     for y, text in zip(batch.column("y").to_pylist(), batch.column("text").to_pylist(), strict=True):
-        seen[y].update(text.lower().split())
+        seen[y].update(set(text.lower().split()))  # a text counts each word once, however often it repeats it
     out: dict[str, list[int]] = {}
     for y in (0, 1):
         for word, n in seen[y].items():
@@ -88,7 +90,7 @@ class Model:
         return maximal_segments([(i, s) for i, s in enumerate(scores) if s > 0], self.rest)
 
     def evidence(self, n: int, best: float) -> float:
-        return self.lam * best - math.log(self.k * max(n, 1))
+        return max(-MOST, min(MOST, self.lam * best - math.log(self.k * max(n, 1))))
 
     def score(self, n: int, best: float) -> float:
         return 1 / (1 + math.exp(-max(-500.0, min(500.0, self.a * self.evidence(n, best) + self.b))))
