@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from casegrid.llm import bpe, chat, secrets, toxicity
+from casegrid.llm import bpe, chat, quality_classifier, quality_rules, secrets, toxicity
 
 QUERIES = {
     "op4_toxicity": toxicity.op4_toxicity,
+    "op5_quality_rules": quality_rules.op5_quality_rules,
     "op6_secret_scan": secrets.op6_secret_scan,
     "op8_chat_format": chat.op8_chat_format,
+    "op9_quality_classifier": quality_classifier.op9_quality_classifier,
     "op10_byte_bpe": bpe.op10_byte_bpe,
 }
 
