@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from casegrid.llm import bpe, chat, quality_classifier, quality_rules, secrets, toxicity
+from casegrid.llm import bpe, chat, line_dedup, quality_classifier, quality_rules, secrets, suffix_dedup, toxicity
 
 QUERIES = {
+    "op1_line_dedup": line_dedup.op1_line_dedup,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_quality_rules": quality_rules.op5_quality_rules,
     "op6_secret_scan": secrets.op6_secret_scan,
+    "op7_suffix_dedup": suffix_dedup.op7_suffix_dedup,
     "op8_chat_format": chat.op8_chat_format,
     "op9_quality_classifier": quality_classifier.op9_quality_classifier,
     "op10_byte_bpe": bpe.op10_byte_bpe,
 }
 
-ORACLE_SQL: dict[str, str] = {"op8_chat_format": chat.OP8_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_line_dedup": line_dedup.OP1_SQL, "op8_chat_format": chat.OP8_SQL}
