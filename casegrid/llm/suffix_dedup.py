@@ -37,12 +37,23 @@ LENGTH, K, SHALLOW = 100, 32, 16
 IN_MEMORY = 8 << 20
 
 
-def minimizer_runs(raw: bytes, length: int = LENGTH, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first start, end of the starts, minimizer hash) of the runs of windows with one minimizer hash."""
+def _sliding(f, x: np.ndarray, w: int) -> np.ndarray:
+    """``f`` (np.minimum or np.maximum) over each ``w`` neighbours of ``x``, by doubling."""
+    y, m = x, 1
+    while 2 * m <= w:
+        y = f(y[: len(y) - m], y[m:])
+        m *= 2
+    n = len(x) - w + 1
+    return f(y[:n], y[w - m : w - m + n])
+
+
+def minimizer_runs(raw: bytes, length: int = LENGTH, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first start, end of the starts, minimizer hash, whether the text has that minimizer at two neighbouring
+    places) of the runs of windows with one minimizer hash."""
     n = len(raw) - length + 1
     if n <= 0:
         none = np.empty(0, np.int64)
-        return none, none, none
+        return none, none, none, none.astype(bool)
     h = np.frombuffer(raw, np.uint8).astype(np.uint64) + np.uint64(1)
     base, m = 0x9E3779B97F4A7C15, 1
     while m < k:  # k is a power of two
@@ -51,14 +62,15 @@ def minimizer_runs(raw: bytes, length: int = LENGTH, k: int = K) -> tuple[np.nda
     h ^= h >> np.uint64(29)
     h *= np.uint64(0xBF58476D1CE4E5B9)
     h ^= h >> np.uint64(32)
-    w, m = length - k + 1, 1
-    while 2 * m <= w:
-        h = np.minimum(h[: len(h) - m], h[m:])
-        m *= 2
-    h = np.minimum(h[:n], h[w - m : w - m + n])
-    at = np.flatnonzero(h[1:] != h[:-1]) + 1
+    w = length - k + 1
+    least = _sliding(np.minimum, h, w)
+    at = np.flatnonzero(least[1:] != least[:-1]) + 1
     starts = np.concatenate([[0], at])
-    return starts, np.concatenate([at, [n]]), h[starts].view(np.int64)
+    key = least[starts]
+    # a string is a minimizer where it is as small as the largest minimum of the windows around it
+    padded = np.concatenate([np.zeros(w - 1, np.uint64), least, np.zeros(w - 1, np.uint64)])
+    chosen = h[h == _sliding(np.maximum, padded, w)]
+    return starts, np.concatenate([at, [n]]), key.view(np.int64), np.isin(key, chosen[1:][chosen[1:] == chosen[:-1]])
 
 
 def common_prefix(a: bytes, b: bytes) -> int:
@@ -124,7 +136,7 @@ def deep_shallow(windows: list[bytes], shallow: int = SHALLOW) -> list[int]:
     return first
 
 
-_RUN = "did bigint, th bigint, start bigint, stop bigint, key bigint, known boolean"
+_RUN = "did bigint, th bigint, start bigint, stop bigint, key bigint, twice boolean, known boolean"
 _SPAN = "did bigint, th bigint, start bigint, stop bigint"
 
 
@@ -138,10 +150,10 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             raws, rows = [], []
             for i, j in enumerate(order.tolist()):
                 raw = texts[j].as_py().encode("utf-8", "surrogatepass")
-                a, b, k = minimizer_runs(raw)
+                runs = minimizer_runs(raw)
                 raws.append(raw)
-                rows.append((np.full(len(a), i), a, b, k))
-            who, a, b, key = (np.concatenate(c) for c in zip(*rows, strict=True))
+                rows.append((np.full(len(runs[0]), i), *runs))
+            who, a, b, key, twice = (np.concatenate(c) for c in zip(*rows, strict=True))
             known = np.zeros(len(a), bool)
             _, inverse, count = np.unique(key, return_inverse=True, return_counts=True)
             seen: dict[bytes, int] = {}
@@ -151,11 +163,11 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 at = seen.setdefault(context, r)
                 if at != r and (w != who[at] and (dids[order[w]], ths[order[w]]) != (dids[order[who[at]]], ths[order[who[at]]]) or w == who[at]):
                     known[r] = True
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (dids[order][who], ths[order][who], a, b, key, known)], names=["did", "th", "start", "stop", "key", "known"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (dids[order][who], ths[order][who], a, b, key, twice, known)], names=["did", "th", "start", "stop", "key", "twice", "known"])
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by key, those whose key a neighbour has too."""
+    """Of rows sorted by key, those whose key a neighbour has too, or that have it twice."""
     held: pa.RecordBatch | None = None  # the last row so far, and whether the row before it has its key
     before = False
     for batch in batches:
@@ -164,11 +176,11 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = batch if held is None else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
         keys = rows.column("key").to_numpy()
         same = keys[1:] == keys[:-1]
-        keep = np.concatenate([[before], same]) | np.concatenate([same, [False]])
+        keep = np.concatenate([[before], same]) | np.concatenate([same, [False]]) | rows.column("twice").to_numpy(zero_copy_only=False)
         last_before = bool(same[-1]) if len(same) else before
         yield rows.slice(0, rows.num_rows - 1).filter(pa.array(keep[:-1]))
         held, before = rows.slice(rows.num_rows - 1), last_before
-    if held is not None and before:
+    if held is not None and (before or held.column("twice")[0].as_py()):
         yield held
 
 
@@ -230,7 +242,12 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def close() -> None:
         if crowded:
             return
-        if len(group) > 1 or (group and len(group[0][3]) > 2 * LENGTH):
+        if len(group) == 1:
+            context = group[0][3]
+            n = len(context) - LENGTH + 1
+            if len({context[o : o + LENGTH] for o in range(n)}) == n:
+                return
+        if group:
             _sort_group(out, group)
 
     for batch in batches:
@@ -282,7 +299,7 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
     """did, th, start, stop: starts of windows of ``texts`` (did, th, text) that also start earlier."""
     runs = texts.filter(F.octet_length("text") >= LENGTH).mapInArrow(_runs, _RUN)
     known = runs.filter("known").select("did", "th", "start", "stop")
-    shared = runs.filter("not known").drop("known").repartition("key").sortWithinPartitions("key").mapInArrow(_shared, "did bigint, th bigint, start bigint, stop bigint, key bigint")
+    shared = runs.filter("not known").drop("known").repartition("key").sortWithinPartitions("key").mapInArrow(_shared, "did bigint, th bigint, start bigint, stop bigint, key bigint, twice boolean")
     per_text = shared.groupBy("did", "th").agg(F.collect_set(F.struct("start", "stop", "key")).alias("runs"))
     # of rows with the same id and text one is enough
     contexts = texts.join(per_text, ["did", "th"]).select("did", "th", "text", "runs").mapInArrow(_contexts, "did bigint, th bigint, start bigint, key bigint, context binary")
