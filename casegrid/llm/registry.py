@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from casegrid.llm import bpe, chat, line_dedup, quality_classifier, quality_rules, secrets, suffix_dedup, toxicity
+import corpus_pipeline
+from casegrid.llm import bpe, chat, decontaminate, line_dedup, ngram_join, quality_classifier, quality_rules, secrets, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
+    "op2_ngram_join": ngram_join.op2_ngram_join,
+    "op3_decontamination": decontaminate.op3_decontamination,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_quality_rules": quality_rules.op5_quality_rules,
     "op6_secret_scan": secrets.op6_secret_scan,
@@ -13,6 +16,7 @@ QUERIES = {
     "op8_chat_format": chat.op8_chat_format,
     "op9_quality_classifier": quality_classifier.op9_quality_classifier,
     "op10_byte_bpe": bpe.op10_byte_bpe,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE_SQL: dict[str, str] = {"op1_line_dedup": line_dedup.OP1_SQL, "op8_chat_format": chat.OP8_SQL}
