@@ -24,47 +24,68 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casegrid.llm.common import map_columns, slices, table
 
-TERMS, RANK, EXTRA, SEED = 8192, 64, 8, 5
-STEP, SIZES = 8, (16, 32)
-COSINE, VERBATIM, REWORDED, ANSWER = 0.75, 0.7, 0.5, 0.8
-BLOCK = 20_000
-_STRIP = ".,;:!?\"'()[]{}<>|*#$%&-_…«»„“”¿¡"
+TERMS, RANK, EXTRA, SEED = 8192, 96, 8, 5
+#: Sliding passages begin every STEP words and have these many words; the least cosine of a candidate for each.
+STEP, SIZES, COSINES = 8, (16, 32), (0.7, 0.8)
+VERBATIM, REWORDED, ANSWER = 0.7, 0.6, 0.8
+BLOCK = 2_000
+#: Bytes of text that are worked on at once.
+PART = 1 << 20
 _SHARDS = 128
+#: What parts words: white space and ASCII punctuation.
+_PARTS = np.zeros(256, bool)
+_PARTS[np.frombuffer(bytes(range(33)) + b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~\x7f", np.uint8)] = True
+_WEIGHTS = np.random.default_rng(SEED).integers(0, 2**64, 4096, np.uint64) | np.uint64(1)
+
+
+def tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all words (lower case) of the texts, one text after the other, and where each text's begin."""
+    raws = [t.lower().encode("utf-8", "surrogatepass") for t in texts]
+    b = np.frombuffer(b"\n".join([*raws, b""]), np.uint8)
+    word = ~_PARTS[b]
+    edge = np.diff(word, prepend=False, append=False) if len(word) else np.zeros(1, bool)
+    at = np.flatnonzero(edge)
+    starts, ends = at[::2], at[1::2]
+    begin = np.searchsorted(starts, np.cumsum([0, *(len(r) + 1 for r in raws)]))
+    if not len(starts):
+        return np.empty(0, np.uint64), begin
+    length = ends - starts
+    first = np.cumsum(length) - length
+    place = np.arange(int(length.sum())) - np.repeat(first, length)
+    h = np.add.reduceat((b[word].astype(np.uint64) + np.uint64(1)) * _WEIGHTS[place & 4095], first)
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(32)), begin
+
+
+def terms(h: np.ndarray) -> np.ndarray:
+    return (h & np.uint64(TERMS - 1)).astype(np.int64)
+
+
+def _padded(n: np.ndarray, begin: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """``n`` with every text's terms padded with TERMS to a multiple of ``size``, and each text's first group of ``size``."""
+    count = np.diff(begin)
+    groups = -(-count // size)
+    first = np.cumsum(np.concatenate([[0], groups]))
+    out = np.full(int(first[-1]) * size, TERMS)
+    out[np.arange(len(n)) + np.repeat(first[:-1] * size - begin[:-1], count)] = n
+    return out, first
+
+
+def _sums(rows: np.ndarray, padded: np.ndarray, size: int) -> np.ndarray:
+    """Sums of ``rows`` (of which the last is zero) over each ``size`` successive terms."""
+    out = np.empty((len(padded) // size, rows.shape[1]), np.float32)
+    for a in range(0, len(out), 256):  # blocks that fit in the cache
+        out[a : a + 256] = rows[padded[a * size : (a + 256) * size]].reshape(-1, size, rows.shape[1]).sum(1)
+    return out
 
 
-class _Terms(dict):
-    """Term numbers of raw words (-1: no word); a memory that starts anew when it is large."""
-
-    def __missing__(self, raw: str) -> int:
-        if len(self) > 400_000:
-            self.clear()
-        w = raw.strip(_STRIP)
-        n = self[raw] = xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) % TERMS if w else -1
-        return n
-
-
-_TERMS = _Terms()
-
-
-def terms(text: str) -> tuple[list[str], np.ndarray]:
-    """The text's raw words and their term numbers, without those that are only punctuation."""
-    raw = text.lower().split()
-    n = np.fromiter(map(_TERMS.__getitem__, raw), np.int64, len(raw))
-    if (n < 0).any():
-        keep = n >= 0
-        return [w for w, k in zip(raw, keep.tolist(), strict=True) if k], n[keep]
-    return raw, n
-
-
-def _passages(n: int) -> np.ndarray:
-    """Which passage each of ``n`` words is in: passages of the larger size, one after the other."""
-    return np.arange(n) // SIZES[-1]
+def _with_zero(rows: np.ndarray) -> np.ndarray:
+    return np.concatenate([rows, np.zeros((1, rows.shape[1]), rows.dtype)])
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -77,15 +98,13 @@ def frequencies(docs: DataFrame) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, total = np.zeros(TERMS, np.int64), 0
         for batch in batches:
-            for b in slices(batch):
-                codes, at = [], 0
-                for text in b.column("text").to_pylist():
-                    _, n = terms(text)
-                    p = _passages(len(n)) + at
-                    at = int(p[-1]) + 1 if len(p) else at
-                    codes.append(p * TERMS + n)
-                df += np.bincount(np.unique(np.concatenate(codes)) % TERMS, minlength=TERMS)
-                total += at
+            for b in slices(batch, PART):
+                h, begin = tokens(b.column("text").to_pylist())
+                padded, first = _padded(terms(h), begin, SIZES[-1])
+                rows = np.sort(padded.astype(np.uint16).reshape(-1, SIZES[-1]), axis=1)
+                new = np.concatenate([np.ones((len(rows), 1), bool), rows[:, 1:] != rows[:, :-1]], axis=1)
+                df += np.bincount(rows[new], minlength=TERMS + 1)[:TERMS]
+                total += int(first[-1])
         seen = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(seen, -1)), pa.array(np.append(df[seen], total))], names=["term", "n"])
 
@@ -104,27 +123,19 @@ def singular_vectors(docs: DataFrame, idf: np.ndarray, rank: int = RANK) -> np.n
     """TERMS x rank: leading right singular vectors of the corpus's TF-IDF passages."""
     random = np.random.default_rng(SEED).normal(size=(TERMS, rank + EXTRA)).astype(np.float32)
     width, cols = TERMS // _SHARDS, rank + EXTRA
-    weighted = idf[:, None] * random
+    weighted = _with_zero(idf[:, None] * random)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((TERMS, cols), np.float64)
+        total = np.zeros((cols, TERMS))
         for batch in batches:
-            for b in slices(batch, 1 << 20):
-                ids, place, at = [], [], 0
-                for text in b.column("text").to_pylist():
-                    _, n = terms(text)
-                    p = _passages(len(n)) + at
-                    at = int(p[-1]) + 1 if len(p) else at
-                    ids.append(n), place.append(p)
-                n, p = np.concatenate(ids), np.concatenate(place)
-                if not len(n):
-                    continue
-                z = np.add.reduceat(weighted[n], np.flatnonzero(np.diff(p, prepend=-1)), axis=0)  # A R, passage by passage
-                order = np.argsort(n, kind="stable")
-                first = np.flatnonzero(np.diff(n[order], prepend=-1))
-                total[n[order][first]] += np.add.reduceat(z[p[order]], first, axis=0)
-        total *= idf[:, None]
-        yield _shards(total)
+            for b in slices(batch, PART):
+                h, begin = tokens(b.column("text").to_pylist())
+                padded, _ = _padded(terms(h), begin, SIZES[-1])
+                z = _sums(weighted, padded, SIZES[-1])  # A R, passage by passage
+                passage = np.arange(len(padded)) // SIZES[-1]
+                for c, column in enumerate(np.ascontiguousarray(z.T)):
+                    total[c] += np.bincount(padded, column[passage], TERMS + 1)[:TERMS]
+        yield _shards(total.T * idf[:, None])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -151,101 +162,135 @@ def singular_vectors(docs: DataFrame, idf: np.ndarray, rank: int = RANK) -> np.n
     return out
 
 
-def lcs(a: list[str], b: list[str]) -> int:
-    """Length of the longest common subsequence, by bits of one integer for ``a``."""
-    masks: dict[str, int] = {}
+def positions(a: list) -> dict:
+    """For each word of ``a`` the bits of its places."""
+    masks: dict = {}
     for i, w in enumerate(a):
         masks[w] = masks.get(w, 0) | 1 << i
-    full = (1 << len(a)) - 1
-    v = full
-    for w in b:
-        m = masks.get(w)
-        if m:
-            u = v & m
-            v = ((v + u) | (v - u)) & full
-    return len(a) - v.bit_count()
+    return masks
 
 
-def answer(text: str) -> list[str]:
-    """The words of the last sentence."""
-    body = text.strip().rstrip(".!?…")
-    at = max(body.rfind(c) for c in ".!?\n")
-    return words(body[at + 1 :])
+def lcs(masks: dict, size: int, b: list, least: float = 0) -> int:
+    """Length of the longest common subsequence of ``b`` and the ``size`` words of ``masks``, by bits of one integer; 0 if it
+    must be less than ``least``."""
+    hits = [masks[w] for w in b if w in masks]
+    if len(hits) < least:
+        return 0
+    full = (1 << size) - 1
+    v = full
+    for m in hits:
+        u = v & m
+        v = ((v + u) | (v - u)) & full
+    return size - v.bit_count()
 
 
-def words(text: str) -> list[str]:
-    return [x for w in text.lower().split() if (x := w.strip(_STRIP))]
+def answer(text: str) -> str:
+    """The last sentence."""
+    body = text.strip().rstrip(".!?…")
+    return body[max(body.rfind(c) for c in ".!?\n") + 1 :]
 
 
 @dataclass
 class Items:
-    """A block of benchmark items and their latent passages: query q starts at word starts[q] of item owner[q] and is
-    compared with the texts' passages of SIZES[size[q]] words."""
+    """A block of benchmark items (words as hashes) and their latent passages: query q starts at word starts[q] of item
+    owner[q] and is compared with the texts' passages of SIZES[size[q]] words."""
 
     ids: list[int | None]
-    words: list[list[str]]
-    answers: list[list[str]]
+    words: list[dict]
+    answers: list[tuple[dict, int]]
     owner: np.ndarray
     starts: np.ndarray
     size: np.ndarray
     vectors: np.ndarray
+    length: np.ndarray
+    held: np.ndarray  # which terms each item has
 
 
 def prepared(rows: list[tuple[int | None, str]], projected: np.ndarray) -> Items:
-    ids, all_words, answers, owner, starts, size, vectors = [], [], [], [], [], [], []
+    ids, all_words, lengths, answers, owner, starts, size, vectors = [], [], [], [], [], [], [], []
     for item_id, text in rows:
-        w, n = terms(text)
-        if not len(n):
+        h, _ = tokens([text])
+        if not len(h):
             continue
-        k = 0 if len(n) < 24 else 1
-        at = sorted({*range(0, max(1, len(n) - SIZES[k] + 1), SIZES[k] // 2), max(0, len(n) - SIZES[k])})
-        for a in at:
+        n = terms(h)
+        k = 0 if len(n) < SIZES[1] + STEP else 1
+        for a in sorted({*range(0, max(1, len(n) - SIZES[k] + 1), SIZES[k] // 2), max(0, len(n) - SIZES[k])}):
             owner.append(len(ids)), starts.append(a), size.append(k), vectors.append(projected[n[a : a + SIZES[k]]].sum(0))
-        ids.append(item_id), all_words.append([x.strip(_STRIP) for x in w]), answers.append(answer(text))
+        ids.append(item_id), all_words.append(positions(h.tolist()))
+        last = tokens([answer(text)])[0].tolist()
+        lengths.append(len(h)), answers.append((positions(last), len(last)))
     v = np.array(vectors, np.float32).reshape(-1, projected.shape[1])
     v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
-    return Items(ids, all_words, answers, np.array(owner, int), np.array(starts, int), np.array(size, int), v)
+    held = np.zeros((len(ids), TERMS + 1), bool)
+    for i, w in enumerate(all_words):
+        held[i, terms(np.array(list(w), np.uint64))] = True
+    return Items(ids, all_words, answers, np.array(owner, int), np.array(starts, int), np.array(size, int), v, np.array(lengths, int), held)
 
 
-def candidates(n: np.ndarray, projected: np.ndarray, items: Items, cosine: float = COSINE) -> list[tuple[int, int]]:
-    """(query, first word) pairs whose passages are near in the latent space."""
-    if not len(n) or not len(items.owner):
-        return []
+def candidates(h: np.ndarray, begin: np.ndarray, projected: np.ndarray, items: Items) -> np.ndarray:
+    """Rows (text, item, where the item's first word would be in the text) whose passages are near in the latent space."""
+    none = np.empty((0, 3), np.int64)
+    if not len(h) or not len(items.owner):
+        return none
     out = []
-    block = np.add.reduceat(projected[n], np.arange(0, len(n), STEP), axis=0)
+    padded, first = _padded(terms(h), begin, STEP)
+    block = _sums(projected, padded, STEP)
+    text = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    left = first[1:][text] - np.arange(len(block))  # blocks from here to the text's end
     for k, size in enumerate(SIZES):
         queries = np.flatnonzero(items.size == k)
-        if not len(queries):
-            continue
         m = size // STEP
-        s = np.concatenate([block, np.zeros((m - 1, block.shape[1]), np.float32)]) if len(block) < m else block
-        rows = max(1, len(s) - m + 1)
-        w = sum(s[j : j + rows] for j in range(m))
-        w = w / np.maximum(np.linalg.norm(w, axis=1, keepdims=True), 1e-9)
-        near = np.argwhere(w @ items.vectors[queries].T >= cosine)
-        out += [(int(queries[q]), int(p) * STEP) for p, q in near]
-    return out
-
-
-def found(text: str, projected: np.ndarray, items: Items) -> dict[int, float]:
-    """Index of each item that the text holds, with the share of its words found in order."""
-    raw, n = terms(text)
-    plain: list[str] | None = None
-    best: dict[int, float] = {}
-    tried: set[tuple[int, int]] = set()
-    for q, at in candidates(n, projected, items):
-        i = int(items.owner[q])
-        own = items.words[i]
-        begin = at - int(items.starts[q])
-        if best.get(i, 0) >= 1 or (i, begin // STEP) in tried:
+        # a passage within its text, or all of a shorter text
+        whole = np.flatnonzero((left >= m) | (np.arange(len(block)) == first[:-1][text]))
+        if not len(queries) or not len(whole):
+            continue
+        w = np.zeros((len(whole), block.shape[1]), np.float32)
+        for j in range(m):
+            inside = left[whole] > j
+            w[inside] += block[whole[inside] + j]
+        w /= np.maximum(np.linalg.norm(w, axis=1, keepdims=True), 1e-9)
+        for a in range(0, len(w), 4096):
+            near = np.flatnonzero(w[a : a + 4096] @ items.vectors[queries].T >= COSINES[k])
+            b = whole[a + near // len(queries)]
+            q = queries[near % len(queries)]
+            start = (b - first[:-1][text[b]]) * STEP - items.starts[q]
+            out.append((text[b] * len(items.ids) + items.owner[q] << 32) + start + (1 << 31))
+    if not out:
+        return none
+    code = np.unique(np.concatenate(out))
+    pair = code >> 32
+    return np.stack([pair // len(items.ids), pair % len(items.ids), (code & 0xFFFFFFFF) - (1 << 31)], 1)
+
+
+def likely(near: np.ndarray, h: np.ndarray, begin: np.ndarray, items: Items) -> np.ndarray:
+    """Those of the candidates around which enough words have terms of the item: a common sequence is no longer than that."""
+    n, out = np.append(terms(h), TERMS), []
+    for part in np.array_split(near[np.argsort(items.length[near[:, 1]], kind="stable")], max(1, len(near) >> 14)):
+        t, i = part[:, 0], part[:, 1]
+        lo = np.maximum(begin[t], begin[t] + part[:, 2] - 2 * STEP)
+        hi = np.minimum(begin[t + 1], begin[t] + part[:, 2] + items.length[i] + 2 * STEP)
+        count = np.zeros(len(part), np.int32)
+        flat, row = items.held.ravel(), i * (TERMS + 1)
+        for k in range(int((hi - lo).max(initial=0))):
+            at = lo + k
+            count += flat[row + n[np.where(at < hi, at, len(h))]]
+        out.append(part[count >= REWORDED * items.length[i]])
+    return np.concatenate(out)
+
+
+def found(texts: list[str], projected: np.ndarray, items: Items) -> list[dict[int, float]]:
+    """For each text the index of each item that it holds, with the share of the item's words found in order."""
+    h, begin = tokens(texts)
+    best: list[dict[int, float]] = [{} for _ in texts]
+    for t, i, start in likely(candidates(h, begin, projected, items), h, begin, items).tolist():
+        if best[t].get(i, 0) >= 1:
             continue
-        tried.add((i, begin // STEP))
-        plain = plain or [x.strip(_STRIP) for x in raw]
-        around = plain[max(0, begin - 2 * STEP) : begin + len(own) + 2 * STEP]
-        share = lcs(own, around) / len(own)
-        wanted = items.answers[i]
-        if share >= VERBATIM or (share >= REWORDED and wanted and lcs(wanted, around) >= ANSWER * len(wanted)):
-            best[i] = max(best.get(i, 0), share)
+        own, size, lo, hi = items.words[i], int(items.length[i]), int(begin[t]), int(begin[t + 1])
+        around = h[max(lo, lo + start - 2 * STEP) : min(hi, lo + start + size + 2 * STEP)].tolist()
+        share = lcs(own, size, around, REWORDED * size) / size
+        wanted, n = items.answers[i]
+        if share >= VERBATIM or (share >= REWORDED and n and lcs(wanted, n, around) >= ANSWER * n):
+            best[t][i] = max(best[t].get(i, 0), share)
     return best
 
 
@@ -261,22 +306,22 @@ def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int | None, str]]]:
 
 
 def latent_space(docs: DataFrame) -> np.ndarray:
-    """TERMS x RANK: what a word adds to its passage's latent vector."""
+    """What each term adds to its passage's latent vector, and a last row of zeros."""
     idf = frequencies(docs)
-    return idf[:, None] * singular_vectors(docs, idf)
+    return _with_zero((idf[:, None] * singular_vectors(docs, idf)).astype(np.float32))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_ids (ascending) and share (the largest) of each row."""
     spark = docs.sparkSession
-    space = latent_space(docs).astype(np.float32)
+    space = latent_space(docs)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.lit(None).cast("array<bigint>").alias("item_ids"), F.lit(0.0).alias("share"))
     for block in _blocks(benchmark):
         shared = spark.sparkContext.broadcast((space, prepared(block, space)))
 
         def run(b: pa.RecordBatch, shared=shared) -> dict:
             projected, items = shared.value
-            got = [found(t, projected, items) for t in b.column("text").to_pylist()]
+            got = [g for part in slices(b, PART) for g in found(part.column("text").to_pylist(), projected, items)]
             before, share = b.column("item_ids").to_pylist(), b.column("share").to_pylist()
             ids = [sorted({*(x or ()), *(items.ids[i] for i in g if items.ids[i] is not None)}) for g, x in zip(got, before, strict=True)]
             return {"doc_id": b.column("doc_id"), "text": b.column("text"), "item_ids": ids, "share": [max([s, *g.values()]) for g, s in zip(got, share, strict=True)]}
@@ -288,15 +333,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs``, whole, whose text holds no benchmark item."""
     spark = docs.sparkSession
-    space = latent_space(docs).astype(np.float32)
+    space = latent_space(docs)
     for block in _blocks(benchmark):
         shared = spark.sparkContext.broadcast((space, prepared(block, space)))
 
         def run(batches, shared=shared):
             projected, items = shared.value
             for batch in batches:
-                for b in slices(batch):
-                    yield b.filter(pa.array([not found(t or "", projected, items) for t in b.column("text").to_pylist()], pa.bool_()))
+                for b in slices(batch, PART):
+                    yield b.filter(pa.array([not g for g in found([t or "" for t in b.column("text").to_pylist()], projected, items)], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs
