@@ -31,7 +31,7 @@ from casegrid.llm.common import map_columns, slices, table
 
 TERMS, RANK, EXTRA, SEED = 8192, 96, 8, 5
 #: Sliding passages begin every STEP words and have these many words; the least cosine of a candidate for each.
-STEP, SIZES, COSINES = 8, (16, 32), (0.7, 0.8)
+STEP, SIZES, COSINES = 4, (16, 32), (0.8, 0.8)
 VERBATIM, REWORDED, ANSWER = 0.7, 0.6, 0.8
 BLOCK = 2_000
 #: Bytes of text that are worked on at once.
@@ -213,8 +213,8 @@ def prepared(rows: list[tuple[int | None, str]], projected: np.ndarray) -> Items
         if not len(h):
             continue
         n = terms(h)
-        k = 0 if len(n) < SIZES[1] + STEP else 1
-        for a in sorted({*range(0, max(1, len(n) - SIZES[k] + 1), SIZES[k] // 2), max(0, len(n) - SIZES[k])}):
+        k = 0 if len(n) < SIZES[1] + 2 * STEP else 1
+        for a in sorted({*range(0, max(1, len(n) - SIZES[k] + 1), SIZES[-1]), max(0, len(n) - SIZES[k])}):
             owner.append(len(ids)), starts.append(a), size.append(k), vectors.append(projected[n[a : a + SIZES[k]]].sum(0))
         ids.append(item_id), all_words.append(positions(h.tolist()))
         last = tokens([answer(text)])[0].tolist()
@@ -241,7 +241,8 @@ def candidates(h: np.ndarray, begin: np.ndarray, projected: np.ndarray, items: I
         queries = np.flatnonzero(items.size == k)
         m = size // STEP
         # a passage within its text, or all of a shorter text
-        whole = np.flatnonzero((left >= m) | (np.arange(len(block)) == first[:-1][text]))
+        place = np.arange(len(block)) - first[:-1][text]
+        whole = np.flatnonzero(((left >= m) & (place % (1 + k) == 0)) | (place == 0) | (left == m))  # larger passages at every second step
         if not len(queries) or not len(whole):
             continue
         w = np.zeros((len(whole), block.shape[1]), np.float32)
@@ -267,8 +268,8 @@ def likely(near: np.ndarray, h: np.ndarray, begin: np.ndarray, items: Items) ->
     n, out = np.append(terms(h), TERMS), []
     for part in np.array_split(near[np.argsort(items.length[near[:, 1]], kind="stable")], max(1, len(near) >> 14)):
         t, i = part[:, 0], part[:, 1]
-        lo = np.maximum(begin[t], begin[t] + part[:, 2] - 2 * STEP)
-        hi = np.minimum(begin[t + 1], begin[t] + part[:, 2] + items.length[i] + 2 * STEP)
+        lo = np.maximum(begin[t], begin[t] + part[:, 2] - 4 * STEP)
+        hi = np.minimum(begin[t + 1], begin[t] + part[:, 2] + items.length[i] + 4 * STEP)
         count = np.zeros(len(part), np.int32)
         flat, row = items.held.ravel(), i * (TERMS + 1)
         for k in range(int((hi - lo).max(initial=0))):
@@ -286,7 +287,7 @@ def found(texts: list[str], projected: np.ndarray, items: Items) -> list[dict[in
         if best[t].get(i, 0) >= 1:
             continue
         own, size, lo, hi = items.words[i], int(items.length[i]), int(begin[t]), int(begin[t + 1])
-        around = h[max(lo, lo + start - 2 * STEP) : min(hi, lo + start + size + 2 * STEP)].tolist()
+        around = h[max(lo, lo + start - 4 * STEP) : min(hi, lo + start + size + 4 * STEP)].tolist()
         share = lcs(own, size, around, REWORDED * size) / size
         wanted, n = items.answers[i]
         if share >= VERBATIM or (share >= REWORDED and n and lcs(wanted, n, around) >= ANSWER * n):
