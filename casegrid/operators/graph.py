@@ -24,7 +24,11 @@ def relationships(df: DataFrame) -> DataFrame:
     """source_case_id, target_case_id, relationship_type, each once; one pass over the line list."""
     df = with_columns(df, tuple(c for c, _, _ in RELATIONS))
     own = F.col("case_id")
-    each = [F.transform(reference_ids(c), lambda x, kind=kind, back=back: F.struct((x if back else own).alias("source_case_id"), (own if back else x).alias("target_case_id"), F.lit(kind).alias("relationship_type"))) for c, kind, back in RELATIONS]
+
+    def links(c: str, kind: str, back: bool):
+        return F.transform(reference_ids(c), lambda x: F.struct((x if back else own).alias("source_case_id"), (own if back else x).alias("target_case_id"), F.lit(kind).alias("relationship_type")))
+
+    each = [links(*r) for r in RELATIONS]
     rows = df.select(F.explode(F.flatten(F.array(*each))).alias("r")).select("r.*")
     for c in ("source_case_id", "target_case_id"):
         rows = rows.filter(F.col(c).isNotNull() & (F.col(c) != ""))

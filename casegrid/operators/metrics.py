@@ -70,19 +70,18 @@ def case_metrics(llm: DataFrame, gt: DataFrame, few_shot_ids: list[str] | None =
     return one.select(f1(p, r).alias("case_f1"), r.alias("case_recall"), p.alias("case_precision"), "date_accuracy", "n_gt_cases", "n_llm_cases", "n_matched_cases")
 
 
-def list_metrics(gt: Column, llm: Column) -> Column:
-    """Struct of precision, recall, f1 and the id sets of two id lists in text form."""
-    a, b = case_ids_upper(F.coalesce(gt, F.lit(""))), case_ids_upper(F.coalesce(llm, F.lit("")))
-    none = F.array().cast("array<string>")
-    a, b = F.when(null_like(gt), none).otherwise(a), F.when(null_like(llm), none).otherwise(b)
-    both = F.array_intersect(a, b)
-    n_gt, n_llm, n = F.size(a), F.size(b), F.size(both)
+def with_list_metrics(df: DataFrame, gt: str, llm: str) -> DataFrame:
+    """``df`` with the id lists of two text columns as sets, and their precision, recall and f1: gt_ids, llm_ids,
+    matched_ids, n_gt, n_llm, n_matched, list_precision, list_recall, list_f1."""
+    own = lambda c: F.when(null_like(c), F.array().cast("array<string>")).otherwise(case_ids_upper(F.coalesce(F.col(c), F.lit(""))))
+    df = df.withColumns({"gt_ids": own(gt), "llm_ids": own(llm)})
+    df = df.withColumn("matched_ids", F.array_intersect("gt_ids", "llm_ids"))
+    df = df.withColumns({"n_gt": F.size("gt_ids"), "n_llm": F.size("llm_ids"), "n_matched": F.size("matched_ids")})
+    n_gt, n_llm, n = F.col("n_gt"), F.col("n_llm"), F.col("n_matched")
     p = F.when((n_gt == 0) & (n_llm == 0), 1.0).when(n_gt == 0, 0.0).when(n_llm == 0, 1.0).otherwise(n / n_llm)
     r = F.when((n_gt == 0) & (n_llm == 0), 1.0).when(n_gt == 0, 1.0).when(n_llm == 0, 0.0).otherwise(n / n_gt)
-    return F.struct(
-        p.alias("precision"), r.alias("recall"), f1(p, r).alias("f1"), n_gt.alias("n_gt"), n_llm.alias("n_llm"), n.alias("n_matched"),
-        a.alias("gt_ids"), b.alias("llm_ids"), both.alias("matched_ids"), F.array_except(a, b).alias("missed_ids"), F.array_except(b, a).alias("invented_ids"),
-    )
+    df = df.withColumns({"list_precision": p, "list_recall": r})
+    return df.withColumn("list_f1", f1(F.col("list_precision"), F.col("list_recall")))
 
 
 def names_to_ids(rows: DataFrame, gt: DataFrame, column: str) -> DataFrame:
@@ -97,17 +96,14 @@ def names_to_ids(rows: DataFrame, gt: DataFrame, column: str) -> DataFrame:
     return rows.join(ids, F.col(column) == F.col("v"), "left").select(*cols, F.coalesce("ids", column).alias(column)).select(*rows.columns)
 
 
-def values_agree(gt: Column, llm: Column, variable: str) -> Column:
+def values_agree(gt: Column, llm: Column, variable: Column) -> Column:
     """Typed equality of two values in the variable metrics; ids are compared in upper case and a date keeps its slashes."""
-    if variable in ID_VARIABLES:
-        a, b = case_ids_upper(gt), case_ids_upper(llm)
-        same = F.when((F.size(a) == 0) & (F.size(b) == 0), True).otherwise((F.size(a) > 0) & (F.size(b) > 0) & same_set(a, b))
-    elif variable == "name":
-        a, b = short_name(gt), short_name(llm)
-        same = F.when((a == "") & (b == ""), True).otherwise((a != "") & (b != "") & near_either_way(a, b))
-    else:
-        one = lambda c: F.lower(F.trim(F.regexp_replace(c, "[^a-zA-Z0-9/ ]", "")))
-        same = one(gt) == one(llm)
+    a, b = case_ids_upper(gt), case_ids_upper(llm)
+    lists = F.when((F.size(a) == 0) & (F.size(b) == 0), True).otherwise((F.size(a) > 0) & (F.size(b) > 0) & same_set(a, b))
+    x, y = short_name(gt), short_name(llm)
+    names = F.when((x == "") & (y == ""), True).otherwise((x != "") & (y != "") & near_either_way(x, y))
+    one = lambda c: F.lower(F.trim(F.regexp_replace(c, "[^a-zA-Z0-9/ ]", "")))
+    same = F.when(variable.isin(*ID_VARIABLES), lists).when(variable == "name", names).otherwise(one(gt) == one(llm))
     return F.when(null_like(gt) & null_like(llm), True).when(null_like(gt) | null_like(llm), False).otherwise(F.coalesce(same, F.lit(False)))
 
 
@@ -124,26 +120,19 @@ def variable_metrics(llm: DataFrame, gt: DataFrame, few_shot_ids: list[str] | No
     a = gt.select(F.col("case_id").alias("k"), *(F.col(v).cast("string").alias(f"{v}_gt") for v in variables))
     b = llm.select(F.col("case_id").alias("q"), F.lit(True).alias("hit"), *(F.col(v).cast("string").alias(f"{v}_llm") for v in variables))
     rows = a.join(b, F.col("k").eqNullSafe(F.col("q")), "left")
-    cells = []
-    for v in variables:
-        g, x = F.col(f"{v}_gt"), F.col(f"{v}_llm")
-        m = list_metrics(g, x)
-        is_list = v in LIST_VARIABLES
-        cells.append(F.struct(
-            F.lit(v).alias("variable"), F.coalesce("hit", F.lit(False)).alias("hit"), (~null_like(g)).alias("has_gt"), (~null_like(x)).alias("has_llm"),
-            (F.lit(False) if is_list else values_agree(g, x, v)).alias("same"),
-            (m if is_list else F.lit(None).cast("struct<precision:double,recall:double,f1:double,n_gt:int,n_llm:int,n_matched:int,gt_ids:array<string>,llm_ids:array<string>,matched_ids:array<string>,missed_ids:array<string>,invented_ids:array<string>>")).alias("m"),
-        ))
-    long = rows.select(F.explode(F.array(*cells)).alias("c")).select("c.*")
+    cells = F.array(*(F.struct(F.lit(v).alias("variable"), F.col(f"{v}_gt").alias("gt"), F.col(f"{v}_llm").alias("llm")) for v in variables))
+    long = rows.select(F.coalesce("hit", F.lit(False)).alias("hit"), F.explode(cells).alias("c")).select("hit", "c.*")
+    lists = F.col("variable").isin(*LIST_VARIABLES)
+    same = F.when(~lists, values_agree(F.col("gt"), F.col("llm"), F.col("variable"))).otherwise(False)
+    long = with_list_metrics(long.select("*", (~null_like("gt")).alias("has_gt"), (~null_like("llm")).alias("has_llm"), same.alias("same")), "gt", "llm")
     n = lambda c: F.sum(c.cast("bigint"))
     both = F.col("hit") & F.col("has_gt") & F.col("has_llm")
     s = long.groupBy("variable").agg(
-        n(both).alias("both"), n(both & F.col("same")).alias("tp"), n(F.col("hit") & F.col("has_llm")).alias("n_llm"), n(F.col("has_gt")).alias("n_gt"),
-        n(F.col("hit")).alias("n_hit"), F.count("*").alias("n_all"), n((F.col("m.n_gt") > 0) | (F.col("m.n_llm") > 0)).alias("any"), F.sum("m.n_matched").alias("ids"),
-        F.avg("m.precision").alias("lp"), F.avg("m.recall").alias("lr"), F.avg("m.f1").alias("lf"),
+        n(both).alias("both"), n(both & F.col("same")).alias("tp"), n(F.col("hit") & F.col("has_llm")).alias("s_llm"), n(F.col("has_gt")).alias("s_gt"),
+        n(F.col("hit")).alias("n_hit"), F.count("*").alias("n_all"), n((F.col("n_gt") > 0) | (F.col("n_llm") > 0)).alias("any"), F.sum("n_matched").alias("ids"),
+        F.avg("list_precision").alias("lp"), F.avg("list_recall").alias("lr"), F.avg("list_f1").alias("lf"),
     )
-    lists = F.col("variable").isin(*LIST_VARIABLES)
-    p, r = F.try_divide(F.col("tp"), F.col("n_llm")), F.try_divide(F.col("tp"), F.col("n_gt"))
+    p, r = F.try_divide(F.col("tp"), F.col("s_llm")), F.try_divide(F.col("tp"), F.col("s_gt"))
     return s.select(
         "variable",
         F.when(lists, F.col("any")).otherwise(F.col("both")).cast("int").alias("n_compared"),
@@ -151,8 +140,8 @@ def variable_metrics(llm: DataFrame, gt: DataFrame, few_shot_ids: list[str] | No
         F.when(lists, F.col("lf")).otherwise(F.when(p + r > 0, 2 * p * r / (p + r))).alias("f1"),
         F.when(lists, F.col("lp")).otherwise(p).alias("precision"),
         F.when(lists, F.col("lr")).otherwise(r).alias("recall"),
-        F.try_divide(F.col("n_llm"), F.col("n_hit")).alias("completeness_llm"),
-        F.try_divide(F.col("n_gt"), F.col("n_all")).alias("completeness_gt"),
+        F.try_divide(F.col("s_llm"), F.col("n_hit")).alias("completeness_llm"),
+        F.try_divide(F.col("s_gt"), F.col("n_all")).alias("completeness_gt"),
     )
 
 
@@ -160,10 +149,14 @@ def per_case_list_metrics(llm: DataFrame, gt: DataFrame, few_shot_ids: list[str]
     """Two rows for each joined pair of rows: the id lists of secondary_cases and potential_infector, joined, and their metrics."""
     gt = without_ids(gt, few_shot_ids)
     pairs = pairs_by_case(with_columns(llm, LIST_VARIABLES), with_columns(gt, LIST_VARIABLES), list(LIST_VARIABLES))
-    cells = F.array(*(F.struct(F.lit(v).alias("variable"), list_metrics(F.col(f"{v}_gt"), F.col(f"{v}_llm")).alias("m")) for v in LIST_VARIABLES))
-    long = pairs.select("case_id", F.explode(cells).alias("c")).select("case_id", "c.variable", "c.m.*")
-    ids = ("gt_ids", "llm_ids", "matched_ids", "missed_ids", "invented_ids")
-    return long.select("case_id", "variable", *(F.array_join(c, ", ").alias(c) for c in ids), "n_gt", "n_llm", "n_matched", "precision", "recall", "f1")
+    cells = F.array(*(F.struct(F.lit(v).alias("variable"), F.col(f"{v}_gt").alias("gt"), F.col(f"{v}_llm").alias("llm")) for v in LIST_VARIABLES))
+    long = with_list_metrics(pairs.select("case_id", F.explode(cells).alias("c")).select("case_id", "c.*"), "gt", "llm")
+    join = lambda c, name: F.array_join(c, ", ").alias(name)
+    return long.select(
+        "case_id", "variable", join("gt_ids", "gt_ids"), join("llm_ids", "llm_ids"), join("matched_ids", "matched_ids"),
+        join(F.array_except("gt_ids", "llm_ids"), "missed_ids"), join(F.array_except("llm_ids", "gt_ids"), "invented_ids"),
+        "n_gt", "n_llm", "n_matched", F.col("list_precision").alias("precision"), F.col("list_recall").alias("recall"), F.col("list_f1").alias("f1"),
+    )
 
 
 def metrics_rows(runs: DataFrame) -> DataFrame:
