@@ -275,13 +275,20 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The windows of the contexts handed on."""
     for batch in batches:
-        for part in slices(batch, 1 << 18):
+        for part in slices(batch.filter(batch.column("context").is_valid()), 1 << 18):
             rows = [(d, h, s + o, c[o : o + LENGTH]) for d, h, s, c in zip(*(part.column(n).to_pylist() for n in ("did", "th", "start", "context")), strict=True) for o in range(len(c) - LENGTH + 1)]
             cols = list(zip(*rows, strict=True))
             yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.binary())], names=["did", "th", "start", "window"])
 
 
+def _plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The spans without the contexts handed on."""
+    for batch in batches:
+        yield batch.filter(batch.column("context").is_null()).select(["did", "th", "start", "stop"])
+
+
 def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Over rows sorted by (window, did, th, start): all but the first of each window."""
     last = None
@@ -304,10 +311,11 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
     # of rows with the same id and text one is enough
     contexts = texts.join(per_text, ["did", "th"]).select("did", "th", "text", "runs").mapInArrow(_contexts, "did bigint, th bigint, start bigint, key bigint, context binary")
     sorted_ = contexts.repartition("key").sortWithinPartitions("key", "context", "did", "th", "start")
-    found = sorted_.mapInArrow(_repeats, _SPAN + ", context binary")
-    crowded = found.filter(F.col("context").isNotNull()).mapInArrow(_windows, "did bigint, th bigint, start bigint, window binary")
+    # both readers of this exchange take all of its columns, so it is made once
+    found = sorted_.mapInArrow(_repeats, _SPAN + ", context binary").repartition("did", "th")
+    crowded = found.mapInArrow(_windows, "did bigint, th bigint, start bigint, window binary")
     later = crowded.repartition("window").sortWithinPartitions("window", "did", "th", "start").mapInArrow(_later, _SPAN)
-    return known.unionByName(found.filter(F.col("context").isNull()).drop("context")).unionByName(later)
+    return known.unionByName(found.mapInArrow(_plain, _SPAN)).unionByName(later)
 
 
 def remove(raw: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int, int]:
