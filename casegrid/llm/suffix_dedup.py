@@ -333,7 +333,8 @@ def remove(raw: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int, int]:
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept (the remaining bytes) of each document."""
-    texts = keyed(docs)
+    # 32 bits of the hash tell rows of one id apart, and every run and context carries them
+    texts = keyed(docs).withColumn("th", F.col("th").bitwiseAND(0xFFFFFFFF))
     spans = repeated_spans(texts).groupBy("did", "th").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     both = texts.join(spans, ["did", "th"], "left").select("did", "text", "spans")
 
