@@ -33,6 +33,16 @@ def estimate(text: str) -> int:
     return math.ceil(len(text) / 4)
 
 
+#: Providers that a prompt leaves this machine for.
+EXTERNAL = ("azure", "claude", "openai", "gemini")
+
+
+def require_approval(provider: str, approved: bool) -> None:
+    """Raises unless sending documents to an external provider was approved."""
+    if provider in EXTERNAL and not approved:
+        raise PermissionError(f"sending documents to {provider} was not approved")
+
+
 def require_env(provider: str) -> None:
     """Raises with every variable that is missing, before any job starts."""
     missing = [v for v in NEEDS[provider] if not os.environ.get(v)]

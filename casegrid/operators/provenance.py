@@ -87,6 +87,12 @@ def case_spans(cases: DataFrame, docs: DataFrame, quote: int = 400, around: int
     )
 
 
+def fill_citations(cited: DataFrame, cases: DataFrame, docs: DataFrame) -> DataFrame:
+    """``cited`` (doc_id, row_idx, cited_text, start_char_index, end_char_index) and, for cases without any, their spans."""
+    without = cases.join(cited.select("doc_id", "row_idx").distinct(), ["doc_id", "row_idx"], "left_anti")
+    return cited.unionByName(case_spans(without, docs).select(*(F.col(c).cast(t).alias(c) for c, t in cited.dtypes)))
+
+
 def block_offsets(blocks: DataFrame) -> DataFrame:
     """doc_id, pos, text, start, end (from 0, end exclusive) of successive text blocks."""
     before = W.partitionBy("doc_id").orderBy("pos").rowsBetween(W.unboundedPreceding, W.currentRow)

@@ -252,6 +252,14 @@ ORACLE: dict[str, str] = {
     "source_records": f"""WITH d AS (SELECT doc_id, {_NARRATIVE} AS c FROM documents), h AS (
         SELECT doc_id, length(c) AS n, 19 AS s1, strpos(c, concat(') met SYN', doc_id + 1, '.', chr(10), '- Secondary: SYNx')) + length(concat(') met SYN', doc_id + 1, '.')) + 1 AS s2 FROM d)
       SELECT doc_id, concat('SYN', doc_id) AS case_id, CAST(s1 AS BIGINT) AS start, CAST(s2 - 1 AS BIGINT) AS "end" FROM h UNION ALL SELECT doc_id, concat('SYNX', doc_id), CAST(s2 AS BIGINT), CAST(n AS BIGINT) FROM h""",
+    "source_mentions": f"""WITH d AS (SELECT doc_id, {_NARRATIVE} AS c FROM documents), h AS (
+        SELECT doc_id, strpos(c, concat(') met SYN', doc_id + 1, '.', chr(10), '- Secondary: SYNx')) AS m FROM d),
+      p AS (SELECT doc_id, m, m + length(concat(') met SYN', doc_id + 1, '.')) + 1 AS s2 FROM h),
+      u AS (SELECT doc_id, 19 AS record_start, concat('SYN', doc_id) AS record_case_id, concat('SYN', doc_id) AS case_id, 21 AS s FROM p
+        UNION ALL SELECT doc_id, 19, concat('SYN', doc_id), concat('SYN', doc_id + 1), m + 6 FROM p
+        UNION ALL SELECT doc_id, s2, concat('SYNX', doc_id), concat('SYNX', doc_id), s2 + 13 FROM p
+        UNION ALL SELECT doc_id, s2, concat('SYNX', doc_id), concat('SYN', doc_id), s2 + 13 + length(concat('SYNX', doc_id)) + 5 FROM p)
+      SELECT doc_id, CAST(record_start AS BIGINT) AS record_start, record_case_id, case_id, CAST(s AS BIGINT) AS start, CAST(s + length(case_id) - 1 AS BIGINT) AS "end" FROM u""",
     "date_search_variants": f"""{SQL} SELECT row_idx, coalesce(CASE WHEN onset_date IS NOT NULL THEN concat(onset_date, '|', d, ' ', m, ' ', y, '|', d, ' ', lower(m), ' ', y, '|', d, ' ', m) END, '') AS variants
       FROM (SELECT *, CAST(split_part(onset_date, '/', 1) AS INT) AS d, {_MONTHS}[CAST(split_part(onset_date, '/', 2) AS INT)] AS m, split_part(onset_date, '/', 3) AS y FROM gt)""",
     "reference_id_lists": f"{SQL} SELECT row_idx, coalesce(CASE WHEN secondary_cases = '[]' AND row_idx % 2 = 0 THEN '' ELSE replace(secondary_cases, ', ', '|') END, '') AS ids FROM llm",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import os
 import zipfile
 from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
@@ -12,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casegrid.functions.nulls import trim
+from casegrid.operators.prompt import DEFAULT_MODELS, auto_prompt
 from casegrid.schema import LINELIST
 
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
@@ -75,6 +77,27 @@ def write_responses(df: DataFrame, path: str, column: str = "response") -> None:
     df.select(column).write.mode("overwrite").text(path)
 
 
+def template_path(name: str = "linelist_prompt.txt") -> str:
+    """Path of a bundled template; an unknown name is an error."""
+    path = os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "assets", name)
+    if not os.path.isfile(path):
+        raise FileNotFoundError(path)
+    return path
+
+
+def template(name: str = "linelist_prompt.txt") -> str:
+    with open(template_path(name), encoding="utf-8") as f:
+        return f.read()
+
+
+def write_prompt(docs: DataFrame, path: str, provider: str, model: str | None = None, words: int = 400, again: bool = False) -> DataFrame:
+    """A prompt note for each document (doc_id, prompt) as Parquet; an existing one stays unless ``again``."""
+    old = None if again else cached_result(docs.sparkSession, path)
+    if old is not None:
+        return old
+    return cached(docs.select("doc_id", auto_prompt(template(), "content", provider, model or DEFAULT_MODELS[provider], words).alias("prompt")), path)
+
+
 def cached(df: DataFrame, path: str) -> DataFrame:
     """Write a result where ``cached_result`` finds it."""
     df.write.mode("overwrite").parquet(path)

@@ -307,3 +307,25 @@ def test_stream(spark, tmp_path):
     stream = spark.readStream.schema("doc_id int, response string").parquet(str(tmp_path / "in"))
     write_stream(stream, str(tmp_path / "rows"), str(tmp_path / "links"), str(tmp_path / "check")).awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "rows")).count() == 1 and spark.read.parquet(str(tmp_path / "links")).count() == 1
+
+
+def test_templates_and_prompt_files(spark, tmp_path):
+    assert "{{content}}" in files.template()
+    with pytest.raises(FileNotFoundError):
+        files.template_path("none.txt")
+    docs = spark.createDataFrame([(1, "a b c d")], "doc_id int, content string")
+    first = files.write_prompt(docs, str(tmp_path / "p"), "azure", words=2).first()["prompt"]
+    assert "a b" in first and "a b c" not in first and "gpt-5" in first
+    assert files.write_prompt(docs, str(tmp_path / "p"), "openai").first()["prompt"] == first
+    assert files.write_prompt(docs, str(tmp_path / "p"), "openai", again=True).first()["prompt"] != first
+
+
+def test_fill_citations_and_approval(spark):
+    docs = spark.createDataFrame([(1, "Case A1 and case B2")], "doc_id int, content string")
+    cases = spark.createDataFrame([(1, 0, "A1", None), (1, 1, "B2", None)], "doc_id int, row_idx int, case_id string, name string")
+    cited = spark.createDataFrame([(1, 0, "given", 0, 3)], "doc_id int, row_idx int, cited_text string, start_char_index int, end_char_index int")
+    got = {r["row_idx"]: r["cited_text"] for r in provenance.fill_citations(cited, cases, docs).collect()}
+    assert got == {0: "given", 1: "B2"}
+    client.require_approval("ollama", False)
+    with pytest.raises(PermissionError):
+        client.require_approval("claude", False)
