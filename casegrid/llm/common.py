@@ -14,11 +14,29 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 NULL_ID = -(2**63)
+#: ASCII white space, by byte.
+SPACES = np.isin(np.arange(256), np.frombuffer(b" \t\n\x0b\x0c\r", np.uint8))
+_WEIGHTS = np.random.default_rng(5).integers(0, 2**64, 4096, np.uint64) | np.uint64(1)
+
+
+def hash_words(b: np.ndarray, parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the runs of bytes that are not in ``parts``, and where each begins."""
+    word = ~parts[b]
+    if not word.any():
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    at = np.flatnonzero(np.diff(word, prepend=False, append=False))
+    starts, length = at[::2], at[1::2] - at[::2]
+    first = np.cumsum(length) - length
+    place = np.arange(int(length.sum())) - np.repeat(first, length)
+    h = np.add.reduceat((b[word].astype(np.uint64) + np.uint64(1)) * _WEIGHTS[place & 4095], first)
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(32)), starts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casegrid.llm.common import map_columns, slices, table
+from casegrid.llm.common import hash_words, map_columns, slices, table
 
 TERMS, RANK, EXTRA, SEED = 8192, 96, 8, 5
 #: Sliding passages begin every STEP words and have these many words; the least cosine of a candidate for each.
@@ -40,26 +40,14 @@ _SHARDS = 128
 #: What parts words: white space and ASCII punctuation.
 _PARTS = np.zeros(256, bool)
 _PARTS[np.frombuffer(bytes(range(33)) + b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~\x7f", np.uint8)] = True
-_WEIGHTS = np.random.default_rng(SEED).integers(0, 2**64, 4096, np.uint64) | np.uint64(1)
 
 
 def tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """The hashes of all words (lower case) of the texts, one text after the other, and where each text's begin."""
     raws = [t.lower().encode("utf-8", "surrogatepass") for t in texts]
     b = np.frombuffer(b"\n".join([*raws, b""]), np.uint8)
-    word = ~_PARTS[b]
-    edge = np.diff(word, prepend=False, append=False) if len(word) else np.zeros(1, bool)
-    at = np.flatnonzero(edge)
-    starts, ends = at[::2], at[1::2]
-    begin = np.searchsorted(starts, np.cumsum([0, *(len(r) + 1 for r in raws)]))
-    if not len(starts):
-        return np.empty(0, np.uint64), begin
-    length = ends - starts
-    first = np.cumsum(length) - length
-    place = np.arange(int(length.sum())) - np.repeat(first, length)
-    h = np.add.reduceat((b[word].astype(np.uint64) + np.uint64(1)) * _WEIGHTS[place & 4095], first)
-    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return h ^ (h >> np.uint64(32)), begin
+    h, starts = hash_words(b, _PARTS)
+    return h, np.searchsorted(starts, np.cumsum([0, *(len(r) + 1 for r in raws)]))
 
 
 def terms(h: np.ndarray) -> np.ndarray:
