@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from casegrid.llm.common import NULL_ID, keyed, slices, table
 
-LENGTH, K, SHALLOW = 100, 32, 16
+LENGTH, K, SHALLOW = 100, 20, 16
 #: Bytes of different contexts of one minimizer that are sorted in memory; beyond it the windows are dealt out one by one.
 IN_MEMORY = 8 << 20
 
@@ -55,10 +55,17 @@ def minimizer_runs(raw: bytes, length: int = LENGTH, k: int = K) -> tuple[np.nda
         none = np.empty(0, np.int64)
         return none, none, none, none.astype(bool)
     h = np.frombuffer(raw, np.uint8).astype(np.uint64) + np.uint64(1)
-    base, m = 0x9E3779B97F4A7C15, 1
-    while m < k:  # k is a power of two
-        h = h[: len(h) - m] * np.uint64(pow(base, m, 1 << 64)) + h[m:]
+    base, m, parts = 0x9E3779B97F4A7C15, 1, []
+    while m <= k:  # hashes of 1, 2, 4, ... bytes, of which those in k are put together
+        if k & m:
+            parts.append((m, h))
+        if 2 * m <= k:
+            h = h[: len(h) - m] * np.uint64(pow(base, m, 1 << 64)) + h[m:]
         m *= 2
+    at, h = k, np.zeros(len(raw) - k + 1, np.uint64)
+    for m, part in parts:
+        at -= m
+        h += part[at : at + len(h)] * np.uint64(pow(base, k - at - m, 1 << 64))
     h ^= h >> np.uint64(29)
     h *= np.uint64(0xBF58476D1CE4E5B9)
     h ^= h >> np.uint64(32)
@@ -136,7 +143,9 @@ def deep_shallow(windows: list[bytes], shallow: int = SHALLOW) -> list[int]:
     return first
 
 
-_RUN = "did bigint, th bigint, start bigint, stop bigint, key bigint, twice boolean, known boolean"
+#: ``at`` is the text's hash (31 bits) and the first start in one number, ``span`` the number of starts doubled, plus one if
+#: the minimizer is there twice: a row for each run is most of what is moved.
+_RUN = "did bigint, at bigint, key bigint, span bigint, known boolean"
 _SPAN = "did bigint, th bigint, start bigint, stop bigint"
 
 
@@ -163,7 +172,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 at = seen.setdefault(context, r)
                 if at != r and (w != who[at] and (dids[order[w]], ths[order[w]]) != (dids[order[who[at]]], ths[order[who[at]]]) or w == who[at]):
                     known[r] = True
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (dids[order][who], ths[order][who], a, b, key, twice, known)], names=["did", "th", "start", "stop", "key", "twice", "known"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (dids[order][who], (ths[order][who] << 32) | a, key, ((b - a) << 1) | twice, known)], names=["did", "at", "key", "span", "known"])
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,27 +185,30 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = batch if held is None else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
         keys = rows.column("key").to_numpy()
         same = keys[1:] == keys[:-1]
-        keep = np.concatenate([[before], same]) | np.concatenate([same, [False]]) | rows.column("twice").to_numpy(zero_copy_only=False)
+        keep = np.concatenate([[before], same]) | np.concatenate([same, [False]]) | ((rows.column("span").to_numpy() & 1) > 0)
         last_before = bool(same[-1]) if len(same) else before
         yield rows.slice(0, rows.num_rows - 1).filter(pa.array(keep[:-1]))
         held, before = rows.slice(rows.num_rows - 1), last_before
-    if held is not None and (before or held.column("twice")[0].as_py()):
+    if held is not None and (before or held.column("span")[0].as_py() & 1):
         yield held
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["did", "th", "start", "key", "context"]
+    names = ["did", "at", "key", "context"]
     for batch in batches:
         for part in slices(batch, 4 << 20):
             out: dict[str, list] = {n: [] for n in names}
-            for d, h, text, runs in zip(*(part.column(c).to_pylist() for c in ("did", "th", "text", "runs")), strict=True):
+            for d, text, runs in zip(*(part.column(c).to_pylist() for c in ("did", "text", "runs")), strict=True):
                 raw = text.encode("utf-8", "surrogatepass")
                 for r in runs:
-                    for n, v in zip(names, (d, h, r["start"], r["key"], raw[r["start"] : r["stop"] + LENGTH - 1]), strict=True):
+                    for n, v in zip(names, (d, r["at"], r["key"], raw[(a := r["at"] & _START) : a + (r["span"] >> 1) + LENGTH - 1]), strict=True):
                         out[n].append(v)
             yield pa.RecordBatch.from_arrays([*(pa.array(out[n], pa.int64()) for n in names[:-1]), pa.array(out["context"], pa.binary())], names=names)
 
 
+_START = (1 << 32) - 1
+
+
 class _Spans:
     """Rows of _SPAN and, for the windows of crowded minimizers, of their contexts."""
 
@@ -233,7 +245,7 @@ def _sort_group(out: _Spans, group: list[tuple[int, int, int, bytes]]) -> None:
 
 
 def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Over rows sorted by (key, context, did, th, start): spans of repeated starts; a minimizer with more than
+    """Over rows sorted by (key, context, did, at): spans of repeated starts; a minimizer with more than
     IN_MEMORY bytes of different contexts hands its contexts on instead."""
     out, key, last, owner = _Spans(), None, None, None
     group: list[tuple[int, int, int, bytes]] = []
@@ -251,7 +263,8 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             _sort_group(out, group)
 
     for batch in batches:
-        for d, h, s, k, c in zip(*(batch.column(n).to_pylist() for n in ("did", "th", "start", "key", "context")), strict=True):
+        for d, at, k, c in zip(*(batch.column(n).to_pylist() for n in ("did", "at", "key", "context")), strict=True):
+            h, s = at >> 32, at & _START
             if k != key:
                 close()
                 key, last, group, size, crowded = k, None, [], 0, False
@@ -305,12 +318,13 @@ def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated_spans(texts: DataFrame) -> DataFrame:
     """did, th, start, stop: starts of windows of ``texts`` (did, th, text) that also start earlier."""
     runs = texts.filter(F.octet_length("text") >= LENGTH).mapInArrow(_runs, _RUN)
-    known = runs.filter("known").select("did", "th", "start", "stop")
-    shared = runs.filter("not known").drop("known").repartition("key").sortWithinPartitions("key").mapInArrow(_shared, "did bigint, th bigint, start bigint, stop bigint, key bigint, twice boolean")
-    per_text = shared.groupBy("did", "th").agg(F.collect_set(F.struct("start", "stop", "key")).alias("runs"))
+    th, start = F.shiftright("at", 32).alias("th"), F.col("at").bitwiseAND(_START)
+    known = runs.filter("known").select("did", th, start.alias("start"), (start + F.shiftright("span", 1)).alias("stop"))
+    shared = runs.filter("not known").drop("known").repartition("key").sortWithinPartitions("key").mapInArrow(_shared, "did bigint, at bigint, key bigint, span bigint")
+    per_text = shared.groupBy("did", th).agg(F.collect_set(F.struct("at", "span", "key")).alias("runs"))
     # of rows with the same id and text one is enough
-    contexts = texts.join(per_text, ["did", "th"]).select("did", "th", "text", "runs").mapInArrow(_contexts, "did bigint, th bigint, start bigint, key bigint, context binary")
-    sorted_ = contexts.repartition("key").sortWithinPartitions("key", "context", "did", "th", "start")
+    contexts = texts.join(per_text, ["did", "th"]).select("did", "text", "runs").mapInArrow(_contexts, "did bigint, at bigint, key bigint, context binary")
+    sorted_ = contexts.repartition("key").sortWithinPartitions("key", "context", "did", "at")
     # both readers of this exchange take all of its columns, so it is made once
     found = sorted_.mapInArrow(_repeats, _SPAN + ", context binary").repartition("did", "th")
     crowded = found.mapInArrow(_windows, "did bigint, th bigint, start bigint, window binary")
@@ -333,8 +347,8 @@ def remove(raw: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int, int]:
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept (the remaining bytes) of each document."""
-    # 32 bits of the hash tell rows of one id apart, and every run and context carries them
-    texts = keyed(docs).withColumn("th", F.col("th").bitwiseAND(0xFFFFFFFF))
+    # 31 bits of the hash tell rows of one id apart, and every run and context carries them
+    texts = keyed(docs).withColumn("th", F.col("th").bitwiseAND(0x7FFFFFFF))
     spans = repeated_spans(texts).groupBy("did", "th").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     both = texts.join(spans, ["did", "th"], "left").select("did", "text", "spans")
 
