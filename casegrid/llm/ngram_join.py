@@ -17,9 +17,9 @@ Links are joined to classes by hash-to-minimum rounds on written tables.
 
 Defined results: a null text counts as empty; a text of fewer than five words has its
 words as its only shingle; a text without words only equals others without words; repeated
-rows get the same result each; an id is taken to name one text, so of rows that share an id
-but not their words one is compared; a null doc_id stays null and its class is named by
-the smallest id, nulls first; an empty table gives none; other columns are ignored here.
+rows get the same result each; rows that share an id (or have none) but not their words are
+texts of their own, compared each; a null doc_id stays null and a class is named by its
+smallest id, nulls first; an empty table gives none; other columns are ignored here.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casegrid.llm.common import NULL_ID, SPACES, did, forget, hash_words, slices, table, work_dir, written
+from casegrid.llm.common import NULL_ID, SPACES, did, forget, hash_words, keyed, slices, table, work_dir, written
 
 N, THRESHOLD = 5, 0.8
 TREES, DEPTH, RECALL, SEED = 32, 10, 0.9995, 7
@@ -98,7 +98,7 @@ def _signed(depth: int):
                     for k in range(depth):
                         key = _mix(key ^ label[:, k]) + np.uint64(k)
                     prefixes.append(key.view(np.int64) if len(s) else [])
-                yield pa.RecordBatch.from_arrays([b.column("did"), pa.array(copies, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))], names=["did", "copy", "prefixes"])
+                yield pa.RecordBatch.from_arrays([b.column("did"), b.column("th"), pa.array(copies, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))], names=["did", "th", "copy", "prefixes"])
 
     return run
 
@@ -133,8 +133,8 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([p.column("v"), p.column("leader"), pa.array(out, pa.float64())], names=["v", "leader", "d"])
 
 
-def _links(docs: DataFrame, members: DataFrame, path: str) -> DataFrame:
-    """v, w: verified links between representatives.  ``members``: key, v of the buckets with several.
+def _links(members: DataFrame, sets: DataFrame, path: str) -> DataFrame:
+    """v, w: verified links between representatives.  ``members``: key, v of the buckets with several; ``sets``: of each v.
 
     First every member is verified against its bucket's leader, which each bucket draws by its own hash, so that a text
     meets another leader in every tree.  The links of all buckets are joined to classes, and a bucket of one class is
@@ -142,9 +142,6 @@ def _links(docs: DataFrame, members: DataFrame, path: str) -> DataFrame:
     that the triangle inequality over the leader and the sets' parity sketches allow to match, both without error: some of them in each round, many more in the next,
     as a round's links may have joined the rest."""
     most = 1 - THRESHOLD + 1e-12
-    wanted = members.select("v").distinct()
-    texts = docs.select(did().alias("v"), F.coalesce("text", F.lit("")).alias("text")).join(wanted, "v", "left_semi").dropDuplicates(["v"])
-    sets = written(texts.mapInArrow(_sets, "v bigint, s binary, size int, bits array<bigint>"), f"{path}/sets")
 
     def verify(pairs: DataFrame, at: str) -> DataFrame:
         both = pairs.distinct().join(sets.select("v", "s"), "v").join(sets.select(F.col("v").alias("leader"), F.col("s").alias("t")), "leader")
@@ -207,33 +204,56 @@ def components(links: DataFrame, path: str) -> DataFrame:
         step += 1
 
 
-def classes(docs: DataFrame, recall: float = RECALL) -> DataFrame:
-    """did, rep (smallest id with the same words), root (smallest id of its class), n_links (verified links of its
-    words to others) for each row."""
+def _named(signed: DataFrame, path: str) -> DataFrame:
+    """copy, did, th, v: of each text with words of its own the smallest row that has it, and a number that no other has."""
+    reps = signed.groupBy("copy").agg(F.min(F.struct("did", "th")).alias("r")).select("copy", "r.did", "r.th")
+    seed = 0
+    while True:
+        named = written(reps.withColumn("v", F.xxhash64(F.lit(seed), "copy")), f"{path}/reps{seed}")
+        if named.groupBy("v").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
+            return named
+        seed += 1
+
+
+def _judged(docs: DataFrame, recall: float = RECALL) -> DataFrame:
+    """did, th, rep, root, n_links of each row, and kept_did, kept_th: the smallest row of its class."""
     spark = docs.sparkSession
     path = work_dir(spark)
-    texts = docs.select(did().alias("did"), F.coalesce("text", F.lit("")).alias("text"))
-    signed = written(texts.mapInArrow(_signed(depth_for(recall)), "did bigint, copy binary, prefixes array<bigint>"), f"{path}/signed")
-    reps = signed.groupBy("copy").agg(F.min("did").alias("rep"))
-    one = signed.select(F.col("did").alias("v"), "copy", "prefixes").join(reps.select(F.col("rep").alias("v"), "copy"), ["v", "copy"], "left_semi").dropDuplicates(["v", "copy"])
+    signed = written(keyed(docs).mapInArrow(_signed(depth_for(recall)), "did bigint, th bigint, copy binary, prefixes array<bigint>"), f"{path}/signed")
+    reps = _named(signed, path)
+    one = signed.join(reps, ["did", "th", "copy"]).select("v", "prefixes").dropDuplicates(["v"])
     keys = one.select("v", F.explode("prefixes").alias("key")).distinct()
     several = keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
     members = written(keys.join(several, "key", "left_semi"), f"{path}/members")
-    ids = signed.join(reps, "copy").select("did", "rep")
+    ids = signed.select("did", "th", "copy").join(reps.select("copy", F.col("did").alias("rep"), F.col("th").alias("rep_th"), "v"), "copy").drop("copy")
     if members.isEmpty():
-        return ids.select("did", "rep", F.col("rep").alias("root"), F.lit(0).cast("bigint").alias("n_links"))
-    links = written(_links(docs, members, path), f"{path}/links")
+        return ids.select("did", "th", "rep", F.col("rep").alias("root"), F.lit(0).cast("bigint").alias("n_links"), F.col("rep").alias("kept_did"), F.col("rep_th").alias("kept_th"))
+    wanted = reps.join(members.select("v").distinct(), "v", "left_semi").select("did", "th", "v")
+    texts = keyed(docs).join(wanted, ["did", "th"]).select("v", "text").dropDuplicates(["v"])
+    sets = written(texts.mapInArrow(_sets, "v bigint, s binary, size int, bits array<bigint>"), f"{path}/sets")
+    links = written(_links(members, sets, path), f"{path}/links")
     roots = components(links, path)
+    smallest = roots.join(reps, "v").groupBy("root").agg(F.min(F.struct("did", "th")).alias("kept"))
     degree = links.select("v").unionByName(links.select(F.col("w").alias("v"))).groupBy("v").agg(F.count("*").alias("n"))
-    named = roots.join(degree, "v").select(F.col("v").alias("rep"), "root", "n")
-    return ids.join(named, "rep", "left").select("did", "rep", F.coalesce("root", "rep").alias("root"), F.coalesce("n", F.lit(0)).cast("bigint").alias("n_links"))
+    named = roots.join(smallest, "root").join(degree, "v").select("v", "kept", "n")
+    return ids.join(named, "v", "left").select(
+        "did", "th", "rep", F.coalesce("kept.did", "rep").alias("root"), F.coalesce("n", F.lit(0)).cast("bigint").alias("n_links"),
+        F.coalesce("kept.did", "rep").alias("kept_did"), F.coalesce("kept.th", "rep_th").alias("kept_th"),
+    )
+
+
+def classes(docs: DataFrame, recall: float = RECALL) -> DataFrame:
+    """did, rep (smallest id with the same words), root (smallest id of its class), n_links (verified links of its
+    words to others) for each row."""
+    return _judged(docs, recall).select("did", "rep", "root", "n_links")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each class: the row with the class's smallest id; all its columns as they are.  Of rows that
-    share that id one stays."""
-    roots = classes(docs).select("root").distinct()
-    rows = docs.select(F.struct("*").alias("row"), did().alias("root")).join(roots, "root", "left_semi").dropDuplicates(["root"])
+    """One document of each class: the row with the class's smallest id, and of several texts under that id the one with
+    the smallest hash; all its columns as they are."""
+    kept = _judged(docs).select(F.col("kept_did").alias("did"), F.col("kept_th").alias("th")).distinct()
+    rows = docs.select(F.struct("*").alias("row"), did().alias("did"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"))
+    rows = rows.join(kept, ["did", "th"], "left_semi").dropDuplicates(["did", "th"])
     return rows.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
 
 

@@ -124,6 +124,19 @@ def test_ngram_join_large_group_of_near_copies(spark):
     assert all(out[i] == 0 for i in range(150)) and all(out[1000 + i] == 1000 + i for i in range(20))
 
 
+def test_ngram_join_texts_that_share_an_id(spark):
+    rng = random.Random(12)
+    texts = [" ".join(words(rng, 60)) for _ in range(9)]
+    near = " ".join([*texts[4].split()[:-1], "changed"])
+    rows = [(None, t) for t in texts[:4]] + [(7, t) for t in texts[4:8]] + [(8, near), (None, texts[0]), (7, texts[4]), (9, texts[8])]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string")
+    kept = ngram_join.keep_one(d).collect()
+    assert len(kept) == 9 and {r["text"] for r in kept} == set(texts)
+    null = ngram_join.NULL_ID
+    got = sorted((r["did"], r["root"], r["n_links"]) for r in ngram_join.classes(d).collect())
+    assert got == sorted([(null, null, 0)] * 5 + [(7, 7, 1)] * 2 + [(7, 7, 0)] * 3 + [(8, 7, 1), (9, 9, 0)])
+
+
 def test_suffix_dedup(docs):
     rows = corpus()
     seen, want = set(), {}
