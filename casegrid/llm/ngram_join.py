@@ -13,7 +13,9 @@ with members of other classes, and only where the triangle inequality of the Jac
 distance and the sets' parity sketches let them match.  Neither test rules out a match, so
 no link that would join two classes is lost, and a bucket of near copies costs one row each.
 
-Links are joined to classes by hash-to-minimum rounds on written tables.
+Links are joined to classes by hash-to-minimum rounds on written tables.  A link never leaves
+its class, so all links are then counted inside the classes: a class is dealt to blocks, and
+every block meets every other once, where the common shingles of all pairs are counted exactly.
 
 Defined results: a null text counts as empty; a text of fewer than five words has its
 words as its only shingle; a text without words only equals others without words; repeated
@@ -39,6 +41,9 @@ TREES, DEPTH, RECALL, SEED = 32, 10, 0.9995, 7
 #: Bits of a set's parity sketch.  Two sets' sketches differ in no more bits than the sets differ in shingles, so the
 #: sketches rule pairs out without error.
 BITS = 2048
+#: A class is dealt to blocks of about so many texts, or shingles, when its links are counted.
+BLOCK, BLOCK_SHINGLES = 2048, 1 << 20
+_WIDTH = 2048
 
 
 def depth_for(recall: float = RECALL, threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH) -> int:
@@ -234,7 +239,7 @@ def _judged(docs: DataFrame, recall: float = RECALL) -> DataFrame:
     links = written(_links(members, sets, path), f"{path}/links")
     roots = components(links, path)
     smallest = roots.join(reps, "v").groupBy("root").agg(F.min(F.struct("did", "th")).alias("kept"))
-    degree = links.select("v").unionByName(links.select(F.col("w").alias("v"))).groupBy("v").agg(F.count("*").alias("n"))
+    degree = degrees(sets, roots)
     named = roots.join(smallest, "root").join(degree, "v").select("v", "kept", "n")
     return ids.join(named, "v", "left").select(
         "did", "th", "rep", F.coalesce("kept.did", "rep").alias("root"), F.coalesce("n", F.lit(0)).cast("bigint").alias("n_links"),
@@ -242,9 +247,66 @@ def _judged(docs: DataFrame, recall: float = RECALL) -> DataFrame:
     )
 
 
+def linked_pairs(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Which sets of ``a`` (rows) and of ``b`` (columns) are at the threshold."""
+    sizes = np.array([len(s) for s in [*a, *b]])
+    _, col, count = np.unique(np.concatenate([*a, *b]), return_inverse=True, return_counts=True)
+    several = count > 1
+    use = several[col]
+    row, col = np.repeat(np.arange(len(sizes)), sizes)[use], (np.cumsum(several) - 1)[col[use]]
+    order = np.argsort(col, kind="stable")
+    row, col = row[order], col[order]
+    both = np.zeros((len(a), len(b)), np.float32)
+    for c in range(0, int(several.sum()), _WIDTH):  # a part of the shingles at a time
+        lo, hi = np.searchsorted(col, (c, c + _WIDTH))
+        x = np.zeros((len(sizes), _WIDTH), np.float32)
+        x[row[lo:hi], col[lo:hi] - c] = 1
+        both += x[: len(a)] @ x[len(a) :].T
+    return both >= THRESHOLD * (sizes[: len(a), None] + sizes[None, len(a) :] - both) - 1e-3
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """v, n: links of each text in each meeting of two blocks; the rows of a meeting come one after the other."""
+
+    def meet(rows: list, i: int, j: int) -> pa.RecordBatch:
+        a, b = ([r for r in rows if r[1] == k] for k in (i, j))
+        sets = [[np.frombuffer(r[2], np.uint64) for r in x] for x in (a, b)]
+        ids, n = [], []
+        if a and b:
+            hit = linked_pairs(*sets)
+            ids, n = [r[0] for r in a], hit.sum(1) - (i == j)
+            if i != j:
+                ids, n = ids + [r[0] for r in b], np.concatenate([n, hit.sum(0)])
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64())], names=["v", "n"])
+
+    at, rows = None, []
+    for batch in batches:
+        columns = [batch.column(c) for c in ("root", "i", "j", "v", "own", "s")]
+        for root, i, j, v, own, s in zip(*columns, strict=True):
+            key = root.as_py(), i.as_py(), j.as_py()
+            if key != at:
+                if rows:
+                    yield meet(rows, *at[1:])
+                at, rows = key, []
+            rows.append((v.as_py(), own.as_py(), s.as_py()))
+    if rows:
+        yield meet(rows, *at[1:])
+
+
+def degrees(sets: DataFrame, roots: DataFrame) -> DataFrame:
+    """v, n: how many other texts of its class each is linked with."""
+    named = sets.select("v", "s", "size").join(roots, "v")
+    blocks = named.groupBy("root").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("size") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    dealt = named.join(blocks, "root").withColumn("own", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    met = dealt.select("root", "v", "own", "s", other).select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "v", "own", "s")
+    met = met.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j")
+    return met.mapInArrow(_counted, "v bigint, n bigint").groupBy("v").agg(F.sum("n").alias("n"))
+
+
 def classes(docs: DataFrame, recall: float = RECALL) -> DataFrame:
-    """did, rep (smallest id with the same words), root (smallest id of its class), n_links (verified links of its
-    words to others) for each row."""
+    """did, rep (smallest id with the same words), root (smallest id of its class), n_links (texts with other
+    words that its words are linked with) for each row."""
     return _judged(docs, recall).select("did", "rep", "root", "n_links")
 
 

@@ -124,6 +124,23 @@ def test_ngram_join_large_group_of_near_copies(spark):
     assert all(out[i] == 0 for i in range(150)) and all(out[1000 + i] == 1000 + i for i in range(20))
 
 
+def test_ngram_join_counts_every_link(spark, monkeypatch):
+    rng = random.Random(3)
+    base, rows = words(rng, 120), []
+    for i in range(90):
+        w = list(base)
+        for _ in range(1 + i % 3):
+            w[rng.randrange(120)] = f"changed{rng.randrange(10**6)}"
+        rows.append((i, " ".join(w)))
+    rows += [(200 + i, " ".join(words(rng, 80))) for i in range(10)] + [(300, rows[0][1]), (301, rows[1][1] + " tail")]
+    sets = {t: set(ngram_join.shingles(t).tolist()) for _, t in rows}
+    want = {d: sum(t != u and len(sets[t] & s) >= 0.8 * len(sets[t] | s) for u, s in sets.items()) for d, t in rows}
+    d = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert {r["did"]: r["n_links"] for r in ngram_join.classes(d).collect()} == want and len(set(want.values())) > 5
+    monkeypatch.setattr(ngram_join, "BLOCK", 20)
+    assert {r["did"]: r["n_links"] for r in ngram_join.classes(d).collect()} == want
+
+
 def test_ngram_join_texts_that_share_an_id(spark):
     rng = random.Random(12)
     texts = [" ".join(words(rng, 60)) for _ in range(9)]
