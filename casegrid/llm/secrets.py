@@ -5,8 +5,9 @@ Shannon entropy over a sliding window is high for their character class.  Candid
 maximal runs of ``[A-Za-z0-9+/_=-]`` with at least one window's length; a window's
 entropy is kept by incremental counts (one character enters, one leaves), and the
 windows above their class's threshold are joined to one span.  Strings of the allow list
-(UUIDs, runs inside a URL's host or path, one-class words) are suppressed; a span that
-overlaps a base span is not added again.
+(UUIDs, runs inside a URL's host or path, words joined by separators or capitals, dates) are
+suppressed; a URL ends at white space, a quote or another delimiter, and its user part, query
+and fragment are no host or path.  A span that overlaps a base span is not added again.
 
 Defined results: a null text counts as empty and has no spans; no span gives the hash of
 the empty string; repeated rows give the same result each; an empty table gives none;
@@ -35,13 +36,18 @@ KINDS = ("assign", "access", "hex", "entropy")
 WINDOW = 20
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 #: Bits per character that a window of WINDOW characters must reach, by character class.
-THRESHOLDS = {"hex": 3.0, "lower": 99.0, "upper": 99.0, "digit": 99.0, "alnum": 3.7, "base64": 3.7}
+THRESHOLDS = {"hex": 3.0, "lower": 3.7, "upper": 3.7, "digit": 2.9, "alnum": 3.7, "base64": 3.7}
 ALLOW = (
     re.compile(r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"),
-    re.compile(r"[A-Za-z]+(?:[-_/][A-Za-z]+)*"),
-    re.compile(r"[0-9]+(?:[-/_][0-9]+)*"),
+    re.compile(r"[-_/]*(?:[A-Z]?[a-z]{1,14}|[A-Z]{1,14})(?:[-_/]+(?:[A-Z]?[a-z]{1,14}|[A-Z]{1,14}))+[-_/]*"),
+    re.compile(r"[A-Z]?[a-z]{2,14}(?:[A-Z][a-z]{2,14})+"),
+    re.compile(r"[0-9]{1,8}(?:[-/_][0-9]{1,8})+"),
     re.compile(r"=+|-+|_+|/+|\++"),
 )
+#: What ends a URL, and what ends its host and path.
+URL_END = re.compile(r"[\s\"'`<>,;|\\^{}()\[\]]")
+PATH_END = re.compile(r"[?#]")
+LOOK_BACK = 2048
 _STEP = [0.0] + [k * math.log2(k) for k in range(1, WINDOW + 1)]
 
 
@@ -82,6 +88,20 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+def in_host_or_path(text: str, start: int, end: int) -> bool:
+    """Whether the run from ``start`` to ``end`` is in the host or path of a URL."""
+    at = text.rfind("://", max(0, start - LOOK_BACK), start + 2)
+    if at < 0:
+        return False
+    before = text[at + 3 : start]
+    if URL_END.search(before) or PATH_END.search(before):
+        return False
+    if "/" in before:
+        return True
+    rest = URL_END.split(text[at + 3 : end + 256], maxsplit=1)[0]
+    return "@" not in re.split(r"[/?#]", rest, maxsplit=1)[0] or at + 3 + rest.index("@") < start
+
+
 def entropy_spans(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     out = []
     for m in CANDIDATE.finditer(text):
@@ -90,8 +110,7 @@ def entropy_spans(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[in
             continue
         if any(a < m.end() and m.start() < b for a, _, b in taken):
             continue
-        before = text[max(0, m.start() - 256) : m.start()]
-        if "://" in before[before.rfind(" ") + 1 :]:
+        if in_host_or_path(text, m.start(), m.end()):
             continue
         kind = char_class(s)
         high = [i for i, e in enumerate(entropies(s)) if e >= THRESHOLDS[kind]]

@@ -247,6 +247,21 @@ def test_secrets_leave_plain_words_alone():
     assert secrets.entropy_spans(t, []) == []
 
 
+def test_secrets_after_urls_and_of_every_class():
+    key = "kJ8s_Qp2LmX9vRtY7wZa3BcD"
+    around = ("see https://host/x\n{}", '{{"u":"https://host/x","k":"{}"}}', "https://host/x,{}", "https://host/x\t{}", "https://host/x?sig={}", "https://host/x#{}", "https://user:{}@host/x", "https://{}@host/x")
+    for form in around:
+        text = form.format(key)
+        (a, _, b), = secrets.entropy_spans(text, [])
+        assert a <= text.index(key) + 1 and b >= text.index(key) + len(key) - 1, form
+    rng = random.Random(4)
+    for letters in ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"):
+        keys = ["".join(rng.choice(letters) for _ in range(32)) for _ in range(50)]
+        assert sum(bool(secrets.entropy_spans(k, [])) for k in keys) >= 40, letters
+    plain = "getUserNameFromDatabaseConnection internationalization/of/ordinary-words https://host.org/" + key + "/x https://me@host.org/" + key
+    assert secrets.entropy_spans(plain, []) == []
+
+
 def test_quality_rule_statistics():
     t = "a b c a b c\n\x0bx #$\n\nx #$\n\n a b"
     n, chars, symbols, dups, rep = quality_rules.statistics(t)
