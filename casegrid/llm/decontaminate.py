@@ -4,8 +4,10 @@ Method: latent semantic retrieval.  Texts are cut into passages of words, whose
 rows (hashed terms) make a matrix A over the whole corpus.  A randomised SVD finds its
 leading right singular vectors in one pass: every partition adds up A'(A R) for a random
 R, and the Nystroem form of the sums gives the vectors.  Sliding passages of all texts are
-projected and compared with the items' passages by cosine; a candidate is decided by the
-longest common subsequence of words around it.  A share of VERBATIM of the item is a leak; a
+projected and compared with the items' passages by cosine.  Rewordings and short items that
+the latent space misses are retrieved by the pairs of near words that they share with an
+item at about one offset.  A candidate is decided by the longest common subsequence of words
+around it.  A share of VERBATIM of the item is a leak; a
 share of REWORDED is one if the item's answer (its last sentence) is there too.
 
 Items are read in blocks of BLOCK rows in the order of their ids, so what is broadcast is
@@ -33,6 +35,9 @@ TERMS, RANK, EXTRA, SEED = 8192, 96, 8, 5
 #: Sliding passages begin every STEP words and have these many words; the least cosine of a candidate for each.
 STEP, SIZES, COSINES = 4, (16, 32), (0.8, 0.8)
 VERBATIM, REWORDED, ANSWER = 0.7, 0.6, 0.8
+#: Pairs are of words at most GAP apart; a candidate shares one pair for each PER words of the item (or of 32), in a band of offsets.
+GAP, PER, BAND = 2, 3, 16
+_BITS = 20
 BLOCK = 2_000
 #: Bytes of text that are worked on at once.
 PART = 1 << 20
@@ -192,10 +197,22 @@ class Items:
     vectors: np.ndarray
     length: np.ndarray
     held: np.ndarray  # which terms each item has
+    pairs: np.ndarray  # keys of the items' word pairs, ascending
+    pair_item: np.ndarray
+    pair_place: np.ndarray
+    known: np.ndarray  # which low bits the keys have
+
+
+def word_pairs(h: np.ndarray) -> Iterator[np.ndarray]:
+    """For each gap the keys of the pairs that begin at each word."""
+    for gap in range(1, GAP + 1):
+        k = h[:-gap] * np.uint64(0x9E3779B97F4A7C15) ^ h[gap:]
+        yield (k ^ (k >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(8)
 
 
 def prepared(rows: list[tuple[int | None, str]], projected: np.ndarray) -> Items:
     ids, all_words, lengths, answers, owner, starts, size, vectors = [], [], [], [], [], [], [], []
+    pairs = []
     for item_id, text in rows:
         h, _ = tokens([text])
         if not len(h):
@@ -204,6 +221,7 @@ def prepared(rows: list[tuple[int | None, str]], projected: np.ndarray) -> Items
         k = 0 if len(n) < SIZES[1] + 2 * STEP else 1
         for a in sorted({*range(0, max(1, len(n) - SIZES[k] + 1), SIZES[-1]), max(0, len(n) - SIZES[k])}):
             owner.append(len(ids)), starts.append(a), size.append(k), vectors.append(projected[n[a : a + SIZES[k]]].sum(0))
+        pairs += [(k, np.full(len(k), len(ids)), np.arange(len(k))) for k in word_pairs(h)] if len(h) > GAP else [(h[:1], np.full(1, len(ids)), np.zeros(1, int))]
         ids.append(item_id), all_words.append(positions(h.tolist()))
         last = tokens([answer(text)])[0].tolist()
         lengths.append(len(h)), answers.append((positions(last), len(last)))
@@ -212,7 +230,11 @@ def prepared(rows: list[tuple[int | None, str]], projected: np.ndarray) -> Items
     held = np.zeros((len(ids), TERMS + 1), bool)
     for i, w in enumerate(all_words):
         held[i, terms(np.array(list(w), np.uint64))] = True
-    return Items(ids, all_words, answers, np.array(owner, int), np.array(starts, int), np.array(size, int), v, np.array(lengths, int), held)
+    keys, item, place = (np.concatenate(x) for x in zip(*pairs, strict=True)) if pairs else (np.empty(0, np.uint64), np.empty(0, int), np.empty(0, int))
+    order = np.argsort(keys, kind="stable")
+    known = np.zeros(1 << _BITS, bool)
+    known[(keys & np.uint64((1 << _BITS) - 1)).astype(int)] = True
+    return Items(ids, all_words, answers, np.array(owner, int), np.array(starts, int), np.array(size, int), v, np.array(lengths, int), held, keys[order], item[order], place[order], known)
 
 
 def candidates(h: np.ndarray, begin: np.ndarray, projected: np.ndarray, items: Items) -> np.ndarray:
@@ -251,6 +273,27 @@ def candidates(h: np.ndarray, begin: np.ndarray, projected: np.ndarray, items: I
     return np.stack([pair // len(items.ids), pair % len(items.ids), (code & 0xFFFFFFFF) - (1 << 31)], 1)
 
 
+def by_pairs(h: np.ndarray, begin: np.ndarray, items: Items) -> np.ndarray:
+    """Rows as of ``candidates``: where a text shares enough word pairs with an item in a band of offsets."""
+    text, item, offset = [], [], []
+    for gap, k in enumerate(word_pairs(h), 1):
+        at = np.flatnonzero(items.known[(k & np.uint64((1 << _BITS) - 1)).astype(int)])
+        lo, hi = np.searchsorted(items.pairs, k[at]), np.searchsorted(items.pairs, k[at], "right")
+        t = np.searchsorted(begin, at, "right") - 1
+        n = np.where(at + gap < begin[t + 1], hi - lo, 0)  # both words in one text
+        own = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+        text.append(np.repeat(t, n)), item.append(items.pair_item[own]), offset.append(np.repeat(at - begin[t], n) - items.pair_place[own])
+    text, item, offset = (np.concatenate(x) if x else np.empty(0, int) for x in (text, item, offset))
+    out, pair = [], text * len(items.ids) + item
+    for shift in (0, BAND // 2):  # bands overlap by half
+        code, count = np.unique((pair << 32) + (offset + shift) // BAND + (1 << 31), return_counts=True)
+        own = (code >> 32) % max(1, len(items.ids))
+        code = code[count >= np.maximum(1, np.minimum(items.length[own], SIZES[-1]) // PER)]
+        both = code >> 32
+        out.append(np.stack([both // max(1, len(items.ids)), both % max(1, len(items.ids)), ((code & 0xFFFFFFFF) - (1 << 31)) * BAND - shift + BAND // 2], 1))
+    return np.concatenate(out)
+
+
 def likely(near: np.ndarray, h: np.ndarray, begin: np.ndarray, items: Items) -> np.ndarray:
     """Those of the candidates around which enough words have terms of the item: a common sequence is no longer than that."""
     n, out = np.append(terms(h), TERMS), []
@@ -271,7 +314,10 @@ def found(texts: list[str], projected: np.ndarray, items: Items) -> list[dict[in
     """For each text the index of each item that it holds, with the share of the item's words found in order."""
     h, begin = tokens(texts)
     best: list[dict[int, float]] = [{} for _ in texts]
-    for t, i, start in likely(candidates(h, begin, projected, items), h, begin, items).tolist():
+    if not len(h) or not items.ids:
+        return best
+    near = np.concatenate([candidates(h, begin, projected, items), by_pairs(h, begin, items)])
+    for t, i, start in likely(near, h, begin, items).tolist():
         if best[t].get(i, 0) >= 1:
             continue
         own, size, lo, hi = items.words[i], int(items.length[i]), int(begin[t]), int(begin[t + 1])

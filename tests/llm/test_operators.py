@@ -363,6 +363,29 @@ def test_decontamination(spark):
     assert decontaminate.drop_contaminated(docs, benchmark.limit(0)).count() == len(rows)
 
 
+def _latent(rng, items):
+    import numpy as np
+
+    space = decontaminate._with_zero(np.random.default_rng(1).normal(size=(decontaminate.TERMS, decontaminate.RANK)).astype(np.float32))
+    return space, decontaminate.prepared(items, space)
+
+
+def test_decontamination_finds_rewordings_and_short_items():
+    rng = random.Random(13)
+    around = lambda w: " ".join([*words(rng, 37), *w, *words(rng, 45)])
+    for n, share in ((6, 1), (8, 1), (11, 1), (40, 0.8), (40, 0.72), (59, 0.7)):
+        items = [(i, " ".join(words(rng, n))) for i in range(40)]
+        texts = []
+        for _, t in items:
+            w = t.split()
+            for k in rng.sample(range(n), int((1 - share) * n + 1e-9)):
+                w[k] = "otherword"
+            texts.append(around(w))
+        got = decontaminate.found(texts, *_latent(rng, items))
+        assert sum(i in g for i, g in enumerate(got)) >= 36, (n, share)
+        assert not any(set(g) - {i} for i, g in enumerate(got)) and not any(decontaminate.found([around([]) for _ in range(40)], *_latent(rng, items)))
+
+
 def test_lcs():
     rng = random.Random(7)
     for _ in range(50):
