@@ -8,7 +8,8 @@ projected and compared with the items' passages by cosine.  Rewordings and short
 the latent space misses are retrieved by the pairs of near words that they share with an
 item at about one offset.  A candidate is decided by the longest common subsequence of words
 around it.  A share of VERBATIM of the item is a leak; a
-share of REWORDED is one if the item's answer (its last sentence) is there too.
+share of REWORDED is one if the item's answer (its last sentence) is there too; and so is a
+share of VERBATIM of any PASSAGE successive words of a longer item, for texts that quote a part.
 
 Items are read in blocks of BLOCK rows in the order of their ids, so what is broadcast is
 bounded; each block is one pass over the texts.
@@ -38,6 +39,8 @@ VERBATIM, REWORDED, ANSWER = 0.7, 0.6, 0.8
 #: Pairs are of words at most GAP apart; a candidate shares one pair for each PER words of the item (or of 32), in a band of offsets.
 GAP, PER, BAND = 2, 3, 16
 _BITS = 20
+#: Passages of an item that are decided by themselves: their words, and the step between them.
+PASSAGE, PASSAGE_STEP = 24, 4
 BLOCK = 2_000
 #: Bytes of text that are worked on at once.
 PART = 1 << 20
@@ -190,6 +193,7 @@ class Items:
 
     ids: list[int | None]
     words: list[dict]
+    passages: list[list[tuple[int, dict]]]
     answers: list[tuple[dict, int]]
     owner: np.ndarray
     starts: np.ndarray
@@ -212,7 +216,7 @@ def word_pairs(h: np.ndarray) -> Iterator[np.ndarray]:
 
 def prepared(rows: list[tuple[int | None, str]], projected: np.ndarray) -> Items:
     ids, all_words, lengths, answers, owner, starts, size, vectors = [], [], [], [], [], [], [], []
-    pairs = []
+    pairs, passages = [], []
     for item_id, text in rows:
         h, _ = tokens([text])
         if not len(h):
@@ -223,6 +227,7 @@ def prepared(rows: list[tuple[int | None, str]], projected: np.ndarray) -> Items
             owner.append(len(ids)), starts.append(a), size.append(k), vectors.append(projected[n[a : a + SIZES[k]]].sum(0))
         pairs += [(k, np.full(len(k), len(ids)), np.arange(len(k))) for k in word_pairs(h)] if len(h) > GAP else [(h[:1], np.full(1, len(ids)), np.zeros(1, int))]
         ids.append(item_id), all_words.append(positions(h.tolist()))
+        passages.append([(a, positions(h[a : a + PASSAGE].tolist())) for a in sorted({*range(0, len(h) - PASSAGE, PASSAGE_STEP), len(h) - PASSAGE})] if len(h) > PASSAGE else [])
         last = tokens([answer(text)])[0].tolist()
         lengths.append(len(h)), answers.append((positions(last), len(last)))
     v = np.array(vectors, np.float32).reshape(-1, projected.shape[1])
@@ -234,7 +239,7 @@ def prepared(rows: list[tuple[int | None, str]], projected: np.ndarray) -> Items
     order = np.argsort(keys, kind="stable")
     known = np.zeros(1 << _BITS, bool)
     known[(keys & np.uint64((1 << _BITS) - 1)).astype(int)] = True
-    return Items(ids, all_words, answers, np.array(owner, int), np.array(starts, int), np.array(size, int), v, np.array(lengths, int), held, keys[order], item[order], place[order], known)
+    return Items(ids, all_words, passages, answers, np.array(owner, int), np.array(starts, int), np.array(size, int), v, np.array(lengths, int), held, keys[order], item[order], place[order], known)
 
 
 def candidates(h: np.ndarray, begin: np.ndarray, projected: np.ndarray, items: Items) -> np.ndarray:
@@ -273,8 +278,9 @@ def candidates(h: np.ndarray, begin: np.ndarray, projected: np.ndarray, items: I
     return np.stack([pair // len(items.ids), pair % len(items.ids), (code & 0xFFFFFFFF) - (1 << 31)], 1)
 
 
-def by_pairs(h: np.ndarray, begin: np.ndarray, items: Items) -> np.ndarray:
-    """Rows as of ``candidates``: where a text shares enough word pairs with an item in a band of offsets."""
+def by_pairs(h: np.ndarray, begin: np.ndarray, items: Items) -> tuple[np.ndarray, np.ndarray]:
+    """Rows as of ``candidates``: where a text shares enough word pairs with an item in a band of offsets, and those of
+    them with enough for a passage."""
     text, item, offset = [], [], []
     for gap, k in enumerate(word_pairs(h), 1):
         at = np.flatnonzero(items.known[(k & np.uint64((1 << _BITS) - 1)).astype(int)])
@@ -284,14 +290,17 @@ def by_pairs(h: np.ndarray, begin: np.ndarray, items: Items) -> np.ndarray:
         own = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
         text.append(np.repeat(t, n)), item.append(items.pair_item[own]), offset.append(np.repeat(at - begin[t], n) - items.pair_place[own])
     text, item, offset = (np.concatenate(x) if x else np.empty(0, int) for x in (text, item, offset))
-    out, pair = [], text * len(items.ids) + item
+    out, part, pair = [], [], text * len(items.ids) + item
     for shift in (0, BAND // 2):  # bands overlap by half
         code, count = np.unique((pair << 32) + (offset + shift) // BAND + (1 << 31), return_counts=True)
         own = (code >> 32) % max(1, len(items.ids))
-        code = code[count >= np.maximum(1, np.minimum(items.length[own], SIZES[-1]) // PER)]
+        enough = count >= np.maximum(1, np.minimum(items.length[own], SIZES[-1]) // PER)
+        code, count, own = code[enough], count[enough], own[enough]
+        part.append((count >= PASSAGE * 2 // 3) & (items.length[own] > PASSAGE))
         both = code >> 32
         out.append(np.stack([both // max(1, len(items.ids)), both % max(1, len(items.ids)), ((code & 0xFFFFFFFF) - (1 << 31)) * BAND - shift + BAND // 2], 1))
-    return np.concatenate(out)
+    rows = np.concatenate(out)
+    return rows, rows[np.concatenate(part)]
 
 
 def likely(near: np.ndarray, h: np.ndarray, begin: np.ndarray, items: Items) -> np.ndarray:
@@ -316,7 +325,8 @@ def found(texts: list[str], projected: np.ndarray, items: Items) -> list[dict[in
     best: list[dict[int, float]] = [{} for _ in texts]
     if not len(h) or not items.ids:
         return best
-    near = np.concatenate([candidates(h, begin, projected, items), by_pairs(h, begin, items)])
+    whole, parts = by_pairs(h, begin, items)
+    near = np.concatenate([candidates(h, begin, projected, items), whole])
     for t, i, start in likely(near, h, begin, items).tolist():
         if best[t].get(i, 0) >= 1:
             continue
@@ -326,6 +336,15 @@ def found(texts: list[str], projected: np.ndarray, items: Items) -> list[dict[in
         wanted, n = items.answers[i]
         if share >= VERBATIM or (share >= REWORDED and n and lcs(wanted, n, around) >= ANSWER * n):
             best[t][i] = max(best[t].get(i, 0), share)
+    for t, i, start in parts.tolist():
+        if i in best[t]:
+            continue
+        lo, hi, size = int(begin[t]), int(begin[t + 1]), int(items.length[i])
+        for a, words in items.passages[i]:
+            around = h[max(lo, lo + start + a - BAND) : max(lo, min(hi, lo + start + a + PASSAGE + BAND))].tolist()
+            if lcs(words, PASSAGE, around, VERBATIM * PASSAGE) >= VERBATIM * PASSAGE:
+                best[t][i] = lcs(items.words[i], size, h[max(lo, lo + start - BAND) : min(hi, lo + start + size + BAND)].tolist()) / size
+                break
     return best
 
 

@@ -386,6 +386,20 @@ def test_decontamination_finds_rewordings_and_short_items():
         assert not any(set(g) - {i} for i, g in enumerate(got)) and not any(decontaminate.found([around([]) for _ in range(40)], *_latent(rng, items)))
 
 
+def test_decontamination_finds_quotes_of_a_part():
+    rng = random.Random(14)
+    for n, quoted in ((59, 40), (59, 29), (200, 100)):
+        items = [(i, " ".join(words(rng, n))) for i in range(20)]
+        texts = []
+        for _, t in items:
+            a = rng.randrange(n - quoted)
+            texts.append(" ".join([*words(rng, 33), *t.split()[a : a + quoted], *words(rng, 41)]))
+        got = decontaminate.found(texts, *_latent(rng, items))
+        assert all(set(g) == {i} for i, g in enumerate(got)), (n, quoted)
+    few = [" ".join([*words(rng, 33), *t.split()[:9], *words(rng, 41)]) for _, t in items]
+    assert not any(decontaminate.found(few, *_latent(rng, items)))
+
+
 def test_lcs():
     rng = random.Random(7)
     for _ in range(50):
