@@ -27,7 +27,7 @@ from casegrid.llm.common import map_columns, table
 
 CHUNK, OVERLAP = 1 << 16, 512
 #: Pieces that a worker remembers; beyond it the memory starts anew.
-MEMORY = 500_000
+MEMORY = 50_000
 
 
 def default_ranks() -> str:

@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 NULL_ID = -(2**63)
+BATCH = 4 << 20
 #: ASCII white space, by byte.
 SPACES = np.isin(np.arange(256), np.frombuffer(b" \t\n\x0b\x0c\r", np.uint8))
 _WEIGHTS = np.random.default_rng(5).integers(0, 2**64, 4096, np.uint64) | np.uint64(1)
@@ -39,8 +40,15 @@ def hash_words(b: np.ndarray, parts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return h ^ (h >> np.uint64(32)), starts
 
 
+def bounded(spark: SparkSession) -> None:
+    """Texts go to Python workers in Arrow batches of at most BATCH bytes (a longer text alone), so that what a worker and
+    its JVM hold of them does not depend on the texts' length."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{BATCH}b")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The table ``name`` of the data folder, read through Spark so that any store works."""
+    bounded(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -67,8 +75,11 @@ def with_result(docs: DataFrame, result: DataFrame) -> DataFrame:
 
 def work_dir(spark: SparkSession) -> str:
     """A new folder in the shared folder that the cluster names in spark.checkpoint.dir."""
+    bounded(spark)
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + os.path.join(tempfile.gettempdir(), "casegrid-work")
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
@@ -100,11 +111,12 @@ def map_columns(df: DataFrame, f, schema: str) -> DataFrame:
 
     from pyspark.sql.types import StructType
 
+    bounded(df.sparkSession)
     types = StructType.fromDDL(schema)
     return df.mapInArrow(run, types)
 
 
-def slices(batch: pa.RecordBatch, most: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, most: int = BATCH) -> Iterator[pa.RecordBatch]:
     """``batch`` in runs of rows of about ``most`` bytes, a single longer row alone, so that working memory stays bounded."""
     if batch.nbytes <= most or batch.num_rows <= 1:
         if batch.num_rows:

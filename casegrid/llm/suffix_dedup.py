@@ -2,20 +2,23 @@
 
 Windows of LENGTH bytes are first dealt out by their minimizer, the K-byte string in them
 with the smallest hash: equal windows have equal minimizers, and neighbouring windows
-share theirs, so a text becomes runs of starts, one row each.  Runs whose minimizer is
-found once in the corpus can hold no repeated window.  For the others the bytes under
-the run (its context) go to the minimizer's group.  There an equal context repeats all
-its windows; the windows of the different contexts are ordered as suffixes by
-deep-shallow sorting: multikey quicksort on superalphabet characters of eight bytes to
-a shallow depth, then a blind trie for each group that still has a common prefix.  Neighbours
-in that order that agree over LENGTH bytes are repeats of the earliest.
-
-A context that many texts share is sent once per batch of texts, not once per text, and a
-minimizer with very many different contexts is dealt out again by whole windows, which
-needs no memory beyond a row.  So no group is gathered in one task's memory.
+share theirs, so a text becomes runs of starts, one row each, with a hash of the bytes
+under it (its context).  A context that an earlier run of its minimizer has too repeats
+all its windows, and only the first run of each goes on.  A minimizer with one context
+can hold no other repeat.  For the rest the contexts' bytes go to the minimizer's group,
+where their windows are ordered as suffixes by deep-shallow sorting: multikey quicksort
+on superalphabet characters of eight bytes to a shallow depth, then a blind trie for each
+group that still has a common prefix.  Windows whose rolling hash no other window of the
+group has are left out of the sort, as they can equal none.  The sort works on offsets in
+the joined contexts; copies are made of one common-prefix group at a time.
+
+Equal contexts of one minimizer are told by 128 bits (the minimizer's hash and the
+context's); all other equality is that of bytes.  A minimizer with more than IN_MEMORY
+bytes of different contexts is dealt out again by whole windows, which needs no memory
+beyond a row; so no group is gathered in one task's memory.
 
 Defined results: a null text counts as empty; null doc_ids come before all others; rows with the
-same id and text are one document and each gets its result; rows with the same id but
+same id and text are one document and each gets its result; rows with the same id (or none) but
 another text are documents of their own, ordered by a hash of the text; an empty table
 gives none; columns other than doc_id and text are ignored.
 """
@@ -24,17 +27,21 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casegrid.llm.common import NULL_ID, keyed, slices, table
+from casegrid.llm.common import slices, table, work_dir, written
 
 LENGTH, K, SHALLOW = 100, 20, 16
 #: Bytes of different contexts of one minimizer that are sorted in memory; beyond it the windows are dealt out one by one.
-IN_MEMORY = 8 << 20
+IN_MEMORY = 4 << 20
+#: Groups are sorted together until they have so many bytes.
+TOGETHER = 1 << 20
+_BASE = 0x9E3779B97F4A7C15
 
 
 def _sliding(f, x: np.ndarray, w: int) -> np.ndarray:
@@ -47,37 +54,51 @@ def _sliding(f, x: np.ndarray, w: int) -> np.ndarray:
     return f(y[:n], y[w - m : w - m + n])
 
 
-def minimizer_runs(raw: bytes, length: int = LENGTH, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(first start, end of the starts, minimizer hash, whether the text has that minimizer at two neighbouring
-    places) of the runs of windows with one minimizer hash."""
-    n = len(raw) - length + 1
-    if n <= 0:
-        none = np.empty(0, np.int64)
-        return none, none, none, none.astype(bool)
-    h = np.frombuffer(raw, np.uint8).astype(np.uint64) + np.uint64(1)
-    base, m, parts = 0x9E3779B97F4A7C15, 1, []
-    while m <= k:  # hashes of 1, 2, 4, ... bytes, of which those in k are put together
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(32))
+
+
+def rolling(b: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of all strings of ``k`` successive bytes: those of 1, 2, 4, ... bytes are doubled, and the ones in ``k`` put together."""
+    h, m, parts = b.astype(np.uint64) + np.uint64(1), 1, []
+    while m <= k:
         if k & m:
             parts.append((m, h))
         if 2 * m <= k:
-            h = h[: len(h) - m] * np.uint64(pow(base, m, 1 << 64)) + h[m:]
+            h = h[: len(h) - m] * np.uint64(pow(_BASE, m, 1 << 64)) + h[m:]
         m *= 2
-    at, h = k, np.zeros(len(raw) - k + 1, np.uint64)
+    at, h = k, np.zeros(len(b) - k + 1, np.uint64)
     for m, part in parts:
         at -= m
-        h += part[at : at + len(h)] * np.uint64(pow(base, k - at - m, 1 << 64))
-    h ^= h >> np.uint64(29)
-    h *= np.uint64(0xBF58476D1CE4E5B9)
-    h ^= h >> np.uint64(32)
+        h += part[at : at + len(h)] * np.uint64(pow(_BASE, k - at - m, 1 << 64))
+    return _mixed(h)
+
+
+def minimizer_runs(raw: bytes, length: int = LENGTH, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first start, end of the starts, minimizer hash, hash of the context, whether the text has that minimizer at two
+    neighbouring places) of the runs of windows with one minimizer hash."""
+    n = len(raw) - length + 1
+    if n <= 0:
+        none = np.empty(0, np.int64)
+        return none, none, none, none, none.astype(bool)
+    h = rolling(np.frombuffer(raw, np.uint8), k)
     w = length - k + 1
     least = _sliding(np.minimum, h, w)
     at = np.flatnonzero(least[1:] != least[:-1]) + 1
-    starts = np.concatenate([[0], at])
+    starts, ends = np.concatenate([[0], at]), np.concatenate([at, [n]])
     key = least[starts]
     # a string is a minimizer where it is as small as the largest minimum of the windows around it
     padded = np.concatenate([np.zeros(w - 1, np.uint64), least, np.zeros(w - 1, np.uint64)])
     chosen = h[h == _sliding(np.maximum, padded, w)]
-    return starts, np.concatenate([at, [n]]), key.view(np.int64), np.isin(key, chosen[1:][chosen[1:] == chosen[:-1]])
+    # of a context's strings of k bytes the sum of the hashes, and their sum by place
+    place = np.arange(len(h), dtype=np.uint64)
+    one, two = (np.concatenate([np.zeros(1, np.uint64), np.cumsum(x)]) for x in (h, h * place))
+    last = ends + w - 1
+    plain = one[last] - one[starts]
+    by_place = two[last] - two[starts] - plain * starts.astype(np.uint64)
+    context = _mixed(plain * np.uint64(_BASE) + _mixed(by_place + np.uint64(1)) + (ends - starts).astype(np.uint64))
+    return starts, ends, key.view(np.int64), context.view(np.int64), np.isin(key, chosen[1:][chosen[1:] == chosen[:-1]])
 
 
 def common_prefix(a: bytes, b: bytes) -> int:
@@ -119,78 +140,100 @@ def blind_trie(strings: list[bytes], depth: int) -> list[int]:
     return first
 
 
-def deep_shallow(windows: list[bytes], shallow: int = SHALLOW) -> list[int]:
-    """For each window the index of the first equal one (windows of one length, given in order of rank)."""
-    first = list(range(len(windows)))
-    stack = [(list(range(len(windows))), 0)]
+def deep_shallow(buffer: bytes, starts: np.ndarray, groups: list[list[int]] | None = None, shallow: int = SHALLOW) -> list[int]:
+    """For each window (of LENGTH bytes of ``buffer``, given by its start, in order of rank) the index of the first equal
+    one in its group; ``groups`` lists the windows of each."""
+    raw, eight = np.frombuffer(buffer, np.uint8), np.arange(8)
+    chars = [raw[starts[:, None] + (d + eight)].view(">u8").ravel().tolist() for d in range(0, shallow, 8)]
+    first, at = list(range(len(starts))), starts.tolist()
+    stack = [(g, 0) for g in ([first[:]] if groups is None else groups)]
     while stack:
         group, depth = stack.pop()
-        while len(group) > 1 and depth < shallow:
-            chars = [windows[i][depth : depth + 8] for i in group]
-            pivot = chars[len(chars) // 2]
-            low = [i for i, c in zip(group, chars, strict=True) if c < pivot]
-            high = [i for i, c in zip(group, chars, strict=True) if c > pivot]
+        while len(group) > 1 and depth < len(chars):
+            c = chars[depth]
+            pivot = c[group[len(group) // 2]]
+            low = [i for i in group if c[i] < pivot]
+            high = [i for i in group if c[i] > pivot]
             if len(low) > 1:
                 stack.append((low, depth))
             if len(high) > 1:
                 stack.append((high, depth))
             if low or high:
-                group = [i for i, c in zip(group, chars, strict=True) if c == pivot]
-            depth += 8
+                group = [i for i in group if c[i] == pivot]
+            depth += 1
         if len(group) > 1:
-            for i, j in zip(group, blind_trie([windows[i] for i in group], depth), strict=True):
+            for i, j in zip(group, blind_trie([buffer[at[i] : at[i] + LENGTH] for i in group], shallow), strict=True):
                 first[i] = group[j]
     return first
 
 
-#: ``at`` is the text's hash (31 bits) and the first start in one number, ``span`` the number of starts doubled, plus one if
-#: the minimizer is there twice: a row for each run is most of what is moved.
-_RUN = "did bigint, at bigint, key bigint, span bigint, known boolean"
+#: ``at`` is the text's hash (31 bits) and the first start in one number, ``span`` the number of starts with two bits for whether
+#: the minimizer is there twice and whether the run is known to be a repeat: a row for each run is most of what is moved.
+_RUN = "did bigint, at bigint, key bigint, context bigint, span bigint"
 _SPAN = "did bigint, th bigint, start bigint, stop bigint"
+_TWICE, _KNOWN = 1, 2
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The runs of each text; ``known``: an earlier text of the batch, or an earlier place, has the same context."""
+    """The runs of each text.  A run whose context an earlier text of the batch, or an earlier place, has is known to be a
+    repeat, and a number of its own takes the place of its key, so that copies don't meet in one task."""
     for batch in batches:
-        for part in slices(batch):
+        for part in slices(batch, 4 << 20):
             dids, ths = part.column("did").to_numpy(), part.column("th").to_numpy()
             order = np.lexsort((ths, dids))
-            texts = part.column("text")
-            raws, rows = [], []
+            new = np.ones(len(order), bool)  # a repeated row is one document
+            new[1:] = (dids[order][1:] != dids[order][:-1]) | (ths[order][1:] != ths[order][:-1])
+            order = order[new]
+            texts, rows = part.column("text"), []
             for i, j in enumerate(order.tolist()):
-                raw = texts[j].as_py().encode("utf-8", "surrogatepass")
-                runs = minimizer_runs(raw)
-                raws.append(raw)
+                runs = minimizer_runs(texts[j].as_py().encode("utf-8", "surrogatepass"))
                 rows.append((np.full(len(runs[0]), i), *runs))
-            who, a, b, key, twice = (np.concatenate(c) for c in zip(*rows, strict=True))
+            who, a, b, key, context, twice = (np.concatenate(c) for c in zip(*rows, strict=True))
+            alike = np.lexsort((context, key))  # stable: earlier runs first
             known = np.zeros(len(a), bool)
-            _, inverse, count = np.unique(key, return_inverse=True, return_counts=True)
-            seen: dict[bytes, int] = {}
-            for r in np.flatnonzero(count[inverse] > 1).tolist():
-                w = int(who[r])
-                context = raws[w][a[r] : b[r] + LENGTH - 1]
-                at = seen.setdefault(context, r)
-                if at != r and (w != who[at] and (dids[order[w]], ths[order[w]]) != (dids[order[who[at]]], ths[order[who[at]]]) or w == who[at]):
-                    known[r] = True
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (dids[order][who], (ths[order][who] << 32) | a, key, ((b - a) << 1) | twice, known)], names=["did", "at", "key", "span", "known"])
+            known[alike[1:]] = (key[alike][1:] == key[alike][:-1]) & (context[alike][1:] == context[alike][:-1])
+            did, at = dids[order][who], (ths[order][who] << 32) | a
+            own = _mixed(did.view(np.uint64) * np.uint64(_BASE) ^ _mixed(at.view(np.uint64))).view(np.int64)
+            span = ((b - a) << 2) | (twice * _TWICE) | (known * _KNOWN)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (did, at, np.where(known, own, key), context, span)], names=["did", "at", "key", "context", "span"])
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by key, those whose key a neighbour has too, or that have it twice."""
-    held: pa.RecordBatch | None = None  # the last row so far, and whether the row before it has its key
-    before = False
+    """Of rows sorted by (key, context, did, at): the repeats (known), and the first run of each context whose minimizer
+    has another context or is there twice."""
+    none = pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 4, names=["did", "at", "key", "span"])
+    key = context = did = at = None  # of the last run that is not known
+    held, n = none, 0  # the first run of the last key while it is the only one, and how many contexts that key has
+
+    def out(rows: pa.RecordBatch, known: bool) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*(rows.column(c) for c in ("did", "at", "key", "span")), pa.array(np.full(rows.num_rows, known))], names=["did", "at", "key", "span", "known"])
+
     for batch in batches:
+        known = (batch.column("span").to_numpy() & _KNOWN) > 0
+        if known.any():
+            yield out(batch.filter(pa.array(known)), True)
+            batch = batch.filter(pa.array(~known))
         if not batch.num_rows:
             continue
-        rows = batch if held is None else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
-        keys = rows.column("key").to_numpy()
-        same = keys[1:] == keys[:-1]
-        keep = np.concatenate([[before], same]) | np.concatenate([same, [False]]) | ((rows.column("span").to_numpy() & 1) > 0)
-        last_before = bool(same[-1]) if len(same) else before
-        yield rows.slice(0, rows.num_rows - 1).filter(pa.array(keep[:-1]))
-        held, before = rows.slice(rows.num_rows - 1), last_before
-    if held is not None and (before or held.column("span")[0].as_py() & 1):
-        yield held
+        d, a, k, c, span = (batch.column(x).to_numpy() for x in ("did", "at", "key", "context", "span"))
+        before = lambda x, last: np.concatenate([[x[0] == last], x[1:] == x[:-1]])
+        same_key = before(k, key)
+        same = same_key & before(c, context)
+        again = same & before(d, did) & before(a, at)  # a repeated row
+        group = np.cumsum(~same_key)
+        contexts = np.bincount(group, ~same)
+        contexts[0] += n
+        if contexts[0] > 1 and held.num_rows:
+            yield out(held, False)
+            held = none
+        twice = (span & _TWICE) > 0
+        yield out(batch.filter(pa.array(same & ~again)), True)
+        yield out(batch.filter(pa.array(~same & ((contexts[group] > 1) | twice))), False)
+        n = int(contexts[-1])
+        if not same_key.all():  # the last key has begun here
+            first = int(np.flatnonzero(~same_key)[-1])
+            held = none if n > 1 or twice[first] else batch.slice(first, 1).select(["did", "at", "key", "span"])
+        key, context, did, at = k[-1], c[-1], d[-1], a[-1]
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,7 +244,7 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for d, text, runs in zip(*(part.column(c).to_pylist() for c in ("did", "text", "runs")), strict=True):
                 raw = text.encode("utf-8", "surrogatepass")
                 for r in runs:
-                    for n, v in zip(names, (d, r["at"], r["key"], raw[(a := r["at"] & _START) : a + (r["span"] >> 1) + LENGTH - 1]), strict=True):
+                    for n, v in zip(names, (d, r["at"], r["key"], raw[(a := r["at"] & _START) : a + (r["span"] >> 2) + LENGTH - 1]), strict=True):
                         out[n].append(v)
             yield pa.RecordBatch.from_arrays([*(pa.array(out[n], pa.int64()) for n in names[:-1]), pa.array(out["context"], pa.binary())], names=names)
 
@@ -221,69 +264,70 @@ class _Spans:
         return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:4]), pa.array(cols[4], pa.binary())], names=["did", "th", "start", "stop", "context"])
 
 
-def _starts_to_spans(out: _Spans, did: int, th: int, starts: list[int]) -> None:
-    a = None
-    for i, s in enumerate(starts):
-        a = s if a is None else a
-        if i + 1 == len(starts) or starts[i + 1] != s + 1:
-            out.rows.append((did, th, a, s + 1, None))
-            a = None
-
-
-def _sort_group(out: _Spans, group: list[tuple[int, int, int, bytes]]) -> None:
-    """Different contexts of one minimizer: the windows that an earlier context, or an earlier place in it, has."""
-    group.sort(key=lambda g: g[:3])
-    where = [(g, o) for g, (_, _, _, c) in enumerate(group) for o in range(len(c) - LENGTH + 1)]
-    first = deep_shallow([group[g][3][o : o + LENGTH] for g, o in where])
-    again: dict[int, list[int]] = {}
-    for i, j in enumerate(first):
-        if i != j:
-            g, o = where[i]
-            again.setdefault(g, []).append(group[g][2] + o)
-    for g, starts in again.items():
-        _starts_to_spans(out, group[g][0], group[g][1], starts)
+def _sort_groups(out: _Spans, groups: list[list[tuple[int, int, int, bytes]]]) -> None:
+    """Groups of different contexts in order of rank, each of one minimizer: the windows that an earlier context, or an earlier place in it, has."""
+    contexts = [c for g in groups for c in g]
+    if not contexts:
+        return
+    buffer = b"".join(c[3] for c in contexts)
+    size = np.array([len(c[3]) for c in contexts])
+    n, begin = size - LENGTH + 1, np.cumsum(size) - size
+    who = np.repeat(np.arange(len(contexts)), n)
+    starts = np.arange(int(n.sum())) + np.repeat(begin - (np.cumsum(n) - n), n)
+    group = np.repeat(np.arange(len(groups)), [len(g) for g in groups])
+    h = rolling(np.frombuffer(buffer, np.uint8), LENGTH)[starts] ^ _mixed((group[who] + 1).astype(np.uint64) * np.uint64(_BASE))
+    order = np.argsort(h, kind="stable")
+    equal = h[order][1:] == h[order][:-1]
+    alike = np.zeros(len(h), bool)
+    alike[order[1:][equal]] = alike[order[:-1][equal]] = True
+    at = np.flatnonzero(alike)
+    if not len(at):
+        return
+    edges = [0, *(np.flatnonzero(np.diff(group[who[at]])) + 1).tolist(), len(at)]
+    first = np.array(deep_shallow(buffer, starts[at], [list(range(a, b)) for a, b in pairwise(edges)]))
+    later = at[first != np.arange(len(at))]
+    cut = np.flatnonzero((np.diff(later) != 1) | (np.diff(who[later]) != 0)) + 1
+    for a, b in pairwise([0, *cut.tolist(), len(later)] if len(later) else []):
+        w = int(who[later[a]])
+        did, th, s, _ = contexts[w]
+        s += int(starts[later[a]] - begin[w])
+        out.rows.append((did, th, s, s + b - a, None))
 
 
 def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Over rows sorted by (key, context, did, at): spans of repeated starts; a minimizer with more than
-    IN_MEMORY bytes of different contexts hands its contexts on instead."""
-    out, key, last, owner = _Spans(), None, None, None
+    """Over rows sorted by (key, did, at): spans of repeated starts; a minimizer with more than IN_MEMORY bytes of different contexts
+    hands its contexts on instead."""
+    out, key, last, size, crowded = _Spans(), None, None, 0, False
     group: list[tuple[int, int, int, bytes]] = []
-    size, crowded = 0, False
-
-    def close() -> None:
-        if crowded:
-            return
-        if len(group) == 1:
-            context = group[0][3]
-            n = len(context) - LENGTH + 1
-            if len({context[o : o + LENGTH] for o in range(n)}) == n:
-                return
-        if group:
-            _sort_group(out, group)
+    ready: list[list[tuple[int, int, int, bytes]]] = []
+    waiting = 0
 
     for batch in batches:
         for d, at, k, c in zip(*(batch.column(n).to_pylist() for n in ("did", "at", "key", "context")), strict=True):
-            h, s = at >> 32, at & _START
             if k != key:
-                close()
-                key, last, group, size, crowded = k, None, [], 0, False
-            if c == last:
-                if (d, h, s) != owner:
-                    out.rows.append((d, h, s, s + len(c) - LENGTH + 1, None))
+                if group:
+                    ready.append(group)
+                    waiting += size
+                key, group, size, crowded = k, [], 0, False
+                if waiting > TOGETHER:
+                    _sort_groups(out, ready)
+                    ready, waiting = [], 0
+            elif (d, at) == last:  # a repeated row
                 continue
-            last, owner = c, (d, h, s)
+            last = d, at
             if crowded:
-                out.rows.append((d, h, s, None, c))
+                out.rows.append((d, at >> 32, at & _START, None, c))
                 continue
-            group.append((d, h, s, c))
+            group.append((d, at >> 32, at & _START, c))
             size += len(c)
             if size > IN_MEMORY:
                 out.rows.extend((g[0], g[1], g[2], None, g[3]) for g in group)
-                group, crowded = [], True
+                group, crowded, size = [], True, 0
         if len(out.rows) > 20_000:
             yield out.batch()
-    close()
+    if group:
+        ready.append(group)
+    _sort_groups(out, ready)
     yield out.batch()
 
 
@@ -315,18 +359,25 @@ def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["did", "th", "start", "stop"])
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """did, th, text, doc_id of each row.  Rows that share an id are told apart by 31 bits of the text's hash, as every run
+    and context carries them; rows without id by 62 bits more, in place of the id."""
+    text = F.coalesce("text", F.lit(""))
+    id_ = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(2**63)) + F.xxhash64(text, F.lit(1)).bitwiseAND((1 << 62) - 1))
+    return docs.select(id_.alias("did"), F.xxhash64(text).bitwiseAND(0x7FFFFFFF).alias("th"), text.alias("text"), F.col("doc_id").cast("bigint").alias("doc_id"))
+
+
 def repeated_spans(texts: DataFrame) -> DataFrame:
     """did, th, start, stop: starts of windows of ``texts`` (did, th, text) that also start earlier."""
-    runs = texts.filter(F.octet_length("text") >= LENGTH).mapInArrow(_runs, _RUN)
+    runs = texts.filter(F.octet_length("text") >= LENGTH).select("did", "th", "text").mapInArrow(_runs, _RUN)
+    shared = runs.repartition("key").sortWithinPartitions("key", "context", "did", "at").mapInArrow(_shared, "did bigint, at bigint, key bigint, span bigint, known boolean")
+    shared = written(shared, f"{work_dir(texts.sparkSession)}/shared")  # read twice
     th, start = F.shiftright("at", 32).alias("th"), F.col("at").bitwiseAND(_START)
-    known = runs.filter("known").select("did", th, start.alias("start"), (start + F.shiftright("span", 1)).alias("stop"))
-    shared = runs.filter("not known").drop("known").repartition("key").sortWithinPartitions("key").mapInArrow(_shared, "did bigint, at bigint, key bigint, span bigint")
-    per_text = shared.groupBy("did", th).agg(F.collect_set(F.struct("at", "span", "key")).alias("runs"))
-    # of rows with the same id and text one is enough
+    known = shared.filter("known").select("did", th, start.alias("start"), (start + F.shiftright("span", 2)).alias("stop"))
+    per_text = shared.filter("not known").groupBy("did", th).agg(F.collect_set(F.struct("at", "span", "key")).alias("runs"))
     contexts = texts.join(per_text, ["did", "th"]).select("did", "text", "runs").mapInArrow(_contexts, "did bigint, at bigint, key bigint, context binary")
-    sorted_ = contexts.repartition("key").sortWithinPartitions("key", "context", "did", "at")
+    found = contexts.repartition("key").sortWithinPartitions("key", "did", "at").mapInArrow(_repeats, _SPAN + ", context binary").repartition("did", "th")
     # both readers of this exchange take all of its columns, so it is made once
-    found = sorted_.mapInArrow(_repeats, _SPAN + ", context binary").repartition("did", "th")
     crowded = found.mapInArrow(_windows, "did bigint, th bigint, start bigint, window binary")
     later = crowded.repartition("window").sortWithinPartitions("window", "did", "th", "start").mapInArrow(_later, _SPAN)
     return known.unionByName(found.mapInArrow(_plain, _SPAN)).unionByName(later)
@@ -347,18 +398,16 @@ def remove(raw: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int, int]:
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept (the remaining bytes) of each document."""
-    # 31 bits of the hash tell rows of one id apart, and every run and context carries them
-    texts = keyed(docs).withColumn("th", F.col("th").bitwiseAND(0x7FFFFFFF))
+    texts = keyed(docs)
     spans = repeated_spans(texts).groupBy("did", "th").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    both = texts.join(spans, ["did", "th"], "left").select("did", "text", "spans")
+    both = texts.join(spans, ["did", "th"], "left").select("doc_id", "text", "spans")
 
     def run(batches):
         for batch in batches:
-            for b in slices(batch):
+            for b in slices(batch, 4 << 20):
                 raws = [t.encode("utf-8", "surrogatepass") for t in b.column("text").to_pylist()]
                 got = [remove(r, [(s["start"], s["stop"]) for s in spans or ()]) for r, spans in zip(raws, b.column("spans").to_pylist(), strict=True)]
-                ids = [None if d == NULL_ID else d for d in b.column("did").to_pylist()]
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(r) for r in raws], pa.int64()), pa.array([g[1] for g in got], pa.int64()), pa.array([g[2] for g in got], pa.int64()), pa.array([hashlib.sha256(g[0]).hexdigest() for g in got]), pa.array([g[0] for g in got], pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(r) for r in raws], pa.int64()), pa.array([g[1] for g in got], pa.int64()), pa.array([g[2] for g in got], pa.int64()), pa.array([hashlib.sha256(g[0]).hexdigest() for g in got]), pa.array([g[0] for g in got], pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
     return both.mapInArrow(run, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
 

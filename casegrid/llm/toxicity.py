@@ -33,6 +33,8 @@ PER_CLASS = 30_000
 LEXICON = 20_000
 MIN_Z, PRIOR = 4.0, 0.1
 THRESHOLD = 0.3
+#: Words whose weight a worker remembers; beyond it the memory starts anew.
+MEMORY = 50_000
 #: Evidence beyond this, either way, says no more.
 MOST = 30.0
 _STRIP = ".,;:!?\"'()[]{}<>|*#-_…«»„“”"
@@ -78,7 +80,7 @@ class Model:
                 break
         else:
             w = self.rest
-        if len(self.memory) > 500_000:
+        if len(self.memory) > MEMORY:
             self.memory.clear()
         self.memory[word] = w
         return w

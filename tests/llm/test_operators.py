@@ -7,6 +7,7 @@ import random
 import zlib
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -195,7 +196,9 @@ def test_deep_shallow_sorting():
     base = bytes(rng.choice(b"ab") for _ in range(400))
     windows = [base[i : i + 100] for i in (rng.randrange(40) for _ in range(300))] + [bytes([rng.randrange(256)]) * 100 for _ in range(50)]
     first = {}
-    assert suffix_dedup.deep_shallow(windows) == [first.setdefault(w, i) for i, w in enumerate(windows)]
+    want = [first.setdefault(w, i) for i, w in enumerate(windows)]
+    assert suffix_dedup.deep_shallow(b"".join(windows), np.arange(len(windows)) * 100) == want
+    assert suffix_dedup.deep_shallow(b"".join(windows), np.arange(len(windows)) * 100, [list(range(300)), list(range(300, 350))]) == want
 
 
 def test_bpe(docs):
