@@ -1,17 +1,20 @@
 """N-gram Jaccard join (operator 2): documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
 Method: MinHash LSH forest.  Each text's signature is cut into TREES label strings of
-DEPTH minima.  In a tree, texts that agree in a prefix of their labels are neighbours;
-the prefix is shortened from the full depth until the forest finds a pair at the
-threshold with the target recall.  Candidates are verified exactly on their shingle sets.
+DEPTH minima.  In each tree the labels are sorted, so that texts with a common prefix are
+neighbours: the sorted list is a prefix trie.  A text is first compared in its deepest
+node that holds another text, at up to DEPTH minima.  From there its prefix is shortened,
+as long as the node above joins texts of different classes, until the depth at which a pair at the
+threshold shares a node in some tree as often as the target recall asks; a node whose
+texts are all of one class is settled.  Pairs are verified exactly on their shingle sets.
 
 Copies first: texts with equal words form one class and only one of them is compared.
-In a prefix's bucket not all pairs are compared.  Every member is verified against one
-leader; those that match are linked by it, and the links of all trees are joined to
-classes.  Only members outside a bucket's largest class are then compared further,
-with members of other classes, and only where the triangle inequality of the Jaccard
+In a node not all pairs are compared.  Every text is verified against the first one of its
+deepest shared node; those that match are linked by it, and the links of all trees are joined to
+classes.  In the nodes that are not settled, only texts outside the node's largest class are compared further,
+with texts of other classes, and only where the triangle inequality of the Jaccard
 distance and the sets' parity sketches let them match.  Neither test rules out a match, so
-no link that would join two classes is lost, and a bucket of near copies costs one row each.
+no link that would join two classes is lost, and a node of near copies costs one row each.
 
 Links are joined to classes by hash-to-minimum rounds on written tables.  A link never leaves
 its class, so all links are then counted inside the classes: a class is dealt to blocks, and
@@ -37,7 +40,7 @@ from pyspark.sql import functions as F
 from casegrid.llm.common import NULL_ID, SPACES, did, forget, hash_words, keyed, slices, table, work_dir, written
 
 N, THRESHOLD = 5, 0.8
-TREES, DEPTH, RECALL, SEED = 32, 10, 0.9995, 7
+TREES, DEPTH, RECALL, SEED = 20, 9, 0.9995, 7
 #: Bits of a set's parity sketch.  Two sets' sketches differ in no more bits than the sets differ in shingles, so the
 #: sketches rule pairs out without error.
 BITS = 2048
@@ -47,7 +50,7 @@ _WIDTH = 2048
 
 
 def depth_for(recall: float = RECALL, threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH) -> int:
-    """The prefix length: shortened from ``depth`` until a pair at the threshold meets in some tree as often as asked."""
+    """The least prefix length: shortened from ``depth`` until a pair at the threshold meets in some tree as often as asked."""
     while depth > 1 and 1 - (1 - threshold**depth) ** trees < recall:
         depth -= 1
     return depth
@@ -72,12 +75,12 @@ def shingles(text: str, n: int = N) -> np.ndarray:
 
 def _parameters(count: int) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(SEED)
-    return rng.integers(0, 2**64, count, np.uint64), rng.integers(0, 2**64, count, np.uint64) | np.uint64(1)
+    return rng.integers(0, 2**32, count, np.uint32), rng.integers(0, 2**32, count, np.uint32) | np.uint32(1)
 
 
 def signature(s: np.ndarray, xor: np.ndarray, times: np.ndarray) -> np.ndarray:
-    """One minimum for each pair of parameters."""
-    out = np.full(len(xor), np.uint64(2**64 - 1))
+    """One minimum for each pair of parameters, over the upper halves of the hashes."""
+    out, s = np.full(len(xor), np.uint32(2**32 - 1)), (s >> np.uint64(32)).astype(np.uint32)
     for a in range(0, len(s), 256):  # blocks that fit in the cache
         out = np.minimum(out, ((s[a : a + 256, None] ^ xor) * times).min(0))
     return out
@@ -87,27 +90,74 @@ def copy_key(text: str) -> bytes:
     return hashlib.blake2b(b" ".join(text.encode("utf-8", "surrogatepass").split()), digest_size=16).digest()
 
 
-def _signed(depth: int):
-    xor, times = _parameters(TREES * depth)
-    tree = np.arange(TREES, dtype=np.uint64)
+def labels(minima: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each tree's row of ``minima`` the first ``least`` as one key, and up to four more as a string of 16-bit characters."""
+    minima = minima.astype(np.uint64)
+    key, rest = np.arange(len(minima), dtype=np.uint64), np.zeros(len(minima), np.uint64)
+    for k in range(least):
+        key = _mix(key ^ minima[:, k]) + np.uint64(k)
+    for k in range(least, least + 4):
+        rest <<= np.uint64(16)
+        if k < minima.shape[1]:
+            rest |= _mix(minima[:, k]) >> np.uint64(48)
+    return key.view(np.int64), rest.view(np.int64)
+
+
+def _signed(least: int):
+    xor, times = _parameters(TREES * DEPTH)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in slices(batch):
-                copies, prefixes = [], []
+                copies, keys, rests = [], [], []
                 for text in b.column("text").to_pylist():
                     s = shingles(text)
                     copies.append(copy_key(text))
-                    label = signature(s, xor, times).reshape(TREES, depth) >> np.uint64(16)
-                    key = tree.copy()
-                    for k in range(depth):
-                        key = _mix(key ^ label[:, k]) + np.uint64(k)
-                    prefixes.append(key.view(np.int64) if len(s) else [])
-                yield pa.RecordBatch.from_arrays([b.column("did"), b.column("th"), pa.array(copies, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))], names=["did", "th", "copy", "prefixes"])
+                    key, rest = labels(signature(s, xor, times).reshape(TREES, DEPTH), least) if len(s) else ([], [])
+                    keys.append(key), rests.append(rest)
+                longs = pa.list_(pa.int64())
+                yield pa.RecordBatch.from_arrays([b.column("did"), b.column("th"), pa.array(copies, pa.binary()), pa.array(keys, longs), pa.array(rests, longs)], names=["did", "th", "copy", "keys", "rests"])
 
     return run
 
 
+def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Over rows sorted by (key, rest, v), of which each key is the trie below the least prefix: of each key with several
+    rows each row with the first row of its deepest node that holds an earlier one (the very first with itself), and how
+    many minima beyond the key they share.  Only the first rows of the nodes around the last row are kept."""
+    key = rest = v = np.empty(0, np.int64)
+    shared, firsts = -1, np.zeros(5, np.int64)  # of the last row, which waits for its successor
+
+    def out(key, v, leader, more):
+        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(v), pa.array(leader), pa.array(more.astype(np.int32))], names=["key", "v", "leader", "more"])
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        key, rest, v = (np.concatenate([x[-1:], b.column(c).to_numpy()]) for x, c in ((key, "key"), (rest, "rest"), (v, "v")))
+        x = (rest[1:] ^ rest[:-1]).view(np.uint64)
+        more = np.where(key[1:] == key[:-1], sum((x < np.uint64(1 << k)).astype(int) for k in (48, 32, 16, 0)), -1)
+        more = np.concatenate([[shared] if len(key) > b.num_rows else [-1], more])
+        n, place, leader = len(key), np.arange(len(key)), v.copy()
+        carried, last = len(key) > b.num_rows, firsts.copy()
+        for level in range(5):
+            new = more < level
+            new[0] = not carried
+            at = np.maximum.accumulate(np.where(new, place, -1))
+            first = np.where(at >= 0, v[at], firsts[level])
+            use = more == level
+            leader[use] = first[use]
+            last[level] = first[-1]
+        emit = (more >= 0) | np.concatenate([more[1:] >= 0, [False]])
+        emit[-1] = False
+        if n > 1:
+            e = np.flatnonzero(emit)
+            yield out(key[e], v[e], leader[e], np.maximum(more[e], 0))
+        shared, firsts, held = int(more[-1]), last, leader[-1:]
+    if shared >= 0:
+        yield out(key[-1:], v[-1:], held, np.array([shared]))
+
+
 def sketch(s: np.ndarray) -> np.ndarray:
     """For each of BITS bins of hashes the parity of how many of the set fall in it, as 64-bit words."""
     odd = np.bincount((s >> np.uint64(64 - BITS.bit_length() + 1)).astype(np.int64), minlength=BITS) & 1
@@ -138,14 +188,14 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([p.column("v"), p.column("leader"), pa.array(out, pa.float64())], names=["v", "leader", "d"])
 
 
-def _links(members: DataFrame, sets: DataFrame, path: str) -> DataFrame:
-    """v, w: verified links between representatives.  ``members``: key, v of the buckets with several; ``sets``: of each v.
+def _roots(members: DataFrame, sets: DataFrame, path: str) -> DataFrame:
+    """v, root: the classes of all texts that a verified link names.  ``members``: key, v and its leader (of ``_neighbours``);
+    ``sets``: of each v.
 
-    First every member is verified against its bucket's leader, which each bucket draws by its own hash, so that a text
-    meets another leader in every tree.  The links of all buckets are joined to classes, and a bucket of one class is
-    done.  In the others, members outside the bucket's largest class are compared with those members of other classes
-    that the triangle inequality over the leader and the sets' parity sketches allow to match, both without error: some of them in each round, many more in the next,
-    as a round's links may have joined the rest."""
+    First every text is verified against its leader, which in every tree is another one.  The links of all trees are joined to
+    classes, and a key of one class is settled.  In the others, texts outside the key's largest class are compared with those of
+    other classes that the triangle inequality over a common leader and the sets' parity sketches allow to match, both
+    without error: some of them in each round, many more in the next, as a round's links may have joined the rest."""
     most = 1 - THRESHOLD + 1e-12
 
     def verify(pairs: DataFrame, at: str) -> DataFrame:
@@ -155,36 +205,35 @@ def _links(members: DataFrame, sets: DataFrame, path: str) -> DataFrame:
     def linked(verified: DataFrame) -> DataFrame:
         return verified.filter(F.col("d") <= most).select("v", F.col("leader").alias("w"))
 
-    drawn = F.xxhash64("v", "key")
-    first = members.groupBy("key").agg(F.min_by("v", drawn).alias("leader"))
-    met = members.join(first, "key")
-    verified = verify(met.filter("v <> leader").select("v", "leader"), f"{path}/verified0")
+    verified = verify(members.filter("v <> leader").select("v", "leader"), f"{path}/verified0")
     links = linked(verified)
-    members = met.join(verified, ["v", "leader"], "left").select("key", "v", F.coalesce("d", F.lit(0.0)).alias("d0"))
     own = ["size", *(f"b{i}" for i in range(BITS // 64))]
     traits = sets.select("v", "size", *(F.col("bits")[i].alias(f"b{i}") for i in range(BITS // 64)))
     differ = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"l_{c}"))) for c in own[1:]), F.lit(0))
     # sets that share the threshold of their union differ in this part of their sizes' sum at most
     alike = differ <= (F.col("size") + F.col("l_size")) * ((1 - THRESHOLD) / (1 + THRESHOLD)) + 1e-9
+    near = (F.col("leader") != F.col("l_leader")) | (F.abs(F.col("d0") - F.col("e0")) <= most)
     round_, share = 0, 256
     while True:
-        roots = components(links, f"{path}/classes{round_}").select("v", F.col("root").alias("c"))
-        named = members.join(roots, "v", "left").withColumn("c", F.coalesce("c", "v"))
-        sizes = named.groupBy("key", "c").agg(F.count("*").alias("n"))
-        largest = sizes.groupBy("key").agg(F.max_by("c", F.struct("n", "c")).alias("main"), F.count("*").alias("classes")).filter("classes > 1").select("key", "main")
-        members = named.join(largest, "key")
-        members = written(members if round_ else members.join(traits, "v"), f"{path}/open{round_}")
+        roots = components(links, f"{path}/classes{round_}").select("v", "root")
+        named = members.join(roots.withColumnRenamed("root", "c"), "v", "left").withColumn("c", F.coalesce("c", "v"))
+        unsettled = named.groupBy("key").agg(F.min("c").alias("least"), F.max("c").alias("most")).filter("least <> most").select("key")
+        members = named.join(unsettled, "key", "left_semi")
+        if not round_:
+            members = members.join(verified, ["v", "leader"], "left").withColumn("d0", F.coalesce("d", F.lit(0.0))).drop("d").join(traits, "v")
+        members = written(members, f"{path}/open{round_}")
         if members.isEmpty():
-            return links.select(F.least("v", "w").alias("v"), F.greatest("v", "w").alias("w")).distinct()
+            return roots
+        sizes = members.groupBy("key", "c").agg(F.count("*").alias("n"))
+        members = members.join(sizes.groupBy("key").agg(F.max_by("c", F.struct("n", "c")).alias("main")), "key")
         # of the members outside the largest class, one of each of ``share`` slots leads this round
         slot = F.pmod(F.xxhash64("v"), F.lit(share)).alias("slot")
-        leaders = members.filter("c <> main").groupBy("key", slot).agg(F.min("v").alias("leader")).select("key", "leader")
-        leaders = leaders.join(members.select("key", F.col("v").alias("leader"), F.col("d0").alias("e0"), F.col("c").alias("e"), *(F.col(c).alias(f"l_{c}") for c in own)), ["key", "leader"])
-        leaders = leaders.withColumnRenamed("key", "l_key")
-        met = members.join(leaders, (F.col("key") == F.col("l_key")) & (F.col("c") != F.col("e")) & (F.abs(F.col("d0") - F.col("e0")) <= most) & alike)
-        verified = verify(met.select(F.greatest("v", "leader").alias("v"), F.least("v", "leader").alias("leader")), f"{path}/verified{round_ + 1}")
-        links = links.unionByName(linked(verified))
-        members = members.join(leaders.select(F.col("l_key").alias("key"), F.col("leader").alias("v")), ["key", "v"], "left_anti").drop("c", "main")
+        leads = members.filter("c <> main").groupBy("key", slot).agg(F.min("v").alias("l_v")).select(F.col("key").alias("l_key"), "l_v")
+        traits_of = members.select(F.col("key").alias("l_key"), F.col("v").alias("l_v"), F.col("leader").alias("l_leader"), F.col("d0").alias("e0"), F.col("c").alias("e"), *(F.col(c).alias(f"l_{c}") for c in own))
+        leaders = leads.join(traits_of, ["l_key", "l_v"])
+        met = members.join(leaders, (F.col("key") == F.col("l_key")) & (F.col("c") != F.col("e")) & near & alike)
+        links = links.unionByName(linked(verify(met.select(F.greatest("v", "l_v").alias("v"), F.least("v", "l_v").alias("leader")), f"{path}/verified{round_ + 1}")))
+        members = members.join(leads.select(F.col("l_key").alias("key"), F.col("l_v").alias("v")), ["key", "v"], "left_anti").drop("c", "main")
         round_, share = round_ + 1, share * 256
 
 
@@ -210,37 +259,41 @@ def components(links: DataFrame, path: str) -> DataFrame:
 
 
 def _named(signed: DataFrame, path: str) -> DataFrame:
-    """copy, did, th, v: of each text with words of its own the smallest row that has it, and a number that no other has."""
-    reps = signed.groupBy("copy").agg(F.min(F.struct("did", "th")).alias("r")).select("copy", "r.did", "r.th")
+    """copy, v, did, th, keys, rests: of each text with words of its own the smallest row that has it, and a number that no
+    other has."""
+    reps = signed.groupBy("copy").agg(F.min(F.struct("did", "th", "keys", "rests")).alias("r"))
     seed = 0
     while True:
-        named = written(reps.withColumn("v", F.xxhash64(F.lit(seed), "copy")), f"{path}/reps{seed}")
+        named = written(reps.select("copy", F.xxhash64(F.lit(seed), "copy").alias("v"), "r.*"), f"{path}/reps{seed}")
         if named.groupBy("v").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
             return named
         seed += 1
 
 
-def _judged(docs: DataFrame, recall: float = RECALL) -> DataFrame:
-    """did, th, rep, root, n_links of each row, and kept_did, kept_th: the smallest row of its class."""
+def _forest(reps: DataFrame) -> DataFrame:
+    """key, v, leader, more of all trees: see ``_neighbours``."""
+    rows = reps.select("v", F.explode(F.arrays_zip("keys", "rests")).alias("l")).select(F.col("l.keys").alias("key"), F.col("l.rests").alias("rest"), "v")
+    return rows.repartition("key").sortWithinPartitions("key", "rest", "v").mapInArrow(_neighbours, "key bigint, v bigint, leader bigint, more int")
+
+
+def _judged(docs: DataFrame, recall: float = RECALL, count: bool = True) -> DataFrame:
+    """did, th, rep, root, n_links (if asked for) of each row, and kept_did, kept_th: the smallest row of its class."""
     spark = docs.sparkSession
     path = work_dir(spark)
-    signed = written(keyed(docs).mapInArrow(_signed(depth_for(recall)), "did bigint, th bigint, copy binary, prefixes array<bigint>"), f"{path}/signed")
+    signed = written(keyed(docs).mapInArrow(_signed(depth_for(recall)), "did bigint, th bigint, copy binary, keys array<bigint>, rests array<bigint>"), f"{path}/signed")
     reps = _named(signed, path)
-    one = signed.join(reps, ["did", "th", "copy"]).select("v", "prefixes").dropDuplicates(["v"])
-    keys = one.select("v", F.explode("prefixes").alias("key")).distinct()
-    several = keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
-    members = written(keys.join(several, "key", "left_semi"), f"{path}/members")
+    members = written(_forest(reps), f"{path}/members").drop("more")
+    reps = reps.select("copy", "v", "did", "th")
     ids = signed.select("did", "th", "copy").join(reps.select("copy", F.col("did").alias("rep"), F.col("th").alias("rep_th"), "v"), "copy").drop("copy")
     if members.isEmpty():
         return ids.select("did", "th", "rep", F.col("rep").alias("root"), F.lit(0).cast("bigint").alias("n_links"), F.col("rep").alias("kept_did"), F.col("rep_th").alias("kept_th"))
     wanted = reps.join(members.select("v").distinct(), "v", "left_semi").select("did", "th", "v")
     texts = keyed(docs).join(wanted, ["did", "th"]).select("v", "text").dropDuplicates(["v"])
     sets = written(texts.mapInArrow(_sets, "v bigint, s binary, size int, bits array<bigint>"), f"{path}/sets")
-    links = written(_links(members, sets, path), f"{path}/links")
-    roots = components(links, path)
+    roots = _roots(members, sets, path)
     smallest = roots.join(reps, "v").groupBy("root").agg(F.min(F.struct("did", "th")).alias("kept"))
-    degree = degrees(sets, roots)
-    named = roots.join(smallest, "root").join(degree, "v").select("v", "kept", "n")
+    named = roots.join(smallest, "root").select("v", "kept")
+    named = named.join(degrees(sets, roots), "v") if count else named.withColumn("n", F.lit(0))
     return ids.join(named, "v", "left").select(
         "did", "th", "rep", F.coalesce("kept.did", "rep").alias("root"), F.coalesce("n", F.lit(0)).cast("bigint").alias("n_links"),
         F.coalesce("kept.did", "rep").alias("kept_did"), F.coalesce("kept.th", "rep_th").alias("kept_th"),
@@ -313,7 +366,7 @@ def classes(docs: DataFrame, recall: float = RECALL) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """One document of each class: the row with the class's smallest id, and of several texts under that id the one with
     the smallest hash; all its columns as they are."""
-    kept = _judged(docs).select(F.col("kept_did").alias("did"), F.col("kept_th").alias("th")).distinct()
+    kept = _judged(docs, count=False).select(F.col("kept_did").alias("did"), F.col("kept_th").alias("th")).distinct()
     rows = docs.select(F.struct("*").alias("row"), did().alias("did"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"))
     rows = rows.join(kept, ["did", "th"], "left_semi").dropDuplicates(["did", "th"])
     return rows.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))

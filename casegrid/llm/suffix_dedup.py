@@ -10,7 +10,7 @@ where their windows are ordered as suffixes by deep-shallow sorting: multikey qu
 on superalphabet characters of eight bytes to a shallow depth, then a blind trie for each
 group that still has a common prefix.  Windows whose rolling hash no other window of the
 group has are left out of the sort, as they can equal none.  The sort works on offsets in
-the joined contexts; copies are made of one common-prefix group at a time.
+the joined contexts, without copies.
 
 Equal contexts of one minimizer are told by 128 bits (the minimizer's hash and the
 context's); all other equality is that of bytes.  A minimizer with more than IN_MEMORY
@@ -38,7 +38,7 @@ from casegrid.llm.common import slices, table, work_dir, written
 
 LENGTH, K, SHALLOW = 100, 20, 16
 #: Bytes of different contexts of one minimizer that are sorted in memory; beyond it the windows are dealt out one by one.
-IN_MEMORY = 4 << 20
+IN_MEMORY = 2 << 20
 #: Groups are sorted together until they have so many bytes.
 TOGETHER = 1 << 20
 _BASE = 0x9E3779B97F4A7C15
@@ -109,44 +109,46 @@ def common_prefix(a: bytes, b: bytes) -> int:
     return len(a) - (x.bit_length() + 7) // 8
 
 
-def blind_trie(strings: list[bytes], depth: int) -> list[int]:
-    """For each string the index of the first equal one.  Inner nodes hold only the place where their strings branch;
-    a descent skips what lies between, and one comparison at the leaf finds where the new string leaves the trie."""
-    first = [0] * len(strings)
+def blind_trie(buffer: bytes, starts: list[int], length: int = LENGTH) -> list[int]:
+    """For each string of ``length`` bytes of ``buffer``, given by its start, the index of the first equal one.  Inner
+    nodes hold only the place where their strings branch; a descent skips what lies between, and one comparison at the
+    leaf finds where the new string leaves the trie."""
+    first = [0] * len(starts)
     root: list | int = 0  # a leaf is an index, an inner node [depth, {byte: node}]
-    for i in range(1, len(strings)):
-        s, node = strings[i], root
+    for i in range(1, len(starts)):
+        s, node = starts[i], root
         while not isinstance(node, int):
-            node = node[1].get(s[node[0]]) if s[node[0]] in node[1] else next(iter(node[1].values()))
-        lcp = common_prefix(strings[node], s)
-        if lcp == len(s):
+            byte = buffer[s + node[0]]
+            node = node[1][byte] if byte in node[1] else next(iter(node[1].values()))
+        lcp = common_prefix(buffer[starts[node] : starts[node] + length], buffer[s : s + length])
+        if lcp == length:
             first[i] = node
             continue
         first[i] = i
         above, node = None, root
         while not isinstance(node, int) and node[0] < lcp:
-            above, node = node, node[1][s[node[0]]]
+            above, node = node, node[1][buffer[s + node[0]]]
         if not isinstance(node, int) and node[0] == lcp:
-            node[1][s[lcp]] = i
+            node[1][buffer[s + lcp]] = i
             continue
         some = node
         while not isinstance(some, int):
             some = next(iter(some[1].values()))
-        new = [lcp, {strings[some][lcp]: node, s[lcp]: i}]
+        new = [lcp, {buffer[starts[some] + lcp]: node, buffer[s + lcp]: i}]
         if above is None:
             root = new
         else:
-            above[1][s[above[0]]] = new
+            above[1][buffer[s + above[0]]] = new
     return first
 
 
-def deep_shallow(buffer: bytes, starts: np.ndarray, groups: list[list[int]] | None = None, shallow: int = SHALLOW) -> list[int]:
+def deep_shallow(buffer: bytes, starts: np.ndarray, groups: list[range] | None = None, shallow: int = SHALLOW) -> np.ndarray:
     """For each window (of LENGTH bytes of ``buffer``, given by its start, in order of rank) the index of the first equal
-    one in its group; ``groups`` lists the windows of each."""
+    one in its group; ``groups`` has the windows of each."""
     raw, eight = np.frombuffer(buffer, np.uint8), np.arange(8)
-    chars = [raw[starts[:, None] + (d + eight)].view(">u8").ravel().tolist() for d in range(0, shallow, 8)]
-    first, at = list(range(len(starts))), starts.tolist()
-    stack = [(g, 0) for g in ([first[:]] if groups is None else groups)]
+    chars = [memoryview(raw[starts[:, None] + (d + eight)].view(">u8").ravel().astype(np.uint64)) for d in range(0, shallow, 8)]
+    first, at = np.arange(len(starts)), memoryview(np.ascontiguousarray(starts, np.int64))
+    stack = [(g, 0) for g in (groups or [range(len(starts))])]
     while stack:
         group, depth = stack.pop()
         while len(group) > 1 and depth < len(chars):
@@ -162,7 +164,7 @@ def deep_shallow(buffer: bytes, starts: np.ndarray, groups: list[list[int]] | No
                 group = [i for i in group if c[i] == pivot]
             depth += 1
         if len(group) > 1:
-            for i, j in zip(group, blind_trie([buffer[at[i] : at[i] + LENGTH] for i in group], shallow), strict=True):
+            for i, j in zip(group, blind_trie(buffer, [at[i] for i in group]), strict=True):
                 first[i] = group[j]
     return first
 
@@ -284,7 +286,7 @@ def _sort_groups(out: _Spans, groups: list[list[tuple[int, int, int, bytes]]]) -
     if not len(at):
         return
     edges = [0, *(np.flatnonzero(np.diff(group[who[at]])) + 1).tolist(), len(at)]
-    first = np.array(deep_shallow(buffer, starts[at], [list(range(a, b)) for a, b in pairwise(edges)]))
+    first = deep_shallow(buffer, starts[at], [range(a, b) for a, b in pairwise(edges)])
     later = at[first != np.arange(len(at))]
     cut = np.flatnonzero((np.diff(later) != 1) | (np.diff(who[later]) != 0)) + 1
     for a, b in pairwise([0, *cut.tolist(), len(later)] if len(later) else []):

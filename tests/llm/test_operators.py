@@ -197,8 +197,8 @@ def test_deep_shallow_sorting():
     windows = [base[i : i + 100] for i in (rng.randrange(40) for _ in range(300))] + [bytes([rng.randrange(256)]) * 100 for _ in range(50)]
     first = {}
     want = [first.setdefault(w, i) for i, w in enumerate(windows)]
-    assert suffix_dedup.deep_shallow(b"".join(windows), np.arange(len(windows)) * 100) == want
-    assert suffix_dedup.deep_shallow(b"".join(windows), np.arange(len(windows)) * 100, [list(range(300)), list(range(300, 350))]) == want
+    assert suffix_dedup.deep_shallow(b"".join(windows), np.arange(len(windows)) * 100).tolist() == want
+    assert suffix_dedup.deep_shallow(b"".join(windows), np.arange(len(windows)) * 100, [range(300), range(300, 350)]).tolist() == want
 
 
 def test_bpe(docs):
