@@ -9,14 +9,14 @@ threshold shares a node in some tree as often as the target recall asks; a node
 texts are all of one class is settled.  Pairs are verified exactly on their shingle sets.
 
 Copies first: texts with equal words form one class and only one of them is compared.
-In a node not all pairs are compared.  Every text is verified against the first one of its
+In a node not all pairs are compared.  Every text is verified against the smallest one before it in its
 deepest shared node; those that match are linked by it, and the links of all trees are joined to
 classes.  In the nodes that are not settled, only texts outside the node's largest class are compared further,
 with texts of other classes, and only where the triangle inequality of the Jaccard
 distance and the sets' parity sketches let them match.  Neither test rules out a match, so
 no link that would join two classes is lost, and a node of near copies costs one row each.
 
-Links are joined to classes by hash-to-minimum rounds on written tables.  A link never leaves
+Links are joined to classes by rounds of contraction on written tables.  A link never leaves
 its class, so all links are then counted inside the classes: a class is dealt to blocks, and
 every block meets every other once, where the common shingles of all pairs are counted exactly.
 
@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casegrid.llm.common import NULL_ID, SPACES, did, forget, hash_words, keyed, slices, table, work_dir, written
+from casegrid.llm.common import NULL_ID, SPACES, did, hash_words, keyed, slices, table, work_dir, written
 
 N, THRESHOLD = 5, 0.8
 TREES, DEPTH, RECALL, SEED = 20, 9, 0.9995, 7
@@ -123,39 +123,37 @@ def _signed(least: int):
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Over rows sorted by (key, rest, v), of which each key is the trie below the least prefix: of each key with several
-    rows each row with the first row of its deepest node that holds an earlier one (the very first with itself), and how
-    many minima beyond the key they share.  Only the first rows of the nodes around the last row are kept."""
-    key = rest = v = np.empty(0, np.int64)
-    shared, firsts = -1, np.zeros(5, np.int64)  # of the last row, which waits for its successor
-
-    def out(key, v, leader, more):
-        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(v), pa.array(leader), pa.array(more.astype(np.int32))], names=["key", "v", "leader", "more"])
-
+    rows each row with the smallest v before it in its deepest node that holds an earlier one (the very first with itself),
+    and how many minima beyond the key they share.  As v is a hash, the trees mostly agree on whom a text is compared with.
+    What is kept between batches is the last row and the smallest v of each node around it."""
+    key = rest = v = leader = np.empty(0, np.int64)
+    more = np.array([-1])  # of the last row, which waits for its successor
+    smallest = np.zeros(5, np.int64)
+    names = ["key", "v", "leader", "more"]
     for b in batches:
         if not b.num_rows:
             continue
+        carried = len(key) > 0
         key, rest, v = (np.concatenate([x[-1:], b.column(c).to_numpy()]) for x, c in ((key, "key"), (rest, "rest"), (v, "v")))
         x = (rest[1:] ^ rest[:-1]).view(np.uint64)
-        more = np.where(key[1:] == key[:-1], sum((x < np.uint64(1 << k)).astype(int) for k in (48, 32, 16, 0)), -1)
-        more = np.concatenate([[shared] if len(key) > b.num_rows else [-1], more])
-        n, place, leader = len(key), np.arange(len(key)), v.copy()
-        carried, last = len(key) > b.num_rows, firsts.copy()
+        lcp = np.where(key[1:] == key[:-1], sum((x < np.uint64(1 << k)).astype(int) for k in (48, 32, 16, 0)), -1)
+        before, more, leader = leader[-1:], np.concatenate([more[-1:], lcp]), v.copy()
+        if carried:
+            leader[0] = before[0]
+        values, rank = np.unique(np.concatenate([v, smallest]), return_inverse=True)
         for level in range(5):
-            new = more < level
-            new[0] = not carried
-            at = np.maximum.accumulate(np.where(new, place, -1))
-            first = np.where(at >= 0, v[at], firsts[level])
-            use = more == level
-            leader[use] = first[use]
-            last[level] = first[-1]
-        emit = (more >= 0) | np.concatenate([more[1:] >= 0, [False]])
-        emit[-1] = False
-        if n > 1:
-            e = np.flatnonzero(emit)
-            yield out(key[e], v[e], leader[e], np.maximum(more[e], 0))
-        shared, firsts, held = int(more[-1]), last, leader[-1:]
-    if shared >= 0:
-        yield out(key[-1:], v[-1:], held, np.array([shared]))
+            node = np.cumsum(np.concatenate([[0], more[1:] < level])) * (len(values) + 1)
+            r = rank[: len(v)].copy()
+            if carried:
+                r[0] = rank[len(v) + level]
+            least = values[np.minimum.accumulate(r - node) + node]  # later nodes rank lower, so each begins anew
+            here = np.flatnonzero(more[1:] == level) + 1
+            leader[here] = least[here - 1]
+            smallest[level] = least[-1]
+        e = np.flatnonzero((more[:-1] >= 0) | (more[1:] >= 0))
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in (key[e], v[e], leader[e], np.maximum(more[e], 0).astype(np.int32))], names=names)
+    if len(key) and more[-1] >= 0:
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in (key[-1:], v[-1:], leader[-1:], more[-1:].astype(np.int32))], names=names)
 
 
 def sketch(s: np.ndarray) -> np.ndarray:
@@ -192,7 +190,7 @@ def _roots(members: DataFrame, sets: DataFrame, path: str) -> DataFrame:
     """v, root: the classes of all texts that a verified link names.  ``members``: key, v and its leader (of ``_neighbours``);
     ``sets``: of each v.
 
-    First every text is verified against its leader, which in every tree is another one.  The links of all trees are joined to
+    First every text is verified against its leader.  The links of all trees are joined to
     classes, and a key of one class is settled.  In the others, texts outside the key's largest class are compared with those of
     other classes that the triangle inequality over a common leader and the sets' parity sketches allow to match, both
     without error: some of them in each round, many more in the next, as a round's links may have joined the rest."""
@@ -238,24 +236,24 @@ def _roots(members: DataFrame, sets: DataFrame, path: str) -> DataFrame:
 
 
 def components(links: DataFrame, path: str) -> DataFrame:
-    """v, root (smallest member) of everything that a link names: each round every vertex sends the smallest label it
-    knows to its neighbours, then jumps to its label's label, until nothing changes."""
-    spark = links.sparkSession
-    edges = written(links.select("v", "w").unionByName(links.select(F.col("w").alias("v"), F.col("v").alias("w"))).distinct(), f"{path}/edges")
-    labels = written(edges.groupBy("v").agg(F.least(F.min("w"), F.col("v")).alias("root")), f"{path}/labels0")
-    step = 0
+    """v, root (smallest member) of everything that a link names, by contraction: in each round every vertex points to its
+    smallest neighbour's smallest neighbour, and the links between what they point to go on, until none is left."""
+    edges = written(links.select(F.least("v", "w").alias("a"), F.greatest("v", "w").alias("b")).filter("a <> b").distinct(), f"{path}/edges0")
+    rounds = []
     while True:
-        near = edges.join(labels.select(F.col("v").alias("w"), F.col("root").alias("r")), "w").groupBy("v").agg(F.min("r").alias("r"))
-        new = labels.join(near, "v").select("v", F.least("root", "r").alias("new"), "root")
-        jump = new.join(labels.select(F.col("v").alias("new"), F.col("root").alias("far")), "new", "left").select("v", F.least("new", F.coalesce("far", "new")).alias("root"), F.col("root").alias("old"))
-        after = written(jump, f"{path}/labels{step + 1}")
-        done = after.filter(F.col("root") != F.col("old")).isEmpty()
-        labels = after.select("v", "root")
-        if step:
-            forget(spark, f"{path}/labels{step - 1}")
-        if done:
-            return labels
-        step += 1
+        both = edges.select(F.explode(F.array(F.struct(F.col("a").alias("v"), F.col("b").alias("w")), F.struct(F.col("b").alias("v"), F.col("a").alias("w")))).alias("e")).select("e.*")
+        near = both.groupBy("v").agg(F.least(F.min("w"), F.col("v")).alias("p"))
+        parents = near.join(near.select(F.col("v").alias("p"), F.col("p").alias("root")), "p").select("v", "root")
+        rounds.append(written(parents, f"{path}/parents{len(rounds)}"))
+        of = lambda c: rounds[-1].select(F.col("v").alias(c), F.col("root").alias(f"r_{c}"))
+        met = edges.join(of("a"), "a").join(of("b"), "b").filter("r_a <> r_b")
+        edges = written(met.select(F.least("r_a", "r_b").alias("a"), F.greatest("r_a", "r_b").alias("b")).distinct(), f"{path}/edges{len(rounds)}")
+        if edges.isEmpty():
+            break
+    roots = rounds.pop()
+    for earlier in reversed(rounds):
+        roots = earlier.join(roots.select(F.col("v").alias("root"), F.col("root").alias("far")), "root", "left").select("v", F.coalesce("far", "root").alias("root"))
+    return written(roots, f"{path}/roots")
 
 
 def _named(signed: DataFrame, path: str) -> DataFrame:

@@ -49,20 +49,29 @@ def order(d):
     return -(2**63) if d is None else d
 
 
+def _pieces(text):
+    """(first line, line after the last, bytes) of the chunks of a text, by their definition."""
+    lines = text.split("\n")
+    some = [i for i, x in enumerate(lines) if x.strip(" \t\n\x0b\x0c\r")]
+    out = {(a, b + 1) for a, b in zip(some, some[1:])}
+    out |= {(s, s + n) for s, n, level, _ in line_dedup.chunks(text) if level == line_dedup.COARSE}
+    return [(a, b, "\n".join(lines[a:b])) for a, b in sorted(out)]
+
+
 def test_line_dedup(docs):
     rows = corpus()
     texts = {(order(r[0]), r[1] or "") for r in rows}
     first = {}
     for d, t in sorted(texts):
-        for start, n, c in line_dedup.chunks(t):
+        for _, _, c in _pieces(t):
             first.setdefault(c, d)
     want = defaultdict(int)
     for r in rows:
         t, seen = r[1] or "", set()
         gone = set()
-        for start, n, c in line_dedup.chunks(t):
+        for a, b, c in _pieces(t):
             if c in seen or first[c] < order(r[0]):
-                gone.update(range(start, start + n))
+                gone.update(range(a, b))
             seen.add(c)
         kept = "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone)
         want[(r[0], len(t.split("\n")), len(gone), hashlib.sha256(kept.encode()).hexdigest())] += 1
@@ -75,12 +84,28 @@ def test_line_dedup(docs):
     assert out.filter("text is null").count() == 1
 
 
+def test_line_dedup_removes_whole_passages(spark):
+    """Passages of two lines and more in foreign surroundings go to the last line, and nothing else does."""
+    rng = random.Random(17)
+    line = lambda: " ".join(words(rng, rng.randint(6, 15)))
+    rows, want = [], {}
+    passages = [[line() for _ in range(n)] for n in (2, 2, 3, 4, 6, 9)] + [[line(), "", line(), " ", line()]]
+    for i in range(60):
+        own = [[line() for _ in range(rng.randint(1, 4))] for _ in range(3)]
+        p = passages[i % len(passages)] if i % 2 else []
+        rows.append((i, "\n".join([*own[0], *p, *own[1], *own[2]])))
+        first = i < 2 * len(passages)
+        want[i] = "\n".join([*own[0], *(p if first else []), *own[1], *own[2]])
+    out = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert {r["doc_id"]: r["text"] for r in out.collect()} == want
+
+
 def test_chunks_resist_shifts():
     rng = random.Random(4)
     lines = [" ".join(words(rng, 6)) for _ in range(60)]
-    a = {c for _, _, c in line_dedup.chunks("\n".join(lines))}
-    b = {c for _, _, c in line_dedup.chunks("\n".join(["new", *lines[:30], "other", *lines[30:]]))}
-    assert len(a & b) >= len(a) - 4 and all("\n" in c for c in a)
+    coarse = lambda x: {k for _, _, level, k in line_dedup.chunks("\n".join(x)) if level == line_dedup.COARSE}
+    a, b = coarse(lines), coarse(["new", *lines[:30], "other", *lines[30:]])
+    assert len(a) > 5 and len(a & b) >= len(a) - 4
 
 
 def test_ngram_join(docs):
@@ -125,6 +150,52 @@ def test_ngram_join_large_group_of_near_copies(spark):
     assert all(out[i] == 0 for i in range(150)) and all(out[1000 + i] == 1000 + i for i in range(20))
 
 
+def test_forest_shortens_prefixes_by_text():
+    """Each row's leader is the smallest before it in its deepest node, wherever batches end; the depth varies by row."""
+    import pyarrow as pa
+
+    rng = random.Random(21)
+    rows = []
+    for key in range(40):
+        for _ in range(rng.choice((1, 1, 2, 5, 30))):
+            rest = 0
+            for _ in range(4):
+                rest = rest << 16 | rng.choice((1, 1, 1, 40000))
+            rows.append((key, rest - (1 << 64) if rest >> 63 else rest, rng.randrange(-(2**62), 2**62)))
+    rows.sort()
+    chars = lambda r: [(r[1] >> k) & 0xFFFF for k in (48, 32, 16, 0)]
+    want = set()
+    for i, r in enumerate(rows):
+        own = [q for q in rows[:i] if q[0] == r[0]]
+        if own:
+            shared = [next((k for k in range(4) if chars(q)[k] != chars(r)[k]), 4) for q in own]
+            want.add((r[0], r[2], min(q[2] for q, n in zip(own, shared) if n == max(shared)), max(shared)))
+        elif i + 1 < len(rows) and rows[i + 1][0] == r[0]:
+            want.add((r[0], r[2], r[2], 0))
+    for size in (1, 7, 1000):
+        batches = [pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows[a : a + size])], names=["key", "rest", "v"]) for a in range(0, len(rows), size)]
+        got = [tuple(x.values()) for b in ngram_join._neighbours(iter(batches)) for x in b.to_pylist()]
+        assert len(got) == len(set(got)) and set(got) == want, size
+    assert {w[3] for w in want} == {0, 1, 2, 3, 4}
+
+
+def test_components(spark, tmp_path):
+    rng = random.Random(22)
+    links = [(i, i + 1) for i in range(100, 160)] + [(1000, 2000 + i) for i in range(50)] + [(rng.randrange(300, 500), rng.randrange(300, 500)) for _ in range(120)]
+    parent = {v: v for e in links for v in e}
+
+    def find(v):
+        while parent[v] != v:
+            v = parent[v]
+        return v
+
+    for v, w in links:
+        a, b = sorted((find(v), find(w)))
+        parent[b] = a
+    got = ngram_join.components(spark.createDataFrame([e for e in links if e[0] != e[1]], "v bigint, w bigint"), f"file://{tmp_path}").collect()
+    assert {r["v"]: r["root"] for r in got} == {v: find(v) for e in links if e[0] != e[1] for v in e} and len(got) == len({r["v"] for r in got})
+
+
 def test_ngram_join_counts_every_link(spark, monkeypatch):
     rng = random.Random(3)
     base, rows = words(rng, 120), []
