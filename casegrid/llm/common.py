@@ -23,19 +23,37 @@ NULL_ID = -(2**63)
 BATCH = 4 << 20
 #: ASCII white space, by byte.
 SPACES = np.isin(np.arange(256), np.frombuffer(b" \t\n\x0b\x0c\r", np.uint8))
-_WEIGHTS = np.random.default_rng(5).integers(0, 2**64, 4096, np.uint64) | np.uint64(1)
+_BASE = 0x9E3779B97F4A7C15
+KEPT = (1 << 20) + (1 << 16)
+_POWERS: list[np.ndarray] = []
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of _BASE and of its inverse modulo 2**64, of which KEPT are kept."""
+
+    def of(base: int, n: int) -> np.ndarray:
+        p = np.full(n, base, np.uint64)
+        p[:1] = 1
+        return np.cumprod(p)
+
+    if not _POWERS:
+        _POWERS.extend(of(x, KEPT) for x in (_BASE, pow(_BASE, -1, 1 << 64)))
+    if n <= KEPT:
+        return _POWERS[0], _POWERS[1]
+    return of(_BASE, n), of(pow(_BASE, -1, 1 << 64), n)
 
 
 def hash_words(b: np.ndarray, parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the runs of bytes that are not in ``parts``, and where each begins."""
-    word = ~parts[b]
-    if not word.any():
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
-    at = np.flatnonzero(np.diff(word, prepend=False, append=False))
-    starts, length = at[::2], at[1::2] - at[::2]
-    first = np.cumsum(length) - length
-    place = np.arange(int(length.sum())) - np.repeat(first, length)
-    h = np.add.reduceat((b[word].astype(np.uint64) + np.uint64(1)) * _WEIGHTS[place & 4095], first)
+    """64-bit hashes of the runs of bytes that are not in ``parts``, and where each begins: differences of one running
+    polynomial, each divided by the power at its place."""
+    word = np.zeros(len(b) + 2, bool)
+    word[1:-1] = ~parts[b]
+    at = np.flatnonzero(word[1:] != word[:-1])
+    starts, ends = at[::2], at[1::2]
+    up, down = _powers(len(b))
+    total = np.zeros(len(b) + 1, np.uint64)
+    np.cumsum((b.astype(np.uint64) + np.uint64(1)) * up[: len(b)], out=total[1:])
+    h = (total[ends] - total[starts]) * down[starts]
     h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
     return h ^ (h >> np.uint64(32)), starts
 
@@ -62,17 +80,6 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(did().alias("did"), F.xxhash64(text).alias("th"), text.alias("text"))
 
 
-def with_result(docs: DataFrame, result: DataFrame) -> DataFrame:
-    """Left join of whole document rows with ``result``, unique by (did, th).
-
-    The columns of ``result`` must start with an underscore-free name that is not used
-    by the documents; callers prefix theirs with ``r_``.
-    """
-    text = F.coalesce(F.col("text"), F.lit(""))
-    left = docs.select(F.struct("*").alias("row"), did().alias("did"), F.xxhash64(text).alias("th"))
-    return left.join(result, ["did", "th"], "left")
-
-
 def work_dir(spark: SparkSession) -> str:
     """A new folder in the shared folder that the cluster names in spark.checkpoint.dir."""
     bounded(spark)

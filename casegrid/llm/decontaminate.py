@@ -2,17 +2,17 @@
 
 Method: latent semantic retrieval.  Texts are cut into passages of words, whose TF-IDF
 rows (hashed terms) make a matrix A over the whole corpus.  A randomised SVD finds its
-leading right singular vectors in one pass: every partition adds up A'(A R) for a random
+leading right singular vectors in one pass: every partition adds up A'(A R) for a random test matrix
 R, and the Nystroem form of the sums gives the vectors.  Sliding passages of all texts are
 projected and compared with the items' passages by cosine.  Rewordings and short items that
 the latent space misses are retrieved by the pairs of near words that they share with an
 item at about one offset.  A candidate is decided by the longest common subsequence of words
 around it.  A share of VERBATIM of the item is a leak; a
-share of REWORDED is one if the item's answer (its last sentence) is there too; and so is a
+share of REWORDED is one if the item's answer (its last sentence, or the last third of a single long one) is there too; and so is a
 share of VERBATIM of any PASSAGE successive words of a longer item, for texts that quote a part.
 
-Items are read in blocks of BLOCK rows in the order of their ids, so what is broadcast is
-bounded; each block is one pass over the texts.
+Items are read in blocks of BLOCK rows in the order of their ids; each block is one pass over
+the texts, written before the next block is broadcast, so what is broadcast is bounded.
 
 Defined results: a null text counts as empty, and a text without words holds no item; items
 without words are ignored; repeated items are found once each by id; repeated rows get the
@@ -30,12 +30,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casegrid.llm.common import hash_words, map_columns, slices, table
+from casegrid.llm.common import forget, hash_words, slices, table, work_dir, written
 
-TERMS, RANK, EXTRA, SEED = 8192, 96, 8, 5
+TERMS, RANK, EXTRA, SEED = 8192, 64, 8, 5
 #: Sliding passages begin every STEP words and have these many words; the least cosine of a candidate for each.
 STEP, SIZES, COSINES = 4, (16, 32), (0.8, 0.8)
-VERBATIM, REWORDED, ANSWER = 0.7, 0.6, 0.8
+VERBATIM, REWORDED, ANSWER, ONE = 0.7, 0.6, 0.8, 24
 #: Pairs are of words at most GAP apart; a candidate shares one pair for each PER words of the item (or of 32), in a band of offsets.
 GAP, PER, BAND = 2, 3, 16
 _BITS = 20
@@ -84,78 +84,57 @@ def _with_zero(rows: np.ndarray) -> np.ndarray:
     return np.concatenate([rows, np.zeros((1, rows.shape[1]), rows.dtype)])
 
 
-def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce("text", F.lit("")).alias("text"))
+def latent_space(docs: DataFrame, rank: int = RANK) -> np.ndarray:
+    """What each term adds to its passage's latent vector (its weight by its row of the leading right singular vectors of
+    the corpus's TF-IDF passages), and a last row of zeros.
 
-
-def frequencies(docs: DataFrame) -> np.ndarray:
-    """Inverse passage frequency of each term over all texts; one row per term comes to the driver."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, total = np.zeros(TERMS, np.int64), 0
-        for batch in batches:
-            for b in slices(batch, PART):
-                h, begin = tokens(b.column("text").to_pylist())
-                padded, first = _padded(terms(h), begin, SIZES[-1])
-                rows = np.sort(padded.astype(np.uint16).reshape(-1, SIZES[-1]), axis=1)
-                new = np.concatenate([np.ones((len(rows), 1), bool), rows[:, 1:] != rows[:, :-1]], axis=1)
-                df += np.bincount(rows[new], minlength=TERMS + 1)[:TERMS]
-                total += int(first[-1])
-        seen = np.flatnonzero(df)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(seen, -1)), pa.array(np.append(df[seen], total))], names=["term", "n"])
-
-    rows = _texts(docs).mapInArrow(run, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect()
-    df = np.zeros(TERMS)
-    total = 0
-    for r in rows:
-        if r["term"] < 0:
-            total = r["n"]
-        else:
-            df[r["term"]] = r["n"]
-    return np.log((1 + total) / (1 + df)).astype(np.float32)
-
-
-def singular_vectors(docs: DataFrame, idf: np.ndarray, rank: int = RANK) -> np.ndarray:
-    """TERMS x rank: leading right singular vectors of the corpus's TF-IDF passages."""
+    One pass over all texts.  With F the counts of terms by passage and D their weights (inverse passage frequency), the
+    matrix is A = F D.  Every partition adds up F'F R for a random R, and the passages that have each term.  As D is known by
+    then, D F'F R is A'A (1/D) R: the product that the Nystroem form needs, for the test matrix (1/D) R."""
     random = np.random.default_rng(SEED).normal(size=(TERMS, rank + EXTRA)).astype(np.float32)
     width, cols = TERMS // _SHARDS, rank + EXTRA
-    weighted = _with_zero(idf[:, None] * random)
+    rows_of = _with_zero(random)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((cols, TERMS))
+        total, passages = np.zeros((cols + 1, TERMS)), 0  # the last row counts passages
         for batch in batches:
             for b in slices(batch, PART):
                 h, begin = tokens(b.column("text").to_pylist())
-                padded, _ = _padded(terms(h), begin, SIZES[-1])
-                z = _sums(weighted, padded, SIZES[-1])  # A R, passage by passage
+                padded, first = _padded(terms(h), begin, SIZES[-1])
+                z = _sums(rows_of, padded, SIZES[-1])  # F R, passage by passage
                 passage = np.arange(len(padded)) // SIZES[-1]
                 for c, column in enumerate(np.ascontiguousarray(z.T)):
                     total[c] += np.bincount(padded, column[passage], TERMS + 1)[:TERMS]
-        yield _shards(total.T * idf[:, None])
+                own = np.sort(padded.astype(np.uint16).reshape(-1, SIZES[-1]), axis=1)
+                new = np.concatenate([np.ones((len(own), 1), bool), own[:, 1:] != own[:, :-1]], axis=1)
+                total[cols] += np.bincount(own[new], minlength=TERMS + 1)[:TERMS]
+                passages += int(first[-1])
+        m = [np.ascontiguousarray(total[:, s * width : (s + 1) * width]).tobytes() for s in range(_SHARDS)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(_SHARDS), pa.int32()), pa.array(m, pa.binary()), pa.array([passages] * _SHARDS)], names=["shard", "m", "passages"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
+        passages: dict[int, int] = {}
         for b in batches:
-            for s, m in zip(b.column("shard").to_pylist(), b.column("m").to_pylist(), strict=True):
+            for s, m, n in zip(b.column("shard").to_pylist(), b.column("m").to_pylist(), b.column("passages").to_pylist(), strict=True):
                 sums[s] = sums.get(s, 0) + np.frombuffer(m, np.float64)
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([m.tobytes() for m in sums.values()], pa.binary())], names=["shard", "m"])
-
-    def _shards(total: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(range(_SHARDS), pa.int32()), pa.array([total[s * width : (s + 1) * width].tobytes() for s in range(_SHARDS)], pa.binary())], names=["shard", "m"])
-
-    y = np.zeros((TERMS, cols))
-    for r in _texts(docs).mapInArrow(run, "shard int, m binary").repartition("shard").mapInArrow(add, "shard int, m binary").collect():
-        y[r["shard"] * width : (r["shard"] + 1) * width] += np.frombuffer(r["m"]).reshape(width, cols)
-    core = random.T @ y
+                passages[s] = passages.get(s, 0) + n
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([m.tobytes() for m in sums.values()], pa.binary()), pa.array(list(passages.values()), pa.int64())], names=["shard", "m", "passages"])
+
+    schema, y, passages = "shard int, m binary, passages bigint", np.zeros((cols + 1, TERMS)), 0
+    for r in docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, schema).repartition("shard").mapInArrow(add, schema).collect():
+        y[:, r["shard"] * width : (r["shard"] + 1) * width] += np.frombuffer(r["m"]).reshape(cols + 1, width)
+        passages = r["passages"]
+    idf = np.log((1.5 + passages) / (1 + y[cols]))  # above 0, whatever the counts
+    y = idf[:, None] * y[:cols].T
+    core = (random / idf[:, None]).T @ y
     values, vectors = np.linalg.eigh((core + core.T) / 2)
     good = values > 1e-9 * max(values.max(), 1e-300)
-    if not good.any():
-        return np.zeros((TERMS, rank), np.float32)
-    half = y @ (vectors[:, good] / np.sqrt(values[good]))
-    u, _, _ = np.linalg.svd(half, full_matrices=False)
     out = np.zeros((TERMS, rank), np.float32)
-    out[:, : min(rank, u.shape[1])] = u[:, :rank]
-    return out
+    if good.any():
+        u, _, _ = np.linalg.svd(y @ (vectors[:, good] / np.sqrt(values[good])), full_matrices=False)
+        out[:, : min(rank, u.shape[1])] = u[:, :rank]
+    return _with_zero((idf[:, None] * out).astype(np.float32))
 
 
 def positions(a: list) -> dict:
@@ -181,9 +160,11 @@ def lcs(masks: dict, size: int, b: list, least: float = 0) -> int:
 
 
 def answer(text: str) -> str:
-    """The last sentence."""
+    """The last sentence; of a single sentence of ONE words or more its last third."""
     body = text.strip().rstrip(".!?…")
-    return body[max(body.rfind(c) for c in ".!?\n") + 1 :]
+    last = body[max(body.rfind(c) for c in ".!?\n") + 1 :]
+    words = last.split()
+    return " ".join(words[-(len(words) // 3) :]) if len(last) == len(body) and len(words) >= ONE else last
 
 
 @dataclass
@@ -249,27 +230,31 @@ def candidates(h: np.ndarray, begin: np.ndarray, projected: np.ndarray, items: I
         return none
     out = []
     padded, first = _padded(terms(h), begin, STEP)
-    block = _sums(projected, padded, STEP)
-    text = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    left = first[1:][text] - np.arange(len(block))  # blocks from here to the text's end
+    # the blocks' sums, with zero blocks behind each text, so that a passage's sum never reaches into the next one
+    gap = SIZES[-1] // STEP - 1
+    count = np.diff(first)
+    text = np.repeat(np.arange(len(count)), count)
+    place = np.arange(int(first[-1])) - first[:-1][text]
+    sums = np.zeros((int(first[-1]) + gap * (len(count) + 1), projected.shape[1]), np.float32)
+    at = np.arange(int(first[-1])) + gap * text
+    sums[at] = _sums(projected, padded, STEP)
+    left, width = count[text] - place, 1  # blocks from here to the text's end
     for k, size in enumerate(SIZES):
+        while width < size // STEP:
+            sums = sums[: len(sums) - width] + sums[width:]
+            width *= 2
         queries = np.flatnonzero(items.size == k)
-        m = size // STEP
-        # a passage within its text, or all of a shorter text
-        place = np.arange(len(block)) - first[:-1][text]
-        whole = np.flatnonzero(((left >= m) & (place % (1 + k) == 0)) | (place == 0) | (left == m))  # larger passages at every second step
-        if not len(queries) or not len(whole):
+        # a passage within its text, or all of a shorter text; larger passages at every second step
+        whole = np.flatnonzero(((left >= width) & (place % (1 + k) == 0)) | (place == 0) | (left == width))
+        if not len(queries):
             continue
-        w = np.zeros((len(whole), block.shape[1]), np.float32)
-        for j in range(m):
-            inside = left[whole] > j
-            w[inside] += block[whole[inside] + j]
-        w /= np.maximum(np.linalg.norm(w, axis=1, keepdims=True), 1e-9)
-        for a in range(0, len(w), 4096):
-            near = np.flatnonzero(w[a : a + 4096] @ items.vectors[queries].T >= COSINES[k])
+        vectors = np.ascontiguousarray(items.vectors[queries].T)
+        for a in range(0, len(whole), 2048):
+            w = sums[at[whole[a : a + 2048]]]
+            near = np.flatnonzero(w @ vectors >= COSINES[k] * np.maximum(np.sqrt(np.einsum("ij,ij->i", w, w)), 1e-9)[:, None])
             b = whole[a + near // len(queries)]
             q = queries[near % len(queries)]
-            start = (b - first[:-1][text[b]]) * STEP - items.starts[q]
+            start = place[b] * STEP - items.starts[q]
             out.append((text[b] * len(items.ids) + items.owner[q] << 32) + start + (1 << 31))
     if not out:
         return none
@@ -281,20 +266,31 @@ def candidates(h: np.ndarray, begin: np.ndarray, projected: np.ndarray, items: I
 def by_pairs(h: np.ndarray, begin: np.ndarray, items: Items) -> tuple[np.ndarray, np.ndarray]:
     """Rows as of ``candidates``: where a text shares enough word pairs with an item in a band of offsets, and those of
     them with enough for a passage."""
-    text, item, offset = [], [], []
+    pair, place, offset = [], [], []
     for gap, k in enumerate(word_pairs(h), 1):
         at = np.flatnonzero(items.known[(k & np.uint64((1 << _BITS) - 1)).astype(int)])
         lo, hi = np.searchsorted(items.pairs, k[at]), np.searchsorted(items.pairs, k[at], "right")
         t = np.searchsorted(begin, at, "right") - 1
         n = np.where(at + gap < begin[t + 1], hi - lo, 0)  # both words in one text
         own = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
-        text.append(np.repeat(t, n)), item.append(items.pair_item[own]), offset.append(np.repeat(at - begin[t], n) - items.pair_place[own])
-    text, item, offset = (np.concatenate(x) if x else np.empty(0, int) for x in (text, item, offset))
-    out, part, pair = [], [], text * len(items.ids) + item
+        pair.append(np.repeat(t, n) * len(items.ids) + items.pair_item[own])
+        place.append(items.pair_place[own] * GAP + gap - 1), offset.append(np.repeat(at - begin[t], n) - items.pair_place[own])
+    pair, place, offset = (np.concatenate(x) if x else np.empty(0, int) for x in (pair, place, offset))
+    out, part, least = [], [], np.maximum(1, np.minimum(items.length, SIZES[-1]) // PER)
     for shift in (0, BAND // 2):  # bands overlap by half
-        code, count = np.unique((pair << 32) + (offset + shift) // BAND + (1 << 31), return_counts=True)
+        code = (pair << 32) + (offset + shift) // BAND + (1 << 31)
+        often = np.argsort(code, kind="stable")
+        band = np.flatnonzero(np.diff(code[often], prepend=-1))
+        raw = np.diff(np.append(band, len(code)))
+        often = often[np.repeat(raw >= least[(code[often[band]] >> 32) % max(1, len(items.ids))], raw)]
+        order = often[np.lexsort((place[often], code[often]))]
+        c, p = code[order], place[order]
+        band = np.flatnonzero(np.diff(c, prepend=-1))
+        new = np.concatenate([[1], (c[1:] != c[:-1]) | (p[1:] != p[:-1])]) if len(c) else c
+        count = np.add.reduceat(new, band) if len(c) else c  # a pair of the item counts once, however often a text repeats it
+        code = c[band]
         own = (code >> 32) % max(1, len(items.ids))
-        enough = count >= np.maximum(1, np.minimum(items.length[own], SIZES[-1]) // PER)
+        enough = count >= least[own]
         code, count, own = code[enough], count[enough], own[enough]
         part.append((count >= PASSAGE * 2 // 3) & (items.length[own] > PASSAGE))
         both = code >> 32
@@ -303,6 +299,15 @@ def by_pairs(h: np.ndarray, begin: np.ndarray, items: Items) -> tuple[np.ndarray
     return rows, rows[np.concatenate(part)]
 
 
+def merged(rows: np.ndarray) -> np.ndarray:
+    """Of candidates (text, item, start) those whose starts fall in one band as one: (text, item, first start, last start)."""
+    rows = rows[np.lexsort((rows[:, 2], rows[:, 1], rows[:, 0]))]
+    if not len(rows):
+        return np.empty((0, 4), np.int64)
+    new = np.flatnonzero(np.concatenate([[True], (np.diff(rows[:, 0]) != 0) | (np.diff(rows[:, 1]) != 0) | (np.diff(rows[:, 2] // BAND) != 0)]))
+    return np.concatenate([rows[new], rows[np.append(new[1:], len(rows)) - 1, 2:]], 1)
+
+
 def likely(near: np.ndarray, h: np.ndarray, begin: np.ndarray, items: Items) -> np.ndarray:
     """Those of the candidates around which enough words have terms of the item: a common sequence is no longer than that."""
     n, out = np.append(terms(h), TERMS), []
@@ -327,78 +332,86 @@ def found(texts: list[str], projected: np.ndarray, items: Items) -> list[dict[in
         return best
     whole, parts = by_pairs(h, begin, items)
     near = np.concatenate([candidates(h, begin, projected, items), whole])
-    for t, i, start in likely(near, h, begin, items).tolist():
+    for t, i, start, last in merged(likely(near, h, begin, items)).tolist():
         if best[t].get(i, 0) >= 1:
             continue
         own, size, lo, hi = items.words[i], int(items.length[i]), int(begin[t]), int(begin[t + 1])
-        around = h[max(lo, lo + start - 4 * STEP) : min(hi, lo + start + size + 4 * STEP)].tolist()
+        around = h[max(lo, lo + start - 4 * STEP) : min(hi, lo + last + size + 4 * STEP)].tolist()
         share = lcs(own, size, around, REWORDED * size) / size
         wanted, n = items.answers[i]
         if share >= VERBATIM or (share >= REWORDED and n and lcs(wanted, n, around) >= ANSWER * n):
             best[t][i] = max(best[t].get(i, 0), share)
-    for t, i, start in parts.tolist():
+    for t, i, start, last in merged(parts).tolist():
         if i in best[t]:
             continue
         lo, hi, size = int(begin[t]), int(begin[t + 1]), int(items.length[i])
         for a, words in items.passages[i]:
-            around = h[max(lo, lo + start + a - BAND) : max(lo, min(hi, lo + start + a + PASSAGE + BAND))].tolist()
+            around = h[max(lo, lo + start + a - BAND) : max(lo, min(hi, lo + last + a + PASSAGE + BAND))].tolist()
             if lcs(words, PASSAGE, around, VERBATIM * PASSAGE) >= VERBATIM * PASSAGE:
-                best[t][i] = lcs(items.words[i], size, h[max(lo, lo + start - BAND) : min(hi, lo + start + size + BAND)].tolist()) / size
+                best[t][i] = lcs(items.words[i], size, h[max(lo, lo + start - BAND) : min(hi, lo + last + size + BAND)].tolist()) / size
                 break
     return best
 
 
-def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int | None, str]]]:
+def _blocks(benchmark: DataFrame) -> Iterator[tuple[list[tuple[int | None, str]], bool]]:
+    """The items, BLOCK at a time, and whether a block is the last."""
     block = []
     for r in benchmark.select(F.col("item_id").cast("bigint").alias("i"), F.coalesce("text", F.lit("")).alias("t")).distinct().orderBy("i", "t").toLocalIterator():
-        block.append((r["i"], r["t"]))
         if len(block) == BLOCK:
-            yield block
+            yield block, False
             block = []
+        block.append((r["i"], r["t"]))
     if block:
-        yield block
+        yield block, True
 
 
-def latent_space(docs: DataFrame) -> np.ndarray:
-    """What each term adds to its passage's latent vector, and a last row of zeros."""
-    idf = frequencies(docs)
-    return _with_zero((idf[:, None] * singular_vectors(docs, idf)).astype(np.float32))
+def _passes(rows: DataFrame, benchmark: DataFrame, space: np.ndarray, search) -> DataFrame:
+    """``rows`` after one pass of ``search(projected, items)`` for each block of items.  All but the last are written, so that
+    one block is broadcast at a time and no stage holds several."""
+    spark, before = rows.sparkSession, None
+    for block, last in _blocks(benchmark):
+        shared = spark.sparkContext.broadcast((space, prepared(block, space)))
+
+        def run(batches, shared=shared):
+            yield from search(batches, *shared.value)
+
+        rows = rows.mapInArrow(run, rows.schema)
+        if not last:
+            path = f"{work_dir(spark)}/passed"
+            rows = written(rows, path)
+            shared.destroy()
+            if before:
+                forget(spark, before)
+            before = path
+    return rows
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_ids (ascending) and share (the largest) of each row."""
-    spark = docs.sparkSession
-    space = latent_space(docs)
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.lit(None).cast("array<bigint>").alias("item_ids"), F.lit(0.0).alias("share"))
-    for block in _blocks(benchmark):
-        shared = spark.sparkContext.broadcast((space, prepared(block, space)))
 
-        def run(b: pa.RecordBatch, shared=shared) -> dict:
-            projected, items = shared.value
-            got = [g for part in slices(b, PART) for g in found(part.column("text").to_pylist(), projected, items)]
-            before, share = b.column("item_ids").to_pylist(), b.column("share").to_pylist()
-            ids = [sorted({*(x or ()), *(items.ids[i] for i in g if items.ids[i] is not None)}) for g, x in zip(got, before, strict=True)]
-            return {"doc_id": b.column("doc_id"), "text": b.column("text"), "item_ids": ids, "share": [max([s, *g.values()]) for g, s in zip(got, share, strict=True)]}
+    def search(batches: Iterator[pa.RecordBatch], projected: np.ndarray, items: Items) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in slices(batch, PART):
+                got = found(b.column("text").to_pylist(), projected, items)
+                before, share = b.column("item_ids").to_pylist(), b.column("share").to_pylist()
+                ids = [sorted({*x, *(items.ids[i] for i in g if items.ids[i] is not None)}) for g, x in zip(got, before, strict=True)]
+                most = [max([s, *g.values()]) for g, s in zip(got, share, strict=True)]
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text"), pa.array(ids, b.schema.field("item_ids").type), pa.array(most, pa.float64())], schema=b.schema)
 
-        rows = map_columns(rows, run, "doc_id bigint, text string, item_ids array<bigint>, share double")
-    return rows.select("doc_id", F.coalesce("item_ids", F.array().cast("array<bigint>")).alias("item_ids"), "share")
+    none = F.array().cast("array<bigint>").alias("item_ids")
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), none, F.lit(0.0).alias("share"))
+    return _passes(rows, benchmark, latent_space(docs), search).select("doc_id", "item_ids", "share")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs``, whole, whose text holds no benchmark item."""
-    spark = docs.sparkSession
-    space = latent_space(docs)
-    for block in _blocks(benchmark):
-        shared = spark.sparkContext.broadcast((space, prepared(block, space)))
 
-        def run(batches, shared=shared):
-            projected, items = shared.value
-            for batch in batches:
-                for b in slices(batch, PART):
-                    yield b.filter(pa.array([not g for g in found([t or "" for t in b.column("text").to_pylist()], projected, items)], pa.bool_()))
+    def search(batches: Iterator[pa.RecordBatch], projected: np.ndarray, items: Items) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in slices(batch, PART):
+                yield b.filter(pa.array([not g for g in found([t or "" for t in b.column("text").to_pylist()], projected, items)], pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+    return _passes(docs, benchmark, latent_space(docs), search)
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
