@@ -4,20 +4,23 @@ Method: overlapping chunk encoding.  A text is cut into chunks that overlap, eac
 is pre-tokenised on its own, and the chunks' boundaries are stitched where both sides
 agree (the pattern looks ahead only, so two scans that share one boundary agree from
 there on).  Then the pieces are encoded by the merge ranks and decoding concatenates the
-raw bytes of the ids.  Texts of more than one chunk are dealt out by chunk, so a very
-long text is pre-tokenised by many tasks.
+raw bytes of the ids.  Texts of more than one chunk (CHUNK characters) are dealt out by chunk, so a very
+long text is pre-tokenised by many tasks; the pieces of one text are encoded by one.
 
 Defined results: a null text counts as empty; an empty text has no tokens, and both of
 its hashes are those of no bytes; a repeated row is encoded again; an empty table gives
-an empty result; columns other than doc_id and text are ignored.  A null doc_id stays null.
+an empty result; of two pairs with one rank the left one merges first; columns other than doc_id and text are ignored.  A
+null doc_id stays null.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -25,9 +28,9 @@ from pyspark.sql import functions as F
 
 from casegrid.llm.common import map_columns, table
 
-CHUNK, OVERLAP = 1 << 16, 512
-#: Pieces that a worker remembers; beyond it the memory starts anew.
-MEMORY = 50_000
+CHUNK, OVERLAP = 1 << 14, 512
+#: Pieces of up to SHORT bytes are merged by scanning, and remembered by a worker: two generations of MEMORY at most.
+SHORT, MEMORY = 64, 150_000
 
 
 def default_ranks() -> str:
@@ -42,27 +45,75 @@ def default_pattern() -> str:
     return public_tokenizers.PATTERN
 
 
+def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The ids of a piece: its bytes, of which the neighbours that make the token of the least rank are joined again and
+    again, the leftmost of equal ones first."""
+    if piece in ranks:
+        return [ranks[piece]]
+    if len(piece) > SHORT:
+        return _merge_long(piece, ranks)
+    parts, get, none = [piece[i : i + 1] for i in range(len(piece))], ranks.get, len(ranks)
+    pairs = [get(piece[i : i + 2], none) for i in range(len(piece) - 1)]
+    while pairs and (least := min(pairs)) < none:
+        i = pairs.index(least)
+        parts[i] += parts.pop(i + 1)
+        del pairs[i]
+        if i < len(pairs):
+            pairs[i] = get(parts[i] + parts[i + 1], none)
+        if i:
+            pairs[i - 1] = get(parts[i - 1] + parts[i], none)
+    return [ranks[x] for x in parts]
+
+
+def _merge_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The same with a heap of the pairs, in n log n steps."""
+    n = len(piece)
+    end, before = list(range(1, n + 1)), list(range(-1, n - 1))  # of the token that starts here; end is 0 where none does
+    heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(piece[i : i + 2])) is not None]
+    heapify(heap)
+    while heap:
+        _, i, e = heappop(heap)
+        middle = end[i]
+        if not middle or middle >= e or end[middle] != e:
+            continue  # one of the two has been joined with another
+        end[i], end[middle] = e, 0
+        if e < n:
+            before[e] = i
+            if (r := ranks.get(piece[i : end[e]])) is not None:
+                heappush(heap, (r, i, end[e]))
+        if (j := before[i]) >= 0 and (r := ranks.get(piece[j:e])) is not None:
+            heappush(heap, (r, j, e))
+    out, i = [], 0
+    while i < n:
+        out.append(ranks[piece[i : end[i]]])
+        i = end[i]
+    return out
+
+
 class Encoder:
     """Encodes pre-token pieces by merge ranks; one per worker and vocabulary."""
 
     def __init__(self, ranks_path: str, pattern: str):
         import regex
-        import tiktoken
 
         with open(ranks_path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.tokens = {v: k for k, v in ranks.items()}
+            self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        size = max(self.ranks.values()) + 1
+        self.tokens, self.names = [b""] * size, list(map(str, range(size)))
+        for token, i in self.ranks.items():
+            self.tokens[i] = token
         self.pieces = regex.compile(pattern)
-        self.core = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.known: dict[str, tuple[str, int, bytes]] = {}
-
-    def piece(self, s: str) -> tuple[str, int, bytes]:
-        """The ids as text, how many, and their bytes joined."""
-        ids = self.core._encode_single_piece(s.encode())
-        found = (" ".join(map(str, ids)), len(ids), self.decode(ids))
+        self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
+
+    def piece(self, s: str) -> bytes:
+        """The ids as four bytes each."""
+        found = self.before.get(s)
+        if found is None:
+            found = array("I", merge(s.encode(), self.ranks)).tobytes()
         if len(self.known) >= MEMORY:
-            self.known.clear()
-        if len(s) <= 64:
+            self.known, self.before = {}, self.known
+        if len(s) <= SHORT:
             self.known[s] = found
         return found
 
@@ -116,9 +167,9 @@ def stitched(enc: Encoder, text: str, chunks: list[list[int]], chunk: int = CHUN
 
 def encode_pieces(enc: Encoder, pieces: list[str]) -> tuple[int, str, bytes]:
     """(number of ids, ids joined by one space, decoded bytes)"""
-    known, piece = enc.known, enc.piece
-    got = [known.get(p) or piece(p) for p in pieces]
-    return sum(g[1] for g in got), " ".join([g[0] for g in got]), b"".join([g[2] for g in got])
+    piece = enc.piece
+    ids = array("I", b"".join([enc.known.get(p) or piece(p) for p in pieces])).tolist()
+    return len(ids), " ".join(map(enc.names.__getitem__, ids)), enc.decode(ids)
 
 
 def _whole(ranks_path: str, pattern: str):
@@ -152,10 +203,10 @@ def _long(docs: DataFrame, ranks_path: str, pattern: str, digest: bool) -> DataF
     """Texts of more than one chunk: chunk rows are pre-tokenised apart and stitched per text."""
 
     def cut(batch: pa.RecordBatch) -> dict:
-        out = {"doc_id": [], "uid": [], "n": [], "k": [], "part": []}
-        for d, u, text in zip(batch.column("doc_id").to_pylist(), batch.column("uid").to_pylist(), batch.column("text").to_pylist(), strict=True):
+        out = {"doc_id": [], "row": [], "th": [], "n": [], "k": [], "part": []}
+        for d, r, h, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "row", "th", "text")), strict=True):
             for k, s in enumerate(chunk_starts(len(text))):
-                for name, v in zip(out, (d, u, len(text), k, text[s : s + CHUNK + OVERLAP]), strict=True):
+                for name, v in zip(out, (d, r, h, len(text), k, text[s : s + CHUNK + OVERLAP]), strict=True):
                     out[name].append(v)
         return out
 
@@ -165,23 +216,22 @@ def _long(docs: DataFrame, ranks_path: str, pattern: str, digest: bool) -> DataF
         for n, k, part in zip(batch.column("n").to_pylist(), batch.column("k").to_pylist(), batch.column("part").to_pylist(), strict=True):
             got = enc.ends(part)
             ends.append([k * CHUNK + e for e in (got if k * CHUNK + len(part) >= n else got[:-2])])
-        return {c: batch.column(c) for c in ("doc_id", "uid", "k", "part")} | {"ends": ends}
+        return {c: batch.column(c) for c in ("doc_id", "row", "th", "k", "part")} | {"ends": ends}
 
     def join(t):
         enc = encoder(ranks_path, pattern)
-        every = t.select(["doc_id", "k", "part", "ends"]).to_pylist()
-        rows = [r for _, r in sorted({r["k"]: r for r in every}.items())]
-        times = len(every) // len(rows)  # a repeated row
+        rows = sorted(t.select(["k", "part", "ends"]).to_pylist(), key=lambda r: r["k"])
         text = "".join(r["part"][:CHUNK] for r in rows)
         ends = stitched(enc, text, [r["ends"] for r in rows])
         n, ids, raw = encode_pieces(enc, [text[a:b] for a, b in zip([0, *ends], ends, strict=False)])
-        cols = {"n_tokens": [n] * times}
-        cols |= {"ids_sha256": [hashlib.sha256(ids.encode()).hexdigest()] * times, "decoded_sha256": [hashlib.sha256(raw).hexdigest()] * times} if digest else {"ids": [ids] * times, "decoded": [raw] * times}
-        return pa.table({"doc_id": pa.array([every[0]["doc_id"]] * times, pa.int64())} | cols)
-
-    uid = docs.withColumn("uid", F.xxhash64("text"))
-    chunks = map_columns(map_columns(uid, cut, "doc_id bigint, uid bigint, n bigint, k int, part string").repartition("doc_id", "uid", "k"), scan, "doc_id bigint, uid bigint, k int, part string, ends array<bigint>")
-    return chunks.groupBy("doc_id", "uid").applyInArrow(join, SCHEMA[digest])
+        cols = {"ids_sha256": [hashlib.sha256(ids.encode()).hexdigest()], "decoded_sha256": [hashlib.sha256(raw).hexdigest()]} if digest else {"ids": [ids], "decoded": [raw]}
+        return pa.table({"doc_id": pa.array([t.column("doc_id")[0].as_py()], pa.int64()), "n_tokens": [n]} | cols)
+
+    # a row is one text, whatever rows repeat it: a group holds one text's chunks
+    rows = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), F.xxhash64("text").alias("th"), "text")
+    cut_ = map_columns(rows, cut, "doc_id bigint, row bigint, th bigint, n bigint, k int, part string").repartition("row", "th", "k")
+    chunks = map_columns(cut_, scan, "doc_id bigint, row bigint, th bigint, k int, part string, ends array<bigint>")
+    return chunks.groupBy("row", "th").applyInArrow(join, SCHEMA[digest])
 
 
 SCHEMA = {False: "doc_id bigint, n_tokens bigint, ids string, decoded binary", True: "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"}

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 NULL_ID = -(2**63)
 BATCH = 4 << 20
+PER_FILE = 1_000_000
 #: ASCII white space, by byte.
 SPACES = np.isin(np.arange(256), np.frombuffer(b" \t\n\x0b\x0c\r", np.uint8))
 _BASE = 0x9E3779B97F4A7C15
@@ -91,8 +92,11 @@ def work_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, path: str) -> DataFrame:
-    """``df`` as a table in the shared folder: later reads don't depend on its lineage."""
+def written(df: DataFrame, path: str, rows: int | None = None) -> DataFrame:
+    """``df`` as a table in the shared folder: later reads don't depend on its lineage.  ``rows``, about how
+    many it has, keeps a small table to a few files, one for each PER_FILE."""
+    if rows is not None:
+        df = df.repartition(rows // PER_FILE + 1)
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -194,11 +194,11 @@ def _roots(members: DataFrame, sets: DataFrame, path: str) -> DataFrame:
     classes, and a key of one class is settled.  In the others, texts outside the key's largest class are compared with those of
     other classes that the triangle inequality over a common leader and the sets' parity sketches allow to match, both
     without error: some of them in each round, many more in the next, as a round's links may have joined the rest."""
-    most = 1 - THRESHOLD + 1e-12
+    most, rows = 1 - THRESHOLD + 1e-12, members.count()
 
     def verify(pairs: DataFrame, at: str) -> DataFrame:
         both = pairs.distinct().join(sets.select("v", "s"), "v").join(sets.select(F.col("v").alias("leader"), F.col("s").alias("t")), "leader")
-        return written(both.select("v", "leader", "s", "t").mapInArrow(_verified, "v bigint, leader bigint, d double"), at)
+        return written(both.select("v", "leader", "s", "t").mapInArrow(_verified, "v bigint, leader bigint, d double"), at, rows)
 
     def linked(verified: DataFrame) -> DataFrame:
         return verified.filter(F.col("d") <= most).select("v", F.col("leader").alias("w"))
@@ -219,7 +219,7 @@ def _roots(members: DataFrame, sets: DataFrame, path: str) -> DataFrame:
         members = named.join(unsettled, "key", "left_semi")
         if not round_:
             members = members.join(verified, ["v", "leader"], "left").withColumn("d0", F.coalesce("d", F.lit(0.0))).drop("d").join(traits, "v")
-        members = written(members, f"{path}/open{round_}")
+        members = written(members, f"{path}/open{round_}", rows)
         if members.isEmpty():
             return roots
         sizes = members.groupBy("key", "c").agg(F.count("*").alias("n"))
@@ -238,22 +238,23 @@ def _roots(members: DataFrame, sets: DataFrame, path: str) -> DataFrame:
 def components(links: DataFrame, path: str) -> DataFrame:
     """v, root (smallest member) of everything that a link names, by contraction: in each round every vertex points to its
     smallest neighbour's smallest neighbour, and the links between what they point to go on, until none is left."""
-    edges = written(links.select(F.least("v", "w").alias("a"), F.greatest("v", "w").alias("b")).filter("a <> b").distinct(), f"{path}/edges0")
-    rounds = []
+    edges = links.select(F.least("v", "w").alias("a"), F.greatest("v", "w").alias("b")).filter("a <> b").distinct()
+    edges, rounds = written(edges, f"{path}/edges0", links.count()), []
     while True:
+        n = edges.count()
         both = edges.select(F.explode(F.array(F.struct(F.col("a").alias("v"), F.col("b").alias("w")), F.struct(F.col("b").alias("v"), F.col("a").alias("w")))).alias("e")).select("e.*")
         near = both.groupBy("v").agg(F.least(F.min("w"), F.col("v")).alias("p"))
         parents = near.join(near.select(F.col("v").alias("p"), F.col("p").alias("root")), "p").select("v", "root")
-        rounds.append(written(parents, f"{path}/parents{len(rounds)}"))
+        rounds.append(written(parents, f"{path}/parents{len(rounds)}", 2 * n))
         of = lambda c: rounds[-1].select(F.col("v").alias(c), F.col("root").alias(f"r_{c}"))
         met = edges.join(of("a"), "a").join(of("b"), "b").filter("r_a <> r_b")
-        edges = written(met.select(F.least("r_a", "r_b").alias("a"), F.greatest("r_a", "r_b").alias("b")).distinct(), f"{path}/edges{len(rounds)}")
+        edges = written(met.select(F.least("r_a", "r_b").alias("a"), F.greatest("r_a", "r_b").alias("b")).distinct(), f"{path}/edges{len(rounds)}", n)
         if edges.isEmpty():
             break
-    roots = rounds.pop()
+    n, roots = rounds[0].count(), rounds.pop()
     for earlier in reversed(rounds):
         roots = earlier.join(roots.select(F.col("v").alias("root"), F.col("root").alias("far")), "root", "left").select("v", F.coalesce("far", "root").alias("root"))
-    return written(roots, f"{path}/roots")
+    return written(roots, f"{path}/roots", n)
 
 
 def _named(signed: DataFrame, path: str) -> DataFrame:

@@ -1,28 +1,35 @@
 """Quality rules (operator 5).
 
 Base statistics of each whole text decide ``base_failed``; among the rest the method is a
-robust multivariate outlier test.  Transformed statistics (log length, log word length,
-symbols, repeated lines, repeated words) get a minimum-covariance-determinant estimate
-per language and source: from medians and quantile widths of fixed bins, C-steps keep
-the 75 % of rows with the smallest Mahalanobis distances, take their mean and
-covariance, and repeat.  A row beyond the cutoff is rejected.  Everything but the 5 x 5
+robust multivariate outlier test.  Transformed statistics (length, as one over the root of the words, so that long texts are
+no outliers by length alone; log word length; symbols, repeated lines and repeated words as roots of shares) get a minimum-covariance-determinant estimate
+per language and source.  It begins at several fixed starts (medians and quantile widths, all
+rows, and the rows with the smallest and with the most typical statistics).  From each, C-steps keep the
+share H of rows with the smallest Mahalanobis distances and take their mean and
+covariance, until no determinant falls any more; the start with the least determinant wins.  As
+usual a last step takes mean and covariance of all rows that are not far from this estimate.
+A row beyond the QUANTILE of the chi-square distribution is rejected.  Everything but the 5 x 5
 inversions is grouped DataFrame sums with partial aggregation; a group that is a third
 of all rows is no special case.  Groups with fewer than MIN_GROUP rows are pooled over
-their language, then over everything; with fewer rows than that nothing is rejected.
+their language, and what is still smaller over everything, where it is judged whatever its size.
+
+Most texts have no symbols or repeats at all, so the scatter of these can be zero: FLOORS bound it from below.
 
 Defined results: a null text has no words, so it fails the base rules; a null language or
-source is a value of its own; repeated rows count each; an empty table gives none; other
-columns are ignored.
+source is a value of its own, other than the empty one; very long texts are measured whole; repeated rows count each,
+and rows at equal distances are kept or left out of a step together; an empty table gives none; other
+columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
+import math
 import re
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casegrid.llm.common import map_columns, table, work_dir, written
@@ -30,13 +37,13 @@ from casegrid.llm.common import map_columns, table, work_dir, written
 SYMBOLS = b"#*$%&|<>"
 SPACE = re.compile(r"[\x20\x09-\x0D]+")
 WORD = re.compile(r"[^\x20\x09-\x0D]")
-MIN_GROUP, H, STEPS = 100, 0.75, 5
-#: Squared distance beyond which a row is rejected (five dimensions), after the scatter is made consistent.
-CUTOFF = 40.0
-#: Smallest standard deviation of each transformed statistic: most texts have no symbols or repeats at all.
-FLOORS = (0.5, 0.08, 0.05, 0.12, 0.12)
+#: A C-step counts if it lowers the determinant by more than this (in logarithms); they end when none does.
+MIN_GROUP, H, TOLERANCE, QUANTILE = 100, 0.75, 1e-3, 0.999
+#: Smallest standard deviation of each transformed statistic.
+FLOORS = (0.03, 0.02, 0.02, 0.05, 0.05)
 DIMS = tuple(f"x{i}" for i in range(len(FLOORS)))
-BIN = 0.02
+BIN = 0.005
+STARTS = ("median", "all", "low", "typical")
 
 
 def statistics(text: str) -> tuple[int, int, int, int, int]:
@@ -81,13 +88,13 @@ def _stats(batch: pa.RecordBatch) -> dict:
 
 def measured(docs: DataFrame) -> DataFrame:
     """The base statistics, base_failed and the transformed statistics of each row."""
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("lang", F.lit("\x00")).alias("lang"), F.coalesce("source", F.lit("\x00")).alias("source"), F.coalesce("text", F.lit("")).alias("text"))
     stats = map_columns(rows, _stats, "doc_id bigint, lang string, source string, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint")
     some = F.greatest(F.col("n_words"), F.lit(1))
     return stats.select(
         "*",
         ((F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))).alias("base_failed"),
-        F.log1p("n_words").alias("x0"),
+        (F.lit(1.0) / F.sqrt(some)).alias("x0"),
         F.log((F.col("word_chars") + 1) / some).alias("x1"),
         F.sqrt(F.col("n_symbols") / F.greatest(F.col("word_chars"), F.lit(1))).alias("x2"),
         F.sqrt(F.col("n_dup_lines") / some).alias("x3"),
@@ -95,6 +102,36 @@ def measured(docs: DataFrame) -> DataFrame:
     )
 
 
+def chi_square(quantile: float, dims: int = len(FLOORS)) -> float:
+    """The quantile of the chi-square distribution with an odd number of degrees of freedom."""
+
+    def below(x: float) -> float:
+        term, total = math.sqrt(2 * x / math.pi) * math.exp(-x / 2), 0.0
+        for k in range(3, dims + 1, 2):
+            total += term
+            term *= x / k
+        return math.erf(math.sqrt(x / 2)) - total
+
+    lo, hi = 0.0, 1000.0
+    for _ in range(100):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if below(mid) < quantile else (lo, mid)
+    return hi
+
+
+def consistency(share: float, dims: int = len(FLOORS)) -> float:
+    """What the covariance of the ``share`` of Gaussian rows with the smallest distances must be multiplied with."""
+    return share / (1 - _upper(chi_square(share, dims), dims + 2))
+
+
+def _upper(x: float, dims: int) -> float:
+    term, total = math.sqrt(2 * x / math.pi) * math.exp(-x / 2), 0.0
+    for k in range(3, dims + 1, 2):
+        total += term
+        term *= x / k
+    return 1 - math.erf(math.sqrt(x / 2)) + total
+
+
 def grouped(rows: DataFrame) -> DataFrame:
     """``rows`` with the group that each is judged in: language and source, or what these are pooled to.  The table of
     groups joins by the optimiser's choice."""
@@ -106,37 +143,46 @@ def grouped(rows: DataFrame) -> DataFrame:
     return rows.join(which, ["lang", "source"])
 
 
-def _moments(rows: DataFrame) -> DataFrame:
-    sums = [F.sum(F.col(a)).alias(f"s_{a}") for a in DIMS]
-    sums += [F.sum(F.col(a) * F.col(b)).alias(f"s_{a}_{b}") for i, a in enumerate(DIMS) for b in DIMS[i:]]
-    return rows.groupBy("g").agg(F.count("*").alias("n"), *sums)
+_MODEL = "g string, start string, mean array<double>, inverse array<double>, logdet double"
+_PAIRS = [(i, j) for i in range(len(DIMS)) for j in range(i, len(DIMS))]
+_SUMS = [f"s{i}" for i in range(len(DIMS))] + [f"q{i}{j}" for i, j in _PAIRS]
 
 
-_MODEL = "g string, mean array<double>, inverse array<double>, logdet double"
+def _sums() -> list[Column]:
+    return [F.count("*").alias("n"), *(F.sum(a).alias(f"s{i}") for i, a in enumerate(DIMS)), *(F.sum(F.col(DIMS[i]) * F.col(DIMS[j])).alias(f"q{i}{j}") for i, j in _PAIRS)]
 
 
-def _estimate(scale: float):
-    """Mean and inverse covariance from the sums of each group; ``scale`` makes the trimmed scatter consistent."""
+def estimate(n: float, sums: np.ndarray, scale: float) -> tuple[np.ndarray, np.ndarray, float]:
+    """Mean, inverse covariance and the logarithm of its determinant from a group's sums."""
+    k = len(DIMS)
+    mean = sums[:k] / n
+    cov = np.zeros((k, k))
+    for (i, j), q in zip(_PAIRS, sums[k:], strict=True):
+        cov[i, j] = cov[j, i] = scale * (q / n - mean[i] * mean[j])
+    cov += np.diag(np.maximum(0, np.array(FLOORS) ** 2 - np.diag(cov)) + 1e-9)
+    return mean, np.linalg.inv(cov), float(np.linalg.slogdet(cov)[1])
+
 
-    def run(batches):
-        for p in batches:
-            out = []
-            for r in p.to_dict("records"):
-                mean = np.array([r[f"s_{a}"] for a in DIMS]) / r["n"]
-                cov = np.zeros((len(DIMS),) * 2)
-                for i, a in enumerate(DIMS):
-                    for j in range(i, len(DIMS)):
-                        cov[i, j] = cov[j, i] = r[f"s_{a}_{DIMS[j]}"] / r["n"] - mean[i] * mean[j]
-                cov *= scale
-                lack = np.maximum(0, np.array(FLOORS) ** 2 - np.diag(cov))
-                cov += np.diag(lack + 1e-9)
-                out.append((r["g"], mean.tolist(), np.linalg.inv(cov).ravel().tolist(), float(np.linalg.slogdet(cov)[1])))
-            yield pd.DataFrame(out, columns=["g", "mean", "inverse", "logdet"])
+def _model(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame([(g, s, m.tolist(), i.ravel().tolist(), float(d)) for g, s, m, i, d in rows], columns=["g", "start", "mean", "inverse", "logdet"])
 
-    return run
 
+def _trimmed(binned: DataFrame, share: float, scale: float) -> DataFrame:
+    """From the sums of bins of ascending distance, by g and start: the estimate of the nearest bins with ``share`` of all rows."""
 
-def _start(rows: DataFrame) -> DataFrame:
+    def run(p: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for start, q in p.groupby("start"):
+            q = q.sort_values("bin")
+            n = q["n"].cumsum().to_numpy()
+            at = int(np.searchsorted(n, share * n[-1]))
+            out.append((p["g"].iloc[0], start, *estimate(n[at], q[_SUMS].to_numpy(float)[: at + 1].sum(0), scale)))
+        return _model(out)
+
+    return binned.groupBy("g").applyInPandas(run, _MODEL)
+
+
+def _medians(rows: DataFrame) -> DataFrame:
     """Medians and quantile widths from counts of fixed bins: exact to a bin, whatever the partitions."""
     bins = rows.select("g", F.posexplode(F.array(*DIMS)).alias("d", "x")).select("g", "d", F.floor(F.col("x") / BIN).alias("b")).groupBy("g", "d", "b").agg(F.count("*").alias("c"))
 
@@ -148,50 +194,63 @@ def _start(rows: DataFrame) -> DataFrame:
             lo, mid, hi = (BIN * (q.b.to_numpy()[np.searchsorted(share, f)] + 0.5) for f in (0.25, 0.5, 0.75))
             mean.append(float(mid))
             var.append(max(floor, (hi - lo) / 1.349) ** 2)
-        return pd.DataFrame([(p.g.iloc[0], mean, np.diag(1 / np.array(var)).ravel().tolist(), float(np.log(var).sum()))], columns=["g", "mean", "inverse", "logdet"])
+        return _model([(p.g.iloc[0], "median", np.array(mean), np.diag(1 / np.array(var)), np.log(var).sum())])
 
     return bins.groupBy("g").applyInPandas(run, _MODEL)
 
 
 def _distance(rows: DataFrame, model: DataFrame) -> DataFrame:
+    """``rows`` with start and d2 for each model of their group."""
     k = len(DIMS)
     dev = [F.col(a) - F.col("mean")[i] for i, a in enumerate(DIMS)]
     d2 = sum((dev[i] * dev[j] * F.col("inverse")[i * k + j] * (1 if i == j else 2) for i in range(k) for j in range(i, k)), F.lit(0.0))
-    return rows.join(model.select("g", "mean", "inverse"), "g", "left").withColumn("d2", d2).drop("mean", "inverse")
-
-
-def mcd(rows: DataFrame, path: str, steps: int = STEPS) -> DataFrame:
-    """Mean and inverse covariance of each group of ``rows`` (g and DIMS)."""
-    model = written(_start(rows), f"{path}/model0")
-    for step in range(steps):
-        near = _distance(rows, model).withColumn("bin", F.floor(F.log1p("d2") * 64))
-        counts = near.groupBy("g", "bin").agg(F.count("*").alias("c"))
-
-        def cut(p: pd.DataFrame) -> pd.DataFrame:
-            p = p.sort_values("bin")
-            at = int(np.searchsorted(p.c.cumsum().to_numpy(), H * p.c.sum()))
-            return pd.DataFrame([(p.g.iloc[0], int(p.bin.iloc[at]))], columns=["g", "most"])
-
-        half = near.join(counts.groupBy("g").applyInPandas(cut, "g string, most bigint"), "g").filter("bin <= most")
-        # the 75 % nearest rows of a Gaussian in five dimensions have 1 / 1.37 of its scatter
-        model = written(_moments(half).mapInPandas(_estimate(1.37), _MODEL), f"{path}/model{step + 1}")
-    return model
-
-
-def judge(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
+    return rows.join(model.select("g", "start", "mean", "inverse"), "g", "left").withColumn("d2", d2).drop("mean", "inverse")
+
+
+def _binned(rows: DataFrame, by: Column) -> DataFrame:
+    return rows.withColumn("bin", by).groupBy("g", "start", "bin").agg(*_sums())
+
+
+def mcd(rows: DataFrame, path: str) -> DataFrame:
+    """The model (g, start, mean, inverse, logdet) of each group of ``rows`` (g and DIMS).  A step is one pass: the rows' sums
+    by group, start and bin of the distance, of which the nearest bins are put together."""
+    near, scale = F.floor(F.log1p("d2") * 64), consistency(H)
+    models = len(STARTS) * rows.select("g").distinct().count()
+    medians = written(_medians(rows), f"{path}/medians", models)
+    d2 = F.floor(F.log1p(F.greatest("d2", F.lit(0.0))) * 64)
+    from_median = _distance(rows, medians).withColumn("t", d2)
+    other = F.explode(F.array(
+        F.struct(F.lit("all").alias("start"), F.lit(0).cast("bigint").alias("bin")),
+        F.struct(F.lit("low").alias("start"), F.floor(sum((F.col(a) / f for a, f in list(zip(DIMS, FLOORS, strict=True))[2:]), F.lit(0.0)) * 8).alias("bin")),
+        F.struct(F.lit("typical").alias("start"), F.col("t").alias("bin")),
+    )).alias("o")
+    starts = from_median.select("g", *DIMS, other).select("g", *DIMS, "o.*").groupBy("g", "start", "bin").agg(*_sums())
+    model = written(_trimmed(starts, 0.5, 1.0).unionByName(medians), f"{path}/model0", models)
+    model, step = written(_trimmed(_binned(_distance(rows, model), near), H, scale), f"{path}/model1", models), 1
+    while True:
+        step += 1
+        after = _trimmed(_binned(_distance(rows, model), near), H, scale)
+        old = model.select("g", "start", *(F.col(c).alias(f"old_{c}") for c in ("mean", "inverse", "logdet")))
+        falls = F.col("logdet") < F.col("old_logdet") - TOLERANCE
+        both = after.join(old, ["g", "start"]).select("g", "start", *(F.when(falls, F.col(c)).otherwise(F.col(f"old_{c}")).alias(c) for c in ("mean", "inverse", "logdet")), falls.alias("falls"))
+        model = written(both, f"{path}/model{step}", models)
+        if model.filter("falls").isEmpty():
+            break
+    best = model.groupBy("g").agg(F.min_by(F.struct("start", "mean", "inverse", "logdet"), F.struct("logdet", "start")).alias("m")).select("g", "m.*")
+    close = _distance(rows, best).filter(F.col("d2") <= chi_square(0.975)).withColumn("bin", F.lit(0)).groupBy("g", "start", "bin").agg(*_sums())
+    return written(_trimmed(close, 1.0, consistency(0.975)), f"{path}/model", models)
+
+
+def judge(docs: DataFrame, quantile: float = QUANTILE) -> DataFrame:
     """The base statistics, base_failed, kept and distance2 of each row."""
     path = work_dir(docs.sparkSession)
-    rows = written(measured(docs), f"{path}/stats")
-    passed = grouped(rows.filter(~F.col("base_failed")).select("lang", "source", *DIMS))
-    rows = written(passed, f"{path}/passed")
-    model = mcd(rows, path)
-    sizes = rows.groupBy("g").agg(F.count("*").alias("size"))
-    groups = rows.select("lang", "source", "g").distinct().join(sizes, "g").filter(F.col("size") >= MIN_GROUP).select("lang", "source", "g")
-    every = docs.sparkSession.read.parquet(f"{path}/stats").join(groups, ["lang", "source"], "left")
-    scored = _distance(every, model)
-    return scored.select(
+    stats = written(measured(docs), f"{path}/stats")
+    rows = written(grouped(stats.filter(~F.col("base_failed")).select("lang", "source", *DIMS)), f"{path}/passed")
+    model = mcd(rows.select("g", *DIMS), path)
+    every = stats.join(rows.select("lang", "source", "g").distinct(), ["lang", "source"], "left")
+    return _distance(every, model).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-        (~F.col("base_failed") & (F.coalesce("d2", F.lit(0.0)) <= cutoff)).alias("kept"), F.col("d2").alias("distance2"),
+        (~F.col("base_failed") & (F.coalesce("d2", F.lit(0.0)) <= chi_square(quantile))).alias("kept"), F.col("d2").alias("distance2"),
     )
 
 

@@ -2,7 +2,7 @@
 
 Method: maximum-scoring segments.  Tokens (words, and their prefixes of four and five
 letters for words seen too rarely) get log-odds of the toxic against the clean class
-under a Dirichlet prior shaped like the whole training vocabulary; those that stand out
+under a Dirichlet prior shaped like the whole training vocabulary; all those that stand out
 by z-score form the lexicon, and every other word has the common, slightly negative
 log-odds of the rest.  A linear-time scan finds all maximal scoring segments of a text.
 By extreme-value theory the best of n words' segments reaches S by chance with
@@ -11,7 +11,7 @@ from the clean documents.  A one-dimensional logistic curve over lambda S - ln(K
 fitted to the labels, makes a score of it.
 
 Defined results: a null or empty text has no segment and gets the score of that; repeated
-rows are scored alike; without labelled rows of both classes every score is 0; an empty
+rows are scored alike; very long texts are scored whole; segments of equal score stay apart; without labelled rows of both classes every score is 0; an empty
 table gives none; columns other than doc_id and text are ignored.
 """
 
@@ -30,12 +30,11 @@ from casegrid.llm.common import map_columns, table
 from casegrid.llm.labelled import held_out, sample
 
 PER_CLASS = 30_000
-LEXICON = 20_000
 MIN_Z, PRIOR = 4.0, 0.1
 THRESHOLD = 0.3
 #: Words whose weight a worker remembers; beyond it the memory starts anew.
 MEMORY = 50_000
-#: Evidence beyond this, either way, says no more.
+#: The curve is fitted to evidence up to this, either way, so that a few extreme texts don't decide its slope.
 MOST = 30.0
 _STRIP = ".,;:!?\"'()[]{}<>|*#-_…«»„“”"
 
@@ -92,7 +91,7 @@ class Model:
         return maximal_segments([(i, s) for i, s in enumerate(scores) if s > 0], self.rest)
 
     def evidence(self, n: int, best: float) -> float:
-        return max(-MOST, min(MOST, self.lam * best - math.log(self.k * max(n, 1))))
+        return self.lam * best - math.log(self.k * max(n, 1))
 
     def score(self, n: int, best: float) -> float:
         return 1 / (1 + math.exp(-max(-500.0, min(500.0, self.a * self.evidence(n, best) + self.b))))
@@ -102,29 +101,35 @@ class Model:
 
 
 def maximal_segments(hits: list[tuple[int, float]], rest: float) -> list[tuple[int, int, float]]:
-    """Ruzzo and Tompa's algorithm where all positions but the hits score ``rest`` <= 0: a stack of candidates with
-    the running totals left of and at the end of each."""
-    stack: list[tuple[int, int, float, float]] = []
+    """Ruzzo and Tompa's algorithm where all positions but the hits score ``rest`` <= 0, in linear time: a stack of
+    candidates with the running totals left of and at the end of each, and the place of the last one below it with a smaller
+    left total.  What no candidate can reach any more is done and leaves the stack."""
+    done: list[tuple[int, int, float, float, int]] = []
+    stack: list[tuple[int, int, float, float, int]] = []
     total, at = 0.0, 0
     for i, s in hits:
         left = total + rest * (i - at)
         total, at = left + s, i + 1
-        new = (i, i + 1, left, total)
+        first, end, right = i, i + 1, total
         while True:
             j = len(stack) - 1
-            while j >= 0 and stack[j][2] >= new[2]:
-                j -= 1
-            if j < 0 or stack[j][3] >= new[3]:
+            while j >= 0 and stack[j][2] >= left:
+                j = stack[j][4]
+            if j < 0:
+                done += stack
+                stack.clear()
                 break
-            new = (stack[j][0], new[1], stack[j][2], new[3])
+            if stack[j][3] >= right:
+                break
+            first, left = stack[j][0], stack[j][2]
             del stack[j:]
-        stack.append(new)
-    return [(a, b, r - lo) for a, b, lo, r in stack]
+        stack.append((first, end, left, right, j))
+    return [(a, b, r - lo) for a, b, lo, r, _ in done + stack]
 
 
 def fit(docs: DataFrame, labels: DataFrame, modulus: int = 4, remainder: int = 2, per_class: int = PER_CLASS) -> Model:
     """Learns from at most ``per_class`` labelled documents of each class that are not held out.  What comes to the
-    driver is bounded: at most LEXICON tokens, totals, and a histogram."""
+    driver is bounded by them: the tokens that stand out (each in at least a dozen of them), totals, and a histogram."""
     rows = sample(docs, labels, "toxic", modulus, remainder, per_class)
     counts = map_columns(rows, _counts, "token string, clean bigint, toxic bigint").groupBy("token").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     word = ~F.col("token").endswith("*")
@@ -136,7 +141,7 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = 4, remainder: int = 2
     part = (F.col("clean") + F.col("toxic")) / float(n0 + n1) * prior
     odds = lambda c, n: F.log((F.col(c) + part) / F.greatest(F.lit(n + prior) - F.col(c) - part, F.lit(1.0)))
     scored = counts.withColumn("w", odds("toxic", n1) - odds("clean", n0)).withColumn("z", F.col("w") / F.sqrt(1 / (F.col("toxic") + part) + 1 / (F.col("clean") + part)))
-    top = scored.filter((F.col("z") >= MIN_Z) & (F.col("w") > 1)).orderBy(F.desc("z"), "token").limit(LEXICON).collect()
+    top = scored.filter((F.col("z") >= MIN_Z) & (F.col("w") > 1)).collect()
     model = Model(weights={r["token"]: r["w"] for r in top})
     # a prefix only counts what its lexicon words have not: it stands for words too rare to stand out
     lexical = [r for r in top if not r["token"].endswith("*")]
@@ -159,7 +164,7 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = 4, remainder: int = 2
     length = sum(r["c"] * math.expm1(r["n"] / 4) for r in clean)
     model.k = max(1e-12, above / max(length, 1.0) * math.exp(model.lam * least))
     x = np.array([model.evidence(round(math.expm1(r["n"] / 4)), r["s"]) for r in bins])
-    model.a, model.b = _logistic(x, np.array([r["y"] for r in bins], float), np.array([r["c"] for r in bins], float))
+    model.a, model.b = _logistic(np.clip(x, -MOST, MOST), np.array([r["y"] for r in bins], float), np.array([r["c"] for r in bins], float))
     return model
 
 
@@ -200,7 +205,7 @@ def _best(model: Model, text: str) -> tuple[int, float]:
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score, n_segments (significant ones) and segments (first word, end, score) of each text."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # LEXICON tokens at most
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded like the sample that it was learned from
 
     def run(batch: pa.RecordBatch) -> dict:
         m = shared.value

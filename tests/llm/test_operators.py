@@ -272,15 +272,35 @@ def test_deep_shallow_sorting():
     assert suffix_dedup.deep_shallow(b"".join(windows), np.arange(len(windows)) * 100, [range(300), range(300, 350)]).tolist() == want
 
 
-def test_bpe(docs):
-    enc = bpe.encoder(bpe.default_ranks(), bpe.default_pattern())
+@pytest.fixture(scope="module")
+def library():
+    """The tiktoken library over the same ranks: what the encoder is held against."""
+    import base64
+
+    import tiktoken
+
+    with open(bpe.default_ranks(), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    return tiktoken.Encoding("ranks", pat_str=bpe.default_pattern(), mergeable_ranks=ranks, special_tokens={})
+
+
+def test_bpe_merges(library):
+    enc, rng = bpe.encoder(bpe.default_ranks(), bpe.default_pattern()), random.Random(19)
+    for _ in range(400):
+        s = "".join(rng.choice("abetins xé😀#=0") for _ in range(rng.randint(1, 60)))
+        assert bpe.merge(s.encode(), enc.ranks) == library._encode_single_piece(s.encode())
+    for s in ("x" * 7000, "ab" * 3000, "aAbB9+/" * 900, "\n" * 999):
+        assert bpe.merge(s.encode(), enc.ranks) == library._encode_single_piece(s.encode())
+
+
+def test_bpe(docs, library):
     rows = corpus()
-    want = sorted((str(r[0]), len(ids := enc.core.encode_ordinary(r[1] or "")), " ".join(map(str, ids)), (r[1] or "").encode()) for r in rows)
+    want = sorted((str(r[0]), len(ids := library.encode_ordinary(r[1] or "")), " ".join(map(str, ids)), (r[1] or "").encode()) for r in rows)
     got = sorted((str(r[0]), r[1], r[2], bytes(r[3])) for r in bpe.encode(docs).collect())
     assert got == want
 
 
-def test_bpe_long_texts_are_stitched(spark, monkeypatch):
+def test_bpe_long_texts_are_stitched(spark, library):
     enc = bpe.encoder(bpe.default_ranks(), bpe.default_pattern())
     rng = random.Random(5)
     text = " ".join(words(rng, 9000)) + "y" * 3000 + " " * 2500 + "\n\n don't 12345 é€😀" * 3000
@@ -291,7 +311,7 @@ def test_bpe_long_texts_are_stitched(spark, monkeypatch):
     rows = [(1, text), (1, text), (2, text + "z")]
     for r in bpe.encode(spark.createDataFrame(rows, "doc_id bigint, text string")).collect():
         t = text if r["doc_id"] == 1 else text + "z"
-        assert r["ids"] == " ".join(map(str, enc.core.encode_ordinary(t))) and bytes(r["decoded"]) == t.encode()
+        assert r["ids"] == " ".join(map(str, library.encode_ordinary(t))) and bytes(r["decoded"]) == t.encode()
 
 
 def test_secrets(spark):
@@ -391,15 +411,31 @@ def test_toxicity(spark):
 
 
 def test_maximal_segments():
+    """All of them, against the definition: the best segment, then the same left and right of it."""
+
+    def want(s, a, b):
+        best = max(((round(sum(s[i:j]), 9), i - j, i, j) for i in range(a, b) for j in range(i + 1, b + 1)), default=(0,))
+        if best[0] <= 0:
+            return []
+        return want(s, a, best[2]) + [best[2:]] + want(s, best[3], b)
+
     rng = random.Random(6)
-    for _ in range(200):
-        s = [rng.choice([-1.0, -1.0, 2.5, 1.5]) for _ in range(30)]
+    for _ in range(150):
+        s = [rng.choice((-1.0, -1.0, -1.0, rng.uniform(0.2, 3))) for _ in range(25)]
         got = toxicity.maximal_segments([(i, x) for i, x in enumerate(s) if x > 0], -1.0)
-        best = max(sum(s[a:b]) for a in range(30) for b in range(a, 31))
-        assert abs(max((x for _, _, x in got), default=0) - best) < 1e-9
+        assert sorted((a, b) for a, b, _ in got) == want(s, 0, 25)
         assert all(abs(sum(s[a:b]) - x) < 1e-9 for a, b, x in got)
 
 
+def test_maximal_segments_take_linear_time():
+    import time
+
+    for hits in ([(3 * i, 0.5) for i in range(200_000)], [(2 * i, 1.5) for i in range(200_000)], [(i, 1.0 + i % 7) for i in range(200_000)]):
+        began = time.process_time()
+        assert toxicity.maximal_segments(hits, -1.0)
+        assert time.process_time() - began < 3
+
+
 def test_quality_classifier(spark):
     docs, labels = _labelled(spark, 1)
     got = {r["doc_id"]: r["score"] for r in quality_classifier.score(docs, quality_classifier.fit(docs, labels)).collect()}
