@@ -14,9 +14,17 @@ CASE_ID = r"\b[A-Z]{3}[0-9]{3}\b"
 _ACCENTED, _PLAIN = zip(*((c, d[0]) for c in map(chr, range(0xC0, 0x250)) if len(d := unicodedata.normalize("NFD", c)) > 1 and d[0].isascii()), strict=True)
 
 
+#: Letters that stand for others without being made of them.
+LIGATURES = {"ß": "ss", "æ": "ae", "Æ": "AE", "œ": "oe", "Œ": "OE", "þ": "th", "Þ": "TH"}
+STROKES = {"ø": "o", "Ø": "O", "ł": "l", "Ł": "L", "đ": "d", "Đ": "D", "ħ": "h", "Ħ": "H", "ŧ": "t", "Ŧ": "T", "ð": "d", "Ð": "D", "ı": "i"}
+
+
 def plain(c: Column | str) -> Column:
-    """Latin letters without their accents; all else as it is."""
-    return F.translate(text(c), "".join(_ACCENTED), "".join(_PLAIN))
+    """Latin letters without their accents and strokes, ligatures as two letters; all else as it is."""
+    out = F.translate(text(c), "".join((*_ACCENTED, *STROKES)), "".join((*_PLAIN, *STROKES.values())))
+    for one, two in LIGATURES.items():
+        out = F.replace(out, F.lit(one), F.lit(two))
+    return out
 
 
 def squish(c: Column | str) -> Column:

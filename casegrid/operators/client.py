@@ -7,6 +7,7 @@ import math
 import os
 import subprocess
 import tempfile
+import time
 import urllib.error
 import urllib.request
 from dataclasses import dataclass, field
@@ -16,12 +17,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casegrid.operators.prompt import DEFAULT_MODELS, cost
+from casegrid.operators.prompt import DEFAULT_MODELS, cost, system_prompt
 from casegrid.plans.tables import written
 
-TRIES = 4
+TRIES, TIMEOUT, PAUSE = 4, 600, 2.0
 #: Environment variables that each provider needs.
-NEEDS = {"azure": ("AZURE_OPENAI_ENDPOINT", "AZURE_OPENAI_API_KEY"), "claude": ("ANTHROPIC_API_KEY",), "openai": ("OPENAI_API_KEY",), "gemini": ("GEMINI_API_KEY",), "ollama": (), "mlx": ()}
+NEEDS = {"azure": ("AZURE_OPENAI_ENDPOINT", "AZURE_OPENAI_API_KEY"), "claude": ("CLAUDE_API_KEY",), "openai": ("OPENAI_API_KEY",), "gemini": ("GEMINI_API_KEY",), "ollama": (), "mlx": ()}
 
 
 class Client(Protocol):
@@ -33,6 +34,7 @@ def estimate(text: str) -> int:
     return math.ceil(len(text) / 4)
 
 
+CITED_TASK = "Extract the line list of cases from this outbreak narrative."
 #: Providers that a prompt leaves this machine for.
 EXTERNAL = ("azure", "claude", "openai", "gemini")
 
@@ -64,7 +66,7 @@ class FakeClient:
 
 @dataclass
 class HttpClient:
-    """One of the HTTP providers; at most TRIES attempts."""
+    """One of the HTTP providers; at most TRIES attempts, each of TIMEOUT seconds at most, with growing pauses between."""
 
     provider: str
     model: str | None = None
@@ -79,7 +81,7 @@ class HttpClient:
             url = f"{env('AZURE_OPENAI_ENDPOINT')}/openai/deployments/{model}/chat/completions?api-version={env('AZURE_OPENAI_API_VERSION', '2025-01-01-preview')}"
             return url, {"api-key": env("AZURE_OPENAI_API_KEY", "")}, chat | {"max_completion_tokens": self.max_tokens, "reasoning_effort": "low"}
         if self.provider == "claude":
-            return "https://api.anthropic.com/v1/messages", {"x-api-key": env("ANTHROPIC_API_KEY", ""), "anthropic-version": "2023-06-01"}, chat | {"model": model, "temperature": self.temperature, "max_tokens": self.max_tokens}
+            return "https://api.anthropic.com/v1/messages", {"x-api-key": env("CLAUDE_API_KEY", ""), "anthropic-version": "2023-06-01"}, chat | {"model": model, "temperature": self.temperature, "max_tokens": self.max_tokens}
         if self.provider == "openai":
             return "https://api.openai.com/v1/chat/completions", {"Authorization": f"Bearer {env('OPENAI_API_KEY', '')}"}, chat | {"model": model, "temperature": self.temperature, "max_tokens": self.max_tokens}
         if self.provider == "gemini":
@@ -105,16 +107,36 @@ class HttpClient:
         return {"text": text, "prompt_tokens": estimate(prompt) if n[0] is None else n[0], "completion_tokens": estimate(text) if n[1] is None else n[1]}
 
     def call(self, prompt: str) -> dict:
-        url, headers, body = self.request(prompt)
+        return self.answer(prompt, self.send(*self.request(prompt)))
+
+    def send(self, url: str, headers: dict, body: dict) -> dict:
+        """The response's JSON; any status of 300 or more, and a connection that fails, is tried again."""
         for k in range(TRIES):
             try:
-                with urllib.request.urlopen(urllib.request.Request(url, json.dumps(body).encode(), headers | {"Content-Type": "application/json"})) as r:
-                    return self.answer(prompt, json.loads(r.read()))
-            except urllib.error.HTTPError:
+                request = urllib.request.Request(url, json.dumps(body).encode(), headers | {"Content-Type": "application/json"})
+                with urllib.request.urlopen(request, timeout=TIMEOUT) as r:
+                    return json.loads(r.read())
+            except (urllib.error.URLError, TimeoutError, ConnectionError):
                 if k + 1 == TRIES:
                     raise
+                time.sleep(PAUSE * 2**k)
         raise AssertionError
 
+    def cited_request(self, instructions: str, document: str) -> tuple[str, dict, dict]:
+        """URL, headers and body of a request whose answer cites the document; of one provider only."""
+        if self.provider != "claude":
+            raise ValueError(f"{self.provider} has no cited requests")
+        url, headers, body = self.request("")
+        source = {"type": "text", "media_type": "text/plain", "data": document}
+        content = [{"type": "document", "source": source, "title": "Outbreak narrative", "citations": {"enabled": True}}, {"type": "text", "text": CITED_TASK}]
+        return url, headers, body | {"system": instructions, "messages": [{"role": "user", "content": content}]}
+
+    def call_cited(self, instructions: str, document: str) -> dict:
+        """text, blocks (see ``blocks``) and usage of a cited answer."""
+        body = self.send(*self.cited_request(instructions, document))
+        usage, parts = body["usage"], blocks(body["content"])
+        return {"text": "".join(p["text"] for p in parts), "blocks": parts, "prompt_tokens": usage["input_tokens"], "completion_tokens": usage["output_tokens"]}
+
 
 @dataclass
 class CommandClient:
@@ -145,10 +167,34 @@ def blocks(content: list[dict]) -> list[dict]:
     return out
 
 
-def call_model(prompts: DataFrame, client: Client, provider: str, model: str | None = None) -> DataFrame:
+BLOCKS = "array<struct<text:string,start:int,end:int,citations:array<struct<cited_text:string,start_char_index:int,end_char_index:int>>>>"
+
+
+def cited_answers(docs: DataFrame, client: HttpClient, instructions: str, approved: bool = False) -> DataFrame:
+    """doc_id, response, blocks (text blocks with their places and citations), prompt_tokens, completion_tokens of each
+    document's cited answer; written once."""
+    require_approval(client.provider, approved)
+    require_env(client.provider)
+
+    def run(batches):
+        for p in batches:
+            got = [client.call_cited(instructions, x) for x in p["content"]]
+            yield pd.DataFrame({"doc_id": p["doc_id"], "response": [g["text"] for g in got], "blocks": [g["blocks"] for g in got], "prompt_tokens": [g["prompt_tokens"] for g in got], "completion_tokens": [g["completion_tokens"] for g in got]})
+
+    return written(docs.select("doc_id", "content").mapInPandas(run, f"doc_id {dict(docs.dtypes)['doc_id']}, response string, blocks {BLOCKS}, prompt_tokens bigint, completion_tokens bigint"))
+
+
+def call_model(prompts: DataFrame, client: Client, provider: str, model: str | None = None, raw: bool = True, prompt_type: str = "ebola_narrative", approved: bool = False) -> DataFrame:
     """``prompts`` with response, prompt_tokens, completion_tokens, total_tokens, cost, model and provider.  A prompt must not
-    be null or blank.  The result is written once, so that nothing downstream calls again."""
+    be null or blank; if not ``raw`` it is a document that is bound to the bundled template.  Before any job starts an HTTP
+    client needs its environment variables, and for an external provider approval.  The result is written once, so that nothing
+    downstream calls again."""
+    if isinstance(client, HttpClient):
+        require_approval(provider, approved)
+        require_env(provider)
     model = model or DEFAULT_MODELS.get(provider)
+    if not raw:
+        prompts = prompts.withColumn("prompt", F.when(F.trim("prompt") != "", system_prompt("prompt", prompt_type)))
     schema = prompts.select("*", *(F.lit(None).cast(t).alias(c) for c, t in (("response", "string"), ("prompt_tokens", "bigint"), ("completion_tokens", "bigint")))).schema
 
     def run(batches):

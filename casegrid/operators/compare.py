@@ -46,6 +46,16 @@ def fn_analysis(gt: DataFrame, matches: DataFrame) -> DataFrame:
     return left.withColumn("category", F.when(no_name("name"), "Empty GT Name").otherwise("Missed Case"))
 
 
+def case_names(llm: DataFrame, gt: DataFrame, matches: DataFrame) -> DataFrame:
+    """status (detected, missed, extra), row_idx and name: the names behind ``case_detection``.  A detected case is named by
+    its extracted row."""
+    rows = lambda df, status: df.select(F.lit(status).alias("status"), "row_idx", "name")
+    taken = lambda c: matches.select(F.col(c).alias("row_idx"))
+    detected = rows(llm, "detected").join(taken("llm_idx"), "row_idx", "left_semi")
+    extra, missed = rows(llm, "extra").join(taken("llm_idx"), "row_idx", "left_anti"), rows(gt, "missed").join(taken("gt_idx"), "row_idx", "left_anti")
+    return detected.unionByName(missed).unionByName(extra)
+
+
 def compared_cells(llm: DataFrame, gt: DataFrame, matches: DataFrame, columns: list[str]) -> DataFrame:
     """column, llm_idx, has_llm, has_gt, same, error_type of every shared column of every matched pair."""
     a = llm.select(F.col("row_idx").alias("llm_idx"), *(F.col(c).cast("string").alias(f"{c}_llm") for c in columns))
@@ -116,6 +126,7 @@ def compare_linelists(llm: DataFrame, gt: DataFrame) -> dict[str, DataFrame | di
         "structure": {"shared": shared, "llm_only": only_llm, "gt_only": only_gt},
         "matches": matches,
         "case_detection": case_detection(llm, gt, matches),
+        "case_names": case_names(llm, gt, matches),
         "false_positives": fp_analysis(llm, matches),
         "false_negatives": fn_analysis(gt, matches),
         "column_metrics": per_column,

@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from casegrid.functions.text import name_tokens
+from casegrid.operators.components import components
+from casegrid.plans.tables import written
 
 THRESHOLD = 0.5
 
@@ -33,15 +35,16 @@ def name_candidates(llm: DataFrame, gt: DataFrame, by: tuple[str, ...] = (), thr
 
 def greedy_match(llm: DataFrame, gt: DataFrame, by: tuple[str, ...] = (), threshold: float = THRESHOLD) -> DataFrame:
     """(by, llm_idx, gt_idx, case_name, similarity): extracted rows in order each take the most similar true row not yet
-    taken, the first of equal ones.  The order makes this one pass over a run's sorted candidates; it streams, and only the
-    taken rows' numbers are kept."""
-    keys = list(by)
-    pairs = name_candidates(llm, gt, by, threshold)
+    taken, the first of equal ones.  Rows that no chain of candidates joins cannot take each other's, so the pass over the
+    sorted candidates is made for each component by itself; it streams, and only the taken rows' numbers are kept."""
+    keys = ["part"]
+    pairs = written(name_candidates(llm, gt, by, threshold))
+    run = F.concat_ws("\x01", *(F.coalesce(F.col(k).cast("string"), F.lit("\x02")) for k in by)) if by else F.lit("")
+    end = lambda side, c: F.concat_ws("\x01", F.lit(side), run, F.col(c).cast("string"))
+    pairs = pairs.withColumn("own", end("l", "llm_idx"))
+    parts = components(pairs.select(F.col("own").alias("v"), end("g", "gt_idx").alias("w"))).select(F.col("v").alias("own"), F.col("root").alias("part"))
+    pairs = pairs.join(parts, "own").select("part", *by, "llm_idx", "gt_idx", "similarity").repartition("part")
     schema = pairs.schema
-    if not keys:
-        pairs = pairs.coalesce(1)
-    else:
-        pairs = pairs.repartition(*keys)
 
     def assign(batches):
         run, taken, done = None, set(), None
@@ -57,6 +60,6 @@ def greedy_match(llm: DataFrame, gt: DataFrame, by: tuple[str, ...] = (), thresh
                     out.append(r)
             yield pd.DataFrame(out, columns=p.columns)
 
-    matched = pairs.sortWithinPartitions(*keys, "llm_idx", F.desc("similarity"), "gt_idx").mapInPandas(assign, schema)
-    names = llm.select(*keys, F.col("row_idx").alias("llm_idx"), F.col("name").alias("case_name"))
-    return matched.join(names, [*keys, "llm_idx"]).select(*keys, "llm_idx", "gt_idx", "case_name", "similarity")
+    matched = pairs.sortWithinPartitions("part", "llm_idx", F.desc("similarity"), "gt_idx").mapInPandas(assign, schema).drop("part")
+    names = llm.select(*by, F.col("row_idx").alias("llm_idx"), F.col("name").alias("case_name"))
+    return matched.join(names, [*by, "llm_idx"]).select(*by, "llm_idx", "gt_idx", "case_name", "similarity")

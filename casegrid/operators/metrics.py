@@ -10,6 +10,7 @@ from casegrid.functions.nulls import null_like
 from casegrid.functions.text import case_ids_upper, name_key, near_either_way, same_set
 from casegrid.functions.text import _short_name as short_name
 from casegrid.operators.compare import f1, ratio
+from casegrid.plans.tables import written
 from casegrid.schema import with_columns
 
 VARIABLES = (
@@ -27,9 +28,8 @@ def without_ids(df: DataFrame, ids: list[str] | None) -> DataFrame:
 
 
 def first_per_case(df: DataFrame) -> DataFrame:
-    """The first row of each case_id by row_idx."""
-    order = W.partitionBy("case_id").orderBy("row_idx")
-    return df.withColumn("rn", F.row_number().over(order)).filter("rn = 1").drop("rn")
+    """The first row of each case_id by row_idx; nulls are one id.  Partial minima meet, not a case's rows."""
+    return df.groupBy("case_id").agg(F.min_by(F.struct(*(c for c in df.columns if c != "case_id")), "row_idx").alias("r")).select("case_id", "r.*").select(*df.columns)
 
 
 def pairs_by_case(llm: DataFrame, gt: DataFrame, columns: list[str]) -> DataFrame:
@@ -46,7 +46,8 @@ def _distinct_keys(df: DataFrame, key: Column) -> DataFrame:
 def case_metrics(llm: DataFrame, gt: DataFrame, few_shot_ids: list[str] | None = None) -> DataFrame:
     """One row: case_f1, case_recall, case_precision, date_accuracy, n_gt_cases, n_llm_cases, n_matched_cases.  Cases are
     matched by id; if no id matches, by normalised name, and then the counts are of distinct names."""
-    gt, llm = without_ids(gt, few_shot_ids), without_ids(llm, few_shot_ids)
+    # each list is read several times, by its four columns
+    gt, llm = (written(without_ids(df, few_shot_ids).select("row_idx", "case_id", "name", "onset_date", name_key("name").alias("nk"))) for df in (gt, llm))
 
     def counts(key: Column, suffix: str, keep_null: bool) -> DataFrame:
         one, two = (_distinct_keys(df, key) if keep_null else _distinct_keys(df, key).filter("k is not null") for df in (gt, llm))
@@ -55,14 +56,14 @@ def case_metrics(llm: DataFrame, gt: DataFrame, few_shot_ids: list[str] | None =
         return both.agg(n(1, 3).alias(f"g{suffix}"), n(2, 3).alias(f"l{suffix}"), n(3).alias(f"m{suffix}"))
 
     def dates(key: str) -> DataFrame:
-        a, b = (df.withColumn("k", name_key("name")).filter("k is not null") if key == "n" else df.withColumn("k", F.col("case_id")) for df in (gt, llm))
+        a, b = (df.withColumn("k", F.col("nk")).filter("k is not null") if key == "n" else df.withColumn("k", F.col("case_id")) for df in (gt, llm))
         if key == "n":
             a, b = (df.withColumn("r", F.row_number().over(W.partitionBy("k").orderBy("row_idx"))).filter("r = 1") for df in (a, b))
         pair = a.select("k", F.col("onset_date").alias("x")).join(b.select(F.col("k").alias("q"), F.col("onset_date").alias("y")), F.col("k").eqNullSafe(F.col("q")))
         same = (F.col("x") == F.col("y")) | (F.col("x").isNull() & F.col("y").isNull())
         return pair.agg(F.avg(same.cast("double")).alias(f"d{key}"))
 
-    one = counts(F.col("case_id"), "i", True).crossJoin(counts(name_key("name"), "n", False)).crossJoin(dates("i")).crossJoin(dates("n"))  # one row each
+    one = counts(F.col("case_id"), "i", True).crossJoin(counts(F.col("nk"), "n", False)).crossJoin(dates("i")).crossJoin(dates("n"))  # one row each
     by_name = (F.col("mi") == 0) & (F.col("gi") > 0) & (F.col("li") > 0) & (F.col("mn") > 0)
     pick = lambda a, b: F.when(by_name, F.col(b)).otherwise(F.col(a))
     one = one.select(pick("gi", "gn").alias("n_gt_cases"), pick("li", "ln").alias("n_llm_cases"), pick("mi", "mn").alias("n_matched_cases"), pick("di", "dn").alias("date_accuracy"))
@@ -96,6 +97,17 @@ def names_to_ids(rows: DataFrame, gt: DataFrame, column: str) -> DataFrame:
     return rows.join(ids, F.col(column) == F.col("v"), "left").select(*cols, F.coalesce("ids", column).alias(column)).select(*rows.columns)
 
 
+def remapped(llm: DataFrame, gt: DataFrame) -> DataFrame:
+    """``llm`` where, if no id of it is among those of ``gt``, rows whose normalised name a true case has get that case's id,
+    the first one's by row_idx."""
+    met = gt.select("case_id").join(llm.select(F.col("case_id").alias("q")), F.col("case_id").eqNullSafe(F.col("q")), "left_semi")
+    none = met.agg((F.count("*") == 0).alias("none"))  # one row
+    first = gt.select(name_key("name").alias("nk"), "case_id", "row_idx").filter("nk is not null").groupBy("nk").agg(F.min_by("case_id", "row_idx").alias("true_id"))
+    new = F.when(F.col("none") & F.col("true_id").isNotNull(), F.col("true_id")).otherwise(F.col("case_id"))
+    rows = llm.withColumn("nk", name_key("name")).join(first, "nk", "left").crossJoin(F.broadcast(none))
+    return rows.select(*(new.alias(c) if c == "case_id" else c for c in llm.columns))
+
+
 def values_agree(gt: Column, llm: Column, variable: Column) -> Column:
     """Typed equality of two values in the variable metrics; ids are compared in upper case and a date keeps its slashes."""
     a, b = case_ids_upper(gt), case_ids_upper(llm)
@@ -109,11 +121,14 @@ def values_agree(gt: Column, llm: Column, variable: Column) -> Column:
 
 def variable_metrics(llm: DataFrame, gt: DataFrame, few_shot_ids: list[str] | None = None, variables: tuple[str, ...] = VARIABLES) -> DataFrame:
     """Per variable n_compared, n_match, f1, precision, recall, completeness_llm, completeness_gt.  Rows are joined by
-    case_id, first row each; a true case that was not extracted counts against recall.  One aggregation for all variables."""
-    variables = tuple(v for v in variables)
-    all_gt = with_columns(gt, ("contacts", "secondary_cases", *variables))
-    gt = first_per_case(without_ids(all_gt, few_shot_ids))
-    llm = first_per_case(without_ids(with_columns(llm, ("contacts", "secondary_cases", *variables)), few_shot_ids))
+    case_id, first row each; if no id matches, names lead extracted cases to true ids.  A true case that was not extracted
+    counts against recall.  Without true cases both counts are 0 and the rest null.  One aggregation for all variables."""
+    needed = tuple(dict.fromkeys(("case_id", "name", *variables)))
+    project = lambda df: with_columns(df, needed).select("row_idx", *needed)
+    all_gt, llm = written(project(gt)), written(project(llm))  # each is read several times
+    gt, llm = without_ids(all_gt, few_shot_ids), without_ids(llm, few_shot_ids)
+    llm = first_per_case(remapped(llm, gt))
+    gt = first_per_case(gt)
     for v in variables:
         if v in ID_VARIABLES:
             llm = names_to_ids(llm, all_gt, v)
@@ -133,6 +148,8 @@ def variable_metrics(llm: DataFrame, gt: DataFrame, few_shot_ids: list[str] | No
         F.avg("list_precision").alias("lp"), F.avg("list_recall").alias("lr"), F.avg("list_f1").alias("lf"),
     )
     p, r = F.try_divide(F.col("tp"), F.col("s_llm")), F.try_divide(F.col("tp"), F.col("s_gt"))
+    every = s.sparkSession.createDataFrame([(v,) for v in variables], "variable string")
+    s = every.join(s, "variable", "left").fillna(0, ["any", "both", "ids", "tp"])
     return s.select(
         "variable",
         F.when(lists, F.col("any")).otherwise(F.col("both")).cast("int").alias("n_compared"),
@@ -159,10 +176,20 @@ def per_case_list_metrics(llm: DataFrame, gt: DataFrame, few_shot_ids: list[str]
     )
 
 
-def metrics_rows(runs: DataFrame) -> DataFrame:
-    """Rows of the metrics table from runs with config, metrics and variable results as columns: the strategy's name, and
-    time per case where the number of cases is known.  Without metrics (case_f1 null) all figures and times are null."""
+RUN = ("model", "provider", "use_chunking", "replicate")
+
+
+def metrics_rows(runs: DataFrame, variables: DataFrame | None = None) -> DataFrame:
+    """Rows of the metrics table from runs with config and metrics as columns: the strategy's name, and
+    time per case where the number of cases is known.  Without metrics (case_f1 null) all figures and times are null.
+    ``variables`` (RUN, variable, f1, precision, recall) gives the figures of secondary cases and infectors, else they are
+    taken from columns of ``runs``."""
     known = F.col("case_f1").isNotNull()
+    if variables is not None:
+        of = lambda v, c: F.max(F.when(F.col("variable") == v, F.col(c)))
+        wide = variables.groupBy(*RUN).agg(*(of(v, c).alias(f"{p}_{c}") for p, v in (("secondary", "secondary_cases"), ("infector", "potential_infector")) for c in ("f1", "recall", "precision")))
+        same = [F.col(c).eqNullSafe(F.col(f"v_{c}")) for c in RUN]
+        runs = runs.join(wide.withColumnsRenamed({c: f"v_{c}" for c in RUN}), same, "left").drop(*(f"v_{c}" for c in RUN))
     figures = ("case_f1", "case_recall", "case_precision", "secondary_f1", "secondary_recall", "secondary_precision", "infector_f1", "infector_recall", "infector_precision", "date_accuracy")
     runs = with_columns(runs, (*figures, "error", "slurm_job_id", "slurm_exec_time_sec"))
     per_case = F.when(F.col("n_llm_cases") > 0, F.col("time_total_sec") / F.col("n_llm_cases"))

@@ -50,6 +50,19 @@ def insert_examples(template: Column, examples: Column) -> Column:
     return F.when(examples.isNull() | (trim(examples) == ""), template).otherwise(out)
 
 
+#: Kinds of prompts; all use the one bundled template.
+PROMPT_TYPES = ("ebola_narrative", "msf", "generic")
+
+
+def system_prompt(content: Column | str, prompt_type: str = "ebola_narrative") -> Column:
+    """The bundled template with the document in it; an unknown kind of prompt is an error."""
+    if prompt_type not in PROMPT_TYPES:
+        raise ValueError(f"unknown kind of prompt {prompt_type}")
+    from casegrid.sources.files import template
+
+    return bind(template(), content)
+
+
 def sample_words(content: Column | str, n: int = 400) -> Column:
     """The first ``n`` words, joined by single blanks."""
     return F.array_join(F.slice(F.split(squish(content), " "), 1, n), " ")

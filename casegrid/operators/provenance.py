@@ -16,26 +16,27 @@ REFERENCE_FIELDS = ("contacts", "secondary_cases", "potential_infector", "most_p
 DATE_FIELDS = ("onset_date", "outcome_date")
 
 
-def _pieces(content: Column, pattern: str) -> Column:
-    """The text cut at the pattern's matches, which are every second piece: structs of the piece and what precedes it in length."""
-    clean = F.replace(content, F.lit(_MARK), F.lit(" "))
+def _found(docs: DataFrame, pattern: str) -> DataFrame:
+    """doc_id, n (length of the content), s and start of each match: the text is cut at the matches, which are every second
+    piece, and places are running sums of the pieces' lengths."""
+    clean = F.replace("content", F.lit(_MARK), F.lit(" "))
     parts = F.split(F.regexp_replace(clean, f"({pattern})", f"{_MARK}$1{_MARK}"), _MARK)
-    zero = F.struct(F.array().cast("array<struct<s:string,start:int>>").alias("out"), F.lit(1).alias("at"))
-    step = lambda acc, s: F.struct(F.concat(acc["out"], F.array(F.struct(s.alias("s"), acc["at"].alias("start")))).alias("out"), (acc["at"] + F.length(s)).alias("at"))
-    return F.aggregate(parts, zero, step, lambda acc: F.filter(acc["out"], lambda x, i: i % 2 == 1))
+    rows = docs.select("doc_id", F.length("content").alias("n"), F.posexplode(parts).alias("i", "s"))
+    rows = rows.select("doc_id", "n", "i", F.length("s").alias("len"), F.when(F.col("i") % 2 == 1, F.col("s")).alias("s"))
+    before = F.sum("len").over(W.partitionBy("doc_id").orderBy("i").rowsBetween(W.unboundedPreceding, -1))
+    return rows.withColumn("start", (F.coalesce(before, F.lit(0)) + 1).cast("int")).filter("s is not null").select("doc_id", "n", "s", "start")
 
 
 def source_records(docs: DataFrame) -> DataFrame:
     """doc_id, case_id, start, end of each record: from its header to before the next one."""
-    heads = docs.select("doc_id", F.length("content").alias("n"), F.explode(_pieces(F.col("content"), HEADER)).alias("h"))
     nxt = F.lead("start").over(W.partitionBy("doc_id").orderBy("start"))
-    return heads.select("doc_id", "n", F.upper(F.regexp_extract("h.s", ID, 0)).alias("case_id"), F.col("h.start").alias("start")).select("doc_id", "case_id", "start", F.coalesce(nxt - 1, "n").alias("end"))
+    return _found(docs, HEADER).select("doc_id", "n", F.upper(F.regexp_extract("s", ID, 0)).alias("case_id"), "start").select("doc_id", "case_id", "start", F.coalesce(nxt - 1, "n").alias("end"))
 
 
 def source_mentions(docs: DataFrame, records: DataFrame) -> DataFrame:
     """doc_id, record_start, record_case_id, case_id, start, end of each id written inside a record.  Both sides are keyed by
     document, so the containment test never leaves it."""
-    found = docs.select("doc_id", F.explode(_pieces(F.col("content"), ID)).alias("m")).select("doc_id", F.upper("m.s").alias("case_id"), F.col("m.start").alias("start"), (F.col("m.start") + F.length("m.s") - 1).alias("end"))
+    found = _found(docs, ID).select("doc_id", F.upper("s").alias("case_id"), "start", (F.col("start") + F.length("s") - 1).alias("end"))
     # the record of a mention is the last header at or before it: one sorted pass over both instead of a range join
     both = found.select("doc_id", "case_id", "start", "end", F.lit(1).alias("kind")).unionByName(records.select("doc_id", "case_id", "start", F.lit(0).alias("end"), F.lit(0).alias("kind")))
     before = W.partitionBy("doc_id").orderBy("start", "kind").rowsBetween(W.unboundedPreceding, 0)
@@ -57,16 +58,16 @@ def whole_word(value: Column, content: Column) -> Column:
 
 
 def search_value(value: Column, content: Column, field: str) -> Column:
-    """Struct (start, len) of a cell's value in a text, or null: the first written form of a date, or the whole value, or the
-    longest of its words with more than two letters if it has several."""
+    """Struct (start, len) of a cell's value in a text, or null: the first written form of a date, or the whole value, or, if
+    it has several words with more than two letters, the longest of them that is there (the first of equally long ones)."""
     if field in DATE_FIELDS:
         forms = F.transform(date_variants(value), lambda v: F.struct(F.instr(F.lower(content), F.lower(v)).alias("start"), F.length(v).alias("len")))
         return F.try_element_at(F.filter(forms, lambda x: x["start"] > 0), F.lit(1))
     whole = whole_word(value, content)
     words = F.filter(F.split(value, r"\s+"), lambda w: F.length(w) > 2)
-    longest = F.aggregate(words, F.lit(""), lambda acc, w: F.when(F.length(w) > F.length(acc), w).otherwise(acc))
-    part = whole_word(longest, content)
-    return F.when(whole > 0, F.struct(whole.alias("start"), F.length(value).alias("len"))).when((F.size(words) > 1) & (part > 0), F.struct(part.alias("start"), F.length(longest).alias("len")))
+    hits = F.filter(F.transform(words, lambda w: F.struct(whole_word(w, content).alias("start"), F.length(w).alias("len"))), lambda x: x["start"] > 0)
+    longest = F.aggregate(hits, F.lit(None).cast("struct<start:int,len:int>"), lambda acc, x: F.when(acc.isNull() | (x["len"] > acc["len"]), x).otherwise(acc))
+    return F.when(whole > 0, F.struct(whole.alias("start"), F.length(value).alias("len"))).when(F.size(words) > 1, longest)
 
 
 def case_spans(cases: DataFrame, docs: DataFrame, quote: int = 400, around: int = 2000) -> DataFrame:
@@ -107,27 +108,48 @@ def citations_for_cases(cases: DataFrame, blocks: DataFrame) -> DataFrame:
     return own.filter(named).select("doc_id", "row_idx", "pos", F.posexplode("citations").alias("i", "c")).select("doc_id", "row_idx", "pos", "i", "c.*")
 
 
-def cell_matches(cases: DataFrame, docs: DataFrame, fields: list[str]) -> DataFrame:
-    """doc_id, row_idx, field, start, end of each cell in its document.  The window is the first record of the case, or
-    the whole document; ids of a reference field are found among the record's mentions and only count if all are there;
-    otherwise the case id itself is shown."""
+def cell_matches(cases: DataFrame, docs: DataFrame, fields: list[str], citations: DataFrame | None = None) -> DataFrame:
+    """doc_id, row_idx, field, start, end of each cell in its document.
+
+    The spans of a case's ``citations`` (doc_id, row_idx, start_char_index from 0, end_char_index; in the order of
+    their places) are searched first: the first one that holds the value, or of an empty cell the case id, shows it.  Else
+    the window is the first record of the case, or the whole document.  Ids of a reference field are found among the record's
+    mentions, as whole ids, and only count if all are there.  A value that is nowhere, and an empty cell, show the case id's place.
+    Records, mentions and spans are joined by their keys first, and the text last."""
     records = source_records(docs)
-    first = records.withColumn("r", F.row_number().over(W.partitionBy("doc_id", "case_id").orderBy("start"))).filter("r = 1").select("doc_id", F.upper("case_id").alias("k"), F.col("start").alias("w0"), F.col("end").alias("w1"))
-    anchor = F.coalesce(F.nullif(trim("case_id"), F.lit("")), F.nullif(trim("name"), F.lit("")))
-    rows = cases.withColumn("k", F.upper(anchor)).join(docs.select("doc_id", "content"), "doc_id").join(first, ["doc_id", "k"], "left")
-    rows = rows.withColumn("base", F.coalesce("w0", F.lit(1))).withColumn("view", F.substring("content", F.col("base"), F.coalesce("w1", F.length("content")) - F.col("base") + 1))
-    place = F.instr(F.lower("view"), F.lower("k"))
-    own = F.when(place > 0, F.array(F.struct((place + F.col("base") - 1).alias("start"), (place + F.col("base") - 2 + F.length("k")).alias("end"))))
+    mentions = source_mentions(docs, records).groupBy("doc_id", F.col("record_start").alias("w0")).agg(F.array_sort(F.collect_list(F.struct("case_id", "start", "end"))).alias("mentions"))
+    first = records.groupBy("doc_id", F.col("case_id").alias("cid")).agg(F.min(F.struct(F.col("start").alias("w0"), F.col("end").alias("w1"))).alias("w")).select("doc_id", "cid", "w.*")
+    rows = cases.withColumn("cid", F.nullif(F.upper(trim("case_id")), F.lit(""))).withColumn("who", F.nullif(trim("name"), F.lit("")))
+    rows = rows.join(first, ["doc_id", "cid"], "left").withColumn("w0", F.coalesce("w0", F.lit(1))).join(mentions, ["doc_id", "w0"], "left")
+    if citations is not None:
+        spans = citations.select("doc_id", "row_idx", F.struct((F.col("start_char_index") + 1).alias("s"), F.col("end_char_index").alias("e")).alias("x")).groupBy("doc_id", "row_idx").agg(F.array_sort(F.collect_list("x")).alias("cited"))
+        rows = rows.join(spans, ["doc_id", "row_idx"], "left")
+    else:
+        rows = rows.withColumn("cited", F.lit(None).cast("array<struct<s:int,e:int>>"))
+    rows = rows.join(docs.select("doc_id", "content"), "doc_id").withColumn("view", F.substring("content", F.col("w0"), F.coalesce("w1", F.length("content")) - F.col("w0") + 1))
+    at_id, at_name = F.instr("content", F.col("cid")), F.instr(F.lower("content"), F.lower("who"))
+    anchor = F.when(at_id > 0, at_id).when(at_name > 0, at_name)
+    span = lambda hit, base: F.struct((hit["start"] + base - 1).alias("start"), (hit["start"] + base - 2 + hit["len"]).alias("end"))
+    own = F.when(anchor.isNotNull() & F.col("cid").isNotNull(), F.array(F.struct(anchor.alias("start"), (anchor + F.length("cid") - 1).alias("end"))))
+
+    def found(value: Column, text: Column, base: Column, f: str) -> Column:
+        """The spans of a value in a text that begins at ``base``; null if there are none."""
+        parts = F.filter(F.transform(F.split(value, "[,;|]"), lambda x: trim(x)), lambda x: x != "") if f in REFERENCE_FIELDS else F.array(value)
+        hits = F.filter(F.transform(parts, lambda x: search_value(x, text, f)), lambda x: x.isNotNull())
+        return F.when(F.size(hits) > 0, F.transform(hits, lambda x: span(x, base)))
 
     def spans(f: str) -> Column:
-        value = F.col(f).cast("string")
-        if f in REFERENCE_FIELDS:
-            parts = F.filter(F.transform(F.split(value, r"[,;|]"), lambda x: F.upper(trim(x))), lambda x: x != "")
-            hits = F.transform(parts, lambda x: F.struct(F.instr(F.upper("view"), x).alias("at"), F.length(x).alias("len")))
-            every = F.transform(hits, lambda x: F.struct((x["at"] + F.col("base") - 1).alias("start"), (x["at"] + F.col("base") - 2 + x["len"]).alias("end")))
-            return F.when(~no_value(value), F.when(F.forall(hits, lambda x: x["at"] > 0) & (F.size(F.array_distinct(parts)) == F.size(parts)), every)).otherwise(own)
-        hit = search_value(value, F.col("view"), f)
-        return F.when(~no_value(value) & hit.isNotNull(), F.array(F.struct((hit["start"] + F.col("base") - 1).alias("start"), (hit["start"] + F.col("base") - 2 + hit["len"]).alias("end")))).otherwise(own)
+        value = F.when(~no_value(f), trim(f))
+        part = lambda x: F.substring(F.col("content"), x["s"], x["e"] - x["s"] + 1)
+        ok = F.filter("cited", lambda x: (x["s"] >= 1) & (x["e"] <= F.length("content")) & (x["s"] < x["e"]))
+        cited = F.transform(ok, lambda x: F.when(value.isNotNull(), found(value, part(x), x["s"], f)).otherwise(found(F.col("cid"), part(x), x["s"], "case_id")))
+        cited = F.try_element_at(F.filter(cited, lambda x: x.isNotNull()), F.lit(1))
+        ids = F.transform(F.split(value, "[,;|]"), lambda x: F.upper(trim(x)))
+        hits = F.filter(F.coalesce("mentions", F.array().cast("array<struct<case_id:string,start:int,end:int>>")), lambda m: F.array_contains(ids, m["case_id"]))
+        each = F.transform(F.array_distinct(F.transform(hits, lambda m: m["case_id"])), lambda i: F.filter(hits, lambda m: m["case_id"] == i)[0])  # sorted: the first place of each id
+        every = F.when(F.size(each) == F.size(ids), F.transform(each, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"))))
+        local = F.coalesce(found(value, F.col("view"), F.col("w0"), f), own)
+        return F.coalesce(cited, F.when(value.isNotNull() & F.col("cid").isNotNull(), every).otherwise(local) if f in REFERENCE_FIELDS else local)
 
     cells = F.array(*(F.struct(F.lit(f).alias("field"), spans(f).alias("spans")) for f in fields))
     return rows.select("doc_id", "row_idx", F.explode(cells).alias("c")).select("doc_id", "row_idx", "c.field", F.explode("c.spans").alias("s")).select("doc_id", "row_idx", "field", "s.start", "s.end")

@@ -15,8 +15,11 @@ def null_like(c: str) -> str:
 
 def plain(c: str) -> str:
     """Accents of Latin letters removed, by the same rule as in Spark."""
-    pairs = [(ch, d[0]) for ch in map(chr, range(0xC0, 0x250)) if len(d := unicodedata.normalize("NFD", ch)) > 1 and d[0].isascii()]
-    return f"translate({c}, '{''.join(p[0] for p in pairs)}', '{''.join(p[1] for p in pairs)}')"
+    pairs = [(ch, d[0]) for ch in map(chr, range(0xC0, 0x250)) if len(d := unicodedata.normalize("NFD", ch)) > 1 and d[0].isascii()] + [*zip("øØłŁđĐħĦŧŦðÐı", "oOlLdDhHtTdDi", strict=True)]
+    out = f"translate({c}, '{''.join(p[0] for p in pairs)}', '{''.join(p[1] for p in pairs)}')"
+    for one, two in (("ß", "ss"), ("æ", "ae"), ("Æ", "AE"), ("œ", "oe"), ("Œ", "OE"), ("þ", "th"), ("Þ", "TH")):
+        out = f"replace({out}, '{one}', '{two}')"
+    return out
 
 
 def letters(c: str) -> str:
@@ -86,6 +89,13 @@ _EDGES = """, parts AS (
   SELECT DISTINCT CASE WHEN kind = 'secondary_case' THEN case_id ELSE x END AS source_case_id,
     CASE WHEN kind = 'secondary_case' THEN x ELSE case_id END AS target_case_id, kind AS relationship_type FROM parts
 )"""
+_DOC_EDGES = """, parts AS (
+  SELECT row_idx % 2 AS doc_id, case_id, 'secondary_case' AS kind, unnest(string_split(secondary_cases, ', ')) AS x FROM gt WHERE secondary_cases IS NOT NULL
+  UNION ALL SELECT row_idx % 2, case_id, 'potential_infector', unnest(string_split(potential_infector, ', ')) FROM gt WHERE potential_infector IS NOT NULL
+), rel AS (
+  SELECT DISTINCT doc_id, CASE WHEN kind = 'secondary_case' THEN case_id ELSE x END AS source_case_id,
+    CASE WHEN kind = 'secondary_case' THEN x ELSE case_id END AS target_case_id, kind AS relationship_type FROM parts
+)"""
 _RATES = "CASE WHEN {l} > 0 THEN {m} / {l} ELSE 0 END AS {p}, CASE WHEN {g} > 0 THEN {m} / {g} ELSE 0 END AS {r}"
 _F1 = "CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END"
 
@@ -111,7 +121,7 @@ _LIST = """SELECT *, CASE WHEN n_gt = 0 AND n_llm = 0 THEN 1.0 WHEN n_gt = 0 THE
   FROM (SELECT *, CAST(len(a) AS INT) AS n_gt, CAST(len(b) AS INT) AS n_llm, CAST(len(list_filter(a, lambda x: list_contains(b, x))) AS INT) AS n_matched FROM {t})"""
 
 
-def _variable_metrics() -> str:
+def _variable_metrics(by_name: bool = False) -> str:
     lists, others = ("secondary_cases", "potential_infector"), ("name", "sex", "onset_date")
     rows = ", ".join(f"g.{v} AS {v}_g, l.{v} AS {v}_l" for v in VARIABLES)
     parts = []
@@ -126,8 +136,13 @@ def _variable_metrics() -> str:
         inner = _LIST.format(t=f"(SELECT *, {_list_columns(g, x)} FROM j)")
         parts.append(f"""SELECT '{v}', CAST(count(*) FILTER (WHERE n_gt > 0 OR n_llm > 0) AS INT), CAST(sum(n_matched) AS INT), avg({_F1}), avg(p), avg(r),
   count(*) FILTER (WHERE hit AND NOT {null_like(x)}) / nullif(count(*) FILTER (WHERE hit), 0), count(*) FILTER (WHERE NOT {null_like(g)}) / count(*) FROM ({inner})""")
+    key = name_key("name")
+    remap = "SELECT * FROM llmu"
+    if by_name:
+        remap = f"SELECT l.* REPLACE (coalesce(t.case_id, concat('X', l.case_id)) AS case_id) FROM llmu l LEFT JOIN (SELECT {key} AS k, arg_min(case_id, row_idx) AS case_id FROM gt WHERE {key} IS NOT NULL GROUP BY 1) t ON t.k = {name_key('l.name')}"
     return f"""{SQL}, g1 AS (SELECT * FROM gt QUALIFY row_number() OVER (PARTITION BY case_id ORDER BY row_idx) = 1),
-l1 AS (SELECT * FROM llmu QUALIFY row_number() OVER (PARTITION BY case_id ORDER BY row_idx) = 1),
+l0 AS ({remap}),
+l1 AS (SELECT * FROM l0 QUALIFY row_number() OVER (PARTITION BY case_id ORDER BY row_idx) = 1),
 j AS (SELECT l.case_id IS NOT NULL AS hit, {rows} FROM g1 g LEFT JOIN l1 l ON g.case_id = l.case_id),
 u AS ({' UNION ALL '.join(parts)})
 SELECT variable, n_compared, n_match, round(f1, 9) AS f1, round(precision, 9) AS precision, round(recall, 9) AS recall, round(completeness_llm, 9) AS completeness_llm, round(completeness_gt, 9) AS completeness_gt FROM u"""
@@ -144,6 +159,9 @@ SELECT case_id, variable, array_to_string(a, ', ') AS gt_ids, array_to_string(b,
 _CELLS = ", cells AS (" + " UNION ALL ".join(
     f"SELECT '{c}' AS col_, NOT {null_like(f'l.{c}')} AS hl, NOT {null_like(f'g.{c}')} AS hg, {cells_match(f'l.{c}', f'g.{c}', c)} AS same FROM llmu l JOIN gt g ON l.case_id = g.case_id" for c in COLUMNS
 ) + ")"
+_MATCHED_CELLS = ", cells AS (" + " UNION ALL ".join(
+    f"SELECT '{c}' AS col_, NOT {null_like(f'l.{c}')} AS hl, NOT {null_like(f'g.{c}')} AS hg, {cells_match(f'l.{c}', f'g.{c}', c)} AS same FROM m JOIN llm l ON l.row_idx = m.llm_idx JOIN gt g ON g.row_idx = m.gt_idx" for c in COLUMNS
+) + ")"
 _COLUMN_METRICS = f"""{_CELLS}, sums AS (
   SELECT col_, count(*) FILTER (WHERE same AND hl AND hg) AS tp, count(*) FILTER (WHERE hl) AS nl, count(*) FILTER (WHERE hg) AS ng, count(*) FILTER (WHERE hl AND hg) AS nb FROM cells GROUP BY col_
 ), rates AS (
@@ -186,6 +204,10 @@ def _replicates() -> str:
     short = {"time_total_sec": "time_total", "time_per_case_sec": "time_per_case"}
     form = {"median": "median({c})", "q25": "quantile_cont({c}, 0.25)", "q75": "quantile_cont({c}, 0.75)", "iqr": "quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25)", "min": "min({c})", "max": "max({c})", "sd": "stddev_samp({c})"}
     stats = ", ".join(f"round({form[s].format(c=c)}, 9) AS {short.get(c, c)}_{s}" for c, ss in STATS.items() for s in ss)
+    of = lambda m, s: _percent(form[s].format(c=m))
+    figures = [m for m in STATS if not m.startswith("time")]
+    stats += "".join(f", concat({of(m, 'median')}, '% (', {of(m, 'min')}, '-', {of(m, 'max')}, ')') AS {m}_range" for m in figures)
+    stats += "".join(f", concat({of(m, 'median')}, '% [IQR: ', {of(m, 'q25')}, '-', {of(m, 'q75')}, ']') AS {m}_iqr_str" for m in figures if "iqr" in STATS[m])
     cols = ", ".join(f"round((event_id * {7 + 2 * i} % 1009) / 1009, 6) AS {c}" for i, c in enumerate(STATS))
     return f"SELECT model, provider, strategy, count(*) AS n_replicates, {stats} FROM (SELECT concat('m', user_id % 5) AS model, event_type AS provider, 'Unchunked' AS strategy, event_id, {cols} FROM events WHERE event_id % 9 <> 0) GROUP BY 1, 2, 3"
 
@@ -199,6 +221,11 @@ ORACLE: dict[str, str] = {
     "case_metrics": _case_metrics("case_id", "llmu", True),
     "case_metrics_by_name": _case_metrics(name_key("name"), "llmu", False),
     "variable_metrics": _variable_metrics(),
+    "variable_metrics_by_name": _variable_metrics(True),
+    "variable_metrics_without_true_cases": " UNION ALL ".join(f"SELECT '{v}' AS variable, CAST(0 AS INT) AS n_compared, CAST(0 AS INT) AS n_match, {', '.join(f'CAST(NULL AS DOUBLE) AS {c}' for c in ('f1', 'precision', 'recall', 'completeness_llm', 'completeness_gt'))}" for v in VARIABLES),
+    "first_place": f"{SQL} SELECT row_idx AS asked, (SELECT min(b.row_idx) FROM gt b WHERE b.name IS NOT DISTINCT FROM a.name) AS place FROM gt a",
+    "record_page": f"{SQL} SELECT row_idx, case_id FROM gt ORDER BY row_idx LIMIT 10 OFFSET 20",
+    "malformed_responses": "SELECT event_id AS doc_id, CAST(0 AS BIGINT) AS row_idx, concat('A', event_id) AS case_id FROM events WHERE event_id % 5 < 4",
     "per_case_list_metrics": _per_case(),
     "few_shot_exclusion": f"{SQL} SELECT row_idx, case_id FROM gt WHERE coalesce(case_id NOT IN ('SAA001', 'SAA002', 'SAA003'), true)",
     "semi_join": f"{SQL} SELECT row_idx, case_id FROM gt WHERE case_id IN (SELECT case_id FROM llmu)",
@@ -222,6 +249,9 @@ ORACLE: dict[str, str] = {
     "greedy_match": f"{_GREEDY} SELECT llm_idx, gt_idx, llm.name AS case_name, round(similarity, 9) AS similarity FROM m JOIN llm ON llm.row_idx = llm_idx",
     "case_detection": f"""{_GREEDY}, n AS (SELECT (SELECT count(*) FROM m) AS tp, (SELECT count(*) FROM llm) AS nl, (SELECT count(*) FROM gt) AS ng), q AS (SELECT *, {_RATES.format(l='nl', g='ng', m='tp', p='p', r='r')} FROM n)
       SELECT tp AS true_positives, nl - tp AS false_positives, ng - tp AS false_negatives, round(p, 9) AS precision, round(r, 9) AS recall, round({_F1}, 9) AS f1_score FROM q""",
+    "case_names": f"""{_GREEDY} SELECT CASE WHEN row_idx IN (SELECT llm_idx FROM m) THEN 'detected' ELSE 'extra' END AS status, row_idx, name FROM llm
+      UNION ALL SELECT 'missed', row_idx, name FROM gt WHERE row_idx NOT IN (SELECT gt_idx FROM m)""",
+    "linelist_comparison": f"{_GREEDY}{_COLUMN_METRICS.replace(_CELLS, _MATCHED_CELLS).replace('FROM llmu)', 'FROM llm)')} SELECT col_ AS \"column\", {', '.join(f'round({c}, 9) AS {c}' for c in _SIX)} FROM cm",
     "fp_analysis": f"{_GREEDY} SELECT row_idx AS llm_idx, name, CASE WHEN name IS NULL OR name IN ('', 'null') THEN 'Empty/Null Name' WHEN length(name) < 3 THEN 'Noise/Fragment' ELSE 'Hallucination / Extra Extraction' END AS category FROM llm WHERE row_idx NOT IN (SELECT llm_idx FROM m)",
     "fn_analysis": f"{_GREEDY} SELECT row_idx AS gt_idx, name, CASE WHEN name IS NULL OR name IN ('', 'null') THEN 'Empty GT Name' ELSE 'Missed Case' END AS category FROM gt WHERE row_idx NOT IN (SELECT gt_idx FROM m)",
     "column_metrics": f"{SQL}{_COLUMN_METRICS} SELECT col_ AS \"column\", {', '.join(f'round({c}, 9) AS {c}' for c in _SIX)} FROM cm",
@@ -237,6 +267,10 @@ ORACLE: dict[str, str] = {
       j AS (SELECT i.id, name, sex, CASE WHEN name IS NULL AND sex IS NULL THEN 'Referenced only' WHEN sex = 'female' THEN 'Female' WHEN sex = 'male' THEN 'Male' ELSE 'Unknown' END AS "group" FROM i LEFT JOIN gt ON i.id = gt.case_id)
       SELECT id, coalesce(name, id) AS label, "group", concat('<b>', id, '</b><br>Name: ', coalesce(name, 'Unknown'), '<br>Sex: ', coalesce(sex, 'Unknown'), '<br>Age: Unknown<br>Outcome: Unknown') AS title,
       CASE "group" WHEN 'Female' THEN '#d95f5f' WHEN 'Male' THEN '#2c7fb8' WHEN 'Referenced only' THEN '#bdbdbd' ELSE '#756bb1' END AS color_background, '#ffffff' AS color_border FROM j""",
+    "relationships_by_document": f"{SQL}{_DOC_EDGES} SELECT * FROM rel",
+    "nodes_by_document": f"""{SQL}{_DOC_EDGES}, i AS (SELECT row_idx % 2 AS doc_id, case_id AS id FROM gt UNION SELECT doc_id, source_case_id FROM rel UNION SELECT doc_id, target_case_id FROM rel)
+      SELECT i.doc_id, i.id, coalesce(name, i.id) AS label, CASE WHEN name IS NULL AND sex IS NULL THEN 'Referenced only' WHEN sex = 'female' THEN 'Female' WHEN sex = 'male' THEN 'Male' ELSE 'Unknown' END AS "group"
+      FROM i LEFT JOIN gt ON i.id = gt.case_id AND i.doc_id = gt.row_idx % 2""",
     "edges": f"""{SQL}{_EDGES} SELECT source_case_id AS "from", target_case_id AS "to", relationship_type AS label, relationship_type AS title, relationship_type = 'contact' AS dashes, 'to' AS arrows,
       CASE relationship_type WHEN 'secondary_case' THEN '#1b9e77' ELSE '#7570b3' END AS color FROM rel""",
     "link_closure": f"{SQL}{_EDGES} SELECT source_case_id AS case_id, target_case_id AS contact_id FROM rel UNION SELECT target_case_id, source_case_id FROM rel",
@@ -244,9 +278,12 @@ ORACLE: dict[str, str] = {
       SELECT *, 'potential_infector' AS missing FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT *, 'secondary_case' FROM (SELECT * FROM b EXCEPT SELECT * FROM a)""",
     "transmission_degree": f"""{SQL}{_EDGES}, p AS (SELECT DISTINCT source_case_id AS s, target_case_id AS t FROM rel)
       SELECT case_id, CAST(sum(o) AS BIGINT) AS n_out, CAST(sum(i) AS BIGINT) AS n_in FROM (SELECT s AS case_id, 1 AS o, 0 AS i FROM p UNION ALL SELECT t, 0, 1 FROM p) GROUP BY case_id""",
-    "metrics_rows": """SELECT concat('m', user_id % 5) AS model, event_type AS provider, CASE WHEN user_id % 2 = 0 THEN 'Chunked' ELSE 'Unchunked' END AS strategy, event_id AS replicate, CASE WHEN event_id % 9 = 0 THEN 'Failed' ELSE 'Success' END AS status,
-      round(CASE WHEN event_id % 9 <> 0 THEN value / 1000 END, 9) AS case_f1, round(CASE WHEN event_id % 9 <> 0 THEN value / 2000 END, 9) AS case_recall, round(CASE WHEN event_id % 9 <> 0 THEN value END, 9) AS time_total_sec,
-      round(CASE WHEN event_id % 9 <> 0 AND event_id % 4 > 0 THEN value / (event_id % 4) END, 9) AS time_per_case_sec FROM events""",
+    "metrics_rows": """WITH r AS (SELECT concat('m', user_id % 5) AS model, event_type AS provider, CASE WHEN user_id % 2 = 0 THEN 'Chunked' ELSE 'Unchunked' END AS strategy, event_id AS replicate, CASE WHEN event_id % 9 = 0 THEN 'Failed' ELSE 'Success' END AS status,
+        CASE WHEN event_id % 9 <> 0 THEN value END AS v, CASE WHEN event_id % 9 <> 0 AND event_id % 3 = 0 THEN value END AS w FROM events)
+      SELECT model, provider, strategy, replicate, status, CASE WHEN status = 'Failed' THEN 'failed' END AS error, 1 AS attempts, round(v / 1000, 9) AS case_f1, round(v / 2000, 9) AS case_recall, round(v / 4000, 9) AS case_precision,
+        round(w * 15 / 1000, 9) AS secondary_f1, round(w * 15 / 3000, 9) AS secondary_recall, round(w * 15 / 2000, 9) AS secondary_precision, round(w * 18 / 1000, 9) AS infector_f1, round(w * 18 / 3000, 9) AS infector_recall, round(w * 18 / 2000, 9) AS infector_precision,
+        round(v / 5000, 9) AS date_accuracy, round(v, 9) AS time_total_sec, round(CASE WHEN replicate % 4 > 0 THEN v / (replicate % 4) END, 9) AS time_per_case_sec,
+        CASE WHEN v IS NOT NULL THEN concat('job', replicate) END AS slurm_job_id, round(v / 7, 9) AS slurm_exec_time_sec FROM r""",
     "replicate_aggregate": _replicates(),
     "replicate_strings": f"SELECT event_id, concat({_percent('(event_id % 1000) / 1000')}, '% (', {_percent('CASE WHEN event_id % 5 > 0 THEN (event_id % 100) / 100 END')}, ')') AS s FROM events",
     "source_records": f"""WITH d AS (SELECT doc_id, {_NARRATIVE} AS c FROM documents), h AS (
@@ -260,6 +297,13 @@ ORACLE: dict[str, str] = {
         UNION ALL SELECT doc_id, s2, concat('SYNX', doc_id), concat('SYNX', doc_id), s2 + 13 FROM p
         UNION ALL SELECT doc_id, s2, concat('SYNX', doc_id), concat('SYN', doc_id), s2 + 13 + length(concat('SYNX', doc_id)) + 5 FROM p)
       SELECT doc_id, CAST(record_start AS BIGINT) AS record_start, record_case_id, case_id, CAST(s AS BIGINT) AS start, CAST(s + length(case_id) - 1 AS BIGINT) AS "end" FROM u""",
+    "cell_matches": """WITH d AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'female' ELSE 'male' END AS sex, CASE WHEN doc_id % 2 = 0 THEN 'male' ELSE 'female' END AS other FROM documents),
+      c AS (SELECT *, concat('Report.', chr(10), '- SYN', doc_id, ' not ', other, 's is ', sex, ', met SYN', doc_id + 1, '0 and SYN', doc_id + 1, '. Died.', chr(10), '- SYN', doc_id, '9 is other.') AS c FROM d),
+      u AS (SELECT doc_id, 'sex' AS field, strpos(c, concat('s is ', sex)) + 5 AS s, length(sex) AS n FROM c
+        UNION ALL SELECT doc_id, 'outcome', strpos(c, 'Died'), 4 FROM c
+        UNION ALL SELECT doc_id, 'contacts', strpos(c, ' and SYN') + 5, length(concat('SYN', doc_id + 1)) FROM c
+        UNION ALL SELECT doc_id, 'onset_date', 11, length(concat('SYN', doc_id)) FROM c)
+      SELECT doc_id, 0 AS row_idx, field, CAST(s AS BIGINT) AS start, CAST(s + n - 1 AS BIGINT) AS "end" FROM u""",
     "date_search_variants": f"""{SQL} SELECT row_idx, coalesce(CASE WHEN onset_date IS NOT NULL THEN concat(onset_date, '|', d, ' ', m, ' ', y, '|', d, ' ', lower(m), ' ', y, '|', d, ' ', m) END, '') AS variants
       FROM (SELECT *, CAST(split_part(onset_date, '/', 1) AS INT) AS d, {_MONTHS}[CAST(split_part(onset_date, '/', 2) AS INT)] AS m, split_part(onset_date, '/', 3) AS y FROM gt)""",
     "reference_id_lists": f"{SQL} SELECT row_idx, coalesce(CASE WHEN secondary_cases = '[]' AND row_idx % 2 = 0 THEN '' ELSE replace(secondary_cases, ', ', '|') END, '') AS ids FROM llm",
@@ -268,7 +312,7 @@ ORACLE: dict[str, str] = {
     "auto_prompt_sample": "SELECT doc_id, sha256(array_to_string(list_slice(string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' '), 1, 400), ' ')) AS sample_sha256 FROM documents",
     "token_cost": """SELECT conv_id, turn, CAST(n AS BIGINT) AS tokens, round(CASE conv_id % 3 WHEN 0 THEN (n * 1.25 + 2 * n * 10) / 1e6 WHEN 1 THEN (n * 2.5 + 2 * n * 10) / 1e6 END, 9) AS cost FROM (SELECT *, ceil(length(text) / 4) AS n FROM conversations)""",
     "record_unpivot": f"{SQL}, u AS ({' UNION ALL '.join(f"SELECT row_idx, '{c}' AS field, {c} AS value FROM gt" for c in COLUMNS)}) SELECT row_idx, field, coalesce(value, '') AS value FROM u",
-    "row_labels": f"{SQL} SELECT row_idx, CASE WHEN name = '' THEN case_id ELSE concat(case_id, ' - ', name) END AS label FROM gt",
+    "row_labels": f"{SQL} SELECT row_idx, CASE WHEN coalesce(name, '') = '' THEN case_id ELSE concat(case_id, ' - ', name) END AS label FROM gt",
     "block_offsets": """SELECT conv_id AS doc_id, turn AS pos, CAST("end" - n AS BIGINT) AS start, CAST("end" AS BIGINT) AS "end" FROM (SELECT *, length(text) AS n, sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn) AS "end" FROM conversations)""",
     "citations_for_case": """SELECT b.conv_id AS doc_id, b.turn AS pos, b.role AS cited_text, b.turn AS start_char_index FROM (SELECT conv_id, split_part(text, ' ', 1) AS name FROM conversations WHERE turn = 0) c JOIN conversations b USING (conv_id)
       WHERE length(name) > 0 AND contains(lower(b.text), lower(name))""",

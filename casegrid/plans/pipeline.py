@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -10,7 +12,7 @@ from casegrid.operators.client import Client, call_model
 from casegrid.operators.dedupe import merge_duplicates
 from casegrid.operators.extract import parse_responses
 from casegrid.operators.graph import edges, nodes, relationships
-from casegrid.operators.prompt import bind, insert_examples
+from casegrid.operators.prompt import DEFAULT_MODELS, bind, insert_examples
 from casegrid.operators.provenance import case_spans, source_mentions, source_records
 from casegrid.plans.tables import written
 
@@ -23,22 +25,26 @@ def extract_linelists(docs: DataFrame, template: str, client: Client, provider:
     return parse_responses(answers.select("doc_id", "response"))
 
 
-def run(docs: DataFrame, template: str, client: Client, provider: str = "azure", model: str | None = None, examples: str | None = None, merge: bool = True) -> dict[str, DataFrame]:
-    """All tables of a run: linelist, relationships, nodes, edges, records, mentions, spans, metadata (doc_id, metric, value)."""
+def run(docs: DataFrame, template: str, client: Client, provider: str = "azure", model: str | None = None, examples: str | None = None, merge: bool = True, prompt_name: str = "linelist_prompt.txt") -> dict[str, DataFrame]:
+    """All tables of a run: linelist, relationships, nodes, edges, records, mentions, spans, metadata (doc_id, metric, value).
+    Ids of different documents are kept apart.  A merged row keeps the place of its first row."""
+    began, by = time.monotonic(), ("doc_id",)
     rows = extract_linelists(docs, template, client, provider, model, examples)
     if merge:
-        merged = merge_duplicates(rows, by=("doc_id",))
-        order = F.row_number().over(W.partitionBy("doc_id").orderBy("case_id", "name"))
-        rows = merged.withColumn("row_idx", order - 1)
+        order = F.row_number().over(W.partitionBy("doc_id").orderBy("row_idx"))
+        rows = merge_duplicates(rows, by, numbered=True).withColumn("row_idx", order - 1)
     rows = written(rows)
-    links = relationships(rows)
+    links = relationships(rows, by)
     records = source_records(docs)
-    counts = rows.groupBy("doc_id").agg(F.count("*").alias("cases_extracted"))
-    facts = docs.select("doc_id").join(counts, "doc_id", "left").select("doc_id", F.create_map(
-        F.lit("provider"), F.lit(provider), F.lit("model"), F.coalesce(F.lit(model).cast("string"), F.lit("default")), F.lit("deduplication"), F.lit(str(merge).lower()),
-        F.lit("cases_extracted"), F.coalesce("cases_extracted", F.lit(0)).cast("string"),
-    ).alias("m"))
+    counts = rows.groupBy("doc_id").agg(F.count("*").alias("cases")).join(links.groupBy("doc_id").agg(F.count("*").alias("links")), "doc_id", "left")
+    own = lambda c: F.col(c) if c in docs.columns else F.lit(None).cast("string")
+    n = lambda c: F.coalesce(c, F.lit(0)).cast("string")
+    metrics = {
+        "document": own("label"), "content_type": own("content_type"), "provider": F.lit(provider), "model": F.lit(model or DEFAULT_MODELS.get(provider)), "system_prompt": F.lit(prompt_name),
+        "deduplication": F.lit("enabled" if merge else "disabled"), "cases_extracted": n("cases"), "relationships_extracted": n("links"), "processing_time_sec": F.lit(f"{time.monotonic() - began:.1f}"),
+    }
+    facts = docs.join(counts, "doc_id", "left").select("doc_id", F.array(*(F.struct(F.lit(k).alias("metric"), v.cast("string").alias("value")) for k, v in metrics.items())).alias("m"))
     return {
-        "linelist": rows, "relationships": links, "nodes": nodes(rows, links), "edges": edges(links), "records": records,
-        "mentions": source_mentions(docs, records), "spans": case_spans(rows, docs), "metadata": facts.select("doc_id", F.explode("m").alias("metric", "value")),
+        "linelist": rows, "relationships": links, "nodes": nodes(rows, links, by), "edges": edges(links, by), "records": records,
+        "mentions": source_mentions(docs, records), "spans": case_spans(rows, docs), "metadata": facts.select("doc_id", F.inline("m")),
     }

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casegrid.functions import nulls, text
-from casegrid.operators import compare, dedupe, extract, graph, match, metrics, prompt, provenance
+from casegrid.operators import compare, dedupe, extract, graph, match, metrics, prompt, provenance, records
 from casegrid.plans.fixtures import COLUMNS, gt, llm, table
 from casegrid.schema import align
 
@@ -45,6 +45,18 @@ def variable_metrics(s, d):
     return r9(metrics.variable_metrics(llm(s, d, True), gt(s, d), variables=VARIABLES))
 
 
+@query
+def variable_metrics_by_name(s, d):
+    """No id matches, so names lead extracted cases to true ids."""
+    other = llm(s, d, True).withColumn("case_id", F.concat(F.lit("X"), F.col("case_id")))
+    return r9(metrics.variable_metrics(other, gt(s, d), variables=VARIABLES))
+
+
+@query
+def variable_metrics_without_true_cases(s, d):
+    return r9(metrics.variable_metrics(llm(s, d, True), gt(s, d).filter("row_idx < 0"), variables=VARIABLES))
+
+
 @query
 def per_case_list_metrics(s, d):
     return r9(metrics.per_case_list_metrics(llm(s, d, True), gt(s, d)))
@@ -57,7 +69,7 @@ def few_shot_exclusion(s, d):
 
 @query
 def semi_join(s, d):
-    return gt(s, d).join(llm(s, d, True).select("case_id"), "case_id", "left_semi").select("row_idx", "case_id")
+    return records.matched(gt(s, d), llm(s, d, True)).select("row_idx", "case_id")
 
 
 @query
@@ -70,6 +82,17 @@ def first_per_key(s, d):
     return metrics.first_per_case(gt(s, d).withColumn("case_id", text.name_key("name"))).select("case_id", "row_idx")
 
 
+@query
+def first_place(s, d):
+    wanted = gt(s, d).select(F.col("row_idx").alias("asked"), "name")
+    return records.first_place(wanted, gt(s, d), "name").select("asked", "place")
+
+
+@query
+def record_page(s, d):
+    return records.page(gt(s, d).select("row_idx", "case_id"), 3)
+
+
 @query
 def schema_align(s, d):
     odd = gt(s, d).select("row_idx", F.col("case_id").alias("Patient_ID"), F.col("name").alias("patient_name"), F.col("sex").alias("GENDER"), F.col("onset_date").alias("symptom_onset"), F.col("potential_infector").alias("source_case"), F.lit("other").alias("id"))
@@ -109,6 +132,17 @@ def json_props(s, d):
     return table(s, d, "events").select("event_id", F.get_json_object(extract.repaired(F.col("props")), "$.k").cast("bigint").alias("k"))
 
 
+@query
+def malformed_responses(s, d):
+    """Lists that lost a bracket, and one inside an object."""
+    item = F.concat(F.lit('{"case_id":"a'), F.col("event_id").cast("string"), F.lit('"}'))
+    forms = ("<linelist>[%s]</linelist>", "<linelist>%s]</linelist>", "<linelist>[%s</linelist>", 'text ```json\n{"linelist":[%s]}\n```', "no list %s")
+    parts = [f.split("%s") for f in forms]
+    text_ = F.element_at(F.array(*(F.concat(F.lit(a), item, F.lit(b)) for a, b in parts)), (F.col("event_id") % 5 + 1).cast("int"))
+    out = extract.parse_responses(table(s, d, "events").select(F.col("event_id").alias("doc_id"), text_.alias("response")))
+    return out.select("doc_id", F.col("row_idx").cast("bigint").alias("row_idx"), "case_id")
+
+
 def _responses(s, d) -> DataFrame:
     rows = llm(s, d).withColumn("doc_id", F.floor(F.col("row_idx") / 20).cast("bigint"))
     lists = F.when(F.col("secondary_cases").isNull() | (F.col("secondary_cases") == "[]"), F.array().cast("array<string>")).otherwise(F.split("secondary_cases", ", "))
@@ -148,6 +182,11 @@ def case_detection(s, d):
     return r9(compare.case_detection(*_matched(s, d)))
 
 
+@query
+def case_names(s, d):
+    return compare.case_names(*_matched(s, d))
+
+
 @query
 def fp_analysis(s, d):
     a, _, m = _matched(s, d)
@@ -173,6 +212,13 @@ def column_metrics(s, d):
     return r9(compare.column_metrics(a, b, compare.compared_cells(a, b, m, SHARED), SHARED))
 
 
+@query
+def linelist_comparison(s, d):
+    """Column metrics of the whole comparison, with rows matched by name."""
+    out = compare.compare_linelists(llm(s, d), gt(s, d))
+    return r9(out["column_metrics"])
+
+
 @query
 def overall_metrics(s, d):
     a, b, m = _by_case(s, d)
@@ -208,6 +254,22 @@ def nodes(s, d):
     return graph.nodes(cases, graph.relationships(cases))
 
 
+def _by_document(s, d) -> DataFrame:
+    """Every second case in another document."""
+    return gt(s, d).withColumns({"doc_id": F.col("row_idx") % 2, "age": F.lit(None).cast("string"), "outcome": F.lit(None).cast("string")})
+
+
+@query
+def relationships_by_document(s, d):
+    return graph.relationships(_by_document(s, d), ("doc_id",))
+
+
+@query
+def nodes_by_document(s, d):
+    cases = _by_document(s, d)
+    return graph.nodes(cases, graph.relationships(cases, ("doc_id",)), ("doc_id",)).select("doc_id", "id", "label", "group")
+
+
 @query
 def edges(s, d):
     return graph.edges(graph.relationships(gt(s, d)))
@@ -235,9 +297,13 @@ def metrics_rows(s, d):
         F.concat(F.lit("m"), (F.col("user_id") % 5).cast("string")).alias("model"), F.col("event_type").alias("provider"), (F.col("user_id") % 2 == 0).alias("use_chunking"),
         F.col("event_id").alias("replicate"), F.when(F.col("event_id") % 9 == 0, "Failed").otherwise("Success").alias("status"), F.lit(1).alias("attempts"),
         F.when(F.col("event_id") % 9 != 0, F.col("value") / 1000).alias("case_f1"), (F.col("value") / 2000).alias("case_recall"), F.col("value").alias("time_total_sec"), (F.col("event_id") % 4).alias("n_llm_cases"),
+        (F.col("value") / 4000).alias("case_precision"), (F.col("value") / 5000).alias("date_accuracy"), F.when(F.col("event_id") % 9 == 0, "failed").alias("error"),
+        F.concat(F.lit("job"), F.col("event_id").cast("string")).alias("slurm_job_id"), (F.col("value") / 7).alias("slurm_exec_time_sec"),
     )
-    out = metrics.metrics_rows(runs)
-    return r9(out.select("model", "provider", "strategy", "replicate", "status", "case_f1", "case_recall", "time_total_sec", "time_per_case_sec"))
+    kind = F.explode(F.array(F.lit("secondary_cases"), F.lit("potential_infector"), F.lit("name"))).alias("variable")
+    each = runs.filter("replicate % 3 = 0").select(*metrics.RUN, kind, "time_total_sec").withColumn("x", F.col("time_total_sec") * F.length("variable"))
+    variables = each.select(*metrics.RUN, "variable", (F.col("x") / 1000).alias("f1"), (F.col("x") / 2000).alias("precision"), (F.col("x") / 3000).alias("recall"))
+    return r9(metrics.metrics_rows(runs, variables))
 
 
 def _replicates(s, d) -> DataFrame:
@@ -251,8 +317,7 @@ def _replicates(s, d) -> DataFrame:
 
 @query
 def replicate_aggregate(s, d):
-    out = metrics.aggregate_replicates(_replicates(s, d))
-    return r9(out.select(*(c for c in out.columns if not c.endswith(("_range", "_iqr_str")))))
+    return r9(metrics.aggregate_replicates(_replicates(s, d)))
 
 
 @query
@@ -296,8 +361,15 @@ def case_spans(s, d):
 
 @query
 def cell_matches(s, d):
-    cases, docs = _injected(s, d)
-    out = provenance.cell_matches(cases, docs, ["sex", "onset_date", "secondary_cases"])
+    """Ids that begin other ids, words inside words, a list with an id that is nowhere, and an empty cell."""
+    i, j = F.col("doc_id").cast("string"), (F.col("doc_id") + 1).cast("string")
+    sex = F.when(F.col("doc_id") % 2 == 0, "female").otherwise("male")
+    other = F.when(F.col("doc_id") % 2 == 0, "male").otherwise("female")
+    content = F.concat(F.lit("Report.\n- SYN"), i, F.lit(" not "), other, F.lit("s is "), sex, F.lit(", met SYN"), j, F.lit("0 and SYN"), j, F.lit(". Died.\n- SYN"), i, F.lit("9 is other."))
+    rows = table(s, d, "documents")
+    cases = rows.select("doc_id", F.lit(0).alias("row_idx"), F.concat(F.lit("syn"), i).alias("case_id"), F.lit(None).cast("string").alias("name"), sex.alias("sex"), F.lit("Died").alias("outcome"), F.concat(F.lit("SYN"), j).alias("contacts"),
+        F.concat(F.lit("SYN"), j, F.lit(", SYNnone")).alias("secondary_cases"), F.lit("").alias("onset_date"))
+    out = provenance.cell_matches(cases, rows.select("doc_id", content.alias("content")), ["sex", "outcome", "contacts", "secondary_cases", "onset_date"])
     return out.select("doc_id", "row_idx", "field", F.col("start").cast("bigint").alias("start"), F.col("end").cast("bigint").alias("end"))
 
 
@@ -336,13 +408,12 @@ def token_cost(s, d):
 
 @query
 def record_unpivot(s, d):
-    rows = gt(s, d)
-    return rows.unpivot("row_idx", list(COLUMNS), "field", "value").withColumn("value", F.coalesce("value", F.lit("")))
+    return records.unpivoted(gt(s, d).select("row_idx", *COLUMNS))
 
 
 @query
 def row_labels(s, d):
-    return gt(s, d).select("row_idx", F.concat_ws(" - ", "case_id", F.nullif(F.col("name"), F.lit(""))).alias("label"))
+    return records.row_labels(gt(s, d)).select("row_idx", "label")
 
 
 @query

@@ -12,7 +12,11 @@ from pyspark.sql import DataFrame
 def written(df: DataFrame) -> DataFrame:
     """``df`` written to the shared checkpoint folder (a temporary one where none is set) and read again."""
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + os.path.join(tempfile.gettempdir(), "casegrid-tables")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = "file://" + os.path.join(tempfile.gettempdir(), "casegrid-tables")
     path = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

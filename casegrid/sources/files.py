@@ -6,6 +6,7 @@ import io
 import os
 import zipfile
 from collections.abc import Callable, Iterator
+from datetime import datetime
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -13,10 +14,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casegrid.functions.nulls import trim
+from casegrid.operators.graph import arranged
 from casegrid.operators.prompt import DEFAULT_MODELS, auto_prompt
 from casegrid.schema import LINELIST
 
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
+RECORD = "\n\f\n"
 DOCUMENT = "path string, label string, content string, content_type string"
 
 
@@ -73,8 +76,28 @@ def write_csv(df: DataFrame, path: str) -> None:
     flat.write.mode("overwrite").csv(path, header=True, nullValue="NA", escape='"')
 
 
+def stamped(folder: str, kind: str, now: datetime | None = None) -> str:
+    """A path for a result that names its kind and the time."""
+    return f"{folder.rstrip('/')}/{kind}_{now or datetime.now():%Y%m%d_%H%M%S}"
+
+
+def write_relationships(relations: DataFrame, path: str, by: tuple[str, ...] = ()) -> None:
+    """The relationship table as CSV, in its order."""
+    write_csv(arranged(relations, by), path)
+
+
 def write_responses(df: DataFrame, path: str, column: str = "response") -> None:
-    df.select(column).write.mode("overwrite").text(path)
+    """A text record for each response; records are parted by a line with a form feed, as responses have lines of their own."""
+    df.select(column).write.mode("overwrite").option("lineSep", RECORD).text(path)
+
+
+def read_responses(spark: SparkSession, path: str, column: str = "response") -> DataFrame:
+    return spark.read.option("lineSep", RECORD).text(path).withColumnRenamed("value", column)
+
+
+def demo_path(name: str) -> str:
+    """Path of a bundled demo file; an unknown name is an error."""
+    return template_path(name)
 
 
 def template_path(name: str = "linelist_prompt.txt") -> str:

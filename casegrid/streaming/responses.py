@@ -20,7 +20,7 @@ def write_stream(responses: DataFrame, linelist_path: str, relations_path: str,
     def each(batch: DataFrame, number: int) -> None:
         rows = parse_responses(batch).persist()
         rows.write.mode("overwrite").parquet(f"{linelist_path}/batch={number}")
-        relationships(rows).write.mode("overwrite").parquet(f"{relations_path}/batch={number}")
+        relationships(rows, tuple(c for c in ("doc_id",) if c in rows.columns)).write.mode("overwrite").parquet(f"{relations_path}/batch={number}")
         rows.unpersist()
 
     return responses.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

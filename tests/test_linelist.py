@@ -329,3 +329,130 @@ def test_fill_citations_and_approval(spark):
     client.require_approval("ollama", False)
     with pytest.raises(PermissionError):
         client.require_approval("claude", False)
+
+
+def test_variable_metrics_by_name_and_without_true_cases(spark):
+    s = "row_idx int, case_id string, name string, sex string"
+    gt = spark.createDataFrame([(0, "ABC001", "Jane Doe", "f"), (1, "ABC002", "John Roe", "m"), (2, "ABC003", None, "f")], s)
+    llm = spark.createDataFrame([(0, "X1", "Doe Jane", "f"), (1, "X2", "john ROE", "f"), (2, None, None, "f")], s)
+    out = {r["variable"]: r for r in metrics.variable_metrics(llm, gt, variables=("name", "sex")).collect()}
+    assert (out["name"]["n_match"], out["sex"]["n_match"], out["sex"]["n_compared"]) == (2, 1, 2)
+    none = metrics.variable_metrics(llm, gt.limit(0), variables=("name", "sex")).collect()
+    assert [tuple(r)[1:] for r in none] == [(0, 0, None, None, None, None, None)] * 2
+    half = metrics.variable_metrics(llm.withColumn("case_id", F.when(F.col("row_idx") == 0, "ABC001").otherwise(F.col("case_id"))), gt, variables=("sex",)).first()
+    assert half["n_compared"] == 1  # an id matches, so no name does
+
+
+def test_citations_are_searched_first_and_ids_are_whole(spark):
+    content = "- SYN1 (Ann) met SYN20 and SYN2. Ann was ill.\nSYN1 died in Kessi. Kessi is far."
+    docs = spark.createDataFrame([(1, content)], "doc_id int, content string")
+    cases = spark.createDataFrame([(1, 0, "syn1", "Ann", "SYN2", "Upper Kessi", None)], "doc_id int, row_idx int, case_id string, name string, contacts string, residence_village string, outcome string")
+    at = content.index("\n") + 1
+    cited = spark.createDataFrame([(1, 0, 5, 3), (1, 0, at, at + 25), (1, 0, 0, 9999)], "doc_id int, row_idx int, start_char_index int, end_char_index int")
+    fields = ["contacts", "residence_village", "outcome"]
+    place = lambda c: {r["field"]: (r["start"] - 1, content[r["start"] - 1 : r["end"]]) for r in provenance.cell_matches(cases, docs, fields, c).collect()}
+    assert place(None) == {"contacts": (content.index("SYN2."), "SYN2"), "residence_village": (content.index("Kessi"), "Kessi"), "outcome": (2, "SYN1")}
+    assert place(cited)["outcome"] == (at, "SYN1") and place(cited)["residence_village"] == (content.index("Kessi"), "Kessi")
+
+
+def test_documents_keep_their_ids_apart(spark):
+    df = spark.createDataFrame([(1, "A", "Ann", "B"), (2, "A", "Otto", "B"), (2, "B", "Bob", None)], "doc_id int, case_id string, name string, contacts string")
+    rel = graph.relationships(df, ("doc_id",))
+    assert rel.count() == 2 and graph.link_closure(rel, ("doc_id",)).count() == 4 and graph.degree(rel, ("doc_id",)).count() == 0
+    assert {(r["doc_id"], r["id"], r["label"]) for r in graph.nodes(df, rel, ("doc_id",)).collect()} == {(1, "A", "Ann"), (1, "B", "B"), (2, "A", "Otto"), (2, "B", "Bob")}
+    assert [r["doc_id"] for r in graph.arranged(graph.edges(rel, ("doc_id",)).selectExpr("doc_id", "`from` as source_case_id", "`to` as target_case_id", "label as relationship_type"), ("doc_id",)).collect()] == [1, 2]
+
+
+def test_components(spark):
+    from casegrid.operators.components import components
+
+    rng = random.Random(5)
+    links = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(100 + i, 101 + i) for i in range(30)] + [(7, 7), (999, 999)]
+    parent = {v: v for e in links for v in e}
+
+    def find(v):
+        while parent[v] != v:
+            v = parent[v]
+        return v
+
+    for v, w in links:
+        a, b = sorted((find(v), find(w)))
+        parent[b] = a
+    got = [(r["v"], r["root"]) for r in components(spark.createDataFrame(links, "v bigint, w bigint")).collect()]
+    assert sorted(got) == sorted((v, find(v)) for v in parent)
+
+
+def test_run_metadata(spark):
+    from casegrid.plans.pipeline import run
+
+    docs = spark.createDataFrame([(1, "SYN9 text", "a.txt", "text")], "doc_id int, content string, label string, content_type string")
+    fake = client.FakeClient({"SYN9": '<linelist>[{"case_id":"z9","name":"Zoe"},{"case_id":"a1","name":"Ann","contacts":["Z9"]},{"case_id":"z9","name":"zoe"}]</linelist>'})
+    out = run(docs, "t {{content}}", fake, model="gpt-4o")
+    got = {r["metric"]: r["value"] for r in out["metadata"].collect()}
+    assert len(got) == 9 and (got["document"], got["content_type"], got["deduplication"], got["cases_extracted"], got["relationships_extracted"]) == ("a.txt", "text", "enabled", "2", "1")
+    assert [(r["row_idx"], r["case_id"]) for r in out["linelist"].orderBy("row_idx").collect()] == [(0, "Z9"), (1, "A1")]  # as extracted
+
+
+def test_model_calls_are_checked_first(spark, monkeypatch):
+    prompts = spark.createDataFrame([("hello",)], "prompt string")
+    with pytest.raises(PermissionError):
+        client.call_model(prompts, client.HttpClient("openai"), "openai")
+    monkeypatch.delenv("OPENAI_API_KEY", raising=False)
+    with pytest.raises(ValueError, match="OPENAI_API_KEY"):
+        client.call_model(prompts, client.HttpClient("openai"), "openai", approved=True)
+    with pytest.raises(ValueError, match="unknown kind"):
+        client.call_model(prompts, client.FakeClient(), "ollama", raw=False, prompt_type="x")
+    fake = client.FakeClient({"hello": "found"})
+    assert client.call_model(prompts, fake, "ollama", raw=False, prompt_type="msf").first()["prompt"].count("hello") == 1
+
+
+def test_http_client_tries_again_and_cites(monkeypatch):
+    import json as json_
+    import urllib.error
+
+    seen, pauses = [], []
+
+    def opened(request, timeout):
+        seen.append((json_.loads(request.data), timeout))
+        if len(seen) < 3:
+            raise urllib.error.URLError("down")
+        return io.BytesIO(json_.dumps({"content": [{"type": "text", "text": "ab", "citations": [{"cited_text": "q", "start_char_index": 1, "end_char_index": 2}]}, {"type": "text", "text": "c"}], "usage": {"input_tokens": 5, "output_tokens": 2}}).encode())
+
+    monkeypatch.setattr(client.urllib.request, "urlopen", opened)
+    monkeypatch.setattr(client.time, "sleep", pauses.append)
+    got = client.HttpClient("claude", "m").call_cited("rules", "document")
+    assert got["text"] == "abc" and got["blocks"][1]["start"] == 2 and got["prompt_tokens"] == 5 and pauses == [2, 4]
+    body, timeout = seen[0]
+    assert timeout == client.TIMEOUT and body["system"] == "rules" and body["messages"][0]["content"][0]["citations"] == {"enabled": True}
+    with pytest.raises(ValueError):
+        client.HttpClient("openai").cited_request("r", "d")
+    seen.clear()
+    monkeypatch.setattr(client.urllib.request, "urlopen", lambda *a, **k: (_ for _ in ()).throw(urllib.error.URLError("down")))
+    with pytest.raises(urllib.error.URLError):
+        client.HttpClient("ollama").call("p")
+
+
+def test_records_and_sinks(spark, tmp_path):
+    from datetime import datetime
+
+    from casegrid.operators import records
+
+    df = spark.createDataFrame([(0, "A1", "Ann", ["x", "y"]), (1, "B2", None, None), (2, "A1", "", [])], "row_idx int, case_id string, name string, tags array<string>")
+    assert [r["label"] for r in records.row_labels(df).orderBy("row_idx").collect()] == ["A1 - Ann", "B2", "A1"]
+    assert {(r["row_idx"], r["field"], r["value"]) for r in records.unpivoted(df).collect()} >= {(0, "tags", "x, y"), (1, "name", ""), (1, "tags", "")}
+    assert {r["case_id"]: r["place"] for r in records.first_place(spark.createDataFrame([("A1",), ("Z",)], "case_id string"), df).collect()} == {"A1": 0, "Z": None}
+    assert [r["row_idx"] for r in records.page(df, 2, 2).collect()] == [2]
+    null = spark.createDataFrame([(None,), ("B2",)], "case_id string")
+    assert records.matched(df.unionByName(df.withColumn("case_id", F.lit(None).cast("string"))), null).count() == 4
+    assert files.stamped("/x/", "linelist", datetime(2026, 3, 4, 5, 6, 7)) == "/x/linelist_20260304_050607"
+    rel = spark.createDataFrame([("B", "C", "contact"), ("A", "C", "contact")], "source_case_id string, target_case_id string, relationship_type string")
+    files.write_relationships(rel, str(tmp_path / "rel"))
+    assert spark.read.csv(str(tmp_path / "rel"), header=True).count() == 2
+    files.write_responses(spark.createDataFrame([("a\nb",), ("c",)], "response string").coalesce(1), str(tmp_path / "raw"))
+    assert sorted(r["response"] for r in files.read_responses(spark, str(tmp_path / "raw")).collect()) == ["a\nb", "c"]
+    demo = spark.read.csv(files.demo_path("demo_linelist.csv"), header=True)
+    assert demo.count() == 6 and "SYN006" in files.template("demo_narrative.md")
+
+
+def test_plain_letters(spark):
+    assert cell(spark, text.plain("c"), c="Straße Ærø Łódź Benín 東") == "Strasse AEro Lodz Benin 東"
