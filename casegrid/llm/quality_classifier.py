@@ -3,13 +3,13 @@
 Method: random Fourier features.  Statistics of a text, standardised, go through random
 cosines whose inner products approximate a Gaussian kernel; each partition sums its
 normal equations, the sums are added and solved with a ridge, and isotonic regression of
-the labels on the ridge scores calibrates them.
+the labels on the ridge scores of rows that the equations have not seen (every fourth text by its hash) calibrates them.
 
 The classifier is fitted on at most PER_CLASS labelled documents of each class; every
-text is scored whole.  Defined results: a null text counts as empty and an empty text is
+text is scored whole, however long.  Defined results: a null text counts as empty and an empty text is
 scored like any other; repeated rows are scored alike; without labelled rows of both
 classes every score is the share of label 1, or 0.5 if there are no labels; an empty table gives none;
-columns other than doc_id and text are ignored.
+columns other than doc_id and text, whatever their names, are ignored; texts with equal statistics tie.
 """
 
 from __future__ import annotations
@@ -92,7 +92,8 @@ def isotonic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarr
 def fit(docs: DataFrame, labels: DataFrame, modulus: int = 3, remainder: int = 1, per_class: int = PER_CLASS) -> Model:
     spark = docs.sparkSession
     rows = sample(docs, labels, "quality", modulus, remainder, per_class)
-    features = map_columns(rows, lambda b: {"y": b.column("y"), "x": list(_matrix(b))}, "y int, x array<double>")
+    rows = rows.select("y", "text", (F.pmod(F.xxhash64("text"), F.lit(4)) == 0).alias("apart"))
+    features = map_columns(rows, lambda b: {"y": b.column("y"), "apart": b.column("apart"), "x": list(_matrix(b))}, "y int, apart boolean, x array<double>")
     features = written(features, f"{work_dir(spark)}/features")  # bounded like the sample
     rng = np.random.default_rng(SEED)
     sums = features.groupBy().agg(F.count("*").alias("n"), F.sum("y").alias("y"), *(F.sum(F.col("x")[i]).alias(f"s{i}") for i in range(N_STATS)), *(F.sum(F.col("x")[i] * F.col("x")[i]).alias(f"q{i}") for i in range(N_STATS))).first()
@@ -115,11 +116,17 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = 3, remainder: int = 1
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["m"])
 
+    # too few labels of a class to keep some apart: all rows serve for both
+    seen = features.groupBy("apart").agg(F.countDistinct("y").alias("n")).collect()
+    if len(seen) == 2 and all(r["n"] == 2 for r in seen):
+        features, apart = features.filter("not apart"), features.filter("apart")
+    else:
+        apart = features
     # the sample is bounded, so are its partitions' sums
     k = COSINES + N_STATS + 1
     total = sum((np.frombuffer(r["m"]).reshape(k, k + 1) for r in features.coalesce(16).mapInArrow(equations, "m binary").collect()), np.zeros((k, k + 1)))
     model.theta = np.linalg.solve(total[:, :k] + RIDGE * n * np.eye(k) / 10, total[:, k])
-    scored = map_columns(features, lambda b: {"y": b.column("y"), "s": model.raw(np.array(b.column("x").to_pylist()).reshape(-1, N_STATS))}, "y int, s double")
+    scored = map_columns(apart, lambda b: {"y": b.column("y"), "s": model.raw(np.array(b.column("x").to_pylist()).reshape(-1, N_STATS))}, "y int, s double")
     bins = scored.groupBy(F.floor(F.greatest(F.lit(-2.0), F.least(F.lit(3.0), F.col("s"))) * 200).alias("b")).agg(F.avg("s").alias("s"), F.avg("y").alias("y"), F.count("*").alias("n")).orderBy("b").collect()
     model.knots = isotonic(*(np.array([r[c] for r in bins], float) for c in ("s", "y", "n")))
     return model

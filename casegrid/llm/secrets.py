@@ -7,15 +7,16 @@ entropy is kept by incremental counts (one character enters, one leaves), and th
 windows above their class's threshold are joined to one span.  Strings of the allow list
 (UUIDs, runs inside a URL's host or path, words joined by separators or capitals, dates) are
 suppressed; a URL ends at white space, a quote or another delimiter, and its user part, query
-and fragment are no host or path.  A span that overlaps a base span is not added again.
+and fragment are no host or path.  What base spans cover of a candidate is left out, and the rest is tested by itself.
 
 Defined results: a null text counts as empty and has no spans; no span gives the hash of
-the empty string; repeated rows give the same result each; an empty table gives none;
-columns other than doc_id and text are ignored.
+the empty string; repeated rows give the same result each; very long texts are scanned whole; windows of equal entropy all
+count; an empty table gives none; columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import math
 import re
@@ -44,10 +45,8 @@ ALLOW = (
     re.compile(r"[0-9]{1,8}(?:[-/_][0-9]{1,8})+"),
     re.compile(r"=+|-+|_+|/+|\++"),
 )
-#: What ends a URL, and what ends its host and path.
-URL_END = re.compile(r"[\s\"'`<>,;|\\^{}()\[\]]")
-PATH_END = re.compile(r"[?#]")
-LOOK_BACK = 2048
+#: A URL from behind its scheme: user part, host and path, and what follows them.
+URL = re.compile(r"://((?:[^\s\"'`<>,;|\\^{}()\[\]/?#@]*@)?)([^\s\"'`<>,;|\\^{}()\[\]?#]*)")
 _STEP = [0.0] + [k * math.log2(k) for k in range(1, WINDOW + 1)]
 
 
@@ -88,34 +87,36 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def in_host_or_path(text: str, start: int, end: int) -> bool:
-    """Whether the run from ``start`` to ``end`` is in the host or path of a URL."""
-    at = text.rfind("://", max(0, start - LOOK_BACK), start + 2)
-    if at < 0:
-        return False
-    before = text[at + 3 : start]
-    if URL_END.search(before) or PATH_END.search(before):
-        return False
-    if "/" in before:
-        return True
-    rest = URL_END.split(text[at + 3 : end + 256], maxsplit=1)[0]
-    return "@" not in re.split(r"[/?#]", rest, maxsplit=1)[0] or at + 3 + rest.index("@") < start
+def hosts_and_paths(text: str) -> list[tuple[int, int]]:
+    """(start, end) of the host and path of each URL."""
+    return [m.span(2) for m in URL.finditer(text)] if "://" in text else []
+
+
+def free_parts(m: re.Match, taken: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """What the base spans leave of a candidate."""
+    out, at = [], m.start()
+    for a, _, b in taken:
+        if a < m.end() and b > at:
+            out.append((at, a))
+            at = b
+    return [(a, b) for a, b in [*out, (at, m.end())] if b - a >= WINDOW]
 
 
 def entropy_spans(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    out = []
+    out, urls = [], None
     for m in CANDIDATE.finditer(text):
-        s = m.group()
-        if any(a.fullmatch(s) for a in ALLOW) or len(set(s)) < 8:
-            continue
-        if any(a < m.end() and m.start() < b for a, _, b in taken):
-            continue
-        if in_host_or_path(text, m.start(), m.end()):
-            continue
-        kind = char_class(s)
-        high = [i for i, e in enumerate(entropies(s)) if e >= THRESHOLDS[kind]]
-        if high:
-            out.append((m.start() + high[0], 3, m.start() + high[-1] + WINDOW))
+        for start, end in free_parts(m, taken):
+            s = text[start:end]
+            if len(set(s)) < 8 or any(a.fullmatch(s) for a in ALLOW):  # fewer than 8 characters reach no threshold
+                continue
+            urls = hosts_and_paths(text) if urls is None else urls
+            at = bisect.bisect_right(urls, (start, len(text))) - 1
+            if at >= 0 and start < urls[at][1]:
+                continue
+            kind = char_class(s)
+            high = [i for i, e in enumerate(entropies(s)) if e >= THRESHOLDS[kind]]
+            if high:
+                out.append((start + high[0], 3, start + high[-1] + WINDOW))
     return out
 
 

@@ -356,6 +356,35 @@ def test_secrets_after_urls_and_of_every_class():
     assert secrets.entropy_spans(plain, []) == []
 
 
+def test_secrets_after_long_urls_and_beside_base_spans():
+    key = "kJ8s_Qp2LmX9vRtY7wZa3BcD"
+    for n in (10, 400, 5000):
+        text = f"https://x.org/?{'a.' * n}&k={key}"
+        assert [text[a:b] for a, _, b in secrets.entropy_spans(text, secrets.base_spans(text))] == [f"k={key}"], n
+        hidden = f"https://x.org/{'a.' * n}/{key}"
+        assert secrets.entropy_spans(hidden, []) == []
+    joined = "0123456789abcdef" * 2 + "-" + key  # one run of characters, of which the first part is a hex span
+    base = secrets.base_spans(joined)
+    assert [joined[a:b] for a, _, b in base] == ["0123456789abcdef" * 2]
+    (a, _, b), = secrets.entropy_spans(joined, base)
+    assert a >= 32 and joined[a:b].endswith(key)
+
+
+def test_secret_spans_by_brute_force():
+    """Entropy spans of plain candidates against counts made anew for each window."""
+    import math
+
+    rng = random.Random(23)
+    for _ in range(200):
+        s = "".join(rng.choice(rng.choice(("abc", "0123456789", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/"))) for _ in range(rng.randint(20, 70)))
+        text = f"key {s} end"
+        bits = lambda w: -sum(w.count(c) / len(w) * math.log2(w.count(c) / len(w)) for c in set(w))
+        high = [i for i in range(len(s) - 19) if bits(s[i : i + 20]) >= secrets.THRESHOLDS[secrets.char_class(s)] - 1e-12]
+        allowed = any(a.fullmatch(s) for a in secrets.ALLOW)
+        want = [] if not high or allowed else [(4 + high[0], 3, 4 + high[-1] + 20)]
+        assert secrets.entropy_spans(text, []) == want, s
+
+
 def test_quality_rule_statistics():
     t = "a b c a b c\n\x0bx #$\n\nx #$\n\n a b"
     n, chars, symbols, dups, rep = quality_rules.statistics(t)
