@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from casegrid.llm.common import map_columns, table
 
-CHUNK, OVERLAP = 1 << 14, 512
+CHUNK, OVERLAP = 1 << 15, 512
 #: Pieces of up to SHORT bytes are merged by scanning, and remembered by a worker: two generations of MEMORY at most.
 SHORT, MEMORY = 64, 150_000
 

@@ -97,7 +97,7 @@ def written(df: DataFrame, path: str, rows: int | None = None) -> DataFrame:
     many it has, keeps a small table to a few files, one for each PER_FILE."""
     if rows is not None:
         df = df.repartition(rows // PER_FILE + 1)
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

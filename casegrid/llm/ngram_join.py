@@ -211,9 +211,9 @@ def _roots(members: DataFrame, sets: DataFrame, path: str) -> DataFrame:
     # sets that share the threshold of their union differ in this part of their sizes' sum at most
     alike = differ <= (F.col("size") + F.col("l_size")) * ((1 - THRESHOLD) / (1 + THRESHOLD)) + 1e-9
     near = (F.col("leader") != F.col("l_leader")) | (F.abs(F.col("d0") - F.col("e0")) <= most)
-    round_, share = 0, 256
+    round_, share, roots = 0, 256, None
     while True:
-        roots = components(links, f"{path}/classes{round_}").select("v", "root")
+        roots = _joined(roots, links, f"{path}/classes{round_}")
         named = members.join(roots.withColumnRenamed("root", "c"), "v", "left").withColumn("c", F.coalesce("c", "v"))
         unsettled = named.groupBy("key").agg(F.min("c").alias("least"), F.max("c").alias("most")).filter("least <> most").select("key")
         members = named.join(unsettled, "key", "left_semi")
@@ -230,11 +230,22 @@ def _roots(members: DataFrame, sets: DataFrame, path: str) -> DataFrame:
         traits_of = members.select(F.col("key").alias("l_key"), F.col("v").alias("l_v"), F.col("leader").alias("l_leader"), F.col("d0").alias("e0"), F.col("c").alias("e"), *(F.col(c).alias(f"l_{c}") for c in own))
         leaders = leads.join(traits_of, ["l_key", "l_v"])
         met = members.join(leaders, (F.col("key") == F.col("l_key")) & (F.col("c") != F.col("e")) & near & alike)
-        links = links.unionByName(linked(verify(met.select(F.greatest("v", "l_v").alias("v"), F.least("v", "l_v").alias("leader")), f"{path}/verified{round_ + 1}")))
+        links = linked(verify(met.select(F.greatest("v", "l_v").alias("v"), F.least("v", "l_v").alias("leader")), f"{path}/verified{round_ + 1}"))
         members = members.join(leads.select(F.col("l_key").alias("key"), F.col("l_v").alias("v")), ["key", "v"], "left_anti").drop("c", "main")
         round_, share = round_ + 1, share * 256
 
 
+def _joined(roots: DataFrame | None, links: DataFrame, path: str) -> DataFrame:
+    """``roots`` (v, root) after more links: only what these say of whole classes is worked on."""
+    if roots is None:
+        return components(links, path)
+    of = lambda c: roots.select(F.col("v").alias(c), F.col("root").alias(f"r_{c}"))
+    met = links.join(of("v"), "v", "left").join(of("w"), "w", "left").select(F.coalesce("r_v", "v").alias("v"), F.coalesce("r_w", "w").alias("w"))
+    upper = components(met, path)
+    known = roots.join(upper.select(F.col("v").alias("root"), F.col("root").alias("far")), "root", "left").select("v", F.coalesce("far", "root").alias("root"))
+    return written(known.unionByName(upper.join(roots, "v", "left_anti")), f"{path}/all", roots.count())
+
+
 def components(links: DataFrame, path: str) -> DataFrame:
     """v, root (smallest member) of everything that a link names, by contraction: in each round every vertex points to its
     smallest neighbour's smallest neighbour, and the links between what they point to go on, until none is left."""
