@@ -397,16 +397,60 @@ def test_quality_rule_statistics():
 
 
 def test_quality_rules_reject_outliers(spark):
+    """Symbols, repeated lines and repeated words by themselves; long clean texts stay; odd columns are ignored."""
     rng = random.Random(8)
-    rows = [(i, " ".join(words(rng, rng.randint(80, 300))), "en", "s") for i in range(250)]
+    text = lambda n: " ".join(words(rng, n))
+    rows = [(i, text(rng.randint(80, 300)), "en", "s") for i in range(250)] + [(900 + i, text(6000), "en", "s") for i in range(3)]
     rows += [(1000 + i, " ".join(w + "#$%&" for w in words(rng, 150)), "en", "s") for i in range(8)]
+    line = text(4)
+    rows += [(1100 + i, "\n".join([*(text(4) for _ in range(25)), *[line] * 12]), "en", "s") for i in range(8)]
+    phrase = text(5)
+    rows += [(1200 + i, " ".join([*words(rng, 110), *[phrase] * 10]), "en", "s") for i in range(8)]
     rows += [(2000, None, None, None), (2001, "too short", "en", "s"), (2002, "a b c " * 60, "xx", None), rows[0]]
-    out = {r["doc_id"]: r for r in quality_rules.judge(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")).collect()}
-    assert sum(out[i]["kept"] for i in range(250)) >= 249
-    assert not any(out[1000 + i]["kept"] for i in range(8))
+    rows += [(3000 + i, text(100), "", "") for i in range(3)] + [(3100 + i, text(100), None, None) for i in range(3)]
+    odd = ("g", "d2", "start", "bin", "mean", "x0", "n", "kept")
+    docs = spark.createDataFrame([(*r, *range(len(odd))) for r in rows], "doc_id bigint, text string, lang string, source string, " + ", ".join(f"{c} int" for c in odd))
+    got = quality_rules.judge(docs).collect()
+    out = {r["doc_id"]: r for r in got}
+    assert len(got) == len(rows) and [r["kept"] for r in got if r["doc_id"] == 0] in ([True] * 2, [False] * 2)
+    assert sum(out[i]["kept"] for i in range(250)) >= 246 and all(out[900 + i]["kept"] for i in range(3))
+    assert not any(out[k + i]["kept"] for k in (1000, 1100, 1200) for i in range(8))
     assert out[2000]["base_failed"] and out[2001]["base_failed"] and out[2002]["base_failed"]
 
 
+def test_minimum_covariance_determinant(spark, tmp_path):
+    """A fifth of far rows does not move the estimate, and no random start of an exact search finds a much smaller determinant."""
+    rng = np.random.default_rng(3)
+    k = len(quality_rules.DIMS)
+    mix = np.tril(rng.normal(0, 0.3, (k, k))) + np.eye(k)
+    clean = rng.normal(size=(400, k)) @ mix.T + 5
+    x = np.concatenate([clean, rng.normal(12, 0.3, (100, k))])
+    rows = spark.createDataFrame([("g", *map(float, r)) for r in x], "g string, " + ", ".join(f"{d} double" for d in quality_rules.DIMS)).repartition(3)
+    m = quality_rules.mcd(rows, f"file://{tmp_path}").first()
+    mean, inverse = np.array(m["mean"]), np.array(m["inverse"]).reshape(k, k)
+    assert np.abs(mean - clean.mean(0)).max() < 0.25
+    d = x - mean
+    far = np.einsum("ij,jk,ik->i", d, inverse, d) > quality_rules.chi_square(0.999)
+    assert far[400:].all() and far[:400].mean() < 0.02
+
+    def search(start):
+        for _ in range(50):
+            mu, cov = start.mean(0), np.cov(start.T, bias=True)
+            e = x - mu
+            start = x[np.argsort(np.einsum("ij,jk,ik->i", e, np.linalg.inv(cov), e))[: int(quality_rules.H * len(x)) + 1]]
+        return np.linalg.slogdet(np.cov(start.T, bias=True))[1]
+
+    best = min(search(x[rng.choice(len(x), 30, replace=False)]) for _ in range(30))
+    trimmed = spark.read.parquet(f"file://{tmp_path}/model2").collect()
+    assert min(r["logdet"] for r in trimmed) - k * np.log(quality_rules.consistency(quality_rules.H)) < best + 0.1
+
+
+def test_chi_square():
+    for p, want in ((0.5, 4.351), (0.975, 12.833), (0.999, 20.515)):
+        assert abs(quality_rules.chi_square(p) - want) < 1e-3
+    assert abs(quality_rules.consistency(0.75) - 1.412) < 1e-2
+
+
 def _labelled(spark, seed=0):
     rng = random.Random(seed)
     bad = ["zorgle", "blixer", "quonk"]
@@ -577,11 +621,101 @@ def test_redact(spark):
     assert out == {1: "a [secret] b", 2: None}
 
 
-def test_pipeline_stages(spark):
+def test_operators_that_read_texts_ignore_other_columns(spark, docs):
+    """A row for each row, equal results for repeated rows, whatever the other columns are called; a very long text too."""
+    rows = corpus()
+    long = " ".join(words(random.Random(2), 60_000))
+    more = spark.createDataFrame([(7000, long, "en", "s", 1, 1, "r", "k", "t")] * 2, SCHEMA)
+    odd = docs.unionByName(more).withColumns({c: F.lit(1) for c in ("y", "n", "s", "score", "spans", "share", "item_ids", "part", "uid", "apart", "term", "h")})
+    learn, labels = _labelled(spark)
+    toxic, good = toxicity.fit(learn, labels), quality_classifier.fit(learn, labels)
+    benchmark = spark.createDataFrame([(1, " ".join(long.split()[30_000:30_060]), 9)], "item_id bigint, text string, doc_id int")
+    for out in (toxicity.score(odd, toxic), quality_classifier.score(odd, good), secrets.scan_secrets(odd), decontaminate.contamination(odd, benchmark), bpe.encode(odd, digest=True), suffix_dedup.deduplicated(odd).drop("kept")):
+        got = out.collect()
+        assert len(got) == len(rows) + 2
+        same = defaultdict(set)
+        for r in got:
+            same[r["doc_id"]].add(str(r))
+        assert all(len(v) == 1 for v in same.values())
+    assert {r["doc_id"] for r in decontaminate.contamination(odd, benchmark).filter("share > 0").collect()} == {7000}
+    kept = decontaminate.drop_contaminated(odd, benchmark)
+    assert kept.columns == odd.columns and kept.count() == len(rows)
+
+
+def test_decontamination_by_blocks(spark, monkeypatch):
+    """Several blocks of items, one written pass for each, find what one block finds."""
+    rng = random.Random(31)
+    items = [(i, " ".join(words(rng, 30))) for i in range(9)]
+    rows = [(i, " ".join([*words(rng, 40), items[i % 9][1] if i % 2 else "", *(items[(i + 1) % 9][1].split() if i % 5 == 0 else ()), *words(rng, 40)])) for i in range(40)] + [(None, None), (1, "")]
+    docs, benchmark = spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    find = lambda: sorted((str(r["doc_id"]), r["item_ids"], round(r["share"], 9)) for r in decontaminate.contamination(docs, benchmark).collect())
+    whole, kept = find(), decontaminate.drop_contaminated(docs, benchmark).count()
+    monkeypatch.setattr(decontaminate, "BLOCK", 4)
+    assert find() == whole and decontaminate.drop_contaminated(docs, benchmark).count() == kept
+    want = [sorted({*([i % 9] if i % 2 else ()), *([(i + 1) % 9] if i % 5 == 0 else ())}) for i in range(40)]
+    assert [x for i in range(40) for s, x, _ in whole if s == str(i) and (i != 1 or x)] == want
+
+
+def test_pipeline_stages(spark, tmp_path, library):
+    """Each stage on what the one before kept, against brute force: nulls, repeated rows, ties and odd columns included."""
+    import corpus_pipeline
+
+    rng = random.Random(41)
+    bad = ["zorgle", "blixer", "quonk"]
+    line = lambda: " ".join(words(rng, 12))
+    passage, item = [line() for _ in range(5)], " ".join(words(rng, 40))
+    rows, labels = [], []
+    for i in range(240):
+        own = [line() for _ in range(rng.randint(5, 9))]
+        if i % 6 == 0:
+            own[2] = " ".join([*own[2].split(), *(rng.choice(bad) for _ in range(4))])
+        if i % 8 == 1:
+            own[3:3] = passage
+        if i % 30 == 2:
+            own[1] = item
+        rows.append((i, "\n".join(own), "en", "s", 0, "a"))
+        if i < 200:
+            labels.append((i, 1, int(i % 6 == 0)))
+    near = rows[3][1].split(" ")
+    rows += [(500, rows[3][1], "en", "s", 0, "b"), (501, " ".join([*near[:-1], "other"]), "en", "s", 0, "b"), (502, None, None, None, None, None), (503, "", "", "", 0, ""), (None, line(), None, None, None, None), (None, line(), None, None, None, None), rows[4], rows[4]]
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, row string"
+    write = lambda data, s, name: spark.createDataFrame(data, s).write.parquet(f"{tmp_path}/{name}.parquet")
+    write(rows, schema, "documents"), write(labels, "doc_id bigint, quality int, toxic int", "labels"), write([(1, item)], "item_id bigint, text string", "benchmark")
+    sf, docs, at = str(tmp_path), spark.read.parquet(f"{tmp_path}/documents.parquet"), {}
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, docs, sf).write.parquet(f"{tmp_path}/out-{name}")
+        docs = spark.read.parquet(f"{tmp_path}/out-{name}")
+        at[name] = [tuple(r) for r in docs.collect()]
+        if name != "byte_bpe":
+            assert docs.columns == [f.split()[0] for f in schema.split(", ")], name
+    assert sorted(map(str, at["toxicity"])) == sorted(str(r) for r in rows if not any(b in (r[1] or "") for b in bad))
+    first, texts = {}, sorted({(order(r[0]), r[1] or "") for r in at["toxicity"]})
+    for d, text in texts:
+        for _, _, c in _pieces(text):
+            first.setdefault(c, d)
+
+    def cut(d, text):
+        if text is None:
+            return None
+        gone = {i for a, b, c in _pieces(text) if first[c] < order(d) for i in range(a, b)}
+        return "\n".join(x for i, x in enumerate(text.split("\n")) if i not in gone)
+
+    assert sorted((str(r[0]), str(r[1])) for r in at["line_dedup"]) == sorted((str(r[0]), str(cut(r[0], r[1]))) for r in at["toxicity"])
+    sets = lambda x: set(ngram_join.shingles(x or "").tolist())
+    kept, every = at["ngram_join"], at["line_dedup"]
+    alike = lambda p, q: (p or "").split() == (q or "").split() or len(sets(p) & sets(q)) >= 0.8 * max(1, len(sets(p) | sets(q)))
+    assert not any(alike(p[1], q[1]) for i, p in enumerate(kept) for q in kept[:i])
+    assert all(any(alike(r[1], k[1]) for k in kept) for r in every) and {str(r) for r in kept} <= {str(r) for r in every}
+    assert sorted(map(str, at["decontamination"])) == sorted(str(r) for r in kept if item not in (r[1] or "")) and len(at["decontamination"]) < len(kept)
+    ids = sorted((str(r[0]), hashlib.sha256(" ".join(map(str, library.encode_ordinary(r[1] or ""))).encode()).hexdigest()) for r in at["decontamination"])
+    assert sorted((str(r[0]), r[2]) for r in at["byte_bpe"]) == ids
+    again = [tuple(r) for r in corpus_pipeline.run(spark, sf).collect()]
+    assert sorted(map(str, again)) == sorted(map(str, at["byte_bpe"]))
+
+
+def test_pipeline_of_an_empty_table(spark, tmp_path):
     import corpus_pipeline
 
-    sf = "/root/testdata/sf0.001"
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    out = corpus_pipeline.run(spark, sf)
-    n = out.count()
-    assert 0 < n < docs.count() and [k for k, _ in corpus_pipeline.STAGES] == ["toxicity", "line_dedup", "ngram_join", "decontamination", "byte_bpe"]
+    for name, schema in (("documents", SCHEMA), ("labels", "doc_id bigint, quality int, toxic int"), ("benchmark", "item_id bigint, text string")):
+        spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
