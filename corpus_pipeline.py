@@ -3,6 +3,13 @@ near-duplicate class stays, documents that hold benchmark passages go, and the r
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents.
 run() writes every stage's result to the shared folder and reads it again for the next.
+
+Defined results: a null text counts as empty, is never toxic and has nothing to cut, and stays null until it is encoded (to no
+tokens); of all rows without words one stays; repeated rows and rows with equal words are one class, of which the row with the
+smallest id stays (no id before all others, then the smallest hash of the text); rows without an id, and different texts under one id, are texts of
+their own; very long texts are worked on whole; labels and items without a document are ignored; an empty table gives none at every
+stage.  All columns of documents, whatever further ones there are and whatever their names, reach the last stage as
+they are, but for text and n_chars, which line dedup renews.
 """
 
 from __future__ import annotations
@@ -42,7 +49,7 @@ STAGES = [
     ("byte_bpe", encoded),
 ]
 
-#: Trained models and sketches have no SQL form; tests hold the stages against brute force.
+#: Trained models and sketches have no SQL form; a test holds each stage against brute force on what the one before kept.
 ORACLE_SQL = None
 
 
