@@ -262,6 +262,59 @@ def test_suffix_dedup_crowded_minimizer(spark, monkeypatch):
     assert sorted(map(tuple, suffix_dedup.deduplicated(d).drop("kept").collect())) == usual
 
 
+def test_suffix_dedup_shared_runs():
+    """Which runs are repeats, and which go on, wherever batches end."""
+    import pyarrow as pa
+
+    rng = random.Random(29)
+    rows = sorted((rng.randrange(25), rng.randrange(3), rng.randrange(6), rng.randrange(4) << 32 | rng.randrange(3), 40 << 2 | (rng.random() < 0.1) * suffix_dedup._TWICE) for _ in range(160))
+    rows = sorted([*rows, *rng.sample(rows, 12), *((1000 + i, 5, 1, i, 8 << 2 | suffix_dedup._KNOWN) for i in range(5))])
+    want, contexts = set(), defaultdict(set)
+    for k, c, *_ in rows:
+        contexts[k].add(c)
+    for i, (k, c, d, at, span) in enumerate(rows):
+        before = [r for r in rows[:i] if r[:2] == (k, c)]
+        if span & suffix_dedup._KNOWN or any(r[2:4] != (d, at) for r in before):
+            want.add((d, at, k, span, True))
+        elif not before and (len(contexts[k]) > 1 or span & suffix_dedup._TWICE):
+            want.add((d, at, k, span, False))
+    names = ["key", "context", "did", "at", "span"]
+    for size in (1, 3, 50, 1000):
+        batches = [pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows[a : a + size])], names=names) for a in range(0, len(rows), size)]
+        got = [tuple(r.values()) for b in suffix_dedup._shared(iter(batches)) for r in b.to_pylist()]
+        assert set(got) == want, size
+
+
+def test_suffix_dedup_of_random_repeats(spark):
+    """Passages cut anywhere, periodic text, texts of one id, no ids and exact copies, byte by byte."""
+    rng = random.Random(37)
+    base = ["".join(rng.choice("abcd \n") for _ in range(rng.randint(90, 400))) for _ in range(8)]
+    rows = []
+    for i in range(120):
+        parts = ["".join(rng.choice("abcdefgh ") for _ in range(rng.randint(0, 150)))]
+        for _ in range(rng.randint(0, 3)):
+            b = rng.choice(base)
+            a = rng.randrange(len(b) // 2)
+            parts += [b[a : a + rng.randint(50, len(b))], "".join(rng.choice("xyz") for _ in range(rng.randint(0, 40)))]
+        if i % 17 == 0:
+            parts.append(rng.choice(("ab", "q", "xyz12")) * rng.randint(60, 200))
+        rows.append((rng.choice((None, 7, i, i)), "".join(parts)))
+    rows += rng.sample(rows, 10) + [(2000, rows[3][1])]
+    texts = spark.createDataFrame(rows, "doc_id bigint, text string")
+    rank = {(r["doc_id"], r["text"]): (r["did"], r["th"]) for r in suffix_dedup.keyed(texts).collect()}
+    seen, want = set(), {}
+    for d, t in sorted(set(rows), key=lambda r: rank[r]):
+        raw, gone = t.encode(), bytearray(len(t.encode()))
+        for i in range(len(raw) - 99):
+            if raw[i : i + 100] in seen:
+                gone[i : i + 100] = b"\1" * 100
+            seen.add(raw[i : i + 100])
+        spans = sum(1 for i, g in enumerate(gone) if g and (i == 0 or not gone[i - 1]))
+        want[d, t] = (d, len(raw), sum(gone), spans, hashlib.sha256(bytes(b for b, g in zip(raw, gone) if not g)).hexdigest())
+    got = [tuple(r) for r in suffix_dedup.deduplicated(texts.repartition(5)).drop("kept").collect()]
+    assert sorted(map(str, got)) == sorted(str(want[r]) for r in rows)
+
+
 def test_deep_shallow_sorting():
     rng = random.Random(3)
     base = bytes(rng.choice(b"ab") for _ in range(400))
