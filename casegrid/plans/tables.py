@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame
 
 
 def written(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder (a temporary one where none is set) and read again."""
+    """``df`` written to the shared checkpoint folder (a temporary one where none is set) and read again; the files go when
+    the driver ends."""
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
@@ -19,4 +20,6 @@ def written(df: DataFrame) -> DataFrame:
         base = "file://" + os.path.join(tempfile.gettempdir(), "casegrid-tables")
     path = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
     return spark.read.schema(df.schema).parquet(path)
