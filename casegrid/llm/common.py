@@ -82,14 +82,23 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """A new folder in the shared folder that the cluster names in spark.checkpoint.dir."""
+    """A new folder in the shared folder that the cluster names in spark.checkpoint.dir; it goes when the driver ends."""
     bounded(spark)
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + os.path.join(tempfile.gettempdir(), "casegrid-work")
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    p, files = _file_system(spark, path)
+    files.mkdirs(p)
+    files.deleteOnExit(p)
+    return path
+
+
+def _file_system(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
 def written(df: DataFrame, path: str, rows: int | None = None) -> DataFrame:
@@ -103,9 +112,8 @@ def written(df: DataFrame, path: str, rows: int | None = None) -> DataFrame:
 
 def forget(spark: SparkSession, path: str) -> None:
     """Delete an intermediate table that nothing reads any more."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    p, files = _file_system(spark, path)
+    files.delete(p, True)
 
 
 def map_columns(df: DataFrame, f, schema: str) -> DataFrame:
