@@ -3,10 +3,11 @@
 Method: MinHash LSH forest.  Each text's signature is cut into TREES label strings of
 DEPTH minima.  In each tree the labels are sorted, so that texts with a common prefix are
 neighbours: the sorted list is a prefix trie.  A text is first compared in its deepest
-node that holds another text, at up to DEPTH minima.  From there its prefix is shortened,
-as long as the node above joins texts of different classes, until the depth at which a pair at the
-threshold shares a node in some tree as often as the target recall asks; a node whose
-texts are all of one class is settled.  Pairs are verified exactly on their shingle sets.
+node that holds another text, at up to DEPTH minima: its prefix is shortened until it
+meets one.  The least depth is the one at which a pair at the threshold shares a node in some tree as often as the
+target recall asks.  A node of that depth whose texts are then all of one class is settled, and they stay at the
+depths they have reached; the texts of the others are shortened to it and compared across classes.
+Pairs are verified exactly on their shingle sets.
 
 Copies first: texts with equal words form one class and only one of them is compared.
 In a node not all pairs are compared.  Every text is verified against the smallest one before it in its
@@ -251,8 +252,8 @@ def components(links: DataFrame, path: str) -> DataFrame:
     smallest neighbour's smallest neighbour, and the links between what they point to go on, until none is left."""
     edges = links.select(F.least("v", "w").alias("a"), F.greatest("v", "w").alias("b")).filter("a <> b").distinct()
     edges, rounds = written(edges, f"{path}/edges0", links.count()), []
-    while True:
-        n = edges.count()
+    n = edges.count()
+    while n or not rounds:
         both = edges.select(F.explode(F.array(F.struct(F.col("a").alias("v"), F.col("b").alias("w")), F.struct(F.col("b").alias("v"), F.col("a").alias("w")))).alias("e")).select("e.*")
         near = both.groupBy("v").agg(F.least(F.min("w"), F.col("v")).alias("p"))
         parents = near.join(near.select(F.col("v").alias("p"), F.col("p").alias("root")), "p").select("v", "root")
@@ -260,8 +261,7 @@ def components(links: DataFrame, path: str) -> DataFrame:
         of = lambda c: rounds[-1].select(F.col("v").alias(c), F.col("root").alias(f"r_{c}"))
         met = edges.join(of("a"), "a").join(of("b"), "b").filter("r_a <> r_b")
         edges = written(met.select(F.least("r_a", "r_b").alias("a"), F.greatest("r_a", "r_b").alias("b")).distinct(), f"{path}/edges{len(rounds)}", n)
-        if edges.isEmpty():
-            break
+        n = edges.count()
     n, roots = rounds[0].count(), rounds.pop()
     for earlier in reversed(rounds):
         roots = earlier.join(roots.select(F.col("v").alias("root"), F.col("root").alias("far")), "root", "left").select("v", F.coalesce("far", "root").alias("root"))
