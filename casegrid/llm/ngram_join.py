@@ -240,6 +240,8 @@ def _joined(roots: DataFrame | None, links: DataFrame, path: str) -> DataFrame:
     """``roots`` (v, root) after more links: only what these say of whole classes is worked on."""
     if roots is None:
         return components(links, path)
+    if links.isEmpty():
+        return roots
     of = lambda c: roots.select(F.col("v").alias(c), F.col("root").alias(f"r_{c}"))
     met = links.join(of("v"), "v", "left").join(of("w"), "w", "left").select(F.coalesce("r_v", "v").alias("v"), F.coalesce("r_w", "w").alias("w"))
     upper = components(met, path)
