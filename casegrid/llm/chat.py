@@ -8,8 +8,8 @@ smallest conv_id stays.  What is left is rendered with a chat template.
 
 Defined results: repeated rows (same conv_id, turn, role and text) count once; turns that
 tie in number are ordered by role, then text, nulls first; a null role or text counts as
-empty; rows with a null conv_id form one conversation, ordered before all others; an empty
-table gives none; further columns are ignored.
+empty; a row with a null conv_id is a conversation of its own, before all others; very long texts are kept whole; an empty
+table gives none; further columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from casegrid.llm.common import NULL_ID, table
+from casegrid.llm.common import table
 
 
 def _lane(digest: Column, at: int) -> Column:
@@ -26,13 +26,16 @@ def _lane(digest: Column, at: int) -> Column:
 
 
 def prefixes(conversations: DataFrame) -> DataFrame:
-    """conv, pos, role, text, h1, h2 (rolling hash of the turns up to pos), last (whether the conversation ends here)."""
+    """conv (conv_id and, for rows without, a hash of the row), pos, role, text, h1, h2 (rolling hash of the turns up to pos),
+    last (whether the conversation ends here)."""
     turns = conversations.select(
-        F.coalesce(F.col("conv_id").cast("bigint"), F.lit(NULL_ID)).alias("conv"),
+        F.col("conv_id").cast("bigint").alias("id"),
         F.col("turn").cast("bigint").alias("turn"),
         F.coalesce("role", F.lit("")).alias("role"),
         F.coalesce("text", F.lit("")).alias("text"),
     ).distinct()
+    alone = F.when(F.col("id").isNull(), F.sha2(F.concat_ws(":", F.coalesce(F.col("turn").cast("string"), F.lit("-")), F.length("role").cast("string"), "role", "text"), 256))
+    turns = turns.select(F.struct("id", alone.alias("alone")).alias("conv"), "turn", "role", "text")
     order = W.partitionBy("conv").orderBy("turn", "role", "text")
     digest = F.sha2(F.concat_ws(":", F.col("pos").cast("string"), F.length("role").cast("string"), "role", "text"), 256)
     return (
@@ -51,8 +54,8 @@ def maximal(conversations: DataFrame) -> DataFrame:
     rows = prefixes(conversations)
     whole = rows.filter("last").groupBy("pos", "h1", "h2").agg(F.min("conv").alias("conv"))
     proper = rows.filter("not last").select("pos", "h1", "h2").distinct()
-    kept = whole.join(proper, ["pos", "h1", "h2"], "left_anti").select("conv")
-    return rows.select("conv", "pos", "role", "text").join(kept, "conv", "left_semi")
+    kept = whole.join(proper, ["pos", "h1", "h2"], "left_anti").select(F.col("conv").alias("k"))
+    return rows.select("conv", "pos", "role", "text").join(kept, F.col("conv").eqNullSafe(F.col("k")), "left_semi")
 
 
 def render(turns: DataFrame, before: str = "<|im_start|>", middle: str = "\n", after: str = "<|im_end|>\n") -> DataFrame:
@@ -61,7 +64,7 @@ def render(turns: DataFrame, before: str = "<|im_start|>", middle: str = "\n", a
     return (
         turns.groupBy("conv")
         .agg(F.array_sort(F.collect_list(F.struct("pos", one.alias("s")))).alias("turns"))
-        .select(F.when(F.col("conv") != NULL_ID, F.col("conv")).alias("conv_id"), F.size("turns").cast("bigint").alias("n_turns"), F.array_join(F.transform("turns", lambda t: t["s"]), "").alias("chat"))
+        .select(F.col("conv.id").alias("conv_id"), F.size("turns").cast("bigint").alias("n_turns"), F.array_join(F.transform("turns", lambda t: t["s"]), "").alias("chat"))
     )
 
 
@@ -72,20 +75,21 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP8_SQL = """
 WITH t AS (
   SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+), k AS (
+  SELECT *, CASE WHEN conv_id IS NULL THEN concat('-', row_number() OVER (ORDER BY turn, role, text)) ELSE CAST(conv_id AS VARCHAR) END AS k FROM t
 ), n AS (
-  SELECT *, row_number() OVER w AS pos, count(*) OVER (PARTITION BY conv_id) AS n
-  FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)
+  SELECT *, row_number() OVER w AS pos, count(*) OVER (PARTITION BY k) AS n
+  FROM k WINDOW w AS (PARTITION BY k ORDER BY turn NULLS FIRST, role, text)
 ), p AS (
-  SELECT conv_id, pos, n, role, text,
+  SELECT k, conv_id, pos, n, role, text,
     string_agg(CAST(length(role) AS VARCHAR) || ':' || role || CAST(length(text) AS VARCHAR) || ':' || text, ',' ORDER BY pos)
-      OVER (PARTITION BY conv_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS prefix
+      OVER (PARTITION BY k ORDER BY pos ROWS UNBOUNDED PRECEDING) AS prefix
   FROM n
 ), whole AS (
-  SELECT min(conv_id) AS conv_id FROM p
-  WHERE pos = n AND prefix NOT IN (SELECT prefix FROM p WHERE pos < n)
-  GROUP BY prefix
+  SELECT k FROM p WHERE pos = n AND prefix NOT IN (SELECT prefix FROM p WHERE pos < n)
+  QUALIFY row_number() OVER (PARTITION BY prefix ORDER BY conv_id NULLS FIRST, k) = 1
 )
-SELECT conv_id, count(*) AS n_turns,
+SELECT any_value(conv_id) AS conv_id, count(*) AS n_turns,
   string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '' ORDER BY pos) AS chat
-FROM p WHERE conv_id IN (SELECT conv_id FROM whole) GROUP BY conv_id
+FROM p WHERE k IN (SELECT k FROM whole) GROUP BY k
 """

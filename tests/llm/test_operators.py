@@ -647,13 +647,33 @@ def test_lcs():
         assert decontaminate.lcs(decontaminate.positions(a), len(a), b) == t[-1][-1]
 
 
+CHAT = [(1, 0, "user", "hi"), (1, 1, "bot", "yo"), (2, 0, "user", "hi"), (2, 1, "bot", "yo"), (2, 2, "user", "more"), (3, 0, "user", "hi"), (3, 1, "bot", "yo"), (3, 2, "user", "more"),
+        (4, 0, "user", "hi"), (4, 1, "bot", "other"), (5, 0, None, None), (None, 0, "user", "lone"), (None, 1, "user", "lone"), (None, 0, "bot", "second"), (None, 3, "user", "hi"), (6, 0, "a", "b:c"),
+        (6, None, "a", "first"), (4, 1, "bot", "other"), (7, 0, "user", "hi"), (8, 0, "user", "x" * 100_000), (9, 0, "bot", "second")]
+
+
 def test_chat(spark):
-    rows = [(1, 0, "user", "hi"), (1, 1, "bot", "yo"), (2, 0, "user", "hi"), (2, 1, "bot", "yo"), (2, 2, "user", "more"), (3, 0, "user", "hi"), (3, 1, "bot", "yo"), (3, 2, "user", "more"),
-            (4, 0, "user", "hi"), (4, 1, "bot", "other"), (5, 0, None, None), (None, 0, "user", "lone"), (6, 0, "a", "b:c"), (6, None, "a", "first"), (4, 1, "bot", "other"), (7, 0, "user", "hi")]
-    out = {r["conv_id"]: r for r in chat.render(chat.maximal(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string"))).collect()}
-    assert set(out) == {2, 4, 5, 6, None} and out[4]["n_turns"] == 2
+    odd = ("conv", "pos", "h1", "last", "id", "k", "turns")
+    rows = spark.createDataFrame([(*r, *range(len(odd))) for r in CHAT], "conv_id bigint, turn bigint, role string, text string, " + ", ".join(f"{c} int" for c in odd))
+    got = chat.render(chat.maximal(rows)).collect()
+    out = {r["conv_id"]: r for r in got if r["conv_id"] is not None}
+    assert set(out) == {2, 4, 5, 6, 8} and out[4]["n_turns"] == 2
     assert out[2]["chat"] == "<|im_start|>user\nhi<|im_end|>\n<|im_start|>bot\nyo<|im_end|>\n<|im_start|>user\nmore<|im_end|>\n"
-    assert out[6]["chat"].startswith("<|im_start|>a\nfirst")
+    assert out[6]["chat"].startswith("<|im_start|>a\nfirst") and len(out[8]["chat"]) > 100_000
+    # rows without an id are conversations of their own: of equal ones, and of those that begin longer ones, one text stays
+    assert sorted((r["n_turns"], r["chat"]) for r in got if r["conv_id"] is None) == [(1, "<|im_start|>bot\nsecond<|im_end|>\n"), (1, "<|im_start|>user\nlone<|im_end|>\n")]
+
+
+def test_chat_sql(spark):
+    import duckdb
+    import pandas as pd
+
+    frame = pd.DataFrame(CHAT, columns=["conv_id", "turn", "role", "text"]).astype({"conv_id": "Int64", "turn": "Int64"})
+    con = duckdb.connect()
+    con.register("conversations", frame)
+    want = sorted(map(str, con.execute(f"SELECT conv_id, n_turns, chat FROM ({chat.OP8_SQL})").fetchall()))
+    got = chat.render(chat.maximal(spark.createDataFrame(CHAT, "conv_id bigint, turn bigint, role string, text string")))
+    assert sorted(str(tuple(r)) for r in got.select("conv_id", "n_turns", "chat").collect()) == want
 
 
 def test_empty_tables(spark, nothing):
