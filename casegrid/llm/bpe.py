@@ -5,7 +5,7 @@ is pre-tokenised on its own, and the chunks' boundaries are stitched where both
 agree (the pattern looks ahead only, so two scans that share one boundary agree from
 there on).  Then the pieces are encoded by the merge ranks and decoding concatenates the
 raw bytes of the ids.  Texts of more than one chunk (CHUNK characters) are dealt out by chunk, so a very
-long text is pre-tokenised by many tasks; the pieces of one text are encoded by one.
+long text is pre-tokenised and encoded by many tasks; stitching and joining see one text at a time.
 
 Defined results: a null text counts as empty; an empty text has no tokens, and both of
 its hashes are those of no bytes; a repeated row is encoded again; an empty table gives
@@ -200,7 +200,7 @@ def _digested(ranks_path: str, pattern: str):
 
 
 def _long(docs: DataFrame, ranks_path: str, pattern: str, digest: bool) -> DataFrame:
-    """Texts of more than one chunk: chunk rows are pre-tokenised apart and stitched per text."""
+    """Texts of more than one chunk: chunk rows are pre-tokenised apart, stitched per text, and encoded apart again."""
 
     def cut(batch: pa.RecordBatch) -> dict:
         out = {"doc_id": [], "row": [], "th": [], "n": [], "k": [], "part": []}
@@ -218,20 +218,38 @@ def _long(docs: DataFrame, ranks_path: str, pattern: str, digest: bool) -> DataF
             ends.append([k * CHUNK + e for e in (got if k * CHUNK + len(part) >= n else got[:-2])])
         return {c: batch.column(c) for c in ("doc_id", "row", "th", "k", "part")} | {"ends": ends}
 
-    def join(t):
+    def stitch(t):
+        """The pieces of each chunk: those that begin in it."""
         enc = encoder(ranks_path, pattern)
-        rows = sorted(t.select(["k", "part", "ends"]).to_pylist(), key=lambda r: r["k"])
+        rows = sorted(t.select(["doc_id", "row", "th", "k", "part", "ends"]).to_pylist(), key=lambda r: r["k"])
         text = "".join(r["part"][:CHUNK] for r in rows)
         ends = stitched(enc, text, [r["ends"] for r in rows])
-        n, ids, raw = encode_pieces(enc, [text[a:b] for a, b in zip([0, *ends], ends, strict=False)])
+        out, i, at = [], 0, 0
+        for r in rows:
+            first, begin = i, at
+            while i < len(ends) and at < (r["k"] + 1) * CHUNK:
+                at, i = ends[i], i + 1
+            out.append(r | {"part": text[begin:at], "ends": [e - begin for e in ends[first:i]]})
+        return pa.Table.from_pylist(out, schema=t.select(["doc_id", "row", "th", "k", "part", "ends"]).schema)
+
+    def encoded(batch: pa.RecordBatch) -> dict:
+        enc = encoder(ranks_path, pattern)
+        got = [encode_pieces(enc, [part[a:b] for a, b in zip([0, *ends], ends, strict=False)]) for part, ends in zip(batch.column("part").to_pylist(), batch.column("ends").to_pylist(), strict=True)]
+        return {c: batch.column(c) for c in ("doc_id", "row", "th", "k")} | {"n": [g[0] for g in got], "ids": [g[1] for g in got], "raw": [g[2] for g in got]}
+
+    def join(t):
+        rows = sorted(t.select(["k", "n", "ids", "raw"]).to_pylist(), key=lambda r: r["k"])
+        ids, raw = " ".join(r["ids"] for r in rows if r["n"]), b"".join(r["raw"] for r in rows)
         cols = {"ids_sha256": [hashlib.sha256(ids.encode()).hexdigest()], "decoded_sha256": [hashlib.sha256(raw).hexdigest()]} if digest else {"ids": [ids], "decoded": [raw]}
-        return pa.table({"doc_id": pa.array([t.column("doc_id")[0].as_py()], pa.int64()), "n_tokens": [n]} | cols)
+        return pa.table({"doc_id": pa.array([t.column("doc_id")[0].as_py()], pa.int64()), "n_tokens": [sum(r["n"] for r in rows)]} | cols)
 
     # a row is one text, whatever rows repeat it: a group holds one text's chunks
     rows = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), F.xxhash64("text").alias("th"), "text")
     cut_ = map_columns(rows, cut, "doc_id bigint, row bigint, th bigint, n bigint, k int, part string").repartition("row", "th", "k")
-    chunks = map_columns(cut_, scan, "doc_id bigint, row bigint, th bigint, k int, part string, ends array<bigint>")
-    return chunks.groupBy("row", "th").applyInArrow(join, SCHEMA[digest])
+    pieces = "doc_id bigint, row bigint, th bigint, k int, part string, ends array<bigint>"
+    chunks = map_columns(cut_, scan, pieces).groupBy("row", "th").applyInArrow(stitch, pieces).repartition("row", "th", "k")
+    parts = map_columns(chunks, encoded, "doc_id bigint, row bigint, th bigint, k int, n bigint, ids string, raw binary")
+    return parts.groupBy("row", "th").applyInArrow(join, SCHEMA[digest])
 
 
 SCHEMA = {False: "doc_id bigint, n_tokens bigint, ids string, decoded binary", True: "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"}

@@ -361,9 +361,11 @@ def test_bpe_long_texts_are_stitched(spark, library):
         starts = bpe.chunk_starts(len(text), chunk)
         got = bpe.stitched(enc, text, [bpe.chunk_ends(enc, text, s, chunk) for s in starts], chunk)
         assert got == enc.ends(text)
-    rows = [(1, text), (1, text), (2, text + "z")]
-    for r in bpe.encode(spark.createDataFrame(rows, "doc_id bigint, text string")).collect():
-        t = text if r["doc_id"] == 1 else text + "z"
+    rows = [(1, text), (1, text), (2, text + "z"), (3, "w" * 100_000 + " end"), (None, "é" * 40_000)]
+    got = bpe.encode(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        t = dict(rows)[r["doc_id"]]
         assert r["ids"] == " ".join(map(str, library.encode_ordinary(t))) and bytes(r["decoded"]) == t.encode()
 
 
