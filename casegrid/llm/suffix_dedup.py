@@ -14,7 +14,10 @@ the joined contexts, without copies.
 
 Equal contexts of one minimizer are told by 128 bits (the minimizer's hash and the
 context's); all other equality is that of bytes.  A minimizer with more than IN_MEMORY
-bytes of different contexts is dealt out again by whole windows, which needs no memory
+bytes of different contexts is dealt out again, each context in two parts, by the 60 bytes or more
+that all windows of a part share: windows that begin HALF bytes or more before the minimizer, and the others.
+Equal parts are repeats, and the rest is sorted as before.  Where even these have more than
+IN_MEMORY bytes, their windows are dealt out one by one, which needs no memory
 beyond a row; so no group is gathered in one task's memory.
 
 Defined results: a null text counts as empty; null doc_ids come before all others; rows with the
@@ -36,8 +39,8 @@ from pyspark.sql import functions as F
 
 from casegrid.llm.common import slices, table, work_dir, written
 
-LENGTH, K, SHALLOW = 100, 20, 16
-#: Bytes of different contexts of one minimizer that are sorted in memory; beyond it the windows are dealt out one by one.
+LENGTH, K, SHALLOW, HALF = 100, 20, 16, 40
+#: Bytes of different contexts of one minimizer that are sorted in memory; beyond it they are dealt out more finely.
 IN_MEMORY = 2 << 20
 #: Groups are sorted together until they have so many bytes.
 TOGETHER = 1 << 20
@@ -267,8 +270,8 @@ class _Spans:
 
 
 def _sort_groups(out: _Spans, groups: list[list[tuple[int, int, int, bytes]]]) -> None:
-    """Groups of different contexts in order of rank, each of one minimizer: the windows that an earlier context, or an earlier place in it, has."""
-    contexts = [c for g in groups for c in g]
+    """Groups of different contexts, each of one minimizer: the windows that an earlier context, or an earlier place in it, has."""
+    contexts = [c for g in groups for c in sorted(g, key=lambda c: c[:3])]
     if not contexts:
         return
     buffer = b"".join(c[3] for c in contexts)
@@ -297,9 +300,10 @@ def _sort_groups(out: _Spans, groups: list[list[tuple[int, int, int, bytes]]]) -
 
 
 def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Over rows sorted by (key, did, at): spans of repeated starts; a minimizer with more than IN_MEMORY bytes of different contexts
-    hands its contexts on instead."""
-    out, key, last, size, crowded = _Spans(), None, None, 0, False
+    """Over rows sorted by (key, did, at), of different contexts, or by (key, context, did, at): spans of repeated starts.
+    Equal contexts that follow each other repeat the first.  A key with more than IN_MEMORY bytes of different contexts hands
+    its contexts on instead."""
+    out, key, last, before, size, crowded = _Spans(), None, None, None, 0, False
     group: list[tuple[int, int, int, bytes]] = []
     ready: list[list[tuple[int, int, int, bytes]]] = []
     waiting = 0
@@ -310,13 +314,17 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if group:
                     ready.append(group)
                     waiting += size
-                key, group, size, crowded = k, [], 0, False
+                key, group, size, crowded, before = k, [], 0, False, None
                 if waiting > TOGETHER:
                     _sort_groups(out, ready)
                     ready, waiting = [], 0
             elif (d, at) == last:  # a repeated row
                 continue
             last = d, at
+            if c == before:
+                out.rows.append((d, at >> 32, at & _START, (at & _START) + len(c) - LENGTH + 1, None))
+                continue
+            before = c
             if crowded:
                 out.rows.append((d, at >> 32, at & _START, None, c))
                 continue
@@ -333,6 +341,35 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield out.batch()
 
 
+def halves(context: bytes) -> list[tuple[int, bytes, bytes]]:
+    """(place, bytes, what all its windows share) of the parts of a context.  Around the first place of the minimizer in them,
+    windows that begin HALF bytes or more before it share these, and the others the bytes behind it."""
+    h = rolling(np.frombuffer(context, np.uint8), K)
+    n, w = len(context) - LENGTH + 1, LENGTH - K + 1
+    at = np.flatnonzero(h == h[:w].min())  # all windows of a context have one minimizer
+    place = at[np.searchsorted(at, np.arange(n))]
+    out = []
+    for p in np.unique(place).tolist():
+        a, b = np.searchsorted(place, (p, p + 1)).tolist()
+        cut = min(max(a, p - HALF + 1), b)
+        if a < cut:
+            out.append((a, context[a : cut + LENGTH - 1], context[p - HALF : p + K]))
+        if cut < b:
+            out.append((cut, context[cut : b + LENGTH - 1], context[p : p + K + LENGTH - K - HALF + 1]))
+    return out
+
+
+def _halved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The parts of the contexts handed on, under a hash of what their windows share."""
+    for batch in batches:
+        for part in slices(batch.filter(batch.column("context").is_valid()), 1 << 20):
+            rows = []
+            for d, h, s, c in zip(*(part.column(n).to_pylist() for n in ("did", "th", "start", "context")), strict=True):
+                rows += [(d, (h << 32) | (s + o), int.from_bytes(hashlib.blake2b(shared, digest_size=8).digest(), "little", signed=True), piece) for o, piece, shared in halves(c)]
+            cols = list(zip(*rows, strict=True))
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.binary())], names=["did", "at", "key", "context"])
+
+
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The windows of the contexts handed on."""
     for batch in batches:
@@ -378,11 +415,13 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
     known = shared.filter("known").select("did", th, start.alias("start"), (start + F.shiftright("span", 2)).alias("stop"))
     per_text = shared.filter("not known").groupBy("did", th).agg(F.collect_set(F.struct("at", "span", "key")).alias("runs"))
     contexts = texts.join(per_text, ["did", "th"]).select("did", "text", "runs").mapInArrow(_contexts, "did bigint, at bigint, key bigint, context binary")
+    # both readers of an exchange by document take all of its columns, so it is made once
     found = contexts.repartition("key").sortWithinPartitions("key", "did", "at").mapInArrow(_repeats, _SPAN + ", context binary").repartition("did", "th")
-    # both readers of this exchange take all of its columns, so it is made once
-    crowded = found.mapInArrow(_windows, "did bigint, th bigint, start bigint, window binary")
-    later = crowded.repartition("window").sortWithinPartitions("window", "did", "th", "start").mapInArrow(_later, _SPAN)
-    return known.unionByName(found.mapInArrow(_plain, _SPAN)).unionByName(later)
+    parts = found.mapInArrow(_halved, "did bigint, at bigint, key bigint, context binary").repartition("key").sortWithinPartitions("key", "context", "did", "at")
+    finer = parts.mapInArrow(_repeats, _SPAN + ", context binary").repartition("did", "th")
+    windows = finer.mapInArrow(_windows, "did bigint, th bigint, start bigint, window binary").repartition("window").sortWithinPartitions("window", "did", "th", "start")
+    spans = [x.mapInArrow(_plain, _SPAN) for x in (found, finer)]
+    return known.unionByName(spans[0]).unionByName(spans[1]).unionByName(windows.mapInArrow(_later, _SPAN))
 
 
 def remove(raw: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int, int]:

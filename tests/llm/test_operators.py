@@ -245,23 +245,40 @@ def test_suffix_dedup(docs):
         assert tuple(r)[1:] == want[order(r["doc_id"])], r["doc_id"]
 
 
-def test_suffix_dedup_crowded_minimizer(spark, monkeypatch):
-    """With no room in memory every window is dealt out by itself; the result is the same."""
+@pytest.mark.parametrize("room", (150, 1500, 20_000))
+def test_suffix_dedup_crowded_minimizer(spark, monkeypatch, room):
+    """With little room in memory contexts are dealt out by their parts, and these by windows; the result is the same."""
+    rng = random.Random(43)
+    line = " ".join(words(rng, 18))
     rows = [(r[0], r[1]) for r in corpus(5, 25) if r[0] is not None]
+    rows += [(3000 + i, " ".join([*words(rng, rng.randint(0, 12)), line[rng.randint(0, 20) :], *words(rng, rng.randint(0, 12))])) for i in range(60)]
     d = spark.createDataFrame(rows, "doc_id bigint, text string")
     usual = sorted(map(tuple, suffix_dedup.deduplicated(d).drop("kept").collect()))
-    monkeypatch.setattr(suffix_dedup, "IN_MEMORY", 150)
 
-    def small(batches, f=suffix_dedup._repeats):
+    def small(batches, f=suffix_dedup._repeats, room=room):
         from casegrid.llm import suffix_dedup as m
 
-        m.IN_MEMORY = 150
+        m.IN_MEMORY = room
         yield from f(batches)
 
     monkeypatch.setattr(suffix_dedup, "_repeats", small)
     assert sorted(map(tuple, suffix_dedup.deduplicated(d).drop("kept").collect())) == usual
 
 
+def test_halves():
+    """Each window is in one part, and all windows of a part hold what they share, at one distance from the minimizer."""
+    rng = random.Random(47)
+    for unit in ("abcdefgh ", "ab", "x"):
+        raw = "".join(rng.choice(unit) for _ in range(600)).encode() + b"ab" * 80
+        for a, b, *_ in zip(*suffix_dedup.minimizer_runs(raw), strict=True):
+            context, seen = raw[a : b + 99], []
+            for o, part, shared in suffix_dedup.halves(context):
+                assert context[o : o + len(part)] == part and len(shared) in (60, 61)
+                seen += range(o, o + len(part) - 99)
+                assert all(shared in part[k : k + 100] for k in range(len(part) - 99))
+            assert seen == list(range(b - a))
+
+
 def test_suffix_dedup_shared_runs():
     """Which runs are repeats, and which go on, wherever batches end."""
     import pyarrow as pa
