@@ -261,7 +261,7 @@ ORACLE: dict[str, str] = {
     "unmatched_overlap_metrics": f"""{SQL}, o AS ({_OVERLAP}), q AS (SELECT *, {_RATES.format(l='nl', g='ng', m='tp', p='p', r='r')} FROM o)
       SELECT col_ AS "column", CASE WHEN nl + ng = 0 THEN 1.0 ELSE round(p, 9) END AS precision, CASE WHEN nl + ng = 0 THEN 1.0 ELSE round(r, 9) END AS recall, CASE WHEN nl + ng = 0 THEN 1.0 ELSE round({_F1}, 9) END AS f1_score,
       CASE WHEN nl + ng = 0 THEN 1.0 ELSE round(tp / (nl + ng - tp), 9) END AS accuracy FROM q""",
-    "agrep_names": f"{SQL} SELECT l.row_idx AS llm_idx, {near_either('l.name', 'g.name')} AS near FROM llmu l JOIN gt g ON l.case_id = g.case_id",
+    "agrep_names": f"{SQL} SELECT l.row_idx AS llm_idx, coalesce({near_either('l.name', 'g.name')}, false) AS near FROM llmu l JOIN gt g ON l.case_id = g.case_id",
     "relationships": f"{SQL}{_EDGES} SELECT * FROM rel",
     "nodes": f"""{SQL}{_EDGES}, i AS (SELECT case_id AS id FROM gt UNION SELECT source_case_id FROM rel UNION SELECT target_case_id FROM rel),
       j AS (SELECT i.id, name, sex, CASE WHEN name IS NULL AND sex IS NULL THEN 'Referenced only' WHEN sex = 'female' THEN 'Female' WHEN sex = 'male' THEN 'Male' ELSE 'Unknown' END AS "group" FROM i LEFT JOIN gt ON i.id = gt.case_id)

@@ -240,7 +240,7 @@ def unmatched_overlap_metrics(s, d):
 def agrep_names(s, d):
     a, b, m = _by_case(s, d)
     pairs = m.join(a.select(F.col("row_idx").alias("llm_idx"), F.col("name").alias("a")), "llm_idx").join(b.select(F.col("row_idx").alias("gt_idx"), F.col("name").alias("b")), "gt_idx")
-    return pairs.select("llm_idx", text.near_either_way(F.col("a"), F.col("b")).alias("near"))
+    return pairs.select("llm_idx", F.coalesce(text.near_either_way(F.col("a"), F.col("b")), F.lit(False)).alias("near"))
 
 
 @query
