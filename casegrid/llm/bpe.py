@@ -18,7 +18,6 @@ from __future__ import annotations
 import base64
 import hashlib
 from array import array
-from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
