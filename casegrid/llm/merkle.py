@@ -121,11 +121,11 @@ def _joined(kids: Column) -> Column:
     return F.array_join(F.transform(kids, lambda k: k["h"]), "")
 
 
-def forest(rows: DataFrame, order: list[str], path: str) -> tuple[DataFrame, DataFrame, int]:
-    """Trees over ``rows`` (g, not null; id, h, other; sorted by ``order`` in their group): roots (g, root), members
+def forest(rows: DataFrame, order: list[str], path: str, count: int) -> tuple[DataFrame, DataFrame, int]:
+    """Trees over about ``count`` ``rows`` (g, not null; id, h, other; sorted by ``order`` in their group): roots (g, root), members
     (g, id, h, other, path), where a path is the siblings left and right of the node at each level, from below, and a bound
     of the number of roots."""
-    nodes = written(local_trees(placed(rows, "g", order, path)), f"{path}/nodes")
+    nodes = written(local_trees(placed(rows, "g", order, path, count)), f"{path}/nodes")
     one = nodes.agg(F.max("n").alias("n"), F.count(F.when(~F.col("whole"), 1)).alias("loose")).first()
     levels = height(one.n or 0)
 
@@ -167,12 +167,13 @@ def forest(rows: DataFrame, order: list[str], path: str) -> tuple[DataFrame, Dat
 def manifest(docs: DataFrame) -> DataFrame:
     """doc_id, leaf, tampered (null where it is not), subroot, root and path of each row."""
     base = work_dir(docs.sparkSession)
-    rows = written(digests(docs), f"{base}/leaves")
+    count = docs.count()
+    rows = written(digests(docs), f"{base}/leaves", rows=count)
     g = F.coalesce(F.concat(F.lit("s"), "source"), F.lit("-"))
-    subroots, members, n = forest(rows.select(g.alias("g"), F.col("doc_id").alias("id"), F.col("leaf").alias("h"), F.col("tampered").alias("other")), ["id", "h"], f"{base}/sources")
+    subroots, members, n = forest(rows.select(g.alias("g"), F.col("doc_id").alias("id"), F.col("leaf").alias("h"), F.col("tampered").alias("other")), ["id", "h"], f"{base}/sources", count)
     subroots = written(subroots, f"{base}/subroots", rows=n)
     # "-" sorts before "s": the null source first, the others by their bytes
-    roots, tops, _ = forest(subroots.select(F.lit("").alias("g"), F.lit(None).cast("bigint").alias("id"), F.col("root").alias("h"), F.col("g").alias("other")), ["other"], f"{base}/top")
+    roots, tops, _ = forest(subroots.select(F.lit("").alias("g"), F.lit(None).cast("bigint").alias("id"), F.col("root").alias("h"), F.col("g").alias("other")), ["other"], f"{base}/top", n)
     tops = written(tops.select(F.col("other").alias("g"), F.col("h").alias("subroot"), F.col("path").alias("top")).crossJoin(roots.select("root")), f"{base}/tops", rows=n)  # one root
     return members.join(tops, "g").select(F.col("id").alias("doc_id"), F.col("h").alias("leaf"), F.col("other").alias("tampered"), "subroot", "root", F.concat("path", "top").alias("path"))
 

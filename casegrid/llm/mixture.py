@@ -183,9 +183,10 @@ def packed(docs: DataFrame, path: str, block: int = BLOCK) -> tuple[DataFrame, D
     text = F.coalesce("text", F.lit(""))
     g = F.coalesce(F.concat(F.lit("s"), "source"), F.lit("-"))
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(text).alias("th"), g.alias("g"), F.regexp_count(text, F.lit(WORD)).cast("bigint").alias("size"))
-    rows = written(rows, f"{path}/rows")
+    count = docs.count()
+    rows = written(rows, f"{path}/rows", rows=count)
     # in a source documents lie in pseudorandom order, so that a block mixes what came in together
-    stream = placed(rows.filter("size > 0").withColumn("key", F.xxhash64("doc_id", "th")), "g", ["key", "row"], path, "size")
+    stream = placed(rows.filter("size > 0").withColumn("key", F.xxhash64("doc_id", "th")), "g", ["key", "row"], path, count, "size")
     first, last = F.col("before"), F.col("before") + F.col("size")
     pieces = stream.select("*", F.explode(F.sequence(F.floor(first / block), F.floor((last - 1) / block))).alias("block"))
     start = F.col("block") * block

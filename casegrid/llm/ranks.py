@@ -11,31 +11,33 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from casegrid.llm.common import written
+from casegrid.llm.common import PER_FILE, written
 
 
-def placed(df: DataFrame, group: str, order: list[str], path: str, weight: str | None = None) -> DataFrame:
+def placed(df: DataFrame, group: str, order: list[str], path: str, n: int, weight: str | None = None) -> DataFrame:
     """``df`` with ``before`` (what the rows of its group that sort before a row weigh, or their number) and ``total``.  The
-    sorted rows are written once under ``path``.  ``group`` is not null; ties in ``order`` fall anyhow."""
+    sorted rows, about ``n``, are written once under ``path``, a file for each PER_FILE.  ``group`` is not null; ties in ``order``
+    fall anyhow."""
     weight_of = F.lit(1).cast("bigint") if weight is None else F.col(weight).cast("bigint")
     rows = df.withColumn("_w", weight_of).repartitionByRange(group, *order).sortWithinPartitions(group, *order)
-    rows = rows.withColumns({"_part": F.lit(0), "_run": F.lit(0).cast("bigint")})
+    # the number of the sorted partition is in the upper bits, also where several are written by one task
+    rows = rows.withColumns({"_part": F.monotonically_increasing_id(), "_run": F.lit(0).cast("bigint")})
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, at = TaskContext.get().partitionId(), 0
+        at = 0
         for b in batches:
             w = b.column("_w").to_numpy(zero_copy_only=False)
             run = at + np.cumsum(w) - w
             at += int(w.sum())
-            b = b.set_column(b.num_columns - 2, "_part", pa.array(np.full(b.num_rows, part, np.int32)))
+            part = b.column("_part").to_numpy(zero_copy_only=False) >> 33
+            b = b.set_column(b.num_columns - 2, "_part", pa.array(part, pa.int64()))
             yield b.set_column(b.num_columns - 1, "_run", pa.array(run, pa.int64()))
 
-    rows = written(rows.mapInArrow(number, rows.schema), f"{path}/sorted")
+    rows = written(rows.mapInArrow(number, rows.schema).coalesce(n // PER_FILE + 1), f"{path}/sorted")
     parts = rows.groupBy(group, "_part").agg(F.sum("_w").alias("_n"), F.min("_run").alias("_first"))
     earlier = W.partitionBy(group).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
     parts = parts.select(group, "_part", (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first")).alias("_add"), F.sum("_n").over(W.partitionBy(group)).alias("total"))
