@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -69,13 +70,65 @@ def same_set(a: Column, b: Column) -> Column:
     return (F.size(F.array_except(a, b)) == 0) & (F.size(F.array_except(b, a)) == 0)
 
 
+#: The longest pattern whose columns of an edit table fit the bits of a long, with room for one carry.
+BITS = 62
+
+
+def edits_allowed(p: Column, share: float = 0.2) -> Column:
+    return F.ceil(F.length(p) * share).cast("int")
+
+
+def _let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is computed once."""
+    return F.transform(F.array(value), f)[0]
+
+
+def least_edits(p: Column, x: Column) -> Column:
+    """The fewest edits that make ``p`` (1 to BITS letters) any part of ``x``.  One column of the edit table is two words of bits, where
+    it rises and where it falls from row to row; a letter of ``x`` gives the next column by a few operations on them."""
+    m = F.length(p)
+    full = F.call_function("shiftleft", F.lit(1).cast("bigint"), m) - 1
+    letters_of = F.split(p, "")
+    bit = lambda i: F.call_function("shiftleft", F.lit(1).cast("bigint"), i)
+    where = lambda c: F.aggregate(F.sequence(F.lit(0), m - 1), F.lit(0).cast("bigint"), lambda acc, i: F.when(F.get(letters_of, i) == c, acc.bitwiseOR(bit(i))).otherwise(acc))
+    masks = F.map_from_entries(F.transform(F.array_distinct(letters_of), lambda c: F.struct(c, where(c))))
+    zero = F.struct(masks.alias("masks"), full.alias("full"), full.alias("up"), F.lit(0).cast("bigint").alias("down"), m.alias("score"), m.alias("best"))
+
+    def step(acc: Column, c: Column) -> Column:
+        eq = F.coalesce(F.try_element_at(acc["masks"], c), F.lit(0).cast("bigint"))
+
+        def column(e: Column) -> Column:
+            up, down, all_ = acc["up"], acc["down"], acc["full"]
+            level = (e.bitwiseAND(up) + up).bitwiseXOR(up).bitwiseOR(e)
+
+            def rows(h: Column) -> Column:
+                more = down.bitwiseOR(F.bitwise_not(h.bitwiseOR(up)).bitwiseAND(all_))
+                return F.struct(more.alias("more"), up.bitwiseAND(h).alias("less"), e.bitwiseOR(down).alias("v"))
+
+            return _let(level, rows)
+
+        def close(t: Column) -> Column:
+            top = F.length(p) - 1
+            at = lambda w: F.call_function("shiftright", w, top).bitwiseAND(F.lit(1).cast("bigint")).cast("int")
+            score = acc["score"] + at(t["more"]) - at(t["less"])
+            more = F.call_function("shiftleft", t["more"], F.lit(1)).bitwiseAND(acc["full"])
+            less = F.call_function("shiftleft", t["less"], F.lit(1)).bitwiseAND(acc["full"])
+            up = less.bitwiseOR(F.bitwise_not(t["v"].bitwiseOR(more)).bitwiseAND(acc["full"]))
+            return F.struct(acc["masks"].alias("masks"), acc["full"].alias("full"), up.alias("up"), more.bitwiseAND(t["v"]).alias("down"), score.alias("score"), F.least(acc["best"], score).alias("best"))
+
+        return _let(_let(eq, column), close)
+
+    return F.aggregate(F.split(x, ""), zero, step, lambda acc: acc["best"])
+
+
 def near(a: Column, b: Column, share: float = 0.2) -> Column:
     """Whether some part of ``b`` is within ceil(share * length) edits of ``a``, without regard to case."""
     p, x = F.lower(a), F.lower(b)
-    k = F.ceil(F.length(p) * share).cast("int")
+    k = edits_allowed(p, share)
     sizes = F.sequence(F.greatest(F.length(p) - k, F.lit(1)), F.length(p) + k)
-    hit = F.exists(F.sequence(F.lit(1), F.greatest(F.length(x), F.lit(1))), lambda i: F.exists(sizes, lambda n: F.levenshtein(p, F.substring(x, i, n)) <= k))
-    return (p == x) | ((F.length(p) > 0) & (F.length(x) > 0) & (F.length(x) + k >= F.length(p)) & hit)
+    windows = F.exists(F.sequence(F.lit(1), F.greatest(F.length(x), F.lit(1))), lambda i: F.exists(sizes, lambda n: F.levenshtein(p, F.substring(x, i, n)) <= k))
+    hit = F.when(F.length(p) <= BITS, least_edits(p, x) <= k).otherwise(windows)
+    return F.when((p == x) | ((F.length(p) > 0) & x.contains(p)), True).when((F.length(p) > 0) & (F.length(x) > 0) & (F.length(x) + k >= F.length(p)), hit).otherwise((p == x) & F.lit(False))
 
 
 def near_either_way(a: Column, b: Column) -> Column:

@@ -36,3 +36,8 @@ def matched(df: DataFrame, other: DataFrame, column: str = "case_id") -> DataFra
 def page(df: DataFrame, number: int, size: int = 10, order: tuple[str, ...] = ("row_idx",)) -> DataFrame:
     """One page of a table, from 1."""
     return df.orderBy(*order).offset((number - 1) * size).limit(size)
+
+
+def unmatched(df: DataFrame, other: DataFrame, column: str = "case_id") -> DataFrame:
+    """The rows of ``df`` whose ``column`` is not among those of ``other``; null is a value like any other."""
+    return df.join(other.select(F.col(column).alias("k")), F.col(column).eqNullSafe(F.col("k")), "left_anti")

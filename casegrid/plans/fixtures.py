@@ -47,25 +47,24 @@ _NAME = "array_join(slice(filter(split(trim(regexp_replace(lower(text), '[^a-z]+
 _NAME_SQL = "array_to_string(list_slice(list_filter(string_split(trim(regexp_replace(lower(text), '[^a-z]+', ' ', 'g')), ' '), lambda w: length(w) >= 3), 1, 2), ' ')"
 
 
-_WRITTEN: dict[tuple[str, str], DataFrame] = {}
-
-
 def gt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The true list, derived from the texts once in a session."""
-    key = spark.sparkContext.applicationId, sf_dir
-    if key not in _WRITTEN:
-        rows = table(spark, sf_dir, "documents").select(*(F.expr(e).alias(c) for c, e in _gt(_NAME, "div", "STRING").items()))
-        _WRITTEN[key] = written(rows)
-    return _WRITTEN[key]
+    """The true list, derived from the texts whenever it is read."""
+    return table(spark, sf_dir, "documents").select(*(F.expr(e).alias(c) for c, e in _gt(_NAME, "div", "STRING").items()))
 
 
-def llm(spark: SparkSession, sf_dir: str, upper: bool = False) -> DataFrame:
-    """The extracted list; with ``upper`` its ids as the parser leaves them."""
+def llm(true: DataFrame, upper: bool = False) -> DataFrame:
+    """The list extracted from ``true``; with ``upper`` its ids as the parser leaves them."""
     exprs = _llm("array_join(reverse(split(name, ' ')), ' ')", "substring_index(secondary_cases, ',', 1)")
-    df = gt(spark, sf_dir).filter("row_idx % 7 <> 3").select(*(F.expr(e).alias(c) for c, e in exprs.items()))
+    df = true.filter("row_idx % 7 <> 3").select(*(F.expr(e).alias(c) for c, e in exprs.items()))
     return df.withColumn("case_id", F.upper("case_id")) if upper else df
 
 
+def lists(spark: SparkSession, sf_dir: str, upper: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Both lists (extracted, true) of one query: the texts are read once, for a table that this call writes."""
+    true = written(gt(spark, sf_dir))
+    return llm(true, upper), true
+
+
 def _select(exprs: dict[str, str], rest: str) -> str:
     return "SELECT " + ",\n    ".join(f"{e} AS {c}" for c, e in exprs.items()) + f"\n  {rest}"
 

@@ -247,6 +247,11 @@ ORACLE: dict[str, str] = {
       k AS (SELECT * REPLACE (nullif(trim(upper(case_id)), '') AS case_id), coalesce({name_key('name')} || ' ' || coalesce(onset_date, 'NA'), nullif(trim(upper(case_id)), ''), 'row_' || row_idx) AS k FROM both_)
       SELECT {', '.join(f"coalesce(arg_min({c}, row_idx) FILTER (WHERE {c} IS NOT NULL AND trim({c}) <> '' AND lower({c}) <> 'null'), arg_min_null({c}, row_idx)) AS {c}" for c in COLUMNS)} FROM k GROUP BY k""",
     "greedy_match": f"{_GREEDY} SELECT llm_idx, gt_idx, llm.name AS case_name, round(similarity, 9) AS similarity FROM m JOIN llm ON llm.row_idx = llm_idx",
+    "similar_names": f"""{SQL}, a AS (SELECT DISTINCT list_distinct({tokens('name')}) AS w FROM llm), b AS (SELECT DISTINCT list_distinct({tokens('name')}) AS w FROM gt),
+      p AS (SELECT a.w AS a, b.w AS b, len(list_intersect(a.w, b.w)) AS n FROM a JOIN b ON list_has_any(a.w, b.w))
+      SELECT array_to_string(list_sort(a), ' ') AS a, array_to_string(list_sort(b), ' ') AS b, round(n / (len(a) + len(b) - n), 9) AS similarity FROM p WHERE n / (len(a) + len(b) - n) >= 0.5""",
+    "approximate_name_join": f"""{SQL}, a AS (SELECT DISTINCT name AS a FROM llm WHERE name IS NOT NULL), b AS (SELECT DISTINCT name AS b FROM gt WHERE name IS NOT NULL)
+      SELECT a, b FROM a, b WHERE {near_either('a', 'b')}""",
     "case_detection": f"""{_GREEDY}, n AS (SELECT (SELECT count(*) FROM m) AS tp, (SELECT count(*) FROM llm) AS nl, (SELECT count(*) FROM gt) AS ng), q AS (SELECT *, {_RATES.format(l='nl', g='ng', m='tp', p='p', r='r')} FROM n)
       SELECT tp AS true_positives, nl - tp AS false_positives, ng - tp AS false_negatives, round(p, 9) AS precision, round(r, 9) AS recall, round({_F1}, 9) AS f1_score FROM q""",
     "case_names": f"""{_GREEDY} SELECT CASE WHEN row_idx IN (SELECT llm_idx FROM m) THEN 'detected' ELSE 'extra' END AS status, row_idx, name FROM llm

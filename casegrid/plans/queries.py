@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casegrid.functions import nulls, text
-from casegrid.operators import compare, dedupe, extract, graph, match, metrics, prompt, provenance, records
-from casegrid.plans.fixtures import COLUMNS, gt, llm, table
+from casegrid.operators import compare, dedupe, extract, graph, match, metrics, prompt, provenance, records, similar
+from casegrid.plans.fixtures import COLUMNS, gt, lists, llm, table
+from casegrid.plans.tables import written
 from casegrid.schema import align
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,35 +32,38 @@ def r9(df: DataFrame) -> DataFrame:
 
 @query
 def case_metrics(s, d):
-    return r9(metrics.case_metrics(llm(s, d, True), gt(s, d)))
+    return r9(metrics.case_metrics(*lists(s, d, True)))
 
 
 @query
 def case_metrics_by_name(s, d):
-    other = llm(s, d, True).withColumn("case_id", F.concat(F.lit("X"), F.col("case_id")))
-    return r9(metrics.case_metrics(other, gt(s, d)).drop("date_accuracy"))
+    a, b = lists(s, d, True)
+    other = a.withColumn("case_id", F.concat(F.lit("X"), F.col("case_id")))
+    return r9(metrics.case_metrics(other, b).drop("date_accuracy"))
 
 
 @query
 def variable_metrics(s, d):
-    return r9(metrics.variable_metrics(llm(s, d, True), gt(s, d), variables=VARIABLES))
+    return r9(metrics.variable_metrics(*lists(s, d, True), variables=VARIABLES))
 
 
 @query
 def variable_metrics_by_name(s, d):
     """No id matches, so names lead extracted cases to true ids."""
-    other = llm(s, d, True).withColumn("case_id", F.concat(F.lit("X"), F.col("case_id")))
-    return r9(metrics.variable_metrics(other, gt(s, d), variables=VARIABLES))
+    a, b = lists(s, d, True)
+    other = a.withColumn("case_id", F.concat(F.lit("X"), F.col("case_id")))
+    return r9(metrics.variable_metrics(other, b, variables=VARIABLES))
 
 
 @query
 def variable_metrics_without_true_cases(s, d):
-    return r9(metrics.variable_metrics(llm(s, d, True), gt(s, d).filter("row_idx < 0"), variables=VARIABLES))
+    a, b = lists(s, d, True)
+    return r9(metrics.variable_metrics(a, b.filter("row_idx < 0"), variables=VARIABLES))
 
 
 @query
 def per_case_list_metrics(s, d):
-    return r9(metrics.per_case_list_metrics(llm(s, d, True), gt(s, d)))
+    return r9(metrics.per_case_list_metrics(*lists(s, d, True)))
 
 
 @query
@@ -69,12 +73,14 @@ def few_shot_exclusion(s, d):
 
 @query
 def semi_join(s, d):
-    return records.matched(gt(s, d), llm(s, d, True)).select("row_idx", "case_id")
+    a, b = lists(s, d, True)
+    return records.matched(b, a).select("row_idx", "case_id")
 
 
 @query
 def anti_join(s, d):
-    return gt(s, d).join(llm(s, d, True).select("case_id"), "case_id", "left_anti").select("row_idx", "case_id")
+    a, b = lists(s, d, True)
+    return records.unmatched(b, a).select("row_idx", "case_id")
 
 
 @query
@@ -84,8 +90,8 @@ def first_per_key(s, d):
 
 @query
 def first_place(s, d):
-    wanted = gt(s, d).select(F.col("row_idx").alias("asked"), "name")
-    return records.first_place(wanted, gt(s, d), "name").select("asked", "place")
+    true = written(gt(s, d))
+    return records.first_place(true.select(F.col("row_idx").alias("asked"), "name"), true, "name").select("asked", "place")
 
 
 @query
@@ -144,7 +150,7 @@ def malformed_responses(s, d):
 
 
 def _responses(s, d) -> DataFrame:
-    rows = llm(s, d).withColumn("doc_id", F.floor(F.col("row_idx") / 20).cast("bigint"))
+    rows = llm(gt(s, d)).withColumn("doc_id", F.floor(F.col("row_idx") / 20).cast("bigint"))
     lists = F.when(F.col("secondary_cases").isNull() | (F.col("secondary_cases") == "[]"), F.array().cast("array<string>")).otherwise(F.split("secondary_cases", ", "))
     item = F.to_json(F.struct("case_id", "name", "sex", "onset_date", lists.alias("secondary_cases"), "potential_infector"))
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row_idx", item.alias("j")))), lambda x: x["j"]), ",")
@@ -158,17 +164,18 @@ def linelist_parse(s, d):
 
 @query
 def list_column_normalize(s, d):
-    return llm(s, d).select("row_idx", extract.list_cell(F.when(F.col("secondary_cases") == "[]", F.col("secondary_cases")).otherwise(F.to_json(F.split("secondary_cases", ", ")))).alias("secondary_cases"))
+    return llm(gt(s, d)).select("row_idx", extract.list_cell(F.when(F.col("secondary_cases") == "[]", F.col("secondary_cases")).otherwise(F.to_json(F.split("secondary_cases", ", ")))).alias("secondary_cases"))
 
 
 @query
 def dedupe_linelist(s, d):
-    both = llm(s, d).unionByName(llm(s, d).withColumn("row_idx", F.col("row_idx") + 10_000_000).withColumn("sex", F.lit("null")))
+    a, _ = lists(s, d)
+    both = a.unionByName(a.withColumn("row_idx", F.col("row_idx") + 10_000_000).withColumn("sex", F.lit("null")))
     return dedupe.merge_duplicates(both)
 
 
 def _matched(s, d) -> tuple[DataFrame, DataFrame, DataFrame]:
-    a, b = llm(s, d), gt(s, d)
+    a, b = lists(s, d)
     return a, b, match.greedy_match(a, b)
 
 
@@ -177,6 +184,21 @@ def greedy_match(s, d):
     return r9(_matched(s, d)[2])
 
 
+@query
+def similar_names(s, d):
+    """Sets of name words of either list with a Jaccard similarity of a half or more."""
+    sets = lambda df: df.select(F.array_distinct(text.name_tokens("name")).alias("words")).filter(F.size("words") > 0).distinct().select(F.array_join("words", " ").alias("key"), F.lit("").alias("run"), "words")
+    a, b = lists(s, d)
+    return r9(similar.similar_sets(sets(a), sets(b), 0.5))
+
+
+@query
+def approximate_name_join(s, d):
+    """Names of either list of which one is in the other up to a fifth of its letters in edits."""
+    a, b = lists(s, d)
+    return similar.approximate_join(a.select("name"), b.select("name"))
+
+
 @query
 def case_detection(s, d):
     return r9(compare.case_detection(*_matched(s, d)))
@@ -201,7 +223,7 @@ def fn_analysis(s, d):
 
 def _by_case(s, d) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Rows matched by case id in place of the greedy order."""
-    a, b = llm(s, d, True), gt(s, d)
+    a, b = lists(s, d, True)
     m = a.select(F.col("row_idx").alias("llm_idx"), "case_id").join(b.select(F.col("row_idx").alias("gt_idx"), "case_id"), "case_id").select("llm_idx", "gt_idx")
     return a, b, m
 
@@ -215,7 +237,7 @@ def column_metrics(s, d):
 @query
 def linelist_comparison(s, d):
     """Column metrics of the whole comparison, with rows matched by name."""
-    out = compare.compare_linelists(llm(s, d), gt(s, d))
+    out = compare.compare_linelists(*lists(s, d))
     return r9(out["column_metrics"])
 
 
@@ -233,7 +255,7 @@ def error_breakdown(s, d):
 
 @query
 def unmatched_overlap_metrics(s, d):
-    return r9(compare.unmatched_overlap(llm(s, d), gt(s, d), SHARED))
+    return r9(compare.unmatched_overlap(*lists(s, d), SHARED))
 
 
 @query
@@ -245,18 +267,18 @@ def agrep_names(s, d):
 
 @query
 def relationships(s, d):
-    return graph.relationships(gt(s, d))
+    return graph.relationships(written(gt(s, d)))
 
 
 @query
 def nodes(s, d):
-    cases = gt(s, d).withColumns({"age": F.lit(None).cast("string"), "outcome": F.lit(None).cast("string")})
+    cases = written(gt(s, d)).withColumns({"age": F.lit(None).cast("string"), "outcome": F.lit(None).cast("string")})
     return graph.nodes(cases, graph.relationships(cases))
 
 
 def _by_document(s, d) -> DataFrame:
     """Every second case in another document."""
-    return gt(s, d).withColumns({"doc_id": F.col("row_idx") % 2, "age": F.lit(None).cast("string"), "outcome": F.lit(None).cast("string")})
+    return written(gt(s, d)).withColumns({"doc_id": F.col("row_idx") % 2, "age": F.lit(None).cast("string"), "outcome": F.lit(None).cast("string")})
 
 
 @query
@@ -272,22 +294,22 @@ def nodes_by_document(s, d):
 
 @query
 def edges(s, d):
-    return graph.edges(graph.relationships(gt(s, d)))
+    return graph.edges(graph.relationships(written(gt(s, d))))
 
 
 @query
 def link_closure(s, d):
-    return graph.link_closure(graph.relationships(gt(s, d)))
+    return graph.link_closure(graph.relationships(written(gt(s, d))))
 
 
 @query
 def missing_mirror_edges(s, d):
-    return graph.missing_mirrors(graph.relationships(gt(s, d)))
+    return graph.missing_mirrors(graph.relationships(written(gt(s, d))))
 
 
 @query
 def transmission_degree(s, d):
-    return graph.degree(graph.relationships(gt(s, d)))
+    return graph.degree(graph.relationships(written(gt(s, d))))
 
 
 @query
@@ -380,7 +402,7 @@ def date_search_variants(s, d):
 
 @query
 def reference_id_lists(s, d):
-    return llm(s, d).select("row_idx", F.array_join(text.reference_ids(F.when(F.col("row_idx") % 2 == 0, F.col("secondary_cases")).otherwise(F.to_json(F.split("secondary_cases", ", ")))), "|").alias("ids"))
+    return llm(gt(s, d)).select("row_idx", F.array_join(text.reference_ids(F.when(F.col("row_idx") % 2 == 0, F.col("secondary_cases")).otherwise(F.to_json(F.split("secondary_cases", ", ")))), "|").alias("ids"))
 
 
 @query
