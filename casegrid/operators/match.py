@@ -24,16 +24,16 @@ def _sides(llm: DataFrame, gt: DataFrame, by: tuple[str, ...]) -> tuple[DataFram
 
     def of(df: DataFrame, name: str) -> DataFrame:
         rows = df.dropna(subset=list(by)) if by else df
-        rows = rows.select(*by, F.col("row_idx").cast("bigint").alias(name), run.alias("run"), F.array_distinct(name_tokens("name")).alias("words"))
-        return rows.filter(F.size("words") > 0).withColumn("key", F.concat_ws("\x02", "run", F.array_join("words", " ")))
+        rows = rows.select(*by, F.col("row_idx").cast("bigint").alias(name), run.alias("_run"), F.array_distinct(name_tokens("name")).alias("words"))
+        return rows.filter(F.size("words") > 0).withColumn("key", F.concat_ws("\x02", "_run", F.array_join("words", " ")))
 
     return of(llm, "llm_idx"), of(gt, "gt_idx")
 
 
 def _alike(a: DataFrame, b: DataFrame, threshold: float) -> DataFrame:
     """(a, b, similarity) of the keys of either side."""
-    keys = lambda df: df.select("key", "run", "words").dropDuplicates(["key"])
-    return similar_sets(keys(a), keys(b), threshold)
+    keys = lambda df: df.select("key", "_run", "words").dropDuplicates(["key"])
+    return similar_sets(keys(a), keys(b), threshold, "_run")
 
 
 def name_candidates(llm: DataFrame, gt: DataFrame, by: tuple[str, ...] = (), threshold: float = THRESHOLD) -> DataFrame:
@@ -60,6 +60,10 @@ def greedy_match(llm: DataFrame, gt: DataFrame, by: tuple[str, ...] = (), thresh
     gone with all before it.  It moves on past those, and past a set's last seat goes on in its list.  When nothing moves, the
     places are the matching.  All steps are joins, counts and windows over chunks; pairs of rows are listed for sets of equal
     similarity only."""
+    names = {c: f"_by{i}" for i, c in enumerate(by)}
+    if list(by) != list(names.values()):  # so that no name of a column clashes with one of those below
+        out = greedy_match(llm.withColumnsRenamed(names), gt.withColumnsRenamed(names), tuple(names.values()), threshold)
+        return out.withColumnsRenamed({v: k for k, v in names.items()})
     a, b = (written(x) for x in _sides(llm, gt, by))
     alike = written(_alike(a, b, threshold))
     chunked = max(a.count(), b.count()) > ONE_TASK

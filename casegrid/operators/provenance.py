@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from casegrid.functions.nulls import no_value, trim
 from casegrid.functions.text import date_variants
+from casegrid.operators.intervals import contained
+from casegrid.operators.needles import search
 
 _MARK = "\ue000"
 ID = r"SYN[\p{Alnum}_-]+"
@@ -70,22 +72,41 @@ def search_value(value: Column, content: Column, field: str) -> Column:
     return F.when(whole > 0, F.struct(whole.alias("start"), F.length(value).alias("len"))).when(F.size(words) > 1, longest)
 
 
+def _needles(cases: DataFrame, id_: Column, name: Column) -> DataFrame:
+    """Two needles of each case: its id under an even number, its name under the next."""
+    both = F.array(F.struct((F.col("row_idx") * 2).alias("needle"), id_.alias("word")), F.struct((F.col("row_idx") * 2 + 1).alias("needle"), name.alias("word")))
+    return cases.select("doc_id", F.explode(both).alias("x")).select("doc_id", "x.*")
+
+
+def _found_needles(texts: DataFrame, place: str, needles: DataFrame, id_text: Column, name_text: Column) -> DataFrame:
+    """doc_id, place, row_idx, by_id, first: where the ids first are in one form of the texts, and the names in the other."""
+    forms = F.array(F.struct((F.col(place) * 2).alias("part"), id_text.alias("text")), F.struct((F.col(place) * 2 + 1).alias("part"), name_text.alias("text")))
+    hits = search(texts.select("doc_id", F.explode(forms).alias("x")).select("doc_id", "x.*"), needles)
+    hits = hits.filter(F.pmod("part", F.lit(2)) == F.pmod("needle", F.lit(2)))
+    half = lambda c: F.floor(F.col(c) / 2)
+    return hits.select("doc_id", half("part").alias(place), half("needle").alias("row_idx"), (F.pmod("needle", F.lit(2)) == 0).alias("by_id"), "first")
+
+
 def case_spans(cases: DataFrame, docs: DataFrame, quote: int = 400, around: int = 2000) -> DataFrame:
     """doc_id, row_idx, cited_text, start_char_index, end_char_index (from 0) of the passage of each case: where its id is
-    written, else its name in any case; from the paragraph's start, or 200 characters before."""
-    rows = cases.select("doc_id", "row_idx", "case_id", "name").join(docs.select("doc_id", "content"), "doc_id")
-    by_id = F.when(F.length("case_id") > 0, F.instr("content", F.col("case_id"))).otherwise(0)
-    by_name = F.when(F.length("name") > 0, F.instr(F.lower("content"), F.lower("name"))).otherwise(0)
-    rows = rows.withColumn("pos", F.when(F.coalesce(by_id, F.lit(0)) > 0, by_id).otherwise(F.coalesce(by_name, F.lit(0)))).filter("pos > 0")
-    low = F.greatest(F.lit(1), F.col("pos") - around)
-    before = F.substring("content", low, F.col("pos") - low)
-    head = F.length(F.regexp_extract(before, r"(?s)^(.*(?:\n\n|\n>))", 1))
-    start = F.when(head > 0, low + head).otherwise(F.greatest(F.lit(1), F.col("pos") - 200))
-    n = F.length("content")
-    return rows.select(
-        "doc_id", "row_idx", F.substring("content", F.col("pos"), F.least(n, F.col("pos") + quote) - F.col("pos") + 1).alias("cited_text"),
-        (start - 1).alias("start_char_index"), (F.least(n, F.col("pos") + around) - 1).alias("end_char_index"),
-    )
+    written, else its name in any case; from the paragraph's start, or 200 characters before.  Each text is searched once for all
+    its document's cases, and cut once for all that are found."""
+    texts = docs.select("doc_id", F.lit(0).cast("bigint").alias("part"), "content")
+    hits = _found_needles(texts, "part", _needles(cases, F.col("case_id"), F.lower("name")), F.col("content"), F.lower("content"))
+    kind = dict(cases.dtypes)["row_idx"]
+    places = hits.groupBy("doc_id", "row_idx").agg(F.coalesce(F.min(F.when(F.col("by_id"), F.col("first"))), F.min("first")).cast("int").alias("pos"))
+    places = places.groupBy("doc_id").agg(F.collect_list(F.struct(F.col("row_idx").cast(kind).alias("row_idx"), "pos")).alias("found"))
+    text, n = F.col("content"), F.length("content")
+
+    def span(h: Column) -> Column:
+        pos = h["pos"]
+        low = F.greatest(F.lit(1), pos - around)
+        head = F.length(F.regexp_extract(F.substring(text, low, pos - low), r"(?s)^(.*(?:\n\n|\n>))", 1))
+        start = F.when(head > 0, low + head).otherwise(F.greatest(F.lit(1), pos - 200))
+        cited = F.substring(text, pos, F.least(n, pos + quote) - pos + 1)
+        return F.struct(h["row_idx"].alias("row_idx"), cited.alias("cited_text"), (start - 1).alias("start_char_index"), (F.least(n, pos + around) - 1).alias("end_char_index"))
+
+    return docs.join(places, "doc_id").select("doc_id", F.explode(F.transform("found", span)).alias("s")).select("doc_id", "s.*")
 
 
 def fill_citations(cited: DataFrame, cases: DataFrame, docs: DataFrame) -> DataFrame:
@@ -102,10 +123,21 @@ def block_offsets(blocks: DataFrame) -> DataFrame:
 
 
 def citations_for_cases(cases: DataFrame, blocks: DataFrame) -> DataFrame:
-    """doc_id, row_idx, cited_text, start, end: citations of the blocks of a case's document that hold its id or its name."""
-    own = cases.select("doc_id", "row_idx", "case_id", "name").join(blocks.select("doc_id", "pos", "text", "citations"), "doc_id")
-    named = F.coalesce(F.upper("text").contains(F.upper("case_id")) & (F.length("case_id") > 0), F.lit(False)) | F.coalesce(F.lower("text").contains(F.lower("name")) & (F.length("name") > 0), F.lit(False))
-    return own.filter(named).select("doc_id", "row_idx", "pos", F.posexplode("citations").alias("i", "c")).select("doc_id", "row_idx", "pos", "i", "c.*")
+    """doc_id, row_idx, cited_text, start, end: citations of the blocks of a case's document that hold its id or its name.  Each
+    block is searched once for all cases of its document."""
+    kind = dict(cases.dtypes)["row_idx"]
+    hits = _found_needles(blocks, "pos", _needles(cases, F.upper("case_id"), F.lower("name")), F.upper("text"), F.lower("text"))
+    named = hits.select("doc_id", "pos", F.col("row_idx").cast(kind).alias("row_idx")).distinct()
+    return named.join(blocks.select("doc_id", "pos", "citations"), ["doc_id", "pos"]).select("doc_id", "row_idx", "pos", F.posexplode("citations").alias("i", "c")).select("doc_id", "row_idx", "pos", "i", "c.*")
+
+
+def cited_mentions(mentions: DataFrame, citations: DataFrame) -> DataFrame:
+    """doc_id, row_idx, span_start, span_end, case_id, start, end of each id that is written inside a citation of a case
+    (doc_id, row_idx, start_char_index from 0, end_char_index).  Citations may overlap; one that begins and ends where another of
+    its case does counts once."""
+    spans = citations.select("doc_id", "row_idx", (F.col("start_char_index") + 1).alias("low"), F.col("end_char_index").alias("high")).distinct()
+    met = contained(mentions.select("doc_id", "case_id", "start", "end"), spans, ["doc_id"])
+    return met.select("doc_id", "row_idx", F.col("low").alias("span_start"), F.col("high").alias("span_end"), "case_id", "start", "end")
 
 
 def cell_matches(cases: DataFrame, docs: DataFrame, fields: list[str], citations: DataFrame | None = None) -> DataFrame:

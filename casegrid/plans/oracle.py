@@ -212,6 +212,16 @@ def _replicates() -> str:
     return f"SELECT model, provider, strategy, count(*) AS n_replicates, {stats} FROM (SELECT concat('m', user_id % 5) AS model, event_type AS provider, 'Unchunked' AS strategy, event_id, {cols} FROM events WHERE event_id % 9 <> 0) GROUP BY 1, 2, 3"
 
 
+#: Every id that the narrative of a document mentions inside a record, written by its places.
+_MENTIONS = f"""d AS (SELECT doc_id, {_NARRATIVE} AS c FROM documents), h AS (
+        SELECT doc_id, strpos(c, concat(') met SYN', doc_id + 1, '.', chr(10), '- Secondary: SYNx')) AS m FROM d),
+      p AS (SELECT doc_id, m, m + length(concat(') met SYN', doc_id + 1, '.')) + 1 AS s2 FROM h),
+      u AS (SELECT doc_id, 19 AS record_start, concat('SYN', doc_id) AS record_case_id, concat('SYN', doc_id) AS case_id, 21 AS s FROM p
+        UNION ALL SELECT doc_id, 19, concat('SYN', doc_id), concat('SYN', doc_id + 1), m + 6 FROM p
+        UNION ALL SELECT doc_id, s2, concat('SYNX', doc_id), concat('SYNX', doc_id), s2 + 13 FROM p
+        UNION ALL SELECT doc_id, s2, concat('SYNX', doc_id), concat('SYN', doc_id), s2 + 13 + length(concat('SYNX', doc_id)) + 5 FROM p)"""
+
+
 def _percent(x: str) -> str:
     return f"coalesce(regexp_replace(CAST(CAST(round({x} * 100, 1) AS DOUBLE) AS VARCHAR), '\\.0$', ''), 'NA')"
 
@@ -294,14 +304,12 @@ ORACLE: dict[str, str] = {
     "source_records": f"""WITH d AS (SELECT doc_id, {_NARRATIVE} AS c FROM documents), h AS (
         SELECT doc_id, length(c) AS n, 19 AS s1, strpos(c, concat(') met SYN', doc_id + 1, '.', chr(10), '- Secondary: SYNx')) + length(concat(') met SYN', doc_id + 1, '.')) + 1 AS s2 FROM d)
       SELECT doc_id, concat('SYN', doc_id) AS case_id, CAST(s1 AS BIGINT) AS start, CAST(s2 - 1 AS BIGINT) AS "end" FROM h UNION ALL SELECT doc_id, concat('SYNX', doc_id), CAST(s2 AS BIGINT), CAST(n AS BIGINT) FROM h""",
-    "source_mentions": f"""WITH d AS (SELECT doc_id, {_NARRATIVE} AS c FROM documents), h AS (
-        SELECT doc_id, strpos(c, concat(') met SYN', doc_id + 1, '.', chr(10), '- Secondary: SYNx')) AS m FROM d),
-      p AS (SELECT doc_id, m, m + length(concat(') met SYN', doc_id + 1, '.')) + 1 AS s2 FROM h),
-      u AS (SELECT doc_id, 19 AS record_start, concat('SYN', doc_id) AS record_case_id, concat('SYN', doc_id) AS case_id, 21 AS s FROM p
-        UNION ALL SELECT doc_id, 19, concat('SYN', doc_id), concat('SYN', doc_id + 1), m + 6 FROM p
-        UNION ALL SELECT doc_id, s2, concat('SYNX', doc_id), concat('SYNX', doc_id), s2 + 13 FROM p
-        UNION ALL SELECT doc_id, s2, concat('SYNX', doc_id), concat('SYN', doc_id), s2 + 13 + length(concat('SYNX', doc_id)) + 5 FROM p)
+    "source_mentions": f"""WITH {_MENTIONS}
       SELECT doc_id, CAST(record_start AS BIGINT) AS record_start, record_case_id, case_id, CAST(s AS BIGINT) AS start, CAST(s + length(case_id) - 1 AS BIGINT) AS "end" FROM u""",
+    "cited_mentions": f"""WITH {_MENTIONS}, n AS (SELECT doc_id, length(c) AS n FROM d),
+      x AS (SELECT doc_id, 0 AS row_idx, 1 AS low, n // 2 + 40 AS high FROM n UNION ALL SELECT doc_id, 1, n // 3 + 1, n FROM n UNION ALL SELECT doc_id, 2, n // 2 + 1, least(n, n // 2 + 200) FROM n)
+      SELECT doc_id, row_idx, CAST(low AS BIGINT) AS span_start, CAST(high AS BIGINT) AS span_end, case_id, CAST(s AS BIGINT) AS start, CAST(s + length(case_id) - 1 AS BIGINT) AS "end"
+      FROM u JOIN x USING (doc_id) WHERE s >= low AND s + length(case_id) - 1 <= high""",
     "cell_matches": """WITH d AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'female' ELSE 'male' END AS sex, CASE WHEN doc_id % 2 = 0 THEN 'male' ELSE 'female' END AS other FROM documents),
       c AS (SELECT *, concat('Report.', chr(10), '- SYN', doc_id, ' not ', other, 's is ', sex, ', met SYN', doc_id + 1, '0 and SYN', doc_id + 1, '. Died.', chr(10), '- SYN', doc_id, '9 is other.') AS c FROM d),
       u AS (SELECT doc_id, 'sex' AS field, strpos(c, concat('s is ', sex)) + 5 AS s, length(sex) AS n FROM c

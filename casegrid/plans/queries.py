@@ -369,6 +369,18 @@ def source_mentions(s, d):
     return out.select(*(F.col(c).cast("bigint").alias(c) if c in ("record_start", "start", "end") else c for c in out.columns))
 
 
+@query
+def cited_mentions(s, d):
+    """Ids inside three citations of each document that overlap."""
+    docs = _narrative(s, d)
+    n = F.length("content")
+    ends = ((F.lit(0), F.floor(n / 2) + 40), (F.floor(n / 3), n), (F.floor(n / 2), F.least(n, F.floor(n / 2) + 200)))
+    spans = F.array(*(F.struct(F.lit(i).alias("row_idx"), a.cast("bigint").alias("start_char_index"), b.cast("bigint").alias("end_char_index")) for i, (a, b) in enumerate(ends)))
+    cited = docs.select("doc_id", F.explode(spans).alias("x")).select("doc_id", "x.*")
+    out = provenance.cited_mentions(provenance.source_mentions(docs, provenance.source_records(docs)), cited)
+    return out.select("doc_id", "row_idx", "span_start", "span_end", "case_id", F.col("start").cast("bigint").alias("start"), F.col("end").cast("bigint").alias("end"))
+
+
 def _injected(s, d) -> tuple[DataFrame, DataFrame]:
     cases = gt(s, d).withColumn("doc_id", F.col("row_idx"))
     docs = table(s, d, "documents").join(cases.select("doc_id", "case_id"), "doc_id").select("doc_id", F.when(F.col("doc_id") % 2 == 0, F.concat("text", F.lit("\n\nCase "), "case_id", F.lit(" here. "), "text")).otherwise(F.col("text")).alias("content"))
