@@ -10,6 +10,7 @@ from casegrid.functions.nulls import null_like
 from casegrid.functions.text import case_ids_upper, name_key, near_either_way, same_set
 from casegrid.functions.text import _short_name as short_name
 from casegrid.operators.compare import f1, ratio
+from casegrid.operators.quantiles import exact_quantiles
 from casegrid.plans.tables import written
 from casegrid.schema import with_columns
 
@@ -210,9 +211,7 @@ STATS = {
 }
 
 
-def _stat(c: str, s: str) -> Column:
-    q = lambda p: F.percentile(F.col(c), F.lit(p))
-    return {"median": lambda: F.median(c), "q25": lambda: q(0.25), "q75": lambda: q(0.75), "iqr": lambda: q(0.75) - q(0.25), "min": lambda: F.min(c), "max": lambda: F.max(c), "sd": lambda: F.stddev_samp(c)}[s]()
+QUARTILES = {"q25": 0.25, "median": 0.5, "q75": 0.75}
 
 
 def percent(c: Column) -> Column:
@@ -224,8 +223,16 @@ def aggregate_replicates(rows: DataFrame) -> DataFrame:
     """Statistics over the successful replicates of each model, provider and strategy, and as text their ranges."""
     keys = ("model", "provider", "strategy")
     short = {"time_total_sec": "time_total", "time_per_case_sec": "time_per_case"}
-    aggs = [_stat(c, s).alias(f"{short.get(c, c)}_{s}") for c, stats in STATS.items() for s in stats]
-    out = rows.filter(F.col("status") == "Success").groupBy(*keys).agg(F.count("*").alias("n_replicates"), *aggs)
+    rows = written(rows.filter(F.col("status") == "Success").select(*keys, *STATS))  # each pass of the quantiles reads it
+    own = {"min": F.min, "max": F.max, "sd": F.stddev_samp}
+    groups = rows.groupBy(*keys).agg(F.count("*").alias("n_replicates"), *(own[s](c).alias(f"{c}_{s}") for c, stats in STATS.items() for s in stats if s in own))
+    found = exact_quantiles(rows, list(keys), list(STATS), list(QUARTILES.values()))
+    wide = found.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("c", "q"))).alias("q"))
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    groups = groups.join(wide.withColumnsRenamed({k: f"_{k}" for k in keys}), same, "left")
+    q = {(c, s): F.try_element_at("q", F.lit(c))[i] for c in STATS for i, s in enumerate(QUARTILES)}
+    q |= {(c, "iqr"): q[c, "q75"] - q[c, "q25"] for c in STATS}
+    out = groups.select(*keys, "n_replicates", *(q.get((c, s), F.col(f"{c}_{s}") if s in own else None).alias(f"{short.get(c, c)}_{s}") for c, stats in STATS.items() for s in stats))
     of = lambda m, s: percent(F.col(f"{m}_{s}"))
     figures = [m for m in STATS if not m.startswith("time")]
     ranges = [F.concat(of(m, "median"), F.lit("% ("), of(m, "min"), F.lit("-"), of(m, "max"), F.lit(")")).alias(f"{m}_range") for m in figures]
