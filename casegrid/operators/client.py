@@ -10,6 +10,8 @@ import tempfile
 import time
 import urllib.error
 import urllib.request
+from collections.abc import Callable, Iterator, Mapping
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from typing import Protocol
 
@@ -18,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from casegrid.operators.prompt import DEFAULT_MODELS, cost, system_prompt
-from casegrid.plans.tables import written
+from casegrid.plans.tables import new_path, written
 
 TRIES, TIMEOUT, PAUSE = 4, 600, 2.0
 #: Environment variables that each provider needs.
@@ -52,6 +54,17 @@ def require_env(provider: str) -> None:
         raise ValueError("missing environment variables: " + ", ".join(missing))
 
 
+def passing(status: int) -> bool:
+    """Whether a request with this status may succeed later."""
+    return status in (408, 429) or status >= 500
+
+
+def asked_pause(headers: Mapping[str, str] | None, otherwise: float) -> float:
+    """Seconds of a Retry-After header, up to TIMEOUT; dates, and anything else, count as none."""
+    asked = (headers or {}).get("Retry-After") or ""
+    return min(float(asked), TIMEOUT) if asked.strip().isdigit() else otherwise
+
+
 @dataclass
 class FakeClient:
     """Answers from a table, else with a fixed text; for tests."""
@@ -110,12 +123,17 @@ class HttpClient:
         return self.answer(prompt, self.send(*self.request(prompt)))
 
     def send(self, url: str, headers: dict, body: dict) -> dict:
-        """The response's JSON; any status of 300 or more, and a connection that fails, is tried again."""
+        """The response's JSON.  A connection that fails, and a status that may pass, is tried again after a growing pause, or the one
+        that the server asks for; any other status raises at once."""
         for k in range(TRIES):
             try:
                 request = urllib.request.Request(url, json.dumps(body).encode(), headers | {"Content-Type": "application/json"})
                 with urllib.request.urlopen(request, timeout=TIMEOUT) as r:
                     return json.loads(r.read())
+            except urllib.error.HTTPError as e:
+                if k + 1 == TRIES or not passing(e.code):
+                    raise
+                time.sleep(asked_pause(e.headers, PAUSE * 2**k))
             except (urllib.error.URLError, TimeoutError, ConnectionError):
                 if k + 1 == TRIES:
                     raise
@@ -170,40 +188,92 @@ def blocks(content: list[dict]) -> list[dict]:
 BLOCKS = "array<struct<text:string,start:int,end:int,citations:array<struct<cited_text:string,start_char_index:int,end_char_index:int>>>>"
 
 
-def cited_answers(docs: DataFrame, client: HttpClient, instructions: str, approved: bool = False) -> DataFrame:
-    """doc_id, response, blocks (text blocks with their places and citations), prompt_tokens, completion_tokens of each
-    document's cited answer; written once."""
-    require_approval(client.provider, approved)
-    require_env(client.provider)
+ANSWER = f"key string, response string, blocks {BLOCKS}, prompt_tokens bigint, completion_tokens bigint, status string, error string"
+#: Prompts that one job answers before its answers are in the ledger, and calls at once in a task.
+EVERY, AT_ONCE = 1_000, 4
 
-    def run(batches):
-        for p in batches:
-            got = [client.call_cited(instructions, x) for x in p["content"]]
-            yield pd.DataFrame({"doc_id": p["doc_id"], "response": [g["text"] for g in got], "blocks": [g["blocks"] for g in got], "prompt_tokens": [g["prompt_tokens"] for g in got], "completion_tokens": [g["completion_tokens"] for g in got]})
 
-    return written(docs.select("doc_id", "content").mapInPandas(run, f"doc_id {dict(docs.dtypes)['doc_id']}, response string, blocks {BLOCKS}, prompt_tokens bigint, completion_tokens bigint"))
+def _answered(asked: DataFrame, call: Callable[[dict], dict], ledger: str, every: int, at_once: int) -> DataFrame:
+    """The ledger's rows (ANSWER) after every row of ``asked`` (key, prompt, instructions; keys distinct) that it has no answer
+    for was asked once more.  A call that fails is a row with its error; the next run asks it again."""
+    spark = asked.sparkSession
 
+    def known() -> DataFrame | None:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(ledger)
+        if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+            return None
+        return spark.read.schema(ANSWER).parquet(ledger)
 
-def call_model(prompts: DataFrame, client: Client, provider: str, model: str | None = None, raw: bool = True, prompt_type: str = "ebola_narrative", approved: bool = False) -> DataFrame:
-    """``prompts`` with response, prompt_tokens, completion_tokens, total_tokens, cost, model and provider.  A prompt must not
-    be null or blank; if not ``raw`` it is a document that is bound to the bundled template.  Before any job starts an HTTP
-    client needs its environment variables, and for an external provider approval.  The result is written once, so that nothing
-    downstream calls again."""
+    def one(row: dict) -> dict:
+        try:
+            if not (row["prompt"] or "").strip():
+                raise ValueError("prompt must not be empty")
+            got = call(row)
+            return {"key": row["key"], "response": got["text"], "blocks": got.get("blocks"), "prompt_tokens": got["prompt_tokens"], "completion_tokens": got["completion_tokens"], "status": "ok", "error": None}
+        except Exception as e:  # noqa: BLE001  whatever a client raises belongs to its row
+            return {"key": row["key"], "response": None, "blocks": None, "prompt_tokens": None, "completion_tokens": None, "status": "failed", "error": f"{type(e).__name__}: {e}"}
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        with ThreadPoolExecutor(at_once) as pool:
+            for p in batches:
+                rows = p.to_dict("records")
+                for k in range(0, len(rows), 4 * at_once):
+                    yield pd.DataFrame([*pool.map(one, rows[k : k + 4 * at_once])], columns=[c.split(" ")[0] for c in ANSWER_COLUMNS])
+
+    had = known()
+    left = asked if had is None else asked.join(had.filter("status = 'ok'").select("key"), "key", "left_anti")
+    left = written(left)
+    rounds = -(-left.count() // every)
+    for r in range(rounds):
+        part = left.filter(F.pmod(F.xxhash64("key"), F.lit(rounds)) == r)
+        part.mapInPandas(run, ANSWER).write.mode("append").parquet(ledger)
+    had = known()
+    if had is None:
+        return spark.createDataFrame([], ANSWER)
+    # an answer before any failure
+    best = had.groupBy("key").agg(F.min_by(F.struct(*(c.split(" ")[0] for c in ANSWER_COLUMNS[1:])), F.when(F.col("status") == "ok", 0).otherwise(1)).alias("a"))
+    return best.select("key", "a.*")
+
+
+ANSWER_COLUMNS = ("key string", "response string", "blocks", "prompt_tokens bigint", "completion_tokens bigint", "status string", "error string")
+
+
+def _called(rows: DataFrame, call: Callable[[dict], dict], identity: str, ledger: str | None, every: int, at_once: int) -> DataFrame:
+    """``rows`` (prompt, instructions and others) with response, blocks, prompt_tokens, completion_tokens, status and error; rows
+    with one prompt are asked once.  Without a ledger it lies among the intermediate tables of this session."""
+    keyed = rows.withColumn("key", F.sha2(F.concat_ws("\x01", F.lit(identity), F.coalesce("instructions", F.lit("")), F.coalesce("prompt", F.lit(""))), 256))
+    keyed = written(keyed)
+    asked = keyed.select("key", "prompt", "instructions").dropDuplicates(["key"])
+    answers = _answered(asked, call, ledger or new_path(rows.sparkSession), every, at_once)
+    return written(keyed.join(answers, "key", "left").drop("key", "instructions"))
+
+
+def cited_answers(docs: DataFrame, client: HttpClient, instructions: str, approved: bool = False, ledger: str | None = None, every: int = EVERY, at_once: int = AT_ONCE) -> DataFrame:
+    """doc_id, response, blocks (text blocks with their places and citations), prompt_tokens, completion_tokens, status and
+    error of each document's cited answer; see ``call_model``."""
+    if isinstance(client, HttpClient):
+        require_approval(client.provider, approved)
+        require_env(client.provider)
+    rows = docs.select("doc_id", F.col("content").alias("prompt"), F.lit(instructions).alias("instructions"))
+    identity = f"cited:{getattr(client, 'provider', type(client).__name__)}:{getattr(client, 'model', None)}"
+    return _called(rows, lambda row: client.call_cited(row["instructions"], row["prompt"]), identity, ledger, every, at_once).drop("prompt")
+
+
+def call_model(prompts: DataFrame, client: Client, provider: str, model: str | None = None, raw: bool = True, prompt_type: str = "ebola_narrative", approved: bool = False, ledger: str | None = None, every: int = EVERY, at_once: int = AT_ONCE) -> DataFrame:
+    """``prompts`` with response, prompt_tokens, completion_tokens, status (ok or failed), error, total_tokens, cost, model and
+    provider.  If not ``raw`` a prompt is a document that is bound to the bundled template.  Before any job starts an HTTP client
+    needs its environment variables, and for an external provider approval.
+
+    Answers go to ``ledger``, a folder that all executors share, under a hash of provider, model and prompt, ``every`` prompts a
+    job with ``at_once`` calls at a time in each task.  What it has answered is not asked again, so a run that was stopped goes on
+    where it stood, but for the job that ran then.  A prompt that is null or blank, and a call that fails, is a failed row and stops no other;
+    the next run with this ledger asks it again."""
     if isinstance(client, HttpClient):
         require_approval(provider, approved)
         require_env(provider)
     model = model or DEFAULT_MODELS.get(provider)
     if not raw:
         prompts = prompts.withColumn("prompt", F.when(F.trim("prompt") != "", system_prompt("prompt", prompt_type)))
-    schema = prompts.select("*", *(F.lit(None).cast(t).alias(c) for c, t in (("response", "string"), ("prompt_tokens", "bigint"), ("completion_tokens", "bigint")))).schema
-
-    def run(batches):
-        for p in batches:
-            if p["prompt"].isna().any() or (p["prompt"].str.strip() == "").any():
-                raise ValueError("prompt must not be empty")
-            got = pd.DataFrame([client.call(x) for x in p["prompt"]], columns=["text", "prompt_tokens", "completion_tokens"]).rename(columns={"text": "response"})
-            yield pd.concat([p.reset_index(drop=True), got], axis=1)
-
-    out = prompts.mapInPandas(run, schema)
+    out = _called(prompts.withColumn("instructions", F.lit("")), lambda row: client.call(row["prompt"]), f"{provider}:{model}", ledger, every, at_once)
     total = F.col("prompt_tokens") + F.col("completion_tokens")
-    return written(out.select("*", total.alias("total_tokens"), cost(F.lit(model), F.col("prompt_tokens"), F.col("completion_tokens")).alias("cost"), F.lit(model).alias("model"), F.lit(provider).alias("provider")))
+    return out.drop("blocks").select("*", total.alias("total_tokens"), cost(F.lit(model), F.col("prompt_tokens"), F.col("completion_tokens")).alias("cost"), F.lit(model).alias("model"), F.lit(provider).alias("provider"))

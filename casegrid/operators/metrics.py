@@ -10,6 +10,7 @@ from casegrid.functions.nulls import null_like
 from casegrid.functions.text import case_ids_upper, name_key, near_either_way, same_set
 from casegrid.functions.text import _short_name as short_name
 from casegrid.operators.compare import f1, ratio
+from casegrid.operators.joins import null_safe_join
 from casegrid.operators.quantiles import exact_quantiles
 from casegrid.plans.tables import written
 from casegrid.schema import with_columns
@@ -37,7 +38,7 @@ def pairs_by_case(llm: DataFrame, gt: DataFrame, columns: list[str]) -> DataFram
     """Inner join on case_id where null equals null: case_id and <column>_llm, <column>_gt."""
     a = llm.select(F.col("case_id").alias("k"), *(F.col(c).alias(f"{c}_llm") for c in columns))
     b = gt.select("case_id", *(F.col(c).alias(f"{c}_gt") for c in columns))
-    return b.join(a, F.col("case_id").eqNullSafe(F.col("k"))).drop("k")
+    return null_safe_join(b, a, "case_id", "k")
 
 
 def _distinct_keys(df: DataFrame, key: Column) -> DataFrame:

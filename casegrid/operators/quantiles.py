@@ -1,9 +1,10 @@
 """Exact quantiles of columns in groups of any size, by histograms that are refined where a wanted value lies.
 
 A pass counts the values in BINS bins of each interval that still holds a wanted rank, and keeps the least and the largest value
-of each bin; the bin with the rank is the next interval, from its least to its largest value.  The ends of an interval fall into
-different bins, so it shrinks until it is one value.  What a pass carries is BINS rows at most for each wanted rank, whatever
-the group holds; evenly spread values take three passes for ten million of them, others some more."""
+of each bin; the bin with the rank is the next interval, from its least to its largest value.  Bins are of equal width in every other
+pass and of equal ratio in the others, so neither a wide range nor a narrow one takes many.  The ends of an interval fall
+into different bins, so it shrinks until it is one value.  What a pass carries is BINS rows at most for each wanted rank,
+whatever the group holds."""
 
 from __future__ import annotations
 
@@ -31,10 +32,13 @@ def _met(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     return a.join(b, same).drop("_c", *(f"_{k}" for k in keys))
 
 
-def _bin(x: Column, lo: Column, hi: Column, bins: int) -> Column:
+def _bin(x: Column, lo: Column, hi: Column, bins: int, ratio: bool) -> Column:
     """The bin of a value: halves before the difference, so that it can't overflow; the upper end has the last bin."""
+    ends = x == lo, x == hi
+    if ratio:  # a scale on which all finite numbers are within 1,500 of zero, in order
+        x, lo, hi = (F.when(v == 0, 0.0).otherwise(F.signum(v) * (F.ln(F.abs(v)) + 746)) for v in (x, lo, hi))
     part = (x / 2 - lo / 2) / F.nullif(hi / 2 - lo / 2, F.lit(0.0))
-    return F.when(x == lo, 0).when(x == hi, bins - 1).otherwise(F.greatest(F.lit(0), F.least(F.lit(bins - 1), F.floor(F.coalesce(part, F.lit(0.5)) * bins))).cast("int"))
+    return F.when(ends[0], 0).when(ends[1], bins - 1).otherwise(F.greatest(F.lit(0), F.least(F.lit(bins - 1), F.floor(F.coalesce(part, F.lit(0.5)) * bins))).cast("int"))
 
 
 def exact_quantiles(df: DataFrame, keys: list[str], columns: list[str], probabilities: list[float], bins: int = BINS) -> DataFrame:
@@ -56,7 +60,7 @@ def exact_quantiles(df: DataFrame, keys: list[str], columns: list[str], probabil
         wide = todo.select(*group, "lo", "hi", "base").distinct()
         inside = _met(cells, wide, keys).filter("x between lo and hi")
         own = [*group, "lo", "hi", "base"]
-        counts = inside.groupBy(*own, _bin(F.col("x"), F.col("lo"), F.col("hi"), bins).alias("bin")).agg(F.count("*").alias("k"), F.min("x").alias("a"), F.max("x").alias("b"))
+        counts = inside.groupBy(*own, _bin(F.col("x"), F.col("lo"), F.col("hi"), bins, len(known) % 2 == 0).alias("bin")).agg(F.count("*").alias("k"), F.min("x").alias("a"), F.max("x").alias("b"))
         below = F.coalesce(F.sum("k").over(W.partitionBy(*own).orderBy("bin").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
         counts = counts.withColumn("under", F.col("base") + below).select(*group, F.col("lo").alias("lo0"), F.col("hi").alias("hi0"), "k", "a", "b", "under")
         hit = _met(todo, counts, keys).filter("lo = lo0 and hi = hi0 and rank >= under and rank < under + k")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from casegrid.operators.joins import null_safe_join
+
 
 def row_labels(df: DataFrame) -> DataFrame:
     """``df`` with label: the id, and the name behind it if there is one."""
@@ -30,7 +32,7 @@ def first_place(wanted: DataFrame, df: DataFrame, column: str = "case_id") -> Da
 
 def matched(df: DataFrame, other: DataFrame, column: str = "case_id") -> DataFrame:
     """The rows of ``df`` whose ``column`` is among those of ``other``; null is a value like any other."""
-    return df.join(other.select(F.col(column).alias("k")), F.col(column).eqNullSafe(F.col("k")), "left_semi")
+    return null_safe_join(df, other.select(F.col(column).alias("k")), column, "k", "left_semi")
 
 
 def page(df: DataFrame, number: int, size: int = 10, order: tuple[str, ...] = ("row_idx",)) -> DataFrame:
@@ -40,4 +42,4 @@ def page(df: DataFrame, number: int, size: int = 10, order: tuple[str, ...] = ("
 
 def unmatched(df: DataFrame, other: DataFrame, column: str = "case_id") -> DataFrame:
     """The rows of ``df`` whose ``column`` is not among those of ``other``; null is a value like any other."""
-    return df.join(other.select(F.col(column).alias("k")), F.col(column).eqNullSafe(F.col("k")), "left_anti")
+    return null_safe_join(df, other.select(F.col(column).alias("k")), column, "k", "left_anti")

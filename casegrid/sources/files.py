@@ -17,6 +17,7 @@ from casegrid.functions.nulls import trim
 from casegrid.operators.graph import arranged
 from casegrid.operators.prompt import DEFAULT_MODELS, auto_prompt
 from casegrid.schema import LINELIST
+from casegrid.sources.pdf import page_texts
 
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 RECORD = "\n\f\n"
@@ -31,25 +32,28 @@ def docx_text(raw: bytes) -> str:
     return "\n\n".join(p for p in paragraphs if p)
 
 
-def read_documents(spark: SparkSession, path: str, pdf: Callable[[bytes], list[str]] | None = None) -> DataFrame:
-    """path, label, content, content_type of the txt, md, docx and pdf files under ``path``; any other kind is an error when it
-    is read.  PDF needs a function from bytes to the texts of pages, which are joined by line ends."""
+def text_of(label: str, raw: bytes, pdf: Callable[[bytes], list[str]] | None = page_texts) -> tuple[str, str]:
+    """(content, content_type) of a txt, md, docx or pdf file; any other kind is an error."""
+    kind = label.rsplit(".", 1)[-1].lower() if "." in label else ""
+    if kind in ("txt", "md"):
+        text = raw.decode("utf-8")
+    elif kind == "docx":
+        text = docx_text(raw)
+    elif kind == "pdf" and pdf:
+        text = "\n".join(pdf(raw))
+    else:
+        raise ValueError(f"cannot read {label}: " + ("no PDF reader was given" if kind == "pdf" else "unknown file type"))
+    return text, "markdown" if kind in ("md", "docx") else "text"
+
+
+def read_documents(spark: SparkSession, path: str, pdf: Callable[[bytes], list[str]] | None = page_texts) -> DataFrame:
+    """path, label, content, content_type of the txt, md, docx and pdf files under ``path``, in any store that Spark reads; any other kind is
+    an error when it is read.  ``pdf`` gives the texts of a file's pages, which are joined by line ends."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
-            rows = []
-            for name, raw in zip(p["path"], p["content"], strict=True):
-                label = name.rsplit("/", 1)[-1]
-                kind = label.rsplit(".", 1)[-1].lower() if "." in label else ""
-                if kind in ("txt", "md"):
-                    text = bytes(raw).decode("utf-8")
-                elif kind == "docx":
-                    text = docx_text(bytes(raw))
-                elif kind == "pdf" and pdf:
-                    text = "\n".join(pdf(bytes(raw)))
-                else:
-                    raise ValueError(f"cannot read {label}: " + ("no PDF reader was given" if kind == "pdf" else "unknown file type"))
-                rows.append((name, label, text, "markdown" if kind in ("md", "docx") else "text"))
+            labels = [name.rsplit("/", 1)[-1] for name in p["path"]]
+            rows = [(name, label, *text_of(label, bytes(raw), pdf)) for name, label, raw in zip(p["path"], labels, p["content"], strict=True)]
             yield pd.DataFrame(rows, columns=["path", "label", "content", "content_type"])
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, DOCUMENT)

@@ -288,7 +288,7 @@ def test_files(spark, tmp_path):
     got = {r["label"]: (r["content"], r["content_type"]) for r in files.read_documents(spark, str(folder), pdf=lambda b: b.decode().split("|")).collect()}
     assert got == {"a.docx": ("one\n\ntwo", "markdown"), "b.TXT": ("plain é", "text"), "c.pdf": ("p1\np2", "text")}
     with pytest.raises(Exception, match="no PDF reader"):
-        files.read_documents(spark, str(folder)).collect()
+        files.read_documents(spark, str(folder), pdf=None).collect()
     with pytest.raises(ValueError):
         files.pasted_document(spark, "  ")
     df = spark.createDataFrame([("A", 'x "q", y', None, ["u", "v"])], "case_id string, name string, sex string, ids array<string>")
