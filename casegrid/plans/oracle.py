@@ -100,16 +100,18 @@ _RATES = "CASE WHEN {l} > 0 THEN {m} / {l} ELSE 0 END AS {p}, CASE WHEN {g} > 0
 _F1 = "CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END"
 
 
-def _case_metrics(key: str, llm: str, dates: bool) -> str:
-    where = "" if dates else " WHERE k IS NOT NULL"
-    return f"""{SQL}, g AS (SELECT DISTINCT * FROM (SELECT {key} AS k FROM gt){where}), l AS (SELECT DISTINCT * FROM (SELECT {key} AS k FROM {llm}){where}), n AS (
+def _case_metrics(key: str, by_name: bool) -> str:
+    where = " WHERE k IS NOT NULL" if by_name else ""
+    first = " QUALIFY row_number() OVER (PARTITION BY k ORDER BY row_idx) = 1" if by_name else ""
+    rows = lambda t: f"(SELECT * FROM (SELECT {key} AS k, onset_date, row_idx FROM {t}){where}{first})"
+    return f"""{SQL}, g AS (SELECT DISTINCT k FROM {rows('gt')}), l AS (SELECT DISTINCT k FROM {rows('llmu')}), n AS (
   SELECT (SELECT count(*) FROM g) AS ng, (SELECT count(*) FROM l) AS nl, (SELECT count(*) FROM g JOIN l ON g.k IS NOT DISTINCT FROM l.k) AS nm
 ), q AS (SELECT *, nm / nl AS p, nm / ng AS r FROM n), d AS (
   SELECT avg(CAST(a.onset_date = b.onset_date OR (a.onset_date IS NULL AND b.onset_date IS NULL) AS INT)) AS date_accuracy
-  FROM gt a JOIN llmu b ON a.case_id IS NOT DISTINCT FROM b.case_id
+  FROM {rows('gt')} a JOIN {rows('llmu')} b ON a.k IS NOT DISTINCT FROM b.k
 )
-SELECT round({_F1}, 9) AS case_f1, round(r, 9) AS case_recall, round(p, 9) AS case_precision, {"round(date_accuracy, 9) AS date_accuracy," if dates else ""}
-  ng AS n_gt_cases, nl AS n_llm_cases, nm AS n_matched_cases FROM q{", d" if dates else ""}"""
+SELECT round({_F1}, 9) AS case_f1, round(r, 9) AS case_recall, round(p, 9) AS case_precision, round(date_accuracy, 9) AS date_accuracy,
+  ng AS n_gt_cases, nl AS n_llm_cases, nm AS n_matched_cases FROM q, d"""
 
 
 def _list_columns(g: str, x: str) -> str:
@@ -222,14 +224,18 @@ _MENTIONS = f"""d AS (SELECT doc_id, {_NARRATIVE} AS c FROM documents), h AS (
         UNION ALL SELECT doc_id, s2, concat('SYNX', doc_id), concat('SYN', doc_id), s2 + 13 + length(concat('SYNX', doc_id)) + 5 FROM p)"""
 
 
+def _html(c: str) -> str:
+    return f"replace(replace(replace({c}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+
+
 def _percent(x: str) -> str:
     return f"coalesce(regexp_replace(CAST(CAST(round({x} * 100, 1) AS DOUBLE) AS VARCHAR), '\\.0$', ''), 'NA')"
 
 
 _FLAG = "CASE conv_id % 7 WHEN 0 THEN ' NULL ' WHEN 1 THEN 'null' WHEN 2 THEN '[]' WHEN 3 THEN '' WHEN 4 THEN 'NA' WHEN 5 THEN NULL ELSE role END"
 ORACLE: dict[str, str] = {
-    "case_metrics": _case_metrics("case_id", "llmu", True),
-    "case_metrics_by_name": _case_metrics(name_key("name"), "llmu", False),
+    "case_metrics": _case_metrics("case_id", False),
+    "case_metrics_by_name": _case_metrics(name_key("name"), True),
     "variable_metrics": _variable_metrics(),
     "variable_metrics_by_name": _variable_metrics(True),
     "variable_metrics_without_true_cases": " UNION ALL ".join(f"SELECT '{v}' AS variable, CAST(0 AS INT) AS n_compared, CAST(0 AS INT) AS n_match, {', '.join(f'CAST(NULL AS DOUBLE) AS {c}' for c in ('f1', 'precision', 'recall', 'completeness_llm', 'completeness_gt'))}" for v in VARIABLES),
@@ -334,4 +340,28 @@ ORACLE: dict[str, str] = {
       q AS (SELECT *, length(c) AS n, greatest(1, pos - 2000) AS low, substring(c, greatest(1, pos - 2000), pos - greatest(1, pos - 2000)) AS b FROM p WHERE pos > 0),
       r AS (SELECT *, length(regexp_extract(b, '(?s)^(.*(?:\\n\\n|\\n>))', 1)) AS head FROM q)
       SELECT doc_id, doc_id AS row_idx, sha256(substring(c, pos, least(n, pos + 400) - pos + 1)) AS cited_sha256, CAST(CASE WHEN head > 0 THEN low + head ELSE greatest(1, pos - 200) END - 1 AS BIGINT) AS start_char_index, CAST(least(n, pos + 2000) - 1 AS BIGINT) AS end_char_index FROM r""",
+    "names_in_id_columns": f"""{SQL}, k AS (SELECT {name_key('name')} AS k, arg_min(case_id, row_idx) AS id FROM gt WHERE {name_key('name')} IS NOT NULL GROUP BY 1),
+      r AS (SELECT row_idx, CASE row_idx % 3 WHEN 0 THEN concat_ws(', ', name, 'Nobody Known') WHEN 1 THEN name ELSE potential_infector END AS v, CASE WHEN row_idx % 3 < 2 THEN name END AS n FROM llmu)
+      SELECT row_idx, CASE WHEN row_idx % 3 < 2 AND NOT {null_like('n')} AND len({ids('upper(v)')}) = 0 THEN coalesce(id, v) ELSE v END AS potential_infector FROM r LEFT JOIN k ON k.k = {name_key('n')}""",
+    "highlighted_documents": f"""WITH c AS (SELECT doc_id, concat('<b>&amp; ', doc_id, '</b> ', text) AS c FROM documents)
+      SELECT doc_id, sha256(concat({_html('substring(c, 1, 1)')}, '<mark>', {_html('substring(c, 2, 5)')}, '</mark>', {_html('substring(c, 7, 13)')}, '<mark>', {_html('substring(c, 20, 10)')}, '</mark>', {_html('substring(c, 30)')})) AS html_sha256 FROM c""",
+    "longest_word_cells": """WITH c AS (SELECT doc_id, concat('- SYN', doc_id, ' of Betalong', doc_id, ', fell ill on ', doc_id % 27 + 1, ' ', CASE WHEN doc_id % 2 = 0 THEN 'March' ELSE 'may' END, ' 2026 at Alphaxx.') AS c, CASE WHEN doc_id % 2 = 0 THEN 'March' ELSE 'may' END AS m FROM documents),
+      u AS (SELECT doc_id, 'residence_village' AS field, strpos(c, 'Betalong') AS s, length(concat('Betalong', doc_id)) AS n FROM c
+        UNION ALL SELECT doc_id, 'profession', 3, length(concat('SYN', doc_id)) FROM c
+        UNION ALL SELECT doc_id, 'onset_date', strpos(c, ' ill on ') + 8, length(concat(doc_id % 27 + 1, ' ', m, ' 2026')) FROM c)
+      SELECT doc_id, 0 AS row_idx, field, CAST(s AS BIGINT) AS start, CAST(s + n - 1 AS BIGINT) AS "end" FROM u""",
+    "cited_cells": """WITH c AS (SELECT doc_id, concat('- SYN', doc_id, ' male here. One says female, and Died. Two says male and Died.') AS c FROM documents),
+      u AS (SELECT doc_id, 'sex' AS field, strpos(c, 'Two says ') + 9 AS s, 4 AS n FROM c
+        UNION ALL SELECT doc_id, 'outcome', strpos(c, 'Died'), 4 FROM c
+        UNION ALL SELECT doc_id, 'profession', strpos(c, 'here'), 4 FROM c)
+      SELECT doc_id, 0 AS row_idx, field, CAST(s AS BIGINT) AS start, CAST(s + n - 1 AS BIGINT) AS "end" FROM u""",
+    "auto_prompt": "SELECT doc_id, sha256(concat('Extract the cases.', chr(10), '<outbreak_narrative>', chr(10), '{{content}}', chr(10), '</outbreak_narrative>', chr(10), chr(10), 'Document sample:', chr(10), array_to_string(list_slice(string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' '), 1, 25), ' '), chr(10), chr(10), 'Provider: azure. Model: gpt-5.')) AS prompt_sha256 FROM documents",
+    "prompt_instructions": "SELECT conv_id, turn, sha256(CASE WHEN turn % 2 = 0 THEN text ELSE concat(text, ' end') END) AS prompt_sha256 FROM conversations",
+    "arranged_relationships": f"{SQL}{_EDGES} SELECT relationship_type, source_case_id, target_case_id FROM rel ORDER BY ALL LIMIT 50",
+    "run_metadata": """SELECT conv_id AS doc_id, unnest(['document', 'content_type', 'provider', 'model', 'system_prompt', 'deduplication', 'cases_extracted', 'relationships_extracted']) AS metric,
+      unnest(['first turn', '-', 'ollama', 'gpt-4o', 'linelist_prompt.txt', 'enabled', '2', '1']) AS value FROM conversations WHERE turn = 0""",
+    "stable_first_rows": f"{SQL} SELECT l.row_idx, (SELECT min(g.row_idx) FROM gt g WHERE g.name IS NOT DISTINCT FROM l.name) AS true_idx FROM llm l WHERE EXISTS (SELECT 1 FROM gt g WHERE g.name IS NOT DISTINCT FROM l.name)",
 }
+#: The passages of the cases with odd numbers, and the given ones of the others.
+ORACLE["filled_citations"] = f"""SELECT doc_id, row_idx, cited_sha256, start_char_index, end_char_index FROM ({ORACLE['case_spans']}) WHERE row_idx % 2 = 1
+  UNION ALL SELECT doc_id, doc_id, sha256('quoted'), 3, 9 FROM documents WHERE doc_id % 2 = 0"""

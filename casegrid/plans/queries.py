@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casegrid.functions import nulls, text
-from casegrid.operators import compare, dedupe, extract, graph, match, metrics, prompt, provenance, records, similar
+from casegrid.operators import compare, dedupe, extract, graph, joins, match, metrics, prompt, provenance, records, similar
+from casegrid.operators.client import FakeClient
+from casegrid.plans import pipeline
 from casegrid.plans.fixtures import COLUMNS, gt, lists, llm, table
 from casegrid.plans.tables import written
 from casegrid.schema import align
@@ -39,7 +41,7 @@ def case_metrics(s, d):
 def case_metrics_by_name(s, d):
     a, b = lists(s, d, True)
     other = a.withColumn("case_id", F.concat(F.lit("X"), F.col("case_id")))
-    return r9(metrics.case_metrics(other, b).drop("date_accuracy"))
+    return r9(metrics.case_metrics(other, b))
 
 
 @query
@@ -461,3 +463,94 @@ def citations_for_case(s, d):
     blocks = table(s, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("pos"), "text", F.array(F.struct(F.col("role").alias("cited_text"), F.col("turn").cast("int").alias("start_char_index"), F.lit(9).alias("end_char_index"))).alias("citations"))
     cases = blocks.filter("pos = 0").select("doc_id", F.lit(0).alias("row_idx"), F.lit("").alias("case_id"), F.split("text", " ")[0].alias("name"))
     return provenance.citations_for_cases(cases, blocks).select("doc_id", "pos", "cited_text", F.col("start_char_index").cast("bigint").alias("start_char_index"))
+
+
+@query
+def names_in_id_columns(s, d):
+    """Infectors that every third extracted row names in place of an id are led to the first true case of that name."""
+    a, b = lists(s, d, True)
+    named = F.when(F.col("row_idx") % 3 == 0, F.concat_ws(", ", "name", F.lit("Nobody Known"))).when(F.col("row_idx") % 3 == 1, F.col("name")).otherwise(F.col("potential_infector"))
+    return metrics.names_to_ids(a.select("row_idx", named.alias("potential_infector")), b, "potential_infector")
+
+
+@query
+def highlighted_documents(s, d):
+    """Every document with three marks, of which the second begins inside the first and is left out."""
+    mark = lambda a, b: F.struct(F.lit(a).alias("start"), F.lit(b).alias("end"))
+    content = F.concat(F.lit("<b>&amp; "), F.col("doc_id").cast("string"), F.lit("</b> "), "text")
+    html = provenance.highlight(content, F.array(mark(20, 29), mark(2, 6), mark(5, 12)))
+    return table(s, d, "documents").select("doc_id", F.sha2(html, 256).alias("html_sha256"))
+
+
+@query
+def longest_word_cells(s, d):
+    """Cells of several words that are nowhere as a whole are shown by their longest word, dates by the form in which they are written."""
+    i = F.col("doc_id").cast("string")
+    day, month = (F.col("doc_id") % 27 + 1).cast("string"), F.when(F.col("doc_id") % 2 == 0, "March").otherwise("may")
+    content = F.concat(F.lit("- SYN"), i, F.lit(" of Betalong"), i, F.lit(", fell ill on "), day, F.lit(" "), month, F.lit(" 2026 at Alphaxx.\n"))
+    rows = table(s, d, "documents")
+    date = F.concat(F.lpad(day, 2, "0"), F.lit("/"), F.when(F.col("doc_id") % 2 == 0, "03").otherwise("05"), F.lit("/2026"))
+    cases = rows.select("doc_id", F.lit(0).alias("row_idx"), F.concat(F.lit("syn"), i).alias("case_id"), F.lit(None).cast("string").alias("name"), F.concat(F.lit("Alphaxx of betalong"), i).alias("residence_village"), F.lit("none such").alias("profession"), date.alias("onset_date"))
+    out = provenance.cell_matches(cases, rows.select("doc_id", content.alias("content")), ["residence_village", "profession", "onset_date"])
+    return out.select("doc_id", "row_idx", "field", F.col("start").cast("bigint").alias("start"), F.col("end").cast("bigint").alias("end"))
+
+
+@query
+def cited_cells(s, d):
+    """Values are found in a case's citations, in their order, before the rest of the document."""
+    i = F.col("doc_id").cast("string")
+    content = F.concat(F.lit("- SYN"), i, F.lit(" male here. One says female, and Died. Two says male and Died."))
+    at = lambda word: F.instr("content", word)
+    rows = table(s, d, "documents").select("doc_id", content.alias("content"))
+    cases = rows.select("doc_id", F.lit(0).alias("row_idx"), F.concat(F.lit("SYN"), F.col("doc_id").cast("string")).alias("case_id"), F.lit(None).cast("string").alias("name"), F.lit("male").alias("sex"), F.lit("died").alias("outcome"), F.lit("here").alias("profession"))
+    span = lambda a, b: F.struct((at(a) - 1).alias("start_char_index"), (at(b) - 1).alias("end_char_index"))
+    whole = F.struct((at("Two") - 1).alias("start_char_index"), F.length("content").alias("end_char_index"))
+    spans = rows.select("doc_id", F.lit(0).alias("row_idx"), F.explode(F.array(whole, span("One", "Two"))).alias("x")).select("doc_id", "row_idx", "x.*")
+    out = provenance.cell_matches(cases, rows, ["sex", "outcome", "profession"], spans)
+    return out.select("doc_id", "row_idx", "field", F.col("start").cast("bigint").alias("start"), F.col("end").cast("bigint").alias("end"))
+
+
+@query
+def filled_citations(s, d):
+    """Cases of even numbers have a citation; the others get the passage in which they are named."""
+    cases, docs = _injected(s, d)
+    cited = cases.filter("row_idx % 2 = 0").select("doc_id", "row_idx", F.lit("quoted").alias("cited_text"), F.lit(3).alias("start_char_index"), F.lit(9).alias("end_char_index"))
+    out = provenance.fill_citations(cited, cases, docs)
+    return out.select("doc_id", "row_idx", F.sha2("cited_text", 256).alias("cited_sha256"), F.col("start_char_index").cast("bigint").alias("start_char_index"), F.col("end_char_index").cast("bigint").alias("end_char_index"))
+
+
+@query
+def auto_prompt(s, d):
+    return table(s, d, "documents").select("doc_id", F.sha2(prompt.auto_prompt(TEMPLATE, "text", "azure", "gpt-5", 25), 256).alias("prompt_sha256"))
+
+
+@query
+def prompt_instructions(s, d):
+    """The part of a prompt before the narrative; every second has none."""
+    tail = F.when(F.col("turn") % 2 == 0, F.lit("\n\nHere is the outbreak narrative to analyse:\nCases.")).otherwise(F.lit(" end"))
+    return table(s, d, "conversations").select("conv_id", "turn", F.sha2(prompt.instructions(F.concat("text", tail)), 256).alias("prompt_sha256"))
+
+
+@query
+def arranged_relationships(s, d):
+    """The table of relationships in its order, and each row's place in it."""
+    rows = graph.relationships(written(gt(s, d)))
+    first = graph.arranged(rows).limit(50)
+    return first.select("relationship_type", "source_case_id", "target_case_id")
+
+
+@query
+def run_metadata(s, d):
+    """A whole run over the conversations' first turns, answered by a table in place of a model: what it says about itself."""
+    docs = table(s, d, "conversations").filter("turn = 0").select(F.col("conv_id").alias("doc_id"), F.concat(F.lit("- SYN1 "), "text").alias("content"), F.lit("first turn").alias("label"))
+    answer = '<linelist>[{"case_id":"syn1","name":"Ann Lee","contacts":["SYN2"]},{"case_id":"syn2","name":"Bob Ray"},{"case_id":"","name":"lee ann"}]</linelist>'
+    out = pipeline.run(docs, TEMPLATE, FakeClient(default=answer), provider="ollama", model="gpt-4o")
+    return out["metadata"].filter("metric <> 'processing_time_sec'").select("doc_id", "metric", F.coalesce("value", F.lit("-")).alias("value"))
+
+
+@query
+def stable_first_rows(s, d):
+    """Of each name the first true case, by a join on names in which missing ones are equal."""
+    a, b = lists(s, d)
+    firsts = b.groupBy(F.col("name").alias("k")).agg(F.min("row_idx").alias("true_idx"))
+    return joins.null_safe_join(a.select("row_idx", "name"), firsts, "name", "k").select("row_idx", "true_idx")
