@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from casegrid.functions.nulls import no_value, trim
 from casegrid.functions.text import date_variants
 from casegrid.operators.intervals import contained
-from casegrid.operators.needles import search
+from casegrid.operators.needles import search, search_rows
 
 _MARK = "\ue000"
 ID = r"SYN[\p{Alnum}_-]+"
@@ -78,10 +78,13 @@ def _needles(cases: DataFrame, id_: Column, name: Column) -> DataFrame:
     return cases.select("doc_id", F.explode(both).alias("x")).select("doc_id", "x.*")
 
 
-def _found_needles(texts: DataFrame, place: str, needles: DataFrame, id_text: Column, name_text: Column) -> DataFrame:
-    """doc_id, place, row_idx, by_id, first: where the ids first are in one form of the texts, and the names in the other."""
-    forms = F.array(F.struct((F.col(place) * 2).alias("part"), id_text.alias("text")), F.struct((F.col(place) * 2 + 1).alias("part"), name_text.alias("text")))
-    hits = search(texts.select("doc_id", F.explode(forms).alias("x")).select("doc_id", "x.*"), needles)
+def _forms(place: Column, id_text: Column, name_text: Column) -> Column:
+    """The two forms of a text that ids and names are looked for in."""
+    return F.array(F.struct((place * 2).alias("part"), id_text.alias("text")), F.struct((place * 2 + 1).alias("part"), name_text.alias("text")))
+
+
+def _own_hits(hits: DataFrame, place: str) -> DataFrame:
+    """doc_id, place, row_idx, by_id, first: ids that were found in the first form, and names in the second."""
     hits = hits.filter(F.pmod("part", F.lit(2)) == F.pmod("needle", F.lit(2)))
     half = lambda c: F.floor(F.col(c) / 2)
     return hits.select("doc_id", half("part").alias(place), half("needle").alias("row_idx"), (F.pmod("needle", F.lit(2)) == 0).alias("by_id"), "first")
@@ -91,8 +94,8 @@ def case_spans(cases: DataFrame, docs: DataFrame, quote: int = 400, around: int
     """doc_id, row_idx, cited_text, start_char_index, end_char_index (from 0) of the passage of each case: where its id is
     written, else its name in any case; from the paragraph's start, or 200 characters before.  Each text is searched once for all
     its document's cases, and cut once for all that are found."""
-    texts = docs.select("doc_id", F.lit(0).cast("bigint").alias("part"), "content")
-    hits = _found_needles(texts, "part", _needles(cases, F.col("case_id"), F.lower("name")), F.col("content"), F.lower("content"))
+    texts = docs.select("doc_id", _forms(F.lit(0).cast("bigint"), F.col("content"), F.lower("content")).alias("texts"))
+    hits = _own_hits(search_rows(texts, _needles(cases, F.col("case_id"), F.lower("name"))), "place")
     kind = dict(cases.dtypes)["row_idx"]
     places = hits.groupBy("doc_id", "row_idx").agg(F.coalesce(F.min(F.when(F.col("by_id"), F.col("first"))), F.min("first")).cast("int").alias("pos"))
     places = places.groupBy("doc_id").agg(F.collect_list(F.struct(F.col("row_idx").cast(kind).alias("row_idx"), "pos")).alias("found"))
@@ -126,7 +129,8 @@ def citations_for_cases(cases: DataFrame, blocks: DataFrame) -> DataFrame:
     """doc_id, row_idx, cited_text, start, end: citations of the blocks of a case's document that hold its id or its name.  Each
     block is searched once for all cases of its document."""
     kind = dict(cases.dtypes)["row_idx"]
-    hits = _found_needles(blocks, "pos", _needles(cases, F.upper("case_id"), F.lower("name")), F.upper("text"), F.lower("text"))
+    forms = blocks.select("doc_id", F.explode(_forms(F.col("pos").cast("bigint"), F.upper("text"), F.lower("text"))).alias("x")).select("doc_id", "x.*")
+    hits = _own_hits(search(forms, _needles(cases, F.upper("case_id"), F.lower("name"))), "pos")
     named = hits.select("doc_id", "pos", F.col("row_idx").cast(kind).alias("row_idx")).distinct()
     return named.join(blocks.select("doc_id", "pos", "citations"), ["doc_id", "pos"]).select("doc_id", "row_idx", "pos", F.posexplode("citations").alias("i", "c")).select("doc_id", "row_idx", "pos", "i", "c.*")
 
