@@ -239,13 +239,13 @@ ANSWER_COLUMNS = ("key string", "response string", "blocks", "prompt_tokens bigi
 
 
 def _called(rows: DataFrame, call: Callable[[dict], dict], identity: str, ledger: str | None, every: int, at_once: int) -> DataFrame:
-    """``rows`` (prompt, instructions and others) with response, blocks, prompt_tokens, completion_tokens, status and error; rows
+    """``rows`` (prompt, _instructions and others) with response, blocks, prompt_tokens, completion_tokens, status and error; rows
     with one prompt are asked once.  Without a ledger it lies among the intermediate tables of this session."""
-    keyed = rows.withColumn("key", F.sha2(F.concat_ws("\x01", F.lit(identity), F.coalesce("instructions", F.lit("")), F.coalesce("prompt", F.lit(""))), 256))
+    keyed = rows.withColumn("_key", F.sha2(F.concat_ws("\x01", F.lit(identity), F.coalesce("_instructions", F.lit("")), F.coalesce("prompt", F.lit(""))), 256))
     keyed = written(keyed)
-    asked = keyed.select("key", "prompt", "instructions").dropDuplicates(["key"])
+    asked = keyed.select(F.col("_key").alias("key"), "prompt", F.col("_instructions").alias("instructions")).dropDuplicates(["key"])
     answers = _answered(asked, call, ledger or new_path(rows.sparkSession), every, at_once)
-    return written(keyed.join(answers, "key", "left").drop("key", "instructions"))
+    return written(keyed.join(answers.withColumnRenamed("key", "_key"), "_key", "left").drop("_key", "_instructions"))
 
 
 def cited_answers(docs: DataFrame, client: HttpClient, instructions: str, approved: bool = False, ledger: str | None = None, every: int = EVERY, at_once: int = AT_ONCE) -> DataFrame:
@@ -254,7 +254,7 @@ def cited_answers(docs: DataFrame, client: HttpClient, instructions: str, approv
     if isinstance(client, HttpClient):
         require_approval(client.provider, approved)
         require_env(client.provider)
-    rows = docs.select("doc_id", F.col("content").alias("prompt"), F.lit(instructions).alias("instructions"))
+    rows = docs.select("doc_id", F.col("content").alias("prompt"), F.lit(instructions).alias("_instructions"))
     identity = f"cited:{getattr(client, 'provider', type(client).__name__)}:{getattr(client, 'model', None)}"
     return _called(rows, lambda row: client.call_cited(row["instructions"], row["prompt"]), identity, ledger, every, at_once).drop("prompt")
 
@@ -274,6 +274,6 @@ def call_model(prompts: DataFrame, client: Client, provider: str, model: str | N
     model = model or DEFAULT_MODELS.get(provider)
     if not raw:
         prompts = prompts.withColumn("prompt", F.when(F.trim("prompt") != "", system_prompt("prompt", prompt_type)))
-    out = _called(prompts.withColumn("instructions", F.lit("")), lambda row: client.call(row["prompt"]), f"{provider}:{model}", ledger, every, at_once)
+    out = _called(prompts.withColumn("_instructions", F.lit("")), lambda row: client.call(row["prompt"]), f"{provider}:{model}", ledger, every, at_once)
     total = F.col("prompt_tokens") + F.col("completion_tokens")
     return out.drop("blocks").select("*", total.alias("total_tokens"), cost(F.lit(model), F.col("prompt_tokens"), F.col("completion_tokens")).alias("cost"), F.lit(model).alias("model"), F.lit(provider).alias("provider"))

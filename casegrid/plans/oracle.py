@@ -362,6 +362,12 @@ ORACLE: dict[str, str] = {
       unnest(['first turn', '-', 'ollama', 'gpt-4o', 'linelist_prompt.txt', 'enabled', '2', '1']) AS value FROM conversations WHERE turn = 0""",
     "stable_first_rows": f"{SQL} SELECT l.row_idx, (SELECT min(g.row_idx) FROM gt g WHERE g.name IS NOT DISTINCT FROM l.name) AS true_idx FROM llm l WHERE EXISTS (SELECT 1 FROM gt g WHERE g.name IS NOT DISTINCT FROM l.name)",
 }
+ORACLE["merged_stream"] = f"""{SQL}, both_ AS (SELECT * FROM llm UNION ALL SELECT row_idx + 10000000, case_id, name, 'null', onset_date, secondary_cases, potential_infector FROM llm),
+  k AS (SELECT * REPLACE (nullif(trim(upper(case_id)), '') AS case_id), row_idx % 2 AS doc_id, coalesce({name_key('name')} || ' ' || coalesce(onset_date, 'NA'), nullif(trim(upper(case_id)), ''), 'row_' || row_idx) AS k FROM both_)
+  SELECT doc_id, {', '.join(f"coalesce(arg_min({c}, row_idx) FILTER (WHERE {c} IS NOT NULL AND trim({c}) <> '' AND lower({c}) <> 'null'), arg_min_null({c}, row_idx)) AS {c}" for c in COLUMNS)} FROM k GROUP BY doc_id, k"""
+ORACLE["ledger_calls"] = """WITH p AS (SELECT conv_id, turn, CASE WHEN turn % 5 = 4 THEN '  ' ELSE concat(role, ': ', text) END AS p FROM conversations),
+  n AS (SELECT conv_id, turn, trim(p) <> '' AS ok, CAST(ceil(length(p) / 4) AS BIGINT) AS n, CAST(ceil(length('<linelist>[]</linelist>') / 4) AS BIGINT) AS m FROM p)
+  SELECT conv_id, turn, CASE WHEN ok THEN 'ok' ELSE 'failed' END AS status, CASE WHEN ok THEN n ELSE 0 END AS prompt_tokens, CASE WHEN ok THEN n + m ELSE 0 END AS total_tokens, CASE WHEN ok THEN round((n * 2.5 + m * 10) / 1e6, 9) ELSE 0 END AS cost FROM n"""
 #: The passages of the cases with odd numbers, and the given ones of the others.
 ORACLE["filled_citations"] = f"""SELECT doc_id, row_idx, cited_sha256, start_char_index, end_char_index FROM ({ORACLE['case_spans']}) WHERE row_idx % 2 = 1
   UNION ALL SELECT doc_id, doc_id, sha256('quoted'), 3, 9 FROM documents WHERE doc_id % 2 = 0"""

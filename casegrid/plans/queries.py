@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from casegrid.functions import nulls, text
 from casegrid.operators import compare, dedupe, extract, graph, joins, match, metrics, prompt, provenance, records, similar
-from casegrid.operators.client import FakeClient
+from casegrid.operators.client import FakeClient, call_model
 from casegrid.plans import pipeline
 from casegrid.plans.fixtures import COLUMNS, gt, lists, llm, table
-from casegrid.plans.tables import written
+from casegrid.plans.tables import new_path, written
 from casegrid.schema import align
+from casegrid.streaming import merge
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -554,3 +555,25 @@ def stable_first_rows(s, d):
     a, b = lists(s, d)
     firsts = b.groupBy(F.col("name").alias("k")).agg(F.min("row_idx").alias("true_idx"))
     return joins.null_safe_join(a.select("row_idx", "name"), firsts, "name", "k").select("row_idx", "true_idx")
+
+
+@query
+def merged_stream(s, d):
+    """The duplicates of ``dedupe_linelist``, merged as they arrive: a stream of several files, one a micro-batch."""
+    a, _ = lists(s, d)
+    both = a.unionByName(a.withColumn("row_idx", F.col("row_idx") + 10_000_000).withColumn("sex", F.lit("null"))).withColumn("doc_id", F.col("row_idx") % 2)
+    source, out, state = (new_path(s) for _ in range(3))
+    both.repartition(2, F.col("row_idx")).write.parquet(source)
+    rows = s.readStream.schema(both.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    merge.write_merged(rows, out, state).awaitTermination()
+    return merge.read_merged(s, out).select("doc_id", *COLUMNS)
+
+
+@query
+def ledger_calls(s, d):
+    """Every turn as a prompt, in two runs with one ledger: the second asks only what the first has not; blank prompts fail."""
+    prompts = table(s, d, "conversations").select("conv_id", "turn", F.when(F.col("turn") % 5 == 4, F.lit("  ")).otherwise(F.concat(F.col("role"), F.lit(": "), "text")).alias("prompt"))
+    ledger = new_path(s)
+    call_model(prompts.filter("turn < 2"), FakeClient(), "ollama", "gpt-4o", ledger=ledger)
+    out = call_model(prompts, FakeClient(), "ollama", "gpt-4o", ledger=ledger)
+    return r9(out.fillna(0, ["prompt_tokens", "total_tokens", "cost"]).select("conv_id", "turn", "status", "prompt_tokens", "total_tokens", "cost"))

@@ -9,6 +9,7 @@ import os
 import random
 import sys
 import threading
+import zipfile
 import zlib
 from collections import Counter
 from http.server import BaseHTTPRequestHandler, HTTPServer
@@ -336,16 +337,17 @@ def test_statuses_that_may_pass():
     assert client.asked_pause({"Retry-After": "3"}, 9) == 3 and client.asked_pause({"Retry-After": "Mon"}, 9) == client.asked_pause(None, 9) == 9
 
 
-def test_merging_a_stream_is_merging_the_table(spark, tmp_path):
+@pytest.mark.parametrize("cuts", [(25, 26), (3, 3)])
+def test_merging_a_stream_is_merging_the_table(spark, tmp_path, cuts):
     rng = random.Random(11)
-    rows = [(rng.randint(0, 2), i, rng.choice(["a1", "", None, "a2"]), rng.choice(["Ann Lee", "lee ann", "Bob", None, "null"]), rng.choice(["01/01/2026", None]), rng.choice(["male", "null", None, " "]), rng.choice([None, 3.0, 4.5])) for i in range(60)]
+    rows = [(rng.randint(0, 2), i, rng.choice(["a1", "", None, "a2"]), rng.choice(["Ann Lee", "lee ann", "Bob", None, "null"]), rng.choice(["01/01/2026", None]), rng.choice(["male", "null", None, " "]), rng.choice([None, 3.0, 4.5])) for i in range(40)]
     schema = "doc_id int, row_idx bigint, case_id string, name string, onset_date string, sex string, age double"
     df = spark.createDataFrame(rows, schema)
     columns = ["doc_id", "row_idx", "case_id", "name", "onset_date", "sex", "age"]
     want = Counter(map(tuple, dedupe.merge_duplicates(df, ("doc_id",), numbered=True).select(columns).collect()))
     order = rows[:]
     rng.shuffle(order)
-    for k, part in enumerate((order[:25], order[25:26], order[26:])):
+    for k, part in enumerate((order[: cuts[0]], order[cuts[0] : cuts[1]], order[cuts[1] :])):
         spark.createDataFrame(part, schema).coalesce(1).write.mode("overwrite").parquet(f"{tmp_path}/in/part={k}")
         stream = spark.readStream.schema(schema + ", part int").parquet(f"{tmp_path}/in").drop("part")
         merge.write_merged(stream, f"{tmp_path}/out", f"{tmp_path}/check").awaitTermination(180)
@@ -390,13 +392,15 @@ def test_document_source(spark, tmp_path):
     (folder / "a.txt").write_text("plain é")
     (folder / "deep" / "b.MD").write_text("# head")
     (folder / "c.pdf").write_bytes(pdf_file([PAGE]))
+    with zipfile.ZipFile(folder / "e.docx", "w") as z:
+        z.writestr("word/document.xml", '<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body><w:p><w:r><w:t>one</w:t></w:r></w:p><w:p><w:r><w:t>two</w:t></w:r></w:p></w:body></w:document>')
     (folder / "d.xyz").write_text("?")
     (folder / ".hidden.txt").write_text("no")
     document_source.register(spark)
     read = spark.read.format("document").option("onError", "row").option("bytesPerPartition", 10)
     df = read.load(str(folder))
     got = {r.label: (r.content, r.content_type, r.bytes, r.error) for r in df.collect()}
-    assert got == {"a.txt": ("plain é", "text", 8, None), "b.MD": ("# head", "markdown", 6, None), "c.pdf": ("Case (one) é\nSYN001 Ann\nnext", "text", (folder / "c.pdf").stat().st_size, None), "d.xyz": (None, None, 1, "ValueError: cannot read d.xyz: unknown file type")}
+    assert got == {"a.txt": ("plain é", "text", 8, None), "b.MD": ("# head", "markdown", 6, None), "c.pdf": ("Case (one) é\nSYN001 Ann\nnext", "text", (folder / "c.pdf").stat().st_size, None), "e.docx": ("one\n\ntwo", "markdown", (folder / "e.docx").stat().st_size, None), "d.xyz": (None, None, 1, "ValueError: cannot read d.xyz: unknown file type")}
     assert df.rdd.getNumPartitions() > 1
     assert spark.read.format("document").load(str(folder / "a.txt")).first().content == "plain é"
     with pytest.raises(Exception, match="unknown file type"):
