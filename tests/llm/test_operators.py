@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -490,6 +490,83 @@ def test_quality_rules_reject_outliers(spark):
     assert out[2000]["base_failed"] and out[2001]["base_failed"] and out[2002]["base_failed"]
 
 
+def test_quality_rules_kept_by_brute_force(spark):
+    """One group: every verdict against an exact search (sorted distances, random starts) over statistics counted anew.  Rows whose
+    distance is within a tenth of the cut-off are left open, as the operator's C-steps and the search may stop at different subsets."""
+    rng = random.Random(12)
+    texts = [" ".join(words(rng, rng.randint(50, 400))) for _ in range(220)]
+    texts += [t + " " + " ".join(t.split()[: rng.randint(3, 20)]) for t in texts[:30]]
+    texts += ["\n".join([t, *["one line more"] * rng.randint(1, 12)]) for t in texts[30:50]]
+    texts += [" ".join(w + rng.choice(("", "#", "$%")) for w in t.split()) for t in texts[50:75]] + [texts[0]] * 3
+    got = {r["doc_id"]: r for r in quality_rules.judge(spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(texts)], "doc_id bigint, text string, lang string, source string")).collect()}
+
+    def counts(t):
+        w, seen, dups, covered = t.split(), set(), 0, set()
+        grams = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
+        again = {g for g, c in Counter(grams).items() if c > 1}
+        for i, g in enumerate(grams):
+            covered |= {i, i + 1, i + 2} if g in again else set()
+        for line in t.split("\n"):
+            dups += line in seen and bool(line.strip())
+            seen.add(line)
+        return len(w), sum(map(len, w)), sum(t.count(c) for c in "#*$%&|<>"), dups, len(covered)
+
+    n, c, sy, du, re_ = np.array([counts(t) for t in texts], float).T
+    fine = (n >= 50) & (100 * re_ <= 50 * n)
+    x = np.stack([n**-0.5, np.log((c + 1) / n), np.sqrt(sy / c), np.sqrt(du / n), np.sqrt(re_ / n)], 1)
+    noise = np.stack([1 / (4 * n * n), 1 / c, 1 / (4 * c), 1 / (4 * n), 6 / (4 * n)], 1)
+
+    def model(of, scale):
+        return x[of].mean(0), scale * np.cov(x[of].T, bias=True) + np.diag(noise[of].mean(0) + 1e-9)
+
+    def far(mean, cov):
+        d = x - mean
+        return np.einsum("ij,jk,ik->i", d, np.linalg.inv(cov), d)
+
+    passed, best = np.flatnonzero(fine), None
+    draw = np.random.default_rng(0)
+    for _ in range(30):
+        of = draw.choice(passed, 40, replace=False)
+        for _ in range(60):
+            of = passed[np.argsort(far(*model(of, 1.412))[passed])[: int(0.75 * len(passed))]]
+        det = np.linalg.slogdet(model(of, 1.412)[1])[1]
+        best = min(best or (det, of), (det, of), key=lambda b: b[0])
+    d2 = far(*model(best[1], 1.412))
+    d2 = far(*model(passed[d2[passed] <= 12.833], quality_rules.consistency(0.975)))
+    open_ = 0
+    for i in range(len(texts)):
+        assert got[i]["base_failed"] == (not fine[i])
+        if fine[i] and abs(d2[i] / 20.515 - 1) < 0.1:
+            open_ += 1
+        else:
+            assert got[i]["kept"] == bool(fine[i] and d2[i] <= 20.515), (i, d2[i], got[i]["distance2"])
+    assert open_ <= 10 and 20 < sum(not r["kept"] for r in got.values()) < 90
+
+
+def test_quality_rules_lean_on_their_language(spark):
+    """Sums of the nearest share, to the fraction of a bin's rows, and the rows of the prior, against plain arithmetic; one more
+    row in a group changes its estimate by little."""
+    rng, k = np.random.default_rng(6), len(quality_rules.DIMS)
+    sizes = {("a", "p"): 400, ("b", "p"): 3, ("c", "q"): 99, ("d", "q"): 100}
+    x = {g: rng.normal(i, 1, (n, k)) for i, (g, n) in enumerate(sizes.items())}
+    rows = spark.createDataFrame([(g, p, "s", int(i), *map(float, r)) for (g, p), m in x.items() for i, r in enumerate(m // 0.01 * 0.01)], "g string, parent string, start string, bin bigint, " + ", ".join(f"{d} double" for d in quality_rules.DIMS))
+    rows = rows.withColumn("bin", F.floor(F.col("bin") / 7)).select("*", *(F.lit(0.5).alias(e) for e in quality_rules.NOISE))
+    binned = rows.groupBy("g", "parent", "start", "bin").agg(*quality_rules._sums())
+    got = {r["g"]: np.array(r["mean"]) for r in quality_rules._trimmed(binned, 0.75, 1.0).collect()}
+    sums = {}
+    for key, m in x.items():
+        weight, left = np.zeros(len(m)), 0.75 * len(m)
+        for b in range(0, len(m), 7):
+            weight[b : b + 7] = min(1.0, left / len(m[b : b + 7]))
+            left -= weight[b : b + 7].sum()
+        sums[key] = (weight.sum(), weight @ (m // 0.01 * 0.01))
+    total = (sum(n for n, _ in sums.values()), sum(s for _, s in sums.values()))
+    for (g, p), (n, s) in sums.items():
+        ln, ls = sum(a for (_, q), (a, _) in sums.items() if q == p), sum(b for (_, q), (_, b) in sums.items() if q == p)
+        prior = (ls + 100 * total[1] / total[0]) / (ln + 100)
+        assert np.allclose(got[g], (s + 100 * prior) / (n + 100)), g
+
+
 def test_minimum_covariance_determinant(spark, tmp_path):
     """A fifth of far rows does not move the estimate, and no random start of an exact search finds a much smaller determinant."""
     rng = np.random.default_rng(3)
