@@ -5,8 +5,9 @@ Shannon entropy over a sliding window is high for their character class.  Candid
 maximal runs of ``[A-Za-z0-9+/_=-]`` with at least one window's length; a window's
 entropy is kept by incremental counts (one character enters, one leaves), and the
 windows above their class's threshold are joined to one span.  Strings of the allow list
-(UUIDs, runs inside a URL's host or path, words joined by separators or capitals, dates) are
-suppressed; a URL ends at white space, a quote or another delimiter, and its user part, query
+(UUIDs, runs inside a URL's host or path, dates, and words joined by separators or capitals, with numbers) are
+suppressed.  Words are told from random letters not by their shape but by how frequent their letters are in running text: the
+sum over all letters of the logarithm of frequency against chance must not be negative.  A URL ends at white space, a quote or another delimiter, and its user part, query
 and fragment are no host or path.  What base spans cover of a candidate is left out, and the rest is tested by itself.
 
 Defined results: a null text counts as empty and has no spans; no span gives the hash of
@@ -34,17 +35,21 @@ ASSIGN = re.compile(
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 KINDS = ("assign", "access", "hex", "entropy")
-WINDOW = 20
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
-#: Bits per character that a window of WINDOW characters must reach, by character class.
-THRESHOLDS = {"hex": 3.0, "lower": 3.7, "upper": 3.7, "digit": 2.9, "alnum": 3.7, "base64": 3.7}
+WINDOW = 16
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % WINDOW)
+#: Bits per character that a window of WINDOW characters must reach, by character class: of 24 random characters of the class, 95 % or
+#: more have such a window.
+THRESHOLDS = {"hex": 3.07, "lower": 3.32, "upper": 3.32, "digit": 2.7, "caseless": 3.45, "mixed": 3.62, "alnum": 3.62, "base64": 3.62}
+#: How often each letter comes in a thousand of running text in European languages, roughly; fixed values.
+LETTERS = dict(a=80, b=15, c=28, d=43, e=127, f=22, g=20, h=55, i=70, j=3, k=10, l=40, m=25, n=70, o=72, p=20, q=3, r=62, s=64, t=85, u=32, v=10, w=20, x=3, y=15, z=5)
 ALLOW = (
     re.compile(r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"),
-    re.compile(r"[-_/]*(?:[A-Z]?[a-z]{1,14}|[A-Z]{1,14})(?:[-_/]+(?:[A-Z]?[a-z]{1,14}|[A-Z]{1,14}))+[-_/]*"),
-    re.compile(r"[A-Z]?[a-z]{2,14}(?:[A-Z][a-z]{2,14})+"),
     re.compile(r"[0-9]{1,8}(?:[-/_][0-9]{1,8})+"),
     re.compile(r"=+|-+|_+|/+|\++"),
 )
+_TOKEN = r"(?:(?:[A-Z]?[a-z]+|[A-Z]+)(?:[A-Z][a-z]+)*[0-9]{0,3}|[0-9]{1,4})"
+WORDS = re.compile(rf"[-_/]*{_TOKEN}(?:[-_/]+{_TOKEN})*[-_/]*")
+_GAIN = {c: math.log2(n * 26 / sum(LETTERS.values())) for x, n in LETTERS.items() for c in (x, x.upper())}
 #: A URL from behind its scheme: user part, host and path, and what follows them.
 URL = re.compile(r"://((?:[^\s\"'`<>,;|\\^{}()\[\]/?#@]*@)?)([^\s\"'`<>,;|\\^{}()\[\]?#]*)")
 _STEP = [0.0] + [k * math.log2(k) for k in range(1, WINDOW + 1)]
@@ -57,8 +62,15 @@ def char_class(s: str) -> str:
     if all(c in "0123456789abcdef" for c in s) or all(c in "0123456789ABCDEF" for c in s):
         return "hex"
     if s.isalpha():
-        return "lower" if s.islower() else "upper" if s.isupper() else "base64" if len({c.islower() for c in s}) > 1 else "alnum"
-    return "alnum" if s.isalnum() else "base64"
+        return "lower" if s.islower() else "upper" if s.isupper() else "mixed"
+    if s.isalnum():
+        return "caseless" if s.islower() or s.isupper() else "alnum"
+    return "base64"
+
+
+def wordlike(s: str) -> bool:
+    """Words and short numbers joined by separators or capitals, with letters as frequent as in running text."""
+    return WORDS.fullmatch(s) is not None and sum(_GAIN.get(c, 0.0) for c in s) >= 0
 
 
 def entropies(s: str, window: int = WINDOW) -> list[float]:
@@ -107,7 +119,7 @@ def entropy_spans(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[in
     for m in CANDIDATE.finditer(text):
         for start, end in free_parts(m, taken):
             s = text[start:end]
-            if len(set(s)) < 8 or any(a.fullmatch(s) for a in ALLOW):  # fewer than 8 characters reach no threshold
+            if len(set(s)) < 6 or any(a.fullmatch(s) for a in ALLOW) or wordlike(s):  # fewer than 6 characters reach no threshold
                 continue
             urls = hosts_and_paths(text) if urls is None else urls
             at = bisect.bisect_right(urls, (start, len(text))) - 1
