@@ -18,8 +18,10 @@ distance and the sets' parity sketches let them match.  Neither test rules out a
 no link that would join two classes is lost, and a node of near copies costs one row each.
 
 Links are joined to classes by rounds of contraction on written tables.  A link never leaves
-its class, so all links are then counted inside the classes: a class is dealt to blocks, and
-every block meets every other once, where the common shingles of all pairs are counted exactly.
+its class, so all links are then counted inside the classes.  A class that is larger than a block is dealt to blocks by
+the distance of its texts from a centre, the shingles that most of a sample of them have.  By the triangle inequality whole
+blocks are linked with each other, or not at all, without a comparison; the others meet once, where the common
+shingles of all pairs are counted exactly.  So near copies of one text cost one row each, however many they are.
 
 Defined results: a null text counts as empty; a text of fewer than five words has its
 words as its only shingle; a text without words only equals others without words; repeated
@@ -35,7 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from casegrid.llm.common import NULL_ID, SPACES, did, hash_words, keyed, slices, table, work_dir, written
@@ -47,6 +49,8 @@ TREES, DEPTH, RECALL, SEED = 20, 9, 0.9995, 7
 BITS = 2048
 #: A class is dealt to blocks of about so many texts, or shingles, when its links are counted.
 BLOCK, BLOCK_SHINGLES = 2048, 1 << 20
+#: The centre of a class of several blocks is the majority of about so many of its texts, or shingles.
+SAMPLE, SAMPLE_SHINGLES = 64, 1 << 21
 _WIDTH = 2048
 
 
@@ -305,7 +309,7 @@ def _judged(docs: DataFrame, recall: float = RECALL, count: bool = True) -> Data
     roots = _roots(members, sets, path)
     smallest = roots.join(reps, "v").groupBy("root").agg(F.min(F.struct("did", "th")).alias("kept"))
     named = roots.join(smallest, "root").select("v", "kept")
-    named = named.join(degrees(sets, roots), "v") if count else named.withColumn("n", F.lit(0))
+    named = named.join(degrees(sets, roots, path), "v") if count else named.withColumn("n", F.lit(0))
     return ids.join(named, "v", "left").select(
         "did", "th", "rep", F.coalesce("kept.did", "rep").alias("root"), F.coalesce("n", F.lit(0)).cast("bigint").alias("n_links"),
         F.coalesce("kept.did", "rep").alias("kept_did"), F.coalesce("kept.th", "rep_th").alias("kept_th"),
@@ -358,15 +362,85 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield meet(rows, *at[1:])
 
 
-def degrees(sets: DataFrame, roots: DataFrame) -> DataFrame:
+def _centres(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """root, centre: the shingles that more than half of a class's sampled sets have."""
+    for batch in batches:
+        out = []
+        for own in batch.column("sets").to_pylist():
+            values, count = np.unique(np.concatenate([np.frombuffer(s, np.uint64) for s in own]), return_counts=True)
+            out.append(values[2 * count > len(own)].tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column("root"), pa.array(out, pa.binary())], names=["root", "centre"])
+
+
+def _unit(seed: int) -> Column:
+    """A number in [0, 1) by hash of v."""
+    return F.pmod(F.xxhash64(F.lit(seed), "v"), F.lit(1 << 30)) / (1 << 30)
+
+
+def _rings(texts: DataFrame, path: str, rows: int) -> DataFrame:
+    """v, root, d, own: the texts of large classes (v, s, root, and n, m, w of the class), dealt to blocks by the distance d
+    from the centre of their class.
+
+    The centre is any set; that it is the majority of about SAMPLE texts (fewer long ones) makes distances from it small.
+    Blocks follow each other by hundredths of d; a fuller hundredth is dealt to several by hash."""
+    most = F.least(F.lit(SAMPLE), F.greatest(F.lit(1), SAMPLE_SHINGLES * F.col("n") / F.col("m")))
+    sampled = texts.filter(_unit(1) * F.col("n") < most).groupBy("root").agg(F.collect_list("s").alias("sets"))
+    centres = written(sampled.mapInArrow(_centres, "root bigint, centre binary"), f"{path}/centres", rows // BLOCK)
+    # a class meets its centre in as many parts as it has blocks
+    parts = texts.select("root", F.ceil("w").alias("parts")).distinct()
+    spread = centres.join(parts, "root").select("root", F.col("centre").alias("t"), F.explode(F.sequence(F.lit(0), F.col("parts").cast("int") - 1)).alias("part"))
+    both = texts.withColumn("part", F.pmod(F.xxhash64("v"), F.ceil("w")).cast("int")).join(spread, ["root", "part"], "left")
+    both = both.select("v", F.col("root").alias("leader"), "s", F.coalesce("t", F.lit(bytearray())).alias("t"))
+    far = written(both.mapInArrow(_verified, "v bigint, leader bigint, d double").withColumnRenamed("leader", "root"), f"{path}/far", rows)
+    ring = F.floor(F.col("d") * 100).alias("ring")
+    per_text = texts.groupBy("root").agg(F.max(F.col("w") / F.col("n")).alias("each"))
+    rings = far.groupBy("root", ring).agg(F.count("*").alias("k")).join(per_text, "root").withColumn("share", F.col("k") * F.col("each"))
+    before = F.coalesce(F.sum("share").over(Window.partitionBy("root").orderBy("ring").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    rings = rings.select("root", "ring", "share", before.alias("before"))
+    own = F.floor(F.col("before") + F.col("share") * _unit(2)).cast("int").alias("own")
+    return written(far.withColumn("ring", ring).join(rings, ["root", "ring"]).select("v", "root", "d", own), f"{path}/dealt", rows)
+
+
+def _certain(dealt: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
+    """(v, n: partners that need no comparison; root, i, j: the blocks whose texts must be compared).
+
+    Jaccard distances obey the triangle inequality: two texts are linked if their distances from the centre sum to no more
+    than a link's, and are not if these differ by more.  Both are told of whole blocks by their least and greatest."""
+    most = 1 - THRESHOLD
+    blocks = dealt.groupBy("root", "own").agg(F.count("*").alias("k"), F.min("d").alias("lo"), F.max("d").alias("hi"))
+    one = blocks.select("root", *(F.col(c).alias(f"{c}_i") for c in ("own", "k", "lo", "hi")))
+    two = blocks.select("root", *(F.col(c).alias(f"{c}_j") for c in ("own", "k", "lo", "hi")))
+    apart = F.greatest(F.col("lo_j") - F.col("hi_i"), F.col("lo_i") - F.col("hi_j")) > most + 1e-9
+    met = one.join(two, "root").filter((F.col("own_i") <= F.col("own_j")) & ~apart)
+    met = written(met.withColumn("sure", F.col("hi_i") + F.col("hi_j") <= most - 1e-9), f"{path}/met")
+    sure, same = met.filter("sure"), F.col("own_i") == F.col("own_j")
+    sums = sure.select("root", F.col("own_i").alias("own"), (F.col("k_j") - same.cast("int")).alias("n")).unionByName(
+        sure.filter(~same).select("root", F.col("own_j").alias("own"), F.col("k_i").alias("n"))
+    )
+    counted = dealt.join(sums.groupBy("root", "own").agg(F.sum("n").alias("n")), ["root", "own"]).select("v", "n")
+    return counted, met.filter("not sure").select("root", F.col("own_i").alias("i"), F.col("own_j").alias("j"))
+
+
+def degrees(sets: DataFrame, roots: DataFrame, path: str) -> DataFrame:
     """v, n: how many other texts of its class each is linked with."""
-    named = sets.select("v", "s", "size").join(roots, "v")
-    blocks = named.groupBy("root").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("size") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    dealt = named.join(blocks, "root").withColumn("own", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    met = dealt.select("root", "v", "own", "s", other).select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "v", "own", "s")
+    named, rows = sets.select("v", "s", "size").join(roots, "v"), roots.count()
+    sizes = named.groupBy("root").agg(F.count("*").alias("n"), F.sum("size").alias("m"))
+    sizes = sizes.withColumn("w", F.greatest(F.col("n") / BLOCK, F.col("m") / BLOCK_SHINGLES))
+    large = written(sizes.filter("w > 1"), f"{path}/large", rows // BLOCK)
+    met = named.join(large, "root", "left_anti").select("root", F.lit(0).alias("i"), F.lit(0).alias("j"), "v", F.lit(0).alias("own"), "s")
+    counts = []
+    if not large.isEmpty():
+        texts = named.drop("size").join(large, "root")
+        dealt = _rings(texts, path, rows)
+        counted, compared = _certain(dealt, path)
+        ends = F.explode(F.array_distinct(F.array("i", "j"))).alias("own")
+        open_ = compared.select("root", "i", "j", ends).join(dealt.select("root", "own", "v"), ["root", "own"]).join(sets.select("v", "s"), "v")
+        met, counts = met.unionByName(open_.select(*met.columns)), [counted]
     met = met.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j")
-    return met.mapInArrow(_counted, "v bigint, n bigint").groupBy("v").agg(F.sum("n").alias("n"))
+    out = met.mapInArrow(_counted, "v bigint, n bigint")
+    for n in counts:
+        out = out.unionByName(n)
+    return out.groupBy("v").agg(F.sum("n").alias("n"))
 
 
 def classes(docs: DataFrame, recall: float = RECALL) -> DataFrame:

@@ -209,8 +209,37 @@ def test_ngram_join_counts_every_link(spark, monkeypatch):
     want = {d: sum(t != u and len(sets[t] & s) >= 0.8 * len(sets[t] | s) for u, s in sets.items()) for d, t in rows}
     d = spark.createDataFrame(rows, "doc_id bigint, text string")
     assert {r["did"]: r["n_links"] for r in ngram_join.classes(d).collect()} == want and len(set(want.values())) > 5
-    monkeypatch.setattr(ngram_join, "BLOCK", 20)
-    assert {r["did"]: r["n_links"] for r in ngram_join.classes(d).collect()} == want
+    for block, sample in ((20, 64), (7, 3)):
+        monkeypatch.setattr(ngram_join, "BLOCK", block)
+        monkeypatch.setattr(ngram_join, "SAMPLE", sample)
+        assert {r["did"]: r["n_links"] for r in ngram_join.classes(d).collect()} == want
+
+
+def test_ngram_join_counts_near_copies_without_comparing_them(spark, monkeypatch, tmp_path):
+    rng = random.Random(31)
+    base, rows = words(rng, 200), []
+    for i in range(400):
+        w = list(base)
+        for _ in range(i % 3):
+            w[rng.randrange(200)] = f"changed{rng.randrange(10**6)}"
+        if i % 40 == 0:  # far from the centre: linked with some only
+            w[:7] = [f"far{i}x{k}" for k in range(7)]
+            w[30 + i % 80] = w[90] = f"more{i}"
+        rows.append((i, ngram_join.shingles(" ".join(w)), 0))
+    rows = list({s.tobytes(): (v, s, r) for v, s, r in rows}.values())
+    monkeypatch.setattr(ngram_join, "BLOCK", 50)
+    table = spark.createDataFrame([(v, s.tobytes(), len(s)) for v, s, _ in rows], "v bigint, s binary, size int")
+    roots = spark.createDataFrame([(v, r) for v, _, r in rows], "v bigint, root bigint")
+    want = {v: sum(v != w and ngram_join.jaccard(s, t) >= 0.8 for w, t, _ in rows) for v, s, _ in rows}
+    assert {r["v"]: r["n"] for r in ngram_join.degrees(table, roots, str(tmp_path / "all")).collect()} == want
+    assert len(set(want.values())) > 3
+    near = [(v, s) for v, s, _ in rows if v % 40]
+    table = spark.createDataFrame([(v, s.tobytes(), len(s)) for v, s in near], "v bigint, s binary, size int")
+    whole = {"root": F.lit(0).cast("bigint"), "n": F.lit(len(near)), "m": F.lit(sum(len(s) for _, s in near)), "w": F.lit(len(near) / 50)}
+    dealt = ngram_join._rings(table.withColumns(whole), str(tmp_path / "near"), len(near))
+    counted, compared = ngram_join._certain(dealt, str(tmp_path / "near"))
+    assert compared.isEmpty() and counted.count() == len(near)
+    assert {r["v"]: r["n"] for r in counted.collect()} == {v: len(near) - 1 for v, _ in near}
 
 
 def test_ngram_join_texts_that_share_an_id(spark):
