@@ -16,8 +16,9 @@ the texts, written before the next block is broadcast, so what is broadcast is b
 
 Defined results: a null text counts as empty, and a text without words holds no item; items
 without words are ignored; repeated items are found once each by id; repeated rows get the
-same result each; without items nothing is contaminated; an empty table gives none; a
-null doc_id stays null.
+same result each; without items nothing is contaminated; very long
+texts are searched whole; an empty table gives none; a null doc_id stays null; all other
+columns, whatever their names, stay as they are.
 """
 
 from __future__ import annotations

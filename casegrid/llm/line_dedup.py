@@ -17,7 +17,8 @@ as rows in one task.
 Defined results: a null text counts as empty (one blank line); an earlier document is one
 with a smaller doc_id, null ids first; rows with the same id and text are one document and
 each gets its result; rows with the same id but another text are documents of the same
-rank, whose common chunks both stay; an empty table gives none; all other columns of the
+rank, whose common chunks both stay; very long texts
+are cut into chunks whole; of the places of a chunk in one text the first stays; an empty table gives none; all other columns of the
 documents, whatever their names, are returned as they are.
 """
 

@@ -27,7 +27,8 @@ Defined results: a null text counts as empty; a text of fewer than five words ha
 words as its only shingle; a text without words only equals others without words; repeated
 rows get the same result each; rows that share an id (or have none) but not their words are
 texts of their own, compared each; a null doc_id stays null and a class is named by its
-smallest id, nulls first; an empty table gives none; other columns are ignored here.
+smallest id, nulls first; very long texts are compared by all their shingles; an
+empty table gives none; other columns are ignored here.
 """
 
 from __future__ import annotations

@@ -26,6 +26,10 @@ from casegrid.llm.labelled import held_out, sample
 
 PER_CLASS, COSINES, RIDGE, WIDTH, SEED = 30_000, 256, 1e-3, 4.0, 11
 THRESHOLD = 0.5
+#: A statistic further than FAR deviations from its mean counts as that far: the cosines were fitted to nothing beyond.
+FAR = 6
+#: Calibration bins: so many to a unit of the ridge score, which is meant to be 0 or 1; all scores beyond LEAST and MOST share the outer bins.
+BINS, LEAST, MOST = 200, -2.0, 3.0
 _KINDS = {
     "upper": range(65, 91), "lower": range(97, 123), "digit": range(48, 58), "high": range(128, 256), "comma": b",", "stop": b".!?", "pipe": b"|",
     "symbol": b"#*$%&<>", "quote": b"\"'", "dash": b"-_", "bracket": b"()[]{}", "slash": b"/\\:;=@+", "newline": b"\n", "space": b" \t\r\x0b\x0c",
@@ -66,11 +70,14 @@ class Model:
     knots: tuple[np.ndarray, np.ndarray] = (np.array([0.0]), np.array([0.5]))
 
     def cosines(self, x: np.ndarray) -> np.ndarray:
-        z = np.clip((x - self.mean) / self.scale, -6, 6)
-        return np.hstack([np.sqrt(2 / COSINES) * np.cos(z @ self.waves + self.shift), z / 10, np.ones((len(z), 1))])
+        z = np.clip((x - self.mean) / self.scale, -FAR, FAR)
+        angles = np.tile(self.shift, (len(z), 1))
+        for k, wave in enumerate(self.waves):  # sums in this order for each row; those of a product differ with the rows around it
+            angles += z[:, k, None] * wave
+        return np.hstack([np.sqrt(2 / COSINES) * np.cos(angles), z / 10, np.ones((len(z), 1))])
 
     def raw(self, x: np.ndarray) -> np.ndarray:
-        return self.cosines(x) @ self.theta
+        return (self.cosines(x) * self.theta).sum(1)
 
     def score(self, x: np.ndarray) -> np.ndarray:
         if self.theta is None or not len(x):
@@ -127,7 +134,7 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = 3, remainder: int = 1
     total = sum((np.frombuffer(r["m"]).reshape(k, k + 1) for r in features.coalesce(16).mapInArrow(equations, "m binary").collect()), np.zeros((k, k + 1)))
     model.theta = np.linalg.solve(total[:, :k] + RIDGE * n * np.eye(k) / 10, total[:, k])
     scored = map_columns(apart, lambda b: {"y": b.column("y"), "s": model.raw(np.array(b.column("x").to_pylist()).reshape(-1, N_STATS))}, "y int, s double")
-    bins = scored.groupBy(F.floor(F.greatest(F.lit(-2.0), F.least(F.lit(3.0), F.col("s"))) * 200).alias("b")).agg(F.avg("s").alias("s"), F.avg("y").alias("y"), F.count("*").alias("n")).orderBy("b").collect()
+    bins = scored.groupBy(F.floor(F.greatest(F.lit(LEAST), F.least(F.lit(MOST), F.col("s"))) * BINS).alias("b")).agg(F.avg("s").alias("s"), F.avg("y").alias("y"), F.count("*").alias("n")).orderBy("b").collect()
     model.knots = isotonic(*(np.array([r[c] for r in bins], float) for c in ("s", "y", "n")))
     return model
 

@@ -22,8 +22,8 @@ beyond a row; so no group is gathered in one task's memory.
 
 Defined results: a null text counts as empty; null doc_ids come before all others; rows with the
 same id and text are one document and each gets its result; rows with the same id (or none) but
-another text are documents of their own, ordered by a hash of the text; an empty table
-gives none; columns other than doc_id and text are ignored.
+another text are documents of their own, ordered by a hash of the text; very long
+texts are judged whole; of equal strings the earliest stays; an empty table gives none; columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
