@@ -137,3 +137,23 @@ def test_byte_bpe_of_a_very_long_text_decodes(spark, long_words):
     text = " ".join(long_words[:50_000]) + "\n" + "é😀" * 50_000
     got = bpe.encode(spark.createDataFrame([(1, text)], DOCS), digest=True).first()
     assert got["decoded_sha256"] == hashlib.sha256(text.encode()).hexdigest()
+
+
+def test_latent_search_by_itself(spark, monkeypatch):
+    """With the vectors of the given texts and no word pairs, nearly all items are found of which a tenth of the words is replaced."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").filter("text is not null")
+    space, rng = decontaminate.latent_space(docs), random.Random(5)
+    hosts = [t for t in (r["text"].split() for r in docs.orderBy("doc_id").select("text").collect()) if 150 < len(t) < 400]
+    bag = [w for t in hosts for w in t]
+    items = [(i, " ".join(hosts[i % len(hosts)][20 : 20 + (24, 40, 60)[i % 3]])) for i in range(60)]
+    texts = []
+    for _, t in items:
+        w = t.split()
+        for k in rng.sample(range(len(w)), len(w) // 10):
+            w[k] = rng.choice(bag)
+        host = rng.choice(hosts)
+        texts.append(" ".join([*host[:60], *w, *host[60:120]]))
+    none = np.empty((0, 3), np.int64)
+    monkeypatch.setattr(decontaminate, "by_pairs", lambda h, begin, items: (none, none))
+    got = decontaminate.found(texts, space, decontaminate.prepared(items, space))
+    assert sum(i in g for i, g in enumerate(got)) >= 54
