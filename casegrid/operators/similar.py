@@ -1,11 +1,15 @@
-"""Joins of names that are alike, by indexes in place of all pairs."""
+"""Joins of names that are alike: sets of words by an index, approximate names by signatures of their letter pairs."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from casegrid.functions.text import edits_allowed, near
+from casegrid.plans.tables import written
 
 
 def _rare_first(a: DataFrame, b: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -43,33 +47,166 @@ def similar_sets(a: DataFrame, b: DataFrame, threshold: float, within: str = "ru
     return pairs.withColumn("similarity", both / (F.col("n") + F.col("m") - both)).filter(F.col("similarity") >= threshold).select("a", "b", "similarity")
 
 
-def _pieces(p: Column, k: Column) -> Column:
-    """``p`` cut into k + 1 parts of nearly equal length."""
-    n, parts = F.length(p), k + 1
-    at = lambda i: F.floor(i * n / parts).cast("int")
-    return F.transform(F.sequence(F.lit(0), k), lambda i: F.substring(p, at(i) + 1, at(i + 1) - at(i)))
-
-
-#: A pattern of n letters has ceil(share * n) + 1 pieces, so none is longer than 1 / share.
-def near_pairs(patterns: DataFrame, texts: DataFrame, share: float = 0.2) -> DataFrame:
-    """(pattern, text) of the distinct strings of two one-column tables of which some part of the text is within
-    ceil(share * length) edits of the pattern, without regard to case.  k edits leave one of k + 1 pieces of the pattern as it is, so
-    pieces meet the texts' substrings of their length, and what meets is verified.  A pattern of which every letter may
-    be edited meets all texts, as it does by definition."""
-    p = patterns.select(F.col(patterns.columns[0]).alias("pattern")).filter("pattern is not null").distinct()
-    x = texts.select(F.col(texts.columns[0]).alias("text")).filter("text is not null").distinct()
-    low, k = F.lower("pattern"), edits_allowed(F.col("pattern"), share)
-    keys = p.select("pattern", k.alias("k"), F.explode(F.array_distinct(_pieces(low, k))).alias("piece"))
-    longest = int(1 / share)
-    ends = F.sequence(F.lit(0), F.least(F.lit(longest), F.length("text")))
-    grams = F.flatten(F.transform(ends, lambda n: F.transform(F.sequence(F.lit(1), F.length("text") - n + 1), lambda i: F.substring(F.lower("text"), i, n))))
-    index = x.select("text", F.explode(F.array_distinct(grams)).alias("piece"))
-    met = keys.join(index, "piece").filter(F.length("text") + F.col("k") >= F.length("pattern")).select("pattern", "text").distinct()
-    return met.filter(near(F.col("pattern"), F.col("text"), share))
+#: Strings of each side that a task compares at once, and the parts into which fewer are still dealt.
+BLOCK, PARTS = 16_384, 8
+#: The longest pattern whose column of an edit table fits the bits of a long.
+BITS = 64
+#: Pairs whose signatures are compared at a time, and entries of a table of letters.
+AT_A_TIME = 1 << 20
+
+
+def _points(low: list[str]) -> np.ndarray:
+    return np.frombuffer("".join(low).encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+class _Strings:
+    """Strings of one side: letters one after the other as numbers in an alphabet, and per string where they begin, how many there
+    are, the edits it allows as a pattern and its signatures."""
+
+    def __init__(self, low: list[str], share: float, alphabet: np.ndarray) -> None:
+        self.low, self.alphabet = low, len(alphabet)
+        self.size = np.array([*map(len, low)], np.int64)
+        self.at = np.cumsum(self.size) - self.size
+        self.edits = np.ceil(self.size * share).astype(np.int64)
+        self.letters = np.searchsorted(alphabet, _points(low))
+        owner = np.repeat(np.arange(len(low)), self.size)
+        two = np.flatnonzero(owner[1:] == owner[:-1])
+        mixed = (self.letters[two] * 0x9E3779B1 + self.letters[two + 1] * 0x85EBCA77) * 0x27D4EB2F >> 15
+        self.pairs = np.zeros((2, len(low)), np.uint64)
+        np.bitwise_or.at(self.pairs, (mixed >> 6 & 1, owner[two]), np.uint64(1) << (mixed & 63).astype(np.uint64))
+        # a bit for each of the first three letters of each of 21 kinds
+        kind = owner * 21 + self.letters % 21
+        order = np.argsort(kind, kind="stable")
+        first = np.r_[True, kind[order][1:] != kind[order][:-1]][: len(order)]
+        nth = np.arange(len(order)) - np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))
+        seen = order[nth < 3]
+        self.counts = np.zeros(len(low), np.uint64)
+        np.bitwise_or.at(self.counts, owner[seen], np.uint64(1) << (self.letters[seen] % 21 * 3 + nth[nth < 3]).astype(np.uint64))
+        # each edit takes away two pairs of letters at most
+        self.least = np.maximum(np.bitwise_count(self.pairs).sum(axis=0, dtype=np.int64) - 2 * self.edits, 0).astype(np.uint8)
+        self.most = np.minimum(self.edits, 64).astype(np.uint8)
+
+
+def _least_edits(p: str, x: str) -> int:
+    """As ``_within``, of one pattern of any length."""
+    full, eq = (1 << len(p)) - 1, {}
+    for i, c in enumerate(p):
+        eq[c] = eq.get(c, 0) | 1 << i
+    up, down, score, best = full, 0, len(p), len(p)
+    for c in x:
+        e = eq.get(c, 0)
+        level = ((e & up) + up ^ up) | e
+        more, less = down | full & ~(level | up), up & level
+        score += (more >> len(p) - 1 & 1) - (less >> len(p) - 1 & 1)
+        best = min(best, score)
+        more, less = more << 1 & full, less << 1 & full
+        up, down = less | full & ~(e | down | more), more & (e | down)
+    return best
+
+
+def _within(p: _Strings, x: _Strings, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether pattern ``i`` of ``p`` is within its edits of some part of text ``j`` of ``x``, for each of the pairs.  One column of the
+    edit table is two words of bits, where it rises and where it falls from row to row; the last row is the highest bit, and rows
+    below a shorter pattern match any letter."""
+    out = np.zeros(len(i), bool)
+    long = p.size[i] > BITS
+    for n in np.flatnonzero(long):
+        out[n] = _least_edits(p.low[i[n]], x.low[j[n]]) <= p.edits[i[n]]
+    todo = np.flatnonzero(~long)
+    todo = todo[np.argsort(-x.size[j[todo]].astype(np.int32), kind="stable")]
+    i, j = i[todo], j[todo]
+    if not len(i):
+        return out
+    used = np.zeros(len(p.low), bool)
+    used[i] = True
+    own = np.flatnonzero(used)
+    row = (np.cumsum(used) - 1)[i]
+    place = np.repeat(p.at[own] - np.cumsum(p.size[own]) + p.size[own], p.size[own]) + np.arange(p.size[own].sum())
+    seen = np.zeros(p.alphabet, bool)
+    seen[p.letters[place]] = True
+    alphabet = np.flatnonzero(seen)
+    number = np.full(p.alphabet, len(alphabet))
+    number[alphabet] = np.arange(len(alphabet))
+    if len(own) > 1 and len(own) * (len(alphabet) + 1) > 8 * AT_A_TIME:
+        half = row < len(own) // 2
+        for part in (half, ~half):
+            out[todo[part]] = _within(p, x, i[part], j[part])
+        return out
+    word = np.int32 if p.size[own].max() <= 32 else np.int64
+    width = word(0).nbytes * 8
+    unsigned = np.uint32 if width == 32 else np.uint64
+    bit = np.repeat(width - p.size[own], p.size[own]) + place - np.repeat(p.at[own], p.size[own])
+    masks = np.zeros((len(own), len(alphabet) + 1), unsigned)
+    np.bitwise_or.at(masks, (np.repeat(np.arange(len(own)), p.size[own]), number[p.letters[place]]), unsigned(1) << bit.astype(unsigned))
+    below = np.where(p.size[own] < width, (unsigned(1) << (width - p.size[own]).astype(unsigned)) - unsigned(1), unsigned(0)).astype(unsigned)
+    masks = (masks | below[:, None]).view(word)
+    code = number[x.letters]
+    flat, row, at = masks.ravel(), row * masks.shape[1], x.at[j]
+    up, down = (~below).view(word)[row // masks.shape[1]], np.zeros(len(i), word)
+    score = p.size[i].astype(word)
+    best = score.copy()
+    sizes = -x.size[j]
+    for t in range(int(-sizes[0])):
+        n = int(np.searchsorted(sizes, -t))  # the pairs whose text has a letter more
+        e, u, d = flat[row[:n] + code[at[:n] + t]], up[:n], down[:n]
+        level = (((e & u) + u) ^ u) | e
+        more, less = d | ~(level | u), u & level
+        score[:n] += (less >> (width - 1)) - (more >> (width - 1))
+        np.minimum(best[:n], score[:n], out=best[:n])
+        more, less = more << 1, less << 1
+        e |= d
+        up[:n], down[:n] = less | ~(e | more), more & e
+    out[todo] = best <= p.edits[i]
+    return out
+
+
+def _alike(a: _Strings, b: _Strings) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs of which one is in the other, a few rows of ``a`` at a time."""
+    step = max(1, AT_A_TIME // max(1, len(b.low)))
+    for k in range(0, len(a.low), step):
+        rows = slice(k, k + step)
+        both = np.bitwise_count(a.pairs[0, rows, None] & b.pairs[0])
+        both += np.bitwise_count(a.pairs[1, rows, None] & b.pairs[1])
+        one = (both >= a.least[rows, None]) & (np.bitwise_count(a.counts[rows, None] & ~b.counts) <= a.most[rows, None])
+        two = (both >= b.least) & (np.bitwise_count(~a.counts[rows, None] & b.counts) <= b.most)
+        i, j = np.divmod(np.flatnonzero(one | two), len(b.low))
+        one, two, i = one[i, j], two[i, j], i + k
+
+        def holds(p: _Strings, x: _Strings, m: np.ndarray, n: np.ndarray) -> np.ndarray:
+            may = (np.minimum(p.size[m], x.size[n]) > 0) & (x.size[n] + p.edits[m] >= p.size[m])
+            may[may] = _within(p, x, m[may], n[may])
+            return may | (p.size[m] == 0) & (x.size[n] == 0)
+
+        one[one] = holds(a, b, i[one], j[one])
+        two &= ~one
+        two[two] = holds(b, a, j[two], i[two])
+        yield i[one | two], j[one | two]
 
 
 def approximate_join(a: DataFrame, b: DataFrame, share: float = 0.2) -> DataFrame:
-    """(a, b) of distinct strings of which one is in the other up to ``share`` of its length in edits, either way round."""
-    one = near_pairs(a, b, share).toDF("a", "b")
-    two = near_pairs(b, a, share).toDF("b", "a").select("a", "b")
-    return one.unionByName(two).distinct()
+    """(a, b) of the distinct strings of two one-column tables of which one is in the other up to ceil(share * length) edits, either way
+    round, without regard to case.
+
+    Both sides are dealt to blocks, and every block of one meets every block of the other in a group of its own, which holds BLOCK
+    strings of each side at most.  k edits leave all but 2 k of a pattern's pairs of letters as they are, so words of bits, a bit
+    for some pairs of letters each, tell most strings apart at once; edits are counted only for the others."""
+    sides = [written(df.select(F.col(df.columns[0]).alias("name")).filter("name is not null").distinct()) for df in (a, b)]
+    parts = [max(-(-n // BLOCK), min(PARTS, -(-n // 256)), 1) for n in (df.count() for df in sides)]
+
+    def dealt(side: int) -> DataFrame:
+        own, other = F.pmod(F.xxhash64("name"), F.lit(parts[side])), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(parts[1 - side] - 1).cast("bigint")))
+        names = (own.alias("i"), other.alias("j")) if side == 0 else (other.alias("i"), own.alias("j"))
+        return sides[side].select("name", F.lower("name").alias("low"), F.lit(side).alias("side"), *names)
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches([*batches])
+        mine = [rows.filter(pa.compute.equal(rows.column("side"), k)).combine_chunks() for k in (0, 1)]
+        names, low = [m.column("name") for m in mine], [m.column("low").to_pylist() for m in mine]
+        alphabet = np.unique(_points(low[0] + low[1]))
+        strings = [_Strings(x, share, alphabet) for x in low]
+        if strings[0].low and strings[1].low:
+            for i, j in _alike(*strings):
+                yield pa.RecordBatch.from_arrays([c.take(pa.array(n)).combine_chunks() for c, n in zip(names, (i, j), strict=True)], ["a", "b"])
+
+    groups = dealt(0).unionByName(dealt(1)).repartition(min(parts[0] * parts[1], 2_000), "i", "j").groupBy("i", "j")
+    return groups.applyInArrow(compared, "a string, b string")

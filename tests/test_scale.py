@@ -139,6 +139,27 @@ def test_approximate_join(spark):
     assert len(rows) == len(set(rows)) and set(rows) == want
 
 
+def test_no_row_for_each_pair_that_shares_a_piece(spark):
+    """Names meet in blocks; the plan joins nothing, and a piece that all names have adds no rows."""
+    a = spark.createDataFrame([(f"{i:04d}tion{i * 7919 % 10007:05d}",) for i in range(600)], "name string")
+    joined = similar.approximate_join(a, a.select(F.concat("name", F.lit("x"))))
+    assert "Join" not in joined._jdf.queryExecution().toString()
+    assert {(r.a, r.b) for r in joined.collect() if r.b == r.a + "x"} == {(r.name, r.name + "x") for r in a.collect()}
+
+
+@pytest.mark.parametrize("at_a_time", [1, 40, 1 << 20])
+def test_blocks_of_names_against_all_edits(monkeypatch, at_a_time):
+    monkeypatch.setattr(similar, "AT_A_TIME", at_a_time)
+    rng = random.Random(at_a_time)
+    name = lambda: "".join(rng.choice("abcdé 𝒳\0") for _ in range(rng.choice([0, 1, 2, 4, 6, 10, 15, 31, 32, 33, 63, 64, 65, 80])))
+    a = [*{name() for _ in range(50)}, ""]
+    b = [x[: len(x) // 2] + rng.choice(["", "zz", "é"]) + x[len(x) // 2 + rng.randint(0, 3) :] for x in a[:30]] + [name() for _ in range(30)] + ["", ""]
+    alphabet = np.unique(similar._points(a + b))
+    found = [(a[i], b[j], i, j) for m, n in similar._alike(*(similar._Strings(x, 0.2, alphabet) for x in (a, b))) for i, j in zip(m.tolist(), n.tolist(), strict=True)]
+    want = {(i, j) for i, x in enumerate(a) for j, y in enumerate(b) if is_near(x, y) or is_near(y, x)}
+    assert len(found) == len({(i, j) for *_, i, j in found}) and {(i, j) for *_, i, j in found} == want
+
+
 def test_search_of_many_words(spark):
     rng = random.Random(5)
     docs = {d: [("".join(rng.choice("ab ") for _ in range(rng.randint(0, 40)))) for _ in range(5)] for d in range(6)}
