@@ -23,15 +23,20 @@ def usable(df: DataFrame, c: str) -> Column:
     return some(c) if dict(df.dtypes)[c] == "string" else F.col(c).isNotNull()
 
 
+def first_usable(df: DataFrame, columns: list[str]) -> list[Column]:
+    """Of a group's rows each column's usable value of the smallest row number, or the value, usable or not, of the smallest."""
+
+    def first(c: str) -> Column:
+        ok = usable(df, c)
+        return F.coalesce(F.min_by(F.when(ok, F.col(c)), F.when(ok, F.col("row_idx"))), F.min_by(c, "row_idx")).alias(c)
+
+    return [first(c) for c in columns]
+
+
 def merge_duplicates(df: DataFrame, by: tuple[str, ...] = (), numbered: bool = False) -> DataFrame:
     """One row per person: rows with equal normalised name and onset date, or without a name equal case_id, are merged and
     every column takes its first usable value in row order.  Needs ``row_idx``, of which the smallest is kept if ``numbered``;
     citations are left out."""
     df = keyed(df)
     columns = [c for c in df.columns if c not in ("row_idx", "citations", "dedupe_key", *by)]
-
-    def first(c: str):
-        ok = usable(df, c)
-        return F.coalesce(F.min_by(F.when(ok, F.col(c)), F.when(ok, F.col("row_idx"))), F.min_by(c, "row_idx")).alias(c)
-
-    return df.groupBy(*by, "dedupe_key").agg(*map(first, columns), *([F.min("row_idx").alias("row_idx")] if numbered else [])).drop("dedupe_key")
+    return df.groupBy(*by, "dedupe_key").agg(*first_usable(df, columns), *([F.min("row_idx").alias("row_idx")] if numbered else [])).drop("dedupe_key")

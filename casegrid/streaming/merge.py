@@ -2,59 +2,23 @@
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
-from typing import Any
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
-from pyspark.sql.types import StructType
+from pyspark.sql.streaming import StreamingQuery
 
-from casegrid.operators.dedupe import keyed, usable
+from casegrid.operators.dedupe import first_usable, keyed
 
-#: Spark's state store for processors with state of their own.
+#: Spark's state store that keeps what it holds on disk.
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-class FirstUsable(StatefulProcessor):
-    """Per person, for each column: the usable value of the smallest row number, and the value, usable or not, of the smallest."""
-
-    def __init__(self, keys: list[str], columns: list[str]) -> None:
-        self.keys, self.columns = keys, columns
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("case", "kept string")
-
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        kept = json.loads(self.state.get()[0]) if self.state.exists() else {"row_idx": None, "good": {}, "any": {}}
-        for p in rows:
-            for r in p.astype(object).where(p.notna(), None).to_dict("records"):
-                at = int(r["row_idx"])
-                kept["row_idx"] = at if kept["row_idx"] is None else min(at, kept["row_idx"])
-                for c in self.columns:
-                    for name, ok in (("good", c in r["usable"]), ("any", True)):
-                        if ok and (c not in kept[name] or at < kept[name][c][1]):
-                            kept[name][c] = [r[c], at]
-        self.state.update((json.dumps(kept),))
-        values = {c: (kept["good"].get(c) or kept["any"][c])[0] for c in self.columns}
-        yield pd.DataFrame([{**dict(zip(self.keys, key)), "row_idx": kept["row_idx"], **values}])
-
-    def close(self) -> None:
-        pass
-
-
 def merged_rows(rows: DataFrame, by: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """A streaming DataFrame with each person's row as it is after the micro-batch, whenever it may have changed: by, dedupe_key,
-    row_idx (the smallest) and the columns.  Columns are strings or numbers; needs ``row_idx``; citations are left out."""
+    row_idx (the smallest) and the columns.  The state is that of Spark's own aggregates; needs ``row_idx``; citations are left out."""
     rows = keyed(rows.drop("citations")).withColumn("row_idx", F.col("row_idx").cast("bigint"))
     keys = [*by, "dedupe_key"]
     columns = [c for c in rows.columns if c not in (*keys, "row_idx")]
-    rows = rows.withColumn("usable", F.array_compact(F.array(*(F.when(usable(rows, c), F.lit(c)) for c in columns))))
-    types = {f.name: f for f in rows.schema}
-    out = StructType([types[c] for c in (*keys, "row_idx", *columns)])
-    return rows.groupBy(*keys).transformWithStateInPandas(statefulProcessor=FirstUsable(keys, columns), outputStructType=out, outputMode="Update", timeMode="None")
+    return rows.groupBy(*keys).agg(F.min("row_idx").alias("row_idx"), *first_usable(rows, columns))
 
 
 def write_merged(rows: DataFrame, path: str, checkpoint: str, by: tuple[str, ...] = ("doc_id",)) -> StreamingQuery:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime
+import decimal
 import itertools
 import json
 import math
@@ -376,6 +378,19 @@ def test_merging_a_stream_is_merging_the_table(spark, tmp_path, cuts):
     assert Counter(map(tuple, got.select(columns).collect())) == want
 
 
+def test_merging_a_stream_needs_no_python(spark, tmp_path):
+    """Nor does it turn values into text: dates and decimals are kept as they are."""
+    row = (1, 0, "a1", "Ann Lee", None, datetime.date(2026, 1, 2), decimal.Decimal("1.5"))
+    df = spark.createDataFrame([row, (*row[:1], 1, *row[2:4], "01/01/2026", None, None), (*row[:1], 2, *row[2:5], None, decimal.Decimal("9"))], "doc_id int, row_idx bigint, case_id string, name string, onset_date string, seen date, dose decimal(5,1)")
+    df.write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in")
+    plan = merge.merged_rows(stream)._jdf.queryExecution().logical().toString()
+    assert "TransformWithState" not in plan and "Python" not in plan and "Pandas" not in plan
+    merge.write_merged(stream, f"{tmp_path}/out", f"{tmp_path}/check").awaitTermination(180)
+    got = sorted(map(tuple, merge.read_merged(spark, f"{tmp_path}/out").select("row_idx", "onset_date", "seen", "dose").collect()))
+    assert got == [(0, None, datetime.date(2026, 1, 2), decimal.Decimal("1.5")), (1, "01/01/2026", None, None)]
+
+
 def pdf_file(pages, packed=False, cmap=b""):
     """A file of pages of content streams; ``packed`` puts all other objects into a compressed stream."""
     stream = lambda head, data: b"<< %s /Length %d >>\nstream\n%s\nendstream" % (head, len(data), data)
