@@ -51,6 +51,12 @@ def list_cell(c: Column | str) -> Column:
 def parse_responses(df: DataFrame, response: str = "response") -> DataFrame:
     """The rows (columns of a line list, and row_idx from 0) in each response, beside the other columns of ``df``."""
     rest = [c for c in df.columns if c != response]
-    rows = df.select(*rest, F.from_json(_array(repaired(candidate(response))), _JSON).alias("rows")).select(*rest, F.posexplode("rows").alias("row_idx", "r"))
+    # a column for each step: every one names the one before several times, and Spark would work out the first for each
+    json = "_json"
+    while json in df.columns:
+        json += "_"
+    steps = df.select(*rest, candidate(response).alias(json)).withColumn(json, repaired(F.col(json))).withColumn(json, _array(F.col(json)))
+    # the outer form, since the inner one reads the JSON beforehand to see whether there are rows
+    rows = steps.select(*rest, F.posexplode_outer(F.from_json(json, _JSON)).alias("row_idx", "r")).filter("row_idx is not null")
     typed = {"case_id": F.upper(F.col("r.case_id")), "age": F.col("r.age").try_cast("double"), **{c: list_cell(f"r.{c}") for c in LIST_COLUMNS}}
     return rows.select(*rest, "row_idx", *(typed.get(c, F.col(f"r.{c}")).alias(c) for c in COLUMNS))

@@ -21,8 +21,9 @@ import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
+from casegrid import schema
 from casegrid.functions import text
-from casegrid.operators import client, dedupe, intervals, joins, match, needles, provenance, quantiles, ranks, records, similar
+from casegrid.operators import client, dedupe, extract, intervals, joins, match, needles, provenance, quantiles, ranks, records, similar
 from casegrid.plans import fixtures, pipeline
 from casegrid.sources import document_source, files
 from casegrid.sources.pdf import page_texts
@@ -453,6 +454,15 @@ def test_lists_are_read_anew(spark, tmp_path):
     assert [r.name for r in fixtures.lists(spark, str(tmp_path))[1].collect()] == ["clara doria"]
 
 
+def test_a_response_is_searched_once(spark):
+    """Each pattern stands once in the plan; columns named like the parser's own, nulls and null items come through."""
+    rows = [(1, "a", '<linelist>[null, {"case_id":"x1"}]</linelist>'), (2, "b", None), (3, "c", "<linelist>[]</linelist>"), (4, "d", "none"), (5, "e", '```json\n{"linelist":[{"case_id":"x2"}]}\n```')]
+    df = extract.parse_responses(spark.createDataFrame(rows, "doc_id int, _json string, response string"))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 4 and plan.count("from_json") <= 1 + len(schema.LIST_COLUMNS)
+    assert {(r.doc_id, r._json, r.row_idx, r.case_id) for r in df.collect()} == {(1, "a", 0, None), (1, "a", 1, "X1"), (5, "e", 0, "X2")}
+
+
 def test_records_that_have_no_match(spark):
     a = spark.createDataFrame([("A",), (None,), ("B",)], "case_id string")
     assert [r.case_id for r in records.unmatched(a, a.filter("case_id = 'A' or case_id is null")).collect()] == ["B"]
