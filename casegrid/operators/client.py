@@ -189,8 +189,10 @@ BLOCKS = "array<struct<text:string,start:int,end:int,citations:array<struct<cite
 
 
 ANSWER = f"key string, response string, blocks {BLOCKS}, prompt_tokens bigint, completion_tokens bigint, status string, error string"
-#: Prompts that one job answers before its answers are in the ledger, and calls at once in a task.
+#: Prompts whose answers are not yet in the ledger, of all tasks that run together, and calls at once in a task.
 EVERY, AT_ONCE = 1_000, 4
+#: Jobs that the prompts of one run are dealt to at most, and prompts that a task takes at least for each of its calls at once.
+JOBS, LEAST = 16, 16
 
 
 def _answered(asked: DataFrame, call: Callable[[dict], dict], ledger: str, every: int, at_once: int) -> DataFrame:
@@ -223,10 +225,17 @@ def _answered(asked: DataFrame, call: Callable[[dict], dict], ledger: str, every
     had = known()
     left = asked if had is None else asked.join(had.filter("status = 'ok'").select("key"), "key", "left_anti")
     left = written(left)
-    rounds = -(-left.count() // every)
-    for r in range(rounds):
-        part = left.filter(F.pmod(F.xxhash64("key"), F.lit(rounds)) == r)
-        part.mapInPandas(run, ANSWER).write.mode("append").parquet(ledger)
+    jobs, path = min(-(-left.count() // every), JOBS), new_path(spark)
+    if jobs:
+        # a folder for each job, so that none reads the prompts of the others
+        left.withColumn("_job", F.pmod(F.xxhash64("key"), F.lit(jobs))).repartition(jobs, "_job").write.partitionBy("_job").parquet(path)
+        sizes = spark.read.parquet(path).groupBy("_job").count().orderBy("_job").collect()
+        share = max(every // spark.sparkContext.defaultParallelism, LEAST * at_once)
+        for job, n in sizes:
+            part, tasks = spark.read.schema(left.schema).parquet(f"{path}/_job={job}"), -(-n // share)
+            part = part.repartition(tasks, "key") if tasks > 1 else part.coalesce(1)
+            # by this version of Hadoop's committer the answers of a task are in the ledger when it ends, whatever becomes of the others
+            part.mapInPandas(run, ANSWER).write.mode("append").option("mapreduce.fileoutputcommitter.algorithm.version", "2").parquet(ledger)
     had = known()
     if had is None:
         return spark.createDataFrame([], ANSWER)
@@ -264,9 +273,9 @@ def call_model(prompts: DataFrame, client: Client, provider: str, model: str | N
     provider.  If not ``raw`` a prompt is a document that is bound to the bundled template.  Before any job starts an HTTP client
     needs its environment variables, and for an external provider approval.
 
-    Answers go to ``ledger``, a folder that all executors share, under a hash of provider, model and prompt, ``every`` prompts a
-    job with ``at_once`` calls at a time in each task.  What it has answered is not asked again, so a run that was stopped goes on
-    where it stood, but for the job that ran then.  A prompt that is null or blank, and a call that fails, is a failed row and stops no other;
+    Answers go to ``ledger``, a folder that all executors share, under a hash of provider, model and prompt, whenever a task ends; tasks
+    that run together have about ``every`` prompts (LEAST for each call at a time, if that is more), with ``at_once`` calls at a
+    time in each.  What it has answered is not asked again, so a run that was stopped goes on where it stood, but for the tasks that ran then.  A prompt that is null or blank, and a call that fails, is a failed row and stops no other;
     the next run with this ledger asks it again."""
     if isinstance(client, HttpClient):
         require_approval(provider, approved)

@@ -270,6 +270,27 @@ def test_a_stopped_run_goes_on_and_asks_once(spark, tmp_path):
     assert Counter(log.read_text().splitlines()) == calls
 
 
+def test_jobs_do_not_grow_with_the_prompts(spark, tmp_path):
+    prompts = spark.createDataFrame([(i, f"prompt {i}") for i in range(60)], "doc_id int, prompt string")
+    out = client.call_model(prompts, client.FakeClient(), "ollama", ledger=f"file://{tmp_path}/ledger", every=2)
+    assert out.filter("status = 'ok'").count() == 60
+    assert 1 < len({f.name.split("-", 2)[2] for f in (tmp_path / "ledger").glob("part-*")}) <= 16
+
+
+def test_a_task_that_ended_is_in_the_ledger(spark, tmp_path, monkeypatch):
+    """Also when the job that it belongs to is stopped."""
+    monkeypatch.setattr(client, "JOBS", 1)
+    prompts = spark.createDataFrame([(i, f"prompt {i}") for i in range(400)], "doc_id int, prompt string")
+    log, ledger = tmp_path / "log", f"file://{tmp_path}/ledger"
+    with pytest.raises(Exception):  # noqa: B017, PT011  the job that the client stops
+        client.call_model(prompts, Counting(log, stop=250), "ollama", ledger=ledger, every=16, at_once=1)
+    known = {r.response for r in spark.read.schema(client.ANSWER).parquet(ledger).filter("status = 'ok'").collect()}
+    out = client.call_model(prompts, Counting(log), "ollama", ledger=ledger, every=16, at_once=1)
+    assert {r.response for r in out.collect()} == {f"PROMPT {i}" for i in range(400)}
+    calls = Counter(log.read_text().splitlines())
+    assert len(known) > 100 and all(calls[k.lower()] == 1 for k in known)
+
+
 def test_a_call_that_fails_is_a_row(spark, tmp_path):
     prompts = spark.createDataFrame([(1, "good"), (2, "bad"), (3, " "), (4, None)], "doc_id int, prompt string")
     ledger = f"file://{tmp_path}/ledger"
