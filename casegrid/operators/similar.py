@@ -1,14 +1,16 @@
-"""Joins of names that are alike: sets of words by an index, approximate names by signatures of their letter pairs."""
+"""Joins of names that are alike: sets of words by an index, approximate names by trees of their letters."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from casegrid.operators.tries import LONGEST, LONGEST_TEXT, MOST, Patterns
 from casegrid.plans.tables import written
 
 
@@ -47,8 +49,8 @@ def similar_sets(a: DataFrame, b: DataFrame, threshold: float, within: str = "ru
     return pairs.withColumn("similarity", both / (F.col("n") + F.col("m") - both)).filter(F.col("similarity") >= threshold).select("a", "b", "similarity")
 
 
-#: Strings of each side that a task compares at once, and the parts into which fewer are still dealt.
-BLOCK, PARTS = 16_384, 8
+#: Patterns that a task holds, texts that it searches for them, and the parts into which fewer texts are still dealt.
+PATTERNS, TEXTS, PARTS = 1 << 19, 1 << 15, 16
 #: The longest pattern whose column of an edit table fits the bits of a long.
 BITS = 64
 #: Pairs whose signatures are compared at a time, and entries of a table of letters.
@@ -69,22 +71,39 @@ class _Strings:
         self.at = np.cumsum(self.size) - self.size
         self.edits = np.ceil(self.size * share).astype(np.int64)
         self.letters = np.searchsorted(alphabet, _points(low))
-        owner = np.repeat(np.arange(len(low)), self.size)
-        two = np.flatnonzero(owner[1:] == owner[:-1])
+
+    @cached_property
+    def _owner(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.low)), self.size)
+
+    @cached_property
+    def pairs(self) -> np.ndarray:
+        two = np.flatnonzero(self._owner[1:] == self._owner[:-1])
         mixed = (self.letters[two] * 0x9E3779B1 + self.letters[two + 1] * 0x85EBCA77) * 0x27D4EB2F >> 15
-        self.pairs = np.zeros((2, len(low)), np.uint64)
-        np.bitwise_or.at(self.pairs, (mixed >> 6 & 1, owner[two]), np.uint64(1) << (mixed & 63).astype(np.uint64))
-        # a bit for each of the first three letters of each of 21 kinds
-        kind = owner * 21 + self.letters % 21
+        out = np.zeros((2, len(self.low)), np.uint64)
+        np.bitwise_or.at(out, (mixed >> 6 & 1, self._owner[two]), np.uint64(1) << (mixed & 63).astype(np.uint64))
+        return out
+
+    @cached_property
+    def counts(self) -> np.ndarray:
+        """A bit for each of the first three letters of each of 21 kinds."""
+        kind = self._owner * 21 + self.letters % 21
         order = np.argsort(kind, kind="stable")
         first = np.r_[True, kind[order][1:] != kind[order][:-1]][: len(order)]
         nth = np.arange(len(order)) - np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))
         seen = order[nth < 3]
-        self.counts = np.zeros(len(low), np.uint64)
-        np.bitwise_or.at(self.counts, owner[seen], np.uint64(1) << (self.letters[seen] % 21 * 3 + nth[nth < 3]).astype(np.uint64))
-        # each edit takes away two pairs of letters at most
-        self.least = np.maximum(np.bitwise_count(self.pairs).sum(axis=0, dtype=np.int64) - 2 * self.edits, 0).astype(np.uint8)
-        self.most = np.minimum(self.edits, 64).astype(np.uint8)
+        out = np.zeros(len(self.low), np.uint64)
+        np.bitwise_or.at(out, self._owner[seen], np.uint64(1) << (self.letters[seen] % 21 * 3 + nth[nth < 3]).astype(np.uint64))
+        return out
+
+    @cached_property
+    def least(self) -> np.ndarray:
+        """Each edit takes away two pairs of letters at most."""
+        return np.maximum(np.bitwise_count(self.pairs).sum(axis=0, dtype=np.int64) - 2 * self.edits, 0).astype(np.uint8)
+
+    @cached_property
+    def most(self) -> np.ndarray:
+        return np.minimum(self.edits, 64).astype(np.uint8)
 
 
 def _least_edits(p: str, x: str) -> int:
@@ -160,53 +179,82 @@ def _within(p: _Strings, x: _Strings, i: np.ndarray, j: np.ndarray) -> np.ndarra
     return out
 
 
-def _alike(a: _Strings, b: _Strings) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The pairs of which one is in the other, a few rows of ``a`` at a time."""
-    step = max(1, AT_A_TIME // max(1, len(b.low)))
-    for k in range(0, len(a.low), step):
-        rows = slice(k, k + step)
-        both = np.bitwise_count(a.pairs[0, rows, None] & b.pairs[0])
-        both += np.bitwise_count(a.pairs[1, rows, None] & b.pairs[1])
-        one = (both >= a.least[rows, None]) & (np.bitwise_count(a.counts[rows, None] & ~b.counts) <= a.most[rows, None])
-        two = (both >= b.least) & (np.bitwise_count(~a.counts[rows, None] & b.counts) <= b.most)
-        i, j = np.divmod(np.flatnonzero(one | two), len(b.low))
-        one, two, i = one[i, j], two[i, j], i + k
-
-        def holds(p: _Strings, x: _Strings, m: np.ndarray, n: np.ndarray) -> np.ndarray:
-            may = (np.minimum(p.size[m], x.size[n]) > 0) & (x.size[n] + p.edits[m] >= p.size[m])
-            may[may] = _within(p, x, m[may], n[may])
-            return may | (p.size[m] == 0) & (x.size[n] == 0)
-
-        one[one] = holds(a, b, i[one], j[one])
-        two &= ~one
-        two[two] = holds(b, a, j[two], i[two])
-        yield i[one | two], j[one | two]
+def _holds(p: _Strings, x: _Strings, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """As ``_within``, for strings that may be empty or too short."""
+    may = (np.minimum(p.size[i], x.size[j]) > 0) & (x.size[j] + p.edits[i] >= p.size[i])
+    may[may] = _within(p, x, i[may], j[may])
+    return may | (p.size[i] == 0) & (x.size[j] == 0)
+
+
+def _by_signatures(p: _Strings, x: _Strings, patterns: np.ndarray, texts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """As ``_parts``, a few patterns at a time: k edits leave all but 2 k of a pattern's pairs of letters as they are, so words of bits, a
+    bit for some pairs of letters each, tell most strings apart; edits are counted for the others."""
+    step = max(1, AT_A_TIME // max(1, len(texts)))
+    for k in range(0, len(patterns) if len(texts) else 0, step):
+        some = patterns[k : k + step]
+        both = np.bitwise_count(p.pairs[0, some, None] & x.pairs[0, texts])
+        both += np.bitwise_count(p.pairs[1, some, None] & x.pairs[1, texts])
+        may = (both >= p.least[some, None]) & (np.bitwise_count(p.counts[some, None] & ~x.counts[texts]) <= p.most[some, None])
+        i, j = np.divmod(np.flatnonzero(may), len(texts))
+        i, j = some[i], texts[j]
+        right = _holds(p, x, i, j)
+        yield i[right], j[right]
+
+
+def _parts(p: _Strings, x: _Strings) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(i, j), each once, where pattern ``i`` of ``p`` is within its edits of some part of text ``j`` of ``x``: by trees of the patterns' letters,
+    and by signatures where either is too long or too short for these."""
+    plain = (p.size > 1) & (p.size <= LONGEST) & (p.edits > 0) & (p.edits < p.size) & (p.edits <= MOST)
+    fits = (x.size > 0) & (x.size <= LONGEST_TEXT)
+    i, j = np.flatnonzero(plain), np.flatnonzero(fits)
+    for m, n in Patterns(p.letters, p.at[i], p.size[i], p.edits[i], p.alphabet).within(x.letters, x.at[j], x.size[j]):
+        yield i[m], j[n]
+    yield from _by_signatures(p, x, i, np.flatnonzero(~fits))
+    yield from _by_signatures(p, x, np.flatnonzero(~plain), np.arange(len(x.low)))
+
+
+def _alike(a: _Strings, b: _Strings, ways: tuple[int, ...] = (0, 1)) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs of which one is in the other, each once: by way 0 those whose ``b`` is in ``a``, by way 1 those whose ``a`` only is in ``b``."""
+    if 0 in ways:
+        for j, i in _parts(b, a):
+            yield i, j
+    if 1 in ways:
+        for i, j in _parts(a, b):
+            new = ~_holds(b, a, j, i)
+            yield i[new], j[new]
 
 
 def approximate_join(a: DataFrame, b: DataFrame, share: float = 0.2) -> DataFrame:
     """(a, b) of the distinct strings of two one-column tables of which one is in the other up to ceil(share * length) edits, either way
     round, without regard to case.
 
-    Both sides are dealt to blocks, and every block of one meets every block of the other in a group of its own, which holds BLOCK
-    strings of each side at most.  k edits leave all but 2 k of a pattern's pairs of letters as they are, so words of bits, a bit
-    for some pairs of letters each, tell most strings apart at once; edits are counted only for the others."""
+    Either side's strings are patterns that are searched in the other's.  A group has PATTERNS patterns and TEXTS texts at most; every
+    block of patterns meets every block of texts."""
     sides = [written(df.select(F.col(df.columns[0]).alias("name")).filter("name is not null").distinct()) for df in (a, b)]
-    parts = [max(-(-n // BLOCK), min(PARTS, -(-n // 256)), 1) for n in (df.count() for df in sides)]
-
-    def dealt(side: int) -> DataFrame:
-        own, other = F.pmod(F.xxhash64("name"), F.lit(parts[side])), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(parts[1 - side] - 1).cast("bigint")))
-        names = (own.alias("i"), other.alias("j")) if side == 0 else (other.alias("i"), own.alias("j"))
-        return sides[side].select("name", F.lower("name").alias("low"), F.lit(side).alias("side"), *names)
+    sizes = [df.count() for df in sides]
+    blocks = [max(-(-n // PATTERNS), 1) for n in sizes]
+    parts = [max(-(-n // TEXTS), min(PARTS, -(-n // 256)), 1) for n in sizes]
+
+    def dealt(way: int, side: int) -> DataFrame:
+        """The strings of a side as the texts (``side`` is the way) or the patterns of a way."""
+        text = side == way
+        own = F.pmod(F.xxhash64("name"), F.lit(parts[side] if text else blocks[side]))
+        other = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit((blocks if text else parts)[1 - side] - 1).cast("bigint")))
+        low = F.nullif(F.lower("name"), F.col("name")).alias("low")
+        return sides[side].select("name", low, F.lit(side).alias("side"), F.lit(way).alias("way"), (other if text else own).alias("i"), (own if text else other).alias("j"))
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = pa.Table.from_batches([*batches])
         mine = [rows.filter(pa.compute.equal(rows.column("side"), k)).combine_chunks() for k in (0, 1)]
-        names, low = [m.column("name") for m in mine], [m.column("low").to_pylist() for m in mine]
+        names = [m.column("name") for m in mine]
+        low = [pa.compute.coalesce(m.column("low"), m.column("name")).to_pylist() for m in mine]
+        way = rows.column("way")[0].as_py()
         alphabet = np.unique(_points(low[0] + low[1]))
-        strings = [_Strings(x, share, alphabet) for x in low]
-        if strings[0].low and strings[1].low:
-            for i, j in _alike(*strings):
+        if low[0] and low[1]:
+            for i, j in _alike(*(_Strings(x, share, alphabet) for x in low), (way,)):
                 yield pa.RecordBatch.from_arrays([c.take(pa.array(n)).combine_chunks() for c, n in zip(names, (i, j), strict=True)], ["a", "b"])
 
-    groups = dealt(0).unionByName(dealt(1)).repartition(min(parts[0] * parts[1], 2_000), "i", "j").groupBy("i", "j")
-    return groups.applyInArrow(compared, "a string, b string")
+    groups = blocks[1] * parts[0] + blocks[0] * parts[1]
+    rows = dealt(0, 0).unionByName(dealt(0, 1)).unionByName(dealt(1, 0)).unionByName(dealt(1, 1))
+    # more partitions than groups, so that few have two
+    return rows.repartition(min(8 * groups, 2_000), "way", "i", "j").groupBy("way", "i", "j").applyInArrow(compared, "a string, b string")

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from casegrid import schema
 from casegrid.functions import text
-from casegrid.operators import client, dedupe, extract, intervals, joins, match, needles, provenance, quantiles, ranks, records, similar
+from casegrid.operators import client, dedupe, extract, intervals, joins, match, needles, provenance, quantiles, ranks, records, similar, tries
 from casegrid.plans import fixtures, pipeline
 from casegrid.sources import document_source, files
 from casegrid.sources.pdf import page_texts
@@ -163,6 +163,40 @@ def test_blocks_of_names_against_all_edits(monkeypatch, at_a_time):
     assert len(found) == len({(i, j) for *_, i, j in found}) and {(i, j) for *_, i, j in found} == want
 
 
+def test_edits_are_counted_for_few_pairs_of_names(monkeypatch):
+    """Names that share words and letters: edits are counted, pair by pair, only where the other way round has been found already."""
+    rng = random.Random(9)
+    parts = ["th", "er", "on", "tion", "ent", "and", "ing", "re", "he", "at", "ly", "ble", "ou", "st"]
+    word = lambda: "".join(rng.choice(parts) for _ in range(rng.randint(1, 3)))
+    words = [word() for _ in range(300)]
+    a, b = ([*{f"{rng.choice(words)} {rng.choice(words)}" for _ in range(n)}] for n in (1_500, 1_200))
+    counted, within = [], similar._within
+    monkeypatch.setattr(similar, "_within", lambda p, x, i, j: counted.append(len(i)) or within(p, x, i, j))
+    alphabet = np.unique(similar._points(a + b))
+    sides = [similar._Strings(x, 0.2, alphabet) for x in (a, b)]
+    found = {(i, j) for m, n in similar._alike(*sides) for i, j in zip(m.tolist(), n.tolist(), strict=True)}
+    assert 0 < sum(counted) <= len(found) < len(a) * len(b) / 30
+    some = rng.sample(range(len(a)), 40)
+    assert {(i, j) for i, j in found if i in {*some}} == {(i, j) for i in some for j in range(len(b)) if is_near(a[i], b[j]) or is_near(b[j], a[i])}
+
+
+@pytest.mark.parametrize(("letters", "many", "at_once"), [("ab", 1 << 21, 1 << 14), ("abc", 40, 60), ("abc" + "".join(map(chr, range(0x4E00, 0x4F50))), 1 << 21, 40)])
+def test_trees_of_patterns_against_all_edits(monkeypatch, letters, many, at_once):
+    monkeypatch.setattr(tries, "MANY", many)
+    monkeypatch.setattr(tries, "AT_ONCE", at_once)
+    rng = random.Random(at_once)
+    name = lambda n: "".join(rng.choice(letters if rng.random() < 0.3 else letters[:3]) for _ in range(n))
+    patterns = [name(n) for n in range(2, 41) for _ in range(3)] * 2
+    blurred = lambda x: "".join(rng.choice([c, c, c, c, c, c, rng.choice(letters), c + rng.choice(letters), ""]) for c in x)
+    texts = [name(rng.randint(0, 12)) + blurred(p) + name(rng.randint(0, 9)) for p in patterns] + [letters[:n] * (60 // n) for n in (1, 2, 3)] + [letters] * 2
+    texts = [x[:63] for x in texts] + ["a"]
+    alphabet = np.unique(similar._points(patterns + texts))
+    p, x = (similar._Strings(s, 0.2, alphabet) for s in (patterns, texts))
+    found = [t for i, j in tries.Patterns(p.letters, p.at, p.size, p.edits, p.alphabet).within(x.letters, x.at, x.size) for t in zip(i.tolist(), j.tolist(), strict=True)]
+    want = {(i, j) for i, q in enumerate(patterns) for j, y in enumerate(texts) if similar._least_edits(q, y) <= p.edits[i]}
+    assert len(found) == len({*found}) and {*found} == want and want
+
+
 def test_search_of_many_words(spark):
     rng = random.Random(5)
     docs = {d: [("".join(rng.choice("ab ") for _ in range(rng.randint(0, 40)))) for _ in range(5)] for d in range(6)}
