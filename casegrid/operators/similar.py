@@ -233,12 +233,25 @@ def approximate_join(a: DataFrame, b: DataFrame, share: float = 0.2) -> DataFram
     sides = [written(df.select(F.col(df.columns[0]).alias("name")).filter("name is not null").distinct()) for df in (a, b)]
     sizes = [df.count() for df in sides]
     blocks = [max(-(-n // PATTERNS), 1) for n in sizes]
+    size = F.least(F.length("name"), F.lit(LONGEST + 1))
     parts = [max(-(-n // TEXTS), min(PARTS, -(-n // 256)), 1) for n in sizes]
 
+    def block(side: int) -> Column:
+        """Names of one length in one block, as trees of these grow less than their number; a length of many names in several."""
+        if blocks[side] == 1:
+            return F.lit(0).cast("bigint")
+        rank, before = F.lit(0).cast("bigint"), 0
+        for length, n in sorted((r[0], r[1]) for r in sides[side].groupBy(size).count().collect()):
+            rank = F.when(size == length, before + F.pmod(F.xxhash64("name"), F.lit(n))).otherwise(rank)
+            before += n
+        return F.floor(rank * blocks[side] / before).cast("bigint")
+
+    block_of = [block(0), block(1)]
+
     def dealt(way: int, side: int) -> DataFrame:
         """The strings of a side as the texts (``side`` is the way) or the patterns of a way."""
         text = side == way
-        own = F.pmod(F.xxhash64("name"), F.lit(parts[side] if text else blocks[side]))
+        own = F.pmod(F.xxhash64("name"), F.lit(parts[side])) if text else block_of[side]
         other = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit((blocks if text else parts)[1 - side] - 1).cast("bigint")))
         low = F.nullif(F.lower("name"), F.col("name")).alias("low")
         return sides[side].select("name", low, F.lit(side).alias("side"), F.lit(way).alias("way"), (other if text else own).alias("i"), (own if text else other).alias("j"))

@@ -50,7 +50,9 @@ class _Piece:
             follows = np.full(len(self.head.letter[depth - 1]), -1)
             follows[self.head.at[own][tree.tops]] = np.arange(len(tree.tops))
             patterns = np.searchsorted(tree.at, np.arange(len(tree.letter[-1]) + 1))  # as first, of the last level
-            self.rest.setdefault(depth, []).append((int(allowed[own[0]]), tree, follows, patterns, number[own]))
+            k = int(allowed[own[0]])
+            self.rest.setdefault(depth, []).append((int(size[own[0]]) - k, k, tree, follows, patterns, number[own]))
+        self.least = min(r[0] for rest in self.rest.values() for r in rest)  # letters that a text must have
 
 
 def _children(first: np.ndarray, node: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -159,14 +161,19 @@ class Patterns:
         place = np.arange(len(letters)) - np.repeat(np.cumsum(size) - size, size)
         everywhere = ((np.uint64(2) << size.astype(np.uint64)) - np.uint64(1)).astype(word)
         found, many = [np.zeros(0, np.int64)], 0
+        longest = int(size.max())
         for backwards, part, piece in self.pieces:
+            if longest < piece.least:
+                continue
             equal = self._equal(letters, owner, size[owner] - 1 - place if backwards else place, texts, word)
             base, node, words = np.arange(texts) * self.alphabet, np.zeros(texts, np.int64), [everywhere] * (piece.edits + 1)
             for depth, (first, letter) in enumerate(zip(piece.head.first, piece.head.letter, strict=True), 1):
                 base, node, words = _followed(first, letter, equal, base, node, words)
                 if len(base) > MANY and texts > 1:
                     return None
-                for k, tree, follows, patterns, number in piece.rest.get(depth, ()):
+                for least, k, tree, follows, patterns, number in piece.rest.get(depth, ()):
+                    if longest < least:
+                        continue
                     top = follows[node]
                     own = np.flatnonzero(top >= 0)
                     b, n, w = base[own], top[own], [x[own] for x in words]

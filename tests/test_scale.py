@@ -142,6 +142,15 @@ def test_approximate_join(spark):
     assert len(rows) == len(set(rows)) and set(rows) == want
 
 
+def test_approximate_join_in_several_blocks(spark, monkeypatch):
+    monkeypatch.setattr(similar, "PATTERNS", 25)
+    monkeypatch.setattr(similar, "TEXTS", 40)
+    rng = random.Random(12)
+    a, b = ([*{"".join(rng.choice("abcd") for _ in range(rng.choice([5, 9, 9, 9, 14, 50]))) for _ in range(n)}] for n in (70, 60))
+    got = [tuple(r) for r in similar.approximate_join(*(spark.createDataFrame([(x,) for x in s], "name string") for s in (a, b))).collect()]
+    assert len(got) == len({*got}) and {*got} == {(x, y) for x in a for y in b if is_near(x, y) or is_near(y, x)}
+
+
 def test_no_row_for_each_pair_that_shares_a_piece(spark):
     """Names meet in blocks; the plan joins nothing, and a piece that all names have adds no rows."""
     a = spark.createDataFrame([(f"{i:04d}tion{i * 7919 % 10007:05d}",) for i in range(600)], "name string")
